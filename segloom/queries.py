@@ -1,4 +1,879 @@
-"""The queries of the library and their SQL."""
+"""The queries of the library over the given tables, and DuckDB SQL with the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import fixtures
+from .fixtures import VIEWS, fixture, with_sql
+from .functions import text as T
+from .functions import vectors as V
+from .operators import audio as A
+from .operators import clips as C
+from .operators import jobs as J
+from .operators import quality as Q
+from .operators import segments as S
+from .operators import timing as M
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+#: Views that exist as DataFrame operators here and as SQL for the oracle only.
+VIEWS |= {
+    "islands_q": ("", "select *, sum(case when gap > 300 then 1 else 0 end) over (partition by media_id order by word_idx) as seg_idx from (select *, start_ms - lag(end_ms) over (partition by media_id order by word_idx) as gap, lead(start_ms) over (partition by media_id order by word_idx) - end_ms as after from words_fx) q", ("words_fx",)),
+    "segs_q": ("", "select media_id, cast(seg_idx as bigint) as seg_idx, string_agg(text, ' ' order by word_idx) as text, first(start_ms order by word_idx) as start_ms, last(end_ms order by word_idx) as end_ms, greatest(0, coalesce(first(gap order by word_idx), 0)) as pause_before_ms, greatest(0, coalesce(last(after order by word_idx), 0)) as pause_after_ms, count(*) as source_word_count, 'spk_0' as speaker_id from islands_q where text <> '' group by media_id, seg_idx", ("islands_q",)),
+    "turns_q": ("", "select t.media_id, t.start_ms, t.end_ms, t.speaker_label, 'spk_' || (r.n - 1) as speaker_id from turns_fx t join (select media_id, speaker_label, row_number() over (partition by media_id order by min(start_ms), speaker_label) as n from turns_fx where end_ms > start_ms group by media_id, speaker_label) r on t.media_id = r.media_id and t.speaker_label = r.speaker_label where t.end_ms > t.start_ms", ("turns_fx",)),
+    "spoken_q": ("", """select w.*, coalesce(o.speaker_id, 'spk_0') as speaker_id, coalesce(o.ms, 0) as overlap_ms from (select media_id, cast(seg_idx as bigint) as seg_idx, word_idx, text, start_ms, end_ms from islands_q) w left join
+      (select *, row_number() over (partition by media_id, word_idx order by ms desc, first) as n from (select w.media_id, w.word_idx, t.speaker_id, sum(least(w.end_ms, t.end_ms) - greatest(w.start_ms, t.start_ms)) as ms, min(t.start_ms) as first
+        from words_fx w join turns_q t on w.media_id = t.media_id and t.start_ms < w.end_ms and w.start_ms < t.end_ms group by w.media_id, w.word_idx, t.speaker_id) x) o on o.media_id = w.media_id and o.word_idx = w.word_idx and o.n = 1""", ("islands_q", "turns_q")),
+    "parts_q": ("", """select media_id, seg_idx, split_idx, string_agg(text, ' ' order by word_idx) as text, first(start_ms order by word_idx) as start_ms, last(end_ms order by word_idx) as end_ms, min(speaker_id) as speaker_id, count(*) as source_word_count, count(*) over (partition by media_id, seg_idx) as split_count,
+       first(gap order by word_idx) as b, last(after order by word_idx) as a from (select *, sum(case when prev <> speaker_id or gap > 300 then 1 else 0 end) over (partition by media_id, seg_idx order by word_idx) as split_idx
+       from (select *, lag(speaker_id) over s as prev, greatest(start_ms - lag(end_ms) over s, 0) as gap, greatest(lead(start_ms) over s - end_ms, 0) as after from (select media_id, seg_idx, word_idx, text, start_ms, end_ms, speaker_id from spoken_q where text <> '' and end_ms > start_ms) q1 window s as (partition by media_id, seg_idx order by word_idx)) q2) q3 group by media_id, seg_idx, split_idx""", ("spoken_q",)),
+    "sent_q": ("", """select *, cast(row_number() over (partition by media_id, group_idx order by seg_idx) - 1 as bigint) as group_index, count(*) over (partition by media_id, group_idx) as group_size from (select *, cast(sum(case when regexp_matches(prev, '[.!?]\\s*$') or start_ms - prev_end >= 500 then 1 else 0 end) over (partition by media_id order by seg_idx) as bigint) as group_idx
+      from (select *, lag(trim(text)) over (partition by media_id order by seg_idx) as prev, lag(end_ms) over (partition by media_id order by seg_idx) as prev_end from segs_q where trim(text) <> '') a) b""", ("segs_q",)),
+    "numbered_q": ("", "select *, row_number() over (partition by media_id order by seg_idx) - 1 as n from segs_q", ("segs_q",)),
+    "isl_q": ("", """select media_id, cast(row_number() over (partition by media_id order by start_ms) - 1 as bigint) as island_idx, start_ms, end_ms, sq_sum, n from (select media_id, g, min(frame_idx) * 5 as start_ms, (max(frame_idx) + 1) * 5 as end_ms, sum(sq_sum) as sq_sum, sum(n) as n from
+      (select *, frame_idx - row_number() over (partition by media_id order by frame_idx) as g from (select *, max(quiet) over (partition by media_id order by frame_idx rows between 3 preceding and current row) as silent from
+        (select *, case when count(*) over w = 4 and coalesce(case when sum(sq_sum) over w > 0 then 20 * log10(sqrt(sum(sq_sum) over w / sum(n) over w) / 512.0) end, -1000.0) <= t then 1 else 0 end as quiet from
+          (select *, greatest(-50.0, 20 * log10(sqrt(sum(sq_sum) over (partition by media_id) / sum(n) over (partition by media_id)) / 512.0) - 6.0) as t from frames_fx) a window w as (partition by media_id order by frame_idx rows between current row and 3 following)) b) c where silent = 0) d group by media_id, g) e""", ("frames_fx",)),
+}
+
+
+def query(name: str, sql: str | None = None, *views: str):
+    """Registers a function of (fixture getter) as a query, with SQL over the named views."""
+
+    def add(fn: Callable) -> Callable:
+        QUERIES[name] = lambda spark, sf_dir: fn(lambda v: fixture(spark, sf_dir, v), spark)
+        if sql:
+            ORACLE_SQL[name] = with_sql(sql, *views) if views else sql
+        return fn
+
+    return add
+
+
+def segs(fx) -> DataFrame:
+    return S.pause_segments(fx("words_fx"))
+
+
+def turns(fx) -> DataFrame:
+    return S.normalize_turns(fx("turns_fx"))
+
+
+def spoken(fx) -> DataFrame:
+    """Words with their segment and speaker."""
+    words = fx("words_fx").select("media_id", "word_idx", "text", "start_ms", "end_ms")
+    s = segs(fx).select("media_id", "seg_idx", F.explode("words").alias("w")).select("media_id", "seg_idx", F.col("w.start_ms").alias("start_ms"))
+    return S.speaker_overlap(words.join(s, ["media_id", "start_ms"]), turns(fx), "word_idx")
+
+
+def split_segments(fx) -> DataFrame:
+    return S.diarized_segments(spoken(fx), segs(fx))
+
+
+def frames(fx) -> DataFrame:
+    return fx("frames_fx").withColumn("sq_sum", F.col("sq_sum").cast("double"))
+
+
+def islands(fx) -> DataFrame:
+    return A.nonsilent_islands(frames(fx), min_silence_ms=20, margin_db=6.0, full_scale=512.0)
+
+
+def lengths(fx) -> DataFrame:
+    return fx("frames_fx").groupBy("media_id").agg((F.count(F.lit(1)) * 5).alias("len_ms"))
+
+
+# Segments and speakers.
+
+
+@query("pause_segments", "select media_id, seg_idx, text, start_ms, end_ms, cast(pause_before_ms as bigint) as pause_before_ms, cast(pause_after_ms as bigint) as pause_after_ms, source_word_count, speaker_id from segs_q", "segs_q")
+def _(fx, spark):
+    return segs(fx).select("media_id", "seg_idx", "text", "start_ms", "end_ms", "pause_before_ms", "pause_after_ms", "source_word_count", "speaker_id")
+
+
+@query("words_with_silence", """select media_id, cast(seg_idx as bigint) as seg_idx, string_agg(text || case when last = 0 and after >= 40 then ' <' || ((after + 5) // 10 // 100)::varchar || '.' || lpad(((after + 5) // 10 % 100)::varchar, 2, '0') || 's>' else '' end, ' ' order by word_idx) as words_with_silence
+  from (select *, case when word_idx = max(word_idx) over (partition by media_id, seg_idx) then 1 else 0 end as last from islands_q where text <> '') q group by media_id, seg_idx""", "islands_q")
+def _(fx, spark):
+    return segs(fx).select("media_id", "seg_idx", "words_with_silence")
+
+
+@query("normalize_turns", "select * from turns_q", "turns_q")
+def _(fx, spark):
+    return turns(fx)
+
+
+@query("word_speaker_overlap", "select media_id, word_idx, speaker_id, cast(overlap_ms as bigint) as overlap_ms from spoken_q", "spoken_q")
+def _(fx, spark):
+    return S.speaker_overlap(fx("words_fx"), turns(fx), "word_idx").select("media_id", "word_idx", "speaker_id", "overlap_ms")
+
+
+@query("segment_speaker_overlap", """select s.media_id, s.seg_idx, coalesce(o.speaker_id, 'spk_0') as speaker_id, cast(coalesce(o.ms, 0) as bigint) as overlap_ms from segs_q s left join
+  (select *, row_number() over (partition by media_id, seg_idx order by ms desc, first) as n from (select w.media_id, w.seg_idx, t.speaker_id, sum(least(w.end_ms, t.end_ms) - greatest(w.start_ms, t.start_ms)) as ms, min(t.start_ms) as first
+    from segs_q w join turns_q t on w.media_id = t.media_id and t.start_ms < w.end_ms and w.start_ms < t.end_ms group by w.media_id, w.seg_idx, t.speaker_id) x) o on o.media_id = s.media_id and o.seg_idx = s.seg_idx and o.n = 1""", "segs_q", "turns_q")
+def _(fx, spark):
+    return S.speaker_overlap(segs(fx), turns(fx), "seg_idx").select("media_id", "seg_idx", "speaker_id", "overlap_ms")
+
+
+@query("diarized_segments", "select p.media_id, p.seg_idx, cast(split_idx as bigint) as split_idx, split_count, p.text, p.start_ms, p.end_ms, p.speaker_id, p.source_word_count, cast(coalesce(p.b, s.pause_before_ms) as bigint) as pause_before_ms, cast(coalesce(p.a, s.pause_after_ms) as bigint) as pause_after_ms from parts_q p join segs_q s on p.media_id = s.media_id and p.seg_idx = s.seg_idx", "parts_q", "segs_q")
+def _(fx, spark):
+    return split_segments(fx).select("media_id", "seg_idx", "split_idx", "split_count", "text", "start_ms", "end_ms", "speaker_id", "source_word_count", "pause_before_ms", "pause_after_ms")
+
+
+@query("diarization_summary", """select a.media_id, cast(turn_count as bigint) as turn_count, speaker_count, turn_ms, cast(segment_count as bigint) as segment_count, cast(split_segment_count as bigint) as split_segment_count, seg_ms from
+  (select media_id, sum(n) as turn_count, count(*) as speaker_count, string_agg(speaker_id || '=' || ms::bigint::varchar, ',' order by speaker_id) as turn_ms from (select media_id, speaker_id, count(*) as n, sum(end_ms - start_ms) as ms from turns_q group by all) x group by media_id) a join
+  (select media_id, sum(n) as segment_count, sum(s) as split_segment_count, string_agg(speaker_id || '=' || ms::bigint::varchar, ',' order by speaker_id) as seg_ms from (select media_id, speaker_id, count(*) as n, sum(end_ms - start_ms) as ms, count(*) filter (split_count > 1) as s from parts_q group by all) x group by media_id) b on a.media_id = b.media_id""", "turns_q", "parts_q")
+def _(fx, spark):
+    flat = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return S.diarization_summary(turns(fx), split_segments(fx)).select("media_id", "turn_count", "speaker_count", flat("turn_ms_by_speaker").alias("turn_ms"), "segment_count", "split_segment_count", flat("segment_ms_by_speaker").alias("seg_ms"))
+
+
+@query("speaker_layers", "select media_id, speaker_id, count(*) as segment_count, max(end_ms) as layer_ms from parts_q group by all", "parts_q")
+def _(fx, spark):
+    return S.speaker_layers(split_segments(fx))
+
+
+@query("merge_layers", "select media_id, seg_idx, cast(split_idx as bigint) as split_idx, speaker_id, start_ms, cast(row_number() over (partition by media_id order by start_ms, speaker_id, seg_idx) - 1 as bigint) as merged_idx from parts_q", "parts_q")
+def _(fx, spark):
+    p = split_segments(fx).select("media_id", "seg_idx", "split_idx", "speaker_id", "start_ms")
+    return S.merge_layers(p.filter("speaker_id = 'spk_0'"), p.filter("speaker_id <> 'spk_0'")).withColumn("merged_idx", F.col("merged_idx").cast("long"))
+
+
+@query("filter_nonempty_text", "select media_id, seg_idx, text from pairs_fx where trim(text) <> ''", "pairs_fx")
+def _(fx, spark):
+    return S.filter_nonempty_text(fx("pairs_fx")).select("media_id", "seg_idx", "text")
+
+
+@query("sentence_groups", "select media_id, group_idx, string_agg(trim(text), ' ' order by seg_idx) as text, first(start_ms order by seg_idx) as start_ms, last(end_ms order by seg_idx) as end_ms, count(*) as group_size from sent_q group by media_id, group_idx", "sent_q")
+def _(fx, spark):
+    return S.sentence_groups(segs(fx))
+
+
+@query("sentence_projection", "select s.media_id, s.seg_idx, s.group_idx, s.group_index, s.group_size, g.t as source_sentence from sent_q s join (select media_id, group_idx, string_agg(trim(text), ' ' order by seg_idx) as t from sent_q group by all) g on s.media_id = g.media_id and s.group_idx = g.group_idx", "sent_q")
+def _(fx, spark):
+    return S.sentence_projection(segs(fx)).select("media_id", "seg_idx", "group_idx", F.col("group_index").cast("long").alias("group_index"), "group_size", "source_sentence")
+
+
+@query("context_neighbours", """select media_id, seg_idx, coalesce(case when start_ms - lag(end_ms) over w <= 500 and lag(speaker_id) over w = speaker_id then lag(text) over w end, '') as previous_text,
+  coalesce(case when lead(start_ms) over w - end_ms <= 500 and lead(speaker_id) over w = speaker_id then lead(text) over w end, '') as next_text from segs_q window w as (partition by media_id order by seg_idx)""", "segs_q")
+def _(fx, spark):
+    return S.context_neighbours(segs(fx)).select("media_id", "seg_idx", "previous_text", "next_text")
+
+
+@query("request_batches", """select g.*, coalesce((select string_agg(b.text, '|' order by b.n) from numbered_q b where b.media_id = g.media_id and b.n between g.batch_idx * 8 - 2 and g.batch_idx * 8 - 1), '') as before,
+   coalesce((select string_agg(b.text, '|' order by b.n) from numbered_q b where b.media_id = g.media_id and b.n between g.batch_idx * 8 + 8 and g.batch_idx * 8 + 9), '') as after
+   from (select media_id, n // 8 as batch_idx, count(*) as items, min(seg_idx) as first_seg, string_agg(text, '|' order by n) as texts from numbered_q group by media_id, n // 8) g""", "numbered_q")
+def _(fx, spark):
+    b = S.request_batches(segs(fx))
+    return b.select("media_id", F.col("batch_idx").cast("long").alias("batch_idx"), F.size("items").cast("long").alias("items"), F.col("items")[0]["seg_idx"].alias("first_seg"), F.array_join(F.transform("items", lambda x: x["text"]), "|").alias("texts"), F.array_join("context_before", "|").alias("before"), F.array_join("context_after", "|").alias("after"))
+
+
+@query("continuation_groups")
+def _(fx, spark):
+    s = segs(fx).withColumn("original_text", F.col("text"))
+    g = S.continuation_groups(s)
+    return g.select("media_id", "group_idx", "start_ms", "end_ms", "text", "group_size", "gap_ms", F.array_join(F.transform("indices", lambda i: i.cast("string")), ",").alias("indices"))
+
+
+@query("text_chunks")
+def _(fx, spark):
+    return segs(fx).select("media_id", "seg_idx", F.posexplode(S.text_chunks(F.col("text"))).alias("chunk_idx", "chunk"))
+
+
+@query("chunk_word_split")
+def _(fx, spark):
+    return S.chunk_word_split(segs(fx)).drop("words")
+
+
+@query("interpolated_chunk_times")
+def _(fx, spark):
+    c = S.text_chunks(F.col("text"))
+    return segs(fx).select("media_id", "seg_idx", F.posexplode(S.interpolated_chunk_times(c, F.col("start_ms"), F.col("end_ms"))).alias("chunk_idx", "t")).select("media_id", "seg_idx", "chunk_idx", "t.*")
+
+
+@query("dedupe_keep_first", "select media_id, min(word_idx) as word_idx, lower(text) as key from words_fx group by media_id, lower(text)", "words_fx")
+def _(fx, spark):
+    return S.dedupe_keep_first(fx("words_fx"), ["media_id"], "word_idx", "text").select("media_id", "word_idx", F.lower("text").alias("key"))
+
+
+@query("scan_transcript_words", "select conv_id as media_id, turn as segment_idx, cast(length(text) as bigint) as text_chars from conversations")
+def _(fx, spark):
+    from .sources.transcripts import words_of_payload
+
+    c = fx("conversations")
+    word = F.struct(F.col("text").alias("word"), F.lit(None).cast("string").alias("text"), F.lit(0).cast("long").alias("start"), F.lit(1).cast("long").alias("end"))
+    nested = F.struct(F.array(F.struct(F.array(word).alias("words"))).alias("segments"), F.array().cast("array<struct<word:string,text:string,start:bigint,end:bigint>>").alias("words"))
+    return words_of_payload(c.select(F.col("conv_id").alias("media_id"), F.col("turn"), nested.alias("payload")), keep=["turn"]).select("media_id", F.col("turn").alias("segment_idx"), F.length("text").cast("long").alias("text_chars"))
+
+
+
+# Text functions, over texts of pairs_fx and segs.
+
+
+def pairs(fx) -> DataFrame:
+    """Pairs of ASCII texts, which both engines' patterns read alike."""
+    return fx("pairs_fx").filter("original_text rlike '^[\\\\x00-\\\\x7F]*$' and text rlike '^[\\\\x00-\\\\x7F]*$'")
+
+
+VIEWS |= {"ascii_q": ("", "select * from pairs_fx where regexp_full_match(original_text, '[\\x00-\\x7F]*') and regexp_full_match(text, '[\\x00-\\x7F]*')", ("pairs_fx",))}
+_P = "select media_id, seg_idx, {} from ascii_q"
+_NORM = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
+_CLEAN = _NORM.format("""regexp_replace(text, '[^\\w\\s.,!?;:()"''%\\-]', '', 'g')""")
+
+
+def scalar(name: str, sql: str, fn: Callable, view: str = "ascii_q", source: Callable = pairs) -> None:
+    """A query of one expression over the pairs."""
+    query(name, sql if sql.startswith(("select", "with")) else _P.format(sql), view)(lambda fx, spark: source(fx).select("media_id", "seg_idx", *(fn() if isinstance(fn(), list) else [fn()])))
+
+
+c = F.col
+scalar("normalize_spaces", _NORM.format("text") + " as value", lambda: T.normalize_spaces(c("text")).alias("value"))
+scalar("text_signature", _NORM.format("regexp_replace(lower(text), '[^\\w\\s]', ' ', 'g')") + " as value", lambda: T.text_signature(c("text")).alias("value"))
+scalar("clean_spoken_text", _CLEAN + " as value", lambda: T.clean_spoken_text(c("text")).alias("value"))
+scalar("dataset_text", _NORM.format("replace(text, '|', ' ')") + " as value", lambda: T.dataset_text(c("text")).alias("value"))
+scalar("word_count", "cast(len(regexp_extract_all(text, '\\w+')) as integer) as n", lambda: T.word_count(c("text")).alias("n"))
+scalar("is_question", "ends_with(trim(text), '?') as value", lambda: T.is_question(c("text")).alias("value"))
+scalar("ends_terminal", "regexp_matches(regexp_replace(trim(text), '[\\s\"'')\\]}]+$', ''), '[.!?]$') as value", lambda: T.ends_terminal(c("text")).alias("value"))
+scalar("ends_continuation", "regexp_matches(regexp_replace(trim(text), '[\\s\"'')\\]}]+$', ''), '[,;:-]$') as value", lambda: T.ends_continuation(c("text")).alias("value"))
+scalar("starts_lower", "regexp_matches(regexp_extract(text, '[A-Za-z]'), '^[a-z]') as value", lambda: T.starts_lower(c("text")).alias("value"))
+_STRIP = "regexp_replace(trim({}), '[\\s\"'')\\]}}]+$', '')"
+_MARK = "case when ends_with({0}, '?') then '?' when ends_with({0}, '!') then '!' else '.' end"
+scalar("preferred_terminal", _MARK.format(_STRIP.format("text")) + " as value", lambda: T.preferred_terminal(c("text")).alias("value"))
+_BASE = f"regexp_replace({_CLEAN}, '[ .,!?:;_-]+$', '')"
+scalar("replace_terminal", f"case when {_BASE} = '' then {_CLEAN} else {_BASE} || '!' end as value", lambda: T.replace_terminal(c("text"), "!").alias("value"))
+scalar(
+    "stabilize_text",
+    f"""select media_id, seg_idx, case when clean = '' or regexp_matches({_STRIP.format('clean')}, '[.!?]$') or not (regexp_matches({_STRIP.format('original_text')}, '[.!?]$') or seg_idx % 3 = 0) or base = '' then clean else base || {_MARK.format(_STRIP.format('original_text'))} end as value
+    from (select *, {_CLEAN} as clean, regexp_replace({_CLEAN}, '[ ,;:-]+$', '') as base from ascii_q) q""",
+    lambda: T.stabilize_text(c("text"), c("original_text"), F.lit(""), F.lit(None).cast("long"), F.when(c("seg_idx") % 3 == 0, 300).otherwise(0), F.lit(1)).alias("value"),
+)
+scalar("retry_variants", "", lambda: F.array_join(T.retry_variants(c("text"), c("original_text"), F.lit(""), F.lit(None).cast("long"), F.lit(0), F.lit(1), F.lit("xtts")), "|").alias("variants"))
+del ORACLE_SQL["retry_variants"]
+scalar("join_segment_text", "case when trim(original_text) = '' then trim(text) when trim(text) = '' then trim(original_text) else trim(original_text) || case when regexp_matches(trim(original_text), '[-/]$') then '' else ' ' end || trim(text) end as value", lambda: T.join_segment_text(c("original_text"), c("text")).alias("value"))
+scalar("extract_numbers", "array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '\\b\\d+(?:[.,]\\d+)?%?\\b'), lambda x: replace(x, ',', '.')))), ',') as value", lambda: F.array_join(F.array_sort(T.extract_numbers(c("text"))), ",").alias("value"))
+scalar("latin_tokens", "array_to_string(regexp_extract_all(text, '\\b[A-Za-z][A-Za-z0-9_.+-]*\\b'), ' ') as value", lambda: F.array_join(T.latin_tokens(c("text")), " ").alias("value"))
+scalar("split_config_list", "array_to_string(list_filter(list_transform(regexp_split_to_array(replace(text, ',', ';'), '[|\\n;]'), lambda x: trim(x)), lambda x: x <> ''), '/') as value", lambda: F.array_join(T.split_config_list(F.translate(c("text"), ",", ";")), "/").alias("value"))
+scalar("parse_pairs", "case when trim(left(text, 10)) <> '' and trim(substr(text, 11)) <> '' then trim(left(text, 10)) || '=' || trim(substr(text, 11)) else '' end as value", lambda: F.array_join(F.transform(T.parse_pairs(F.array(F.concat(F.substr(c("text"), F.lit(1), F.lit(10)), F.lit("->"), F.substr(c("text"), F.lit(11))))), lambda p: F.concat_ws("=", p["source"], p["target"])), ",").alias("value"))
+scalar("language_name", "case lang when 'eng' then 'English' else lang end as value", lambda: T.language_name(c("lang")).alias("value"))
+_HMS = "lpad(({0} // 3600000)::varchar, 2, '0') || ':' || lpad(({0} // 60000 % 60)::varchar, 2, '0') || ':' || lpad(({0} // 1000 % 60)::varchar, 2, '0') || '{1}' || lpad(({0} % 1000)::varchar, 3, '0')"
+scalar("srt_time", _HMS.format("(end_ms * 37)", ",") + " as value", lambda: T.srt_time(c("end_ms") * 37).alias("value"))
+scalar("vtt_time", _HMS.format("(end_ms * 37)", ".") + " as value", lambda: T.vtt_time(c("end_ms") * 37).alias("value"))
+_ASS = "({0} // 360000)::varchar || ':' || lpad(({0} // 6000 % 60)::varchar, 2, '0') || ':' || lpad(({0} // 100 % 60)::varchar, 2, '0') || '.' || lpad(({0} % 100)::varchar, 2, '0')"
+scalar("ass_time", _ASS.format("cast(round_even(end_ms * 37 / 10.0, 0) as bigint)") + " as value", lambda: T.ass_time(c("end_ms") * 37).alias("value"))
+scalar("soft_target_chars", "cast(greatest(24, round_even((end_ms - start_ms) / 1000.0 * 14.0, 0) + 18) as integer) as n", lambda: T.soft_target_chars(c("end_ms") - c("start_ms")).alias("n"))
+scalar("hard_char_limit", "cast(least(170, greatest(8, floor((end_ms - start_ms) / 1000.0 * 16.0))) as integer) as n", lambda: T.hard_char_limit(c("end_ms") - c("start_ms")).alias("n"))
+scalar("tempo_chain", "cast(case when f > 2 then ceil(log2(f)) when f < 0.5 then ceil(-log2(f)) else 1 end as integer) as n, f as product from (select *, (end_ms - start_ms) / 1500.0 as f from ascii_q) q where true --", lambda: [F.size(T.tempo_chain((c("end_ms") - c("start_ms")) / 1500.0)).alias("n"), F.aggregate(T.tempo_chain((c("end_ms") - c("start_ms")) / 1500.0), F.lit(1.0), lambda a, x: a * x).alias("product")])
+ORACLE_SQL["tempo_chain"] = ORACLE_SQL["tempo_chain"].replace(" -- from ascii_q", "")
+scalar("job_name", "regexp_replace(regexp_replace('My ' || left(text, 20), '[^\\w.-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g') as value", lambda: T.job_name(F.concat(F.lit("/in/video_My "), F.regexp_replace(F.substr(c("text"), F.lit(1), F.lit(20)), "[/.]", ","), F.lit(".mp4"))).alias("value"))
+ORACLE_SQL["job_name"] = ORACLE_SQL["job_name"].replace("left(text, 20)", "regexp_replace(left(text, 20), '[/.]', ',', 'g')")
+scalar("format_duration", "case when s >= 60 then floor(s / 60)::int::varchar || 'm ' || lpad(printf('%.1f', s - floor(s / 60) * 60), 4, '0') || 's' else printf('%.1f', s) || 's' end as value from (select *, (end_ms // 7) / 10.0 as s from ascii_q) q --", lambda: T.format_duration(F.floor(c("end_ms") / 7) / 10.0).alias("value"))
+ORACLE_SQL["format_duration"] = ORACLE_SQL["format_duration"].replace(" -- from ascii_q", "")
+_PAIRS = lambda: F.array(F.struct(F.lit("the").alias("source"), F.lit("DER").alias("target")), F.struct(F.lit("of").alias("source"), F.lit("von").alias("target")))
+_REPL = "regexp_replace(regexp_replace({}, '\\bthe\\b', 'DER', 'gi'), '\\bof\\b', 'von', 'gi')"
+scalar("apply_replacements", _REPL.format("text") + " as value", lambda: T.apply_replacements(c("text"), _PAIRS()).alias("value"))
+_TIDY = "regexp_replace(regexp_replace(regexp_replace(" + _NORM.format("text") + ", '\\s+([,.;:!?])', '\\1', 'g'), '([(\\[{{])\\s+', '\\1', 'g'), '\\s+([)\\]}}])', '\\1', 'g')"
+scalar("normalize_translation", "trim(" + _REPL.format(_TIDY.replace("{{", "{").replace("}}", "}")) + ") as value", lambda: T.normalize_translation(c("text"), c("original_text"), _PAIRS()).alias("value"))
+scalar("clean_model_answer", "", lambda: T.clean_model_answer(F.concat(F.lit("```json\n{\"translation\": \"Translation: "), F.regexp_replace(c("text"), '["\\\\\\x00-\\x1f]', " "), F.lit("\"}\n```"))).alias("value"))
+scalar("parse_answer_json", "", lambda: T.parse_answer_json(F.concat(F.lit("<think>hm</think>```json [{\"id\": 0}] ```"), F.lit(""))).alias("value"))
+scalar("extract_candidates", "", lambda: F.array_join(T.extract_candidates(F.concat(F.lit("- "), F.trim(c("text")), F.lit("\n- "), F.upper(F.trim(c("text"))), F.lit("\n- other"))), "|").alias("value"))
+for _n in ("clean_model_answer", "parse_answer_json", "extract_candidates"):
+    del ORACLE_SQL[_n]
+scalar("segment_payload_json", "", lambda: F.to_json(F.struct(c("text"), ((c("end_ms") - c("start_ms")) / 1000.0).alias("source_duration_sec"), T.split_count(c("text")).alias("source_word_count"), F.length("text").alias("source_chars"), T.soft_target_chars(c("end_ms") - c("start_ms")).alias("soft_target_max_chars"))).alias("payload"))
+del ORACLE_SQL["segment_payload_json"]
+for _k, _t in (("srt", _HMS.format("start_ms", ",") + " || ' --> ' || " + _HMS.format("end_ms", ",")), ("vtt", _HMS.format("start_ms", ".") + " || ' --> ' || " + _HMS.format("end_ms", "."))):
+    _cue = f"select media_id, n as cue_no, {'n::varchar || chr(10) || ' if _k == 'srt' else ''}{_t} || chr(10) || t || chr(10) as cue from (select media_id, start_ms, end_ms, trim(text) as t, cast(row_number() over (partition by media_id order by seg_idx) as integer) as n from segs_q where trim(text) <> '') q"
+    query(f"{_k}_cues", _cue, "segs_q")(lambda fx, spark, k=_k: J.subtitle_cues(segs(fx), k))
+query("ass_cues", "select media_id, n as cue_no, 'Dialogue: 0,' || " + _ASS.format("cast(round_even(start_ms / 10.0, 0) as bigint)") + " || ',' || " + _ASS.format("cast(round_even(end_ms / 10.0, 0) as bigint)") + " || ',Default,,0,0,0,,' || replace(replace(replace(t, chr(10), '\\N'), '{', '\\{'), '}', '\\}') as cue from (select media_id, start_ms, end_ms, trim(text) as t, cast(row_number() over (partition by media_id order by seg_idx) as integer) as n from segs_q where trim(text) <> '') q", "segs_q")(lambda fx, spark: J.subtitle_cues(segs(fx), "ass"))
+query("sink_subtitles")(lambda fx, spark: J.subtitle_documents(J.subtitle_cues(segs(fx), "ass"), "ass"))
+
+
+# Vectors, tokens and recognition.
+
+VIEWS |= {
+    "vec_q": ("", "select a.vec_id as id, list_transform(a.embedding, lambda x: x::double) as a, list_transform(b.embedding, lambda x: x::double) as b from embeddings a join embeddings b on b.vec_id = a.vec_id + 1 where a.vec_id % 2 = 0", ()),
+    "rec_q": ("", "select *, regexp_extract_all(lower(expected), '\\w+') as e, regexp_extract_all(lower(recognized), '\\w+') as r from recog_fx where regexp_full_match(expected, '[\\x00-\\x7F]*')", ("recog_fx",)),
+}
+
+
+def vec_pairs(fx) -> DataFrame:
+    e = fx("embeddings")
+    a, b = e.filter("vec_id % 2 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("a")), e.select((F.col("vec_id") - 1).alias("id"), F.col("embedding").alias("b"))
+    return a.join(b, "id")
+
+
+def recog(fx) -> DataFrame:
+    return fx("recog_fx").filter(r"expected rlike '^[\\x00-\\x7F]*$'")
+
+
+@query("vector_cosine", "select id, round(list_cosine_similarity(a, b), 4) as cosine from vec_q", "vec_q")
+def _(fx, spark):
+    return vec_pairs(fx).select("id", F.round(V.vector_cosine(c("a"), c("b")), 4).alias("cosine"))
+
+
+@query("vector_dot", "select id, round(list_dot_product(a, b), 4) as dot from vec_q", "vec_q")
+def _(fx, spark):
+    return vec_pairs(fx).select("id", F.round(V.vector_dot(c("a"), c("b")), 4).alias("dot"))
+
+
+@query("labse_stats", "select id // 40 as media_id, round(avg(s), 4) as mean, round(min(s), 4) as min, round(max(s), 4) as max, count(*) as n from (select id, list_cosine_similarity(a, b) as s from vec_q) q group by id // 40", "vec_q")
+def _(fx, spark):
+    s = vec_pairs(fx).select(F.floor(c("id") / 40).cast("long").alias("media_id"), V.vector_cosine(c("a"), c("b")).alias("similarity"))
+    return Q.labse_stats(s).select("media_id", *(F.round(x, 4).alias(x) for x in ("mean", "min", "max")), "n")
+
+
+_ANCHOR = "list_filter(range(1, len(r) - 2 + 2), lambda i: r[i : i + 1] = e[len(e) - 1 : len(e)])"
+
+
+@query("suffix_anchor", f"select media_id, len({_ANCHOR}) > 0 as value from rec_q", "rec_q")
+def _(fx, spark):
+    return recog(fx).select("media_id", V.suffix_anchor(T.word_tokens(c("expected")), T.word_tokens(c("recognized"))).alias("value"))
+
+
+@query("extra_trailing", f"select media_id, len(e) > len(r) and coalesce(len(e) - (list_max({_ANCHOR.replace('len(r)', 'len(e)').replace('r[', 'e[').replace('e[len(e) - 1 : len(e)]', 'r[len(r) - 1 : len(r)]')}) + 1) > 0, false) as value from rec_q", "rec_q")
+def _(fx, spark):
+    return recog(fx).select("media_id", V.extra_trailing(T.word_tokens(c("recognized")), T.word_tokens(c("expected"))).alias("value"))
+
+
+@query("token_overlap", """select q.media_id, cast(coalesce(n, 0) as integer) as overlap, round(coalesce(n, 0) / len(e), 6) as recall, round(coalesce(n, 0) / len(r), 6) as precision from rec_q q left join
+  (select a.media_id, sum(least(a.k, b.k)) as n from (select media_id, w, count(*) as k from (select media_id, unnest(e) as w from rec_q) x group by all) a join (select media_id, w, count(*) as k from (select media_id, unnest(r) as w from rec_q) x group by all) b on a.media_id = b.media_id and a.w = b.w group by a.media_id) o on q.media_id = o.media_id""", "rec_q")
+def _(fx, spark):
+    o = V.token_overlap(T.word_tokens(c("expected")), T.word_tokens(c("recognized")))
+    return recog(fx).select("media_id", o["overlap"].alias("overlap"), F.round(o["recall"], 6).alias("recall"), F.round(o["precision"], 6).alias("precision"))
+
+
+@query("sequence_ratio")
+def _(fx, spark):
+    return recog(fx).select("media_id", F.round(V.sequence_ratio("expected", "recognized"), 6).alias("ratio"))
+
+
+@query("recognition_score")
+def _(fx, spark):
+    return recog(fx).select("media_id", V.recognition_score("expected", "recognized").alias("s")).select("media_id", "s.*")
+
+
+@query("wer_cer", """select media_id, round(cer, 6) as cer from (select media_id, levenshtein(trim(expected), trim(recognized)) / greatest(1, length(trim(expected))) as cer from rec_q) q""", "rec_q")
+def _(fx, spark):
+    return Q.wer_cer(recog(fx).withColumnRenamed("expected", "reference")).select("media_id", F.round("cer", 6).alias("cer"))
+
+
+@query("wer")
+def _(fx, spark):
+    return Q.wer_cer(recog(fx).withColumnRenamed("expected", "reference")).select("media_id", F.round("wer", 6).alias("wer"))
+
+
+# Sound.
+
+
+@query("nonsilent_islands", "select media_id, island_idx, start_ms, end_ms, round(sq_sum, 2) as sq_sum from isl_q", "isl_q")
+def _(fx, spark):
+    return islands(fx).select("media_id", F.col("island_idx").cast("long").alias("island_idx"), "start_ms", "end_ms", F.round("sq_sum", 2).alias("sq_sum"))
+
+
+VIEWS |= {"edge_q": ("", "select f.media_id, len_ms, greatest(0, coalesce(a, len_ms)) as leading_ms, coalesce(greatest(0, len_ms - b), len_ms) as trailing_ms from (select media_id, count(*) * 5 as len_ms from frames_fx group by media_id) f left join (select media_id, min(start_ms) as a, max(end_ms) as b from isl_q group by media_id) i on f.media_id = i.media_id", ("isl_q", "frames_fx"))}
+
+
+@query("edge_silence", "select *, greatest(0, len_ms - greatest(0, leading_ms - 60) - greatest(0, trailing_ms - 60)) as effective_ms from edge_q", "edge_q")
+def _(fx, spark):
+    return A.edge_silence(islands(fx), lengths(fx))
+
+
+@query("active_speech_stats", """select f.media_id, round(case when i.ms is null then full_db else 20 * log10(sqrt(i.s / i.n) / 512.0) end, 4) as active_dbfs, round(coalesce(i.ms / (f.k * 5), 1.0), 6) as active_ratio, round(20 * log10(f.p / 512.0), 4) as peak_dbfs, round(full_db, 4) as full_dbfs
+  from (select media_id, count(*) as k, max(peak) as p, 20 * log10(sqrt(sum(sq_sum) / sum(n)) / 512.0) as full_db from frames_fx group by media_id) f left join (select media_id, sum(sq_sum) as s, sum(n) as n, sum(end_ms - start_ms) as ms from isl_q group by media_id) i on f.media_id = i.media_id""", "isl_q", "frames_fx")
+def _(fx, spark):
+    s = A.active_speech_stats(frames(fx), islands(fx), full_scale=512.0)
+    return s.select("media_id", F.round("active_dbfs", 4).alias("active_dbfs"), F.round("active_ratio", 6).alias("active_ratio"), F.round("peak_dbfs", 4).alias("peak_dbfs"), F.round("full_dbfs", 4).alias("full_dbfs"))
+
+
+@query("trailing_island", """select f.media_id, cast(case when len(s) >= 2 and e[-1] - s[-1] between 5 and 450 and greatest(0, s[-1] - e[-2]) >= 10 and len_ms - s[-1] <= 700 then len_ms - s[-1] else 0 end as bigint) as trim_ms
+  from edge_q f left join (select media_id, list(start_ms order by start_ms) as s, list(end_ms order by start_ms) as e from isl_q group by media_id) i on f.media_id = i.media_id""", "edge_q")
+def _(fx, spark):
+    return A.trailing_island(islands(fx), lengths(fx), min_gap=10, min_island=5)
+
+
+VIEWS |= {"clipseg_q": ("", "select media_id, frame_idx // 10 as seg_idx, min(frame_idx) * 5 as start_ms, (max(frame_idx) + 1) * 5 as end_ms from frames_fx group by media_id, frame_idx // 10", ("frames_fx",))}
+
+
+def frame_segments(fx) -> DataFrame:
+    return fx("frames_fx").groupBy("media_id", F.floor(c("frame_idx") / 10).alias("seg_idx")).agg((F.min("frame_idx") * 5).alias("start_ms"), ((F.max("frame_idx") + 1) * 5).alias("end_ms"))
+
+
+@query("frames_in_segment", "select s.media_id, s.seg_idx, count(*) as n, round(sum(f.sq_sum), 0) as sq_sum, max(f.peak) as peak from clipseg_q s join frames_fx f on f.media_id = s.media_id and f.frame_idx * 5 >= greatest(0, s.start_ms - 20) and f.frame_idx * 5 < s.end_ms + 20 group by s.media_id, s.seg_idx", "clipseg_q")
+def _(fx, spark):
+    return A.frames_in_segment(frames(fx), frame_segments(fx), pad_ms=20).groupBy("media_id", "seg_idx").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("sq_sum"), 0).alias("sq_sum"), F.max("peak").alias("peak"))
+
+
+def _frame_scalar(name: str, sql: str, fn: Callable) -> None:
+    query(name, f"select media_id, frame_idx, {sql} from (select *, 20 * log10(peak / 512.0) as db from frames_fx) q", "frames_fx")(lambda fx, spark: frames(fx).withColumn("db", 20.0 * F.log10(c("peak") / 512.0)).select("media_id", "frame_idx", fn()))
+
+
+_frame_scalar("gain_to_target", "round(greatest(-12.0, least(6.0, -20.0 - db)), 4) as gain_db", lambda: F.round(A.gain_to_target(c("db"), F.lit(-20.0)), 4).alias("gain_db"))
+_frame_scalar("peak_ceiling_gain", "round(least(0.0, -2.0 - db), 4) as gain_db", lambda: F.round(A.peak_ceiling_gain(c("db")), 4).alias("gain_db"))
+_frame_scalar("segment_target_level", "round(case when frame_idx % 10 / 10.0 < 0.35 then -20.0 else -20.0 + greatest(-4.0, least(4.0, db + 3.0 + 20.0)) * 0.7 end, 4) as target_db", lambda: F.round(A.segment_target_level(c("db"), c("frame_idx") % 10 / 10.0, F.lit(-20.0)), 4).alias("target_db"))
+
+
+@query("timeline_overlay", """with e as (select user_id as media_id, row_number() over (partition by user_id order by ts, event_id) - 1 as n, cast(floor(value * 200) as bigint) as v from events),
+  a as (select media_id, n * 7 + i as frame, greatest(-32768, least(32767, sum(v))) as a from e, unnest(range(0, 10)) t(i) group by all), o as (select media_id, n * 7 + i as frame from e, unnest(range(0, 10)) t(i) where n % 10 = 0 and n < 100),
+  k as (select media_id, max(frame) as m from a group by media_id) select k.media_id, t.frame, cast(case when o.frame is not null then 5 else coalesce(a.a, 0) end as bigint) as value
+  from k, unnest(range(0, m + 1)) t(frame) left join a on a.media_id = k.media_id and a.frame = t.frame left join o on o.media_id = k.media_id and o.frame = t.frame""")
+def _(fx, spark):
+    from pyspark.sql import Window
+
+    e = fx("events").select(c("user_id").alias("media_id"), (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("long").alias("n"), F.floor(c("value") * 200).cast("int").alias("v"))
+    put = e.select("media_id", (c("n") * 7).alias("start_frame"), F.array_repeat("v", 10).alias("values"))
+    over = e.filter("n % 10 = 0 and n < 100").select("media_id", (c("n") * 7).alias("start_frame"), F.array_repeat(F.lit(5), 10).alias("values"))
+    return A.timeline_overlay(put, over)
+
+
+@query("loop_background_mix", """with v as (select media_id, frame_idx as frame, peak as value from frames_fx) select v.media_id, v.frame, round(v.value * pow(10, -3 / 20.0) + b.value * pow(10, -5 / 20.0) + v.value * pow(10, -22 / 20.0), 3) as value from v join (select media_id, least(7, max(frame) + 1) as k from v group by media_id) s on s.media_id = v.media_id join v b on b.media_id = v.media_id and b.frame = v.frame % s.k""", "frames_fx")
+def _(fx, spark):
+    v = frames(fx).select("media_id", c("frame_idx").alias("frame"), c("peak").alias("value"))
+    return A.loop_background_mix(v, v.filter("frame < 7"), v).select("media_id", "frame", F.round("value", 3).alias("value"))
+
+
+# Timing and synthesis.
+
+
+def synth(fx) -> DataFrame:
+    return fx("synth_fx")
+
+
+def _synth_scalar(name: str, sql: str, fn: Callable) -> None:
+    query(name, f"select media_id, seg_idx, {sql} from synth_fx where timing_window_ms is not null", "synth_fx")(lambda fx, spark: synth(fx).filter("timing_window_ms is not null").select("media_id", "seg_idx", *fn()))
+
+
+_ALLOC = "case when need <= 0 or b + a <= 0 then 0 when tgt / 2.0 <= b and tgt / 2.0 <= a then round_even(tgt / 2.0, 0) when b < tgt / 2.0 then {} else {} end"
+query("allocate_extension", f"select media_id, seg_idx, cast({_ALLOC.format('b', 'least(tgt - a, b)')} as bigint) as before_ms, cast({_ALLOC.format('least(tgt - b, a)', 'a')} as bigint) as after_ms from (select *, least(need, b + a) as tgt from (select media_id, seg_idx, corrected_ms - timing_window_ms as need, seg_idx % 700 as b, seg_idx * 7 % 900 as a from synth_fx where timing_window_ms is not null) q) r", "synth_fx")(
+    lambda fx, spark: synth(fx).filter("timing_window_ms is not null").select("media_id", "seg_idx", M.allocate_extension(c("corrected_ms") - c("timing_window_ms"), c("seg_idx") % 700, c("seg_idx") * 7 % 900).alias("x")).select("media_id", "seg_idx", "x.*")
+)
+_L, _TR = "(seg_idx * 13 % 400)", "(seg_idx * 29 % 500)"
+_CUT = "case when {0} >= 180 then greatest(0, {0} - 90) else 0 end"
+_NONE = f"{_CUT.format(_L)} + {_CUT.format(_TR)} >= greatest(0, corrected_ms - 120)"
+VIEWS |= {"fit_q": ("", f"select *, corrected_ms - ta - tb as len2, greatest(1, corrected_ms - ta - tb - greatest(0, l - ta - 60) - greatest(0, t - tb - 60)) as timing from (select *, {_L} as l, {_TR} as t, case when {_NONE} then 0 else {_CUT.format(_L)} end as ta, case when {_NONE} then 0 else {_CUT.format(_TR)} end as tb from synth_fx where timing_window_ms is not null) q", ("synth_fx",))}
+query("edge_trim_plan", "select media_id, seg_idx, cast(ta as bigint) as trim_leading_ms, cast(tb as bigint) as trim_trailing_ms from fit_q", "fit_q")(lambda fx, spark: synth(fx).filter("timing_window_ms is not null").select("media_id", "seg_idx", M.edge_trim_plan(c("corrected_ms"), c("seg_idx") * 13 % 400, c("seg_idx") * 29 % 500).alias("x")).select("media_id", "seg_idx", "x.*"))
+query("timing_fit", """select media_id, seg_idx, round(timing / timing_window_ms, 4) as required_speedup, timing > timing_window_ms and timing / timing_window_ms > 1.35 + 1e-6 as capped,
+  cast(case when timing > timing_window_ms then greatest(1, floor((timing + 120) / least(timing / timing_window_ms, 1.35))) else timing end as bigint) as final_timing_ms from fit_q""", "fit_q")(
+    lambda fx, spark: synth(fx).filter("timing_window_ms is not null").select("media_id", "seg_idx", M.timing_fit(c("corrected_ms"), c("seg_idx") * 13 % 400, c("seg_idx") * 29 % 500, c("timing_window_ms")).alias("x")).select("media_id", "seg_idx", "x.required_speedup", "x.capped", "x.final_timing_ms")
+)
+_synth_scalar("safe_tail_trim", """cast(case when timing_window_ms <= 2200 and corrected_ms - timing_window_ms >= 280 and floor(corrected_ms * 0.22) > 0
+   and corrected_ms - least(corrected_ms - timing_window_ms, 500, floor(corrected_ms * 0.22)) >= greatest(floor(timing_window_ms * 0.75), 450) and seg_idx % 600 - greatest(60, least(140, timing_window_ms // 10)) > 0
+   then least(corrected_ms - timing_window_ms, 500, floor(corrected_ms * 0.22), seg_idx % 600 - greatest(60, least(140, timing_window_ms // 10))) else 0 end as bigint) as trim_ms""", lambda: [M.safe_tail_trim(c("timing_window_ms"), c("corrected_ms"), c("seg_idx") % 600).alias("trim_ms")])
+_synth_scalar("fade_lengths", "least(50, seg_idx * 13 % 400) as fade_in_ms, least(50, seg_idx * 29 % 500) as fade_out_ms", lambda: [M.fade_length(c("seg_idx") * 13 % 400).alias("fade_in_ms"), M.fade_length(c("seg_idx") * 29 % 500).alias("fade_out_ms")])
+_TGT = "greatest(timing_window_ms, cast(round_even(timing_window_ms * 1.25, 0) as bigint))"
+_SHORT = f"corrected_ms > {_TGT} and (corrected_ms - {_TGT} >= 180 or corrected_ms / {_TGT} >= 1.08)"
+_LONG = "corrected_ms <= floor((timing_window_ms + 300) * 0.82) and timing_window_ms + 300 - corrected_ms >= 180"
+_synth_scalar("rewrite_mode", f"case when {_SHORT} then 'shorter' when {_LONG} then 'longer' end as mode, cast(case when {_SHORT} then {_TGT} when {_LONG} then timing_window_ms + 300 end as bigint) as target_ms", lambda: [(x := M.rewrite_mode(c("corrected_ms"), c("timing_window_ms"), c("timing_window_ms") + 300))["mode"].alias("mode"), x["target_ms"].alias("target_ms")])
+_synth_scalar("rewrite_improves", "case when has_smart_sync then corrected_ms - 150 <= timing_window_ms else corrected_ms - 150 >= timing_window_ms end or case when has_smart_sync then greatest(0, corrected_ms - timing_window_ms) - greatest(0, corrected_ms - 150 - timing_window_ms) else abs(corrected_ms - timing_window_ms) - abs(corrected_ms - 150 - timing_window_ms) end >= 180 as improves", lambda: [M.rewrite_improves(c("corrected_ms"), c("corrected_ms") - 150, c("timing_window_ms"), F.when(c("has_smart_sync"), "shorter").otherwise("longer")).alias("improves")])
+
+
+@query("rewrite_budget", """select media_id, cast(seg_idx as bigint) as seg_idx, cast(greatest(18, floor(d * 28.0 + 0.5)) as integer) as max_chars_added, cast(greatest(2, floor(d * 4.0 + 0.999)) as integer) as max_words_added, d <= 0.28 as punctuation_only
+  from (select media_id, seg_idx, (seg_idx * 137 % 2000) / 1000.0 as d from segs_q) q""", "segs_q")
+def _(fx, spark):
+    b = M.rewrite_budget(c("words_with_silence"), F.lit(0), c("seg_idx") * 137 % 2000, F.lit("longer"))
+    return segs(fx).select("media_id", "seg_idx", b["max_chars_added"].alias("max_chars_added"), b["max_words_added"].alias("max_words_added"), b["punctuation_only"].alias("punctuation_only"))
+
+
+@query("crossfade_pairs", "select media_id, seg_idx, next_idx, overlap_ms from (select media_id, seg_idx, lead(seg_idx) over w as next_idx, end_ms + 100 - lead(start_ms) over w as overlap_ms from segs_q window w as (partition by media_id order by seg_idx)) q where overlap_ms > 0 and overlap_ms < 1000", "segs_q")
+def _(fx, spark):
+    return M.crossfade_pairs(segs(fx).withColumn("end_ms", c("end_ms") + 100), most=1000)
+
+
+@query("timing_windows", """with recursive s as (select media_id, n, seg_idx, start_ms, end_ms, end_ms - start_ms + (seg_idx * 97 % 900) as need, end_ms - start_ms + (seg_idx * 97 % 500) as actual, lead(start_ms) over (partition by media_id order by n) as nxt from numbered_q),
+  a as (select s.*, 0::bigint as prev_end, s.start_ms as b0 from s where n = 0), f(media_id, n, cur, avail, bb, ba, done, pushed) as (
+  select media_id, -1::bigint, 0::bigint, 0::bigint, 0::bigint, 0::bigint, 0::bigint, null::bigint from s where n = 0 union all
+  select media_id, n, cur, greatest(100, orig + bb, orig + bb + ba) , bb, ba, cur + actual, case when nxt is null then null else greatest(nxt, least(cur + actual, nxt + 250)) end from (
+   select *, case when bb > 0 or ba > 0 then greatest(prev_end + 200, beg - bb) else b0 end as cur from (
+    select *, cast(case when not ok then 0 when tgt / 2.0 <= bef and tgt / 2.0 <= aft then round_even(tgt / 2.0, 0) when bef < tgt / 2.0 then bef else least(tgt - aft, bef) end as bigint) as bb,
+              cast(case when not ok then 0 when tgt / 2.0 <= bef and tgt / 2.0 <= aft then round_even(tgt / 2.0, 0) when bef < tgt / 2.0 then least(tgt - bef, aft) else aft end as bigint) as ba from (
+     select *, need2 > 0 and bef + aft >= greatest(120, floor(need2 * 0.5)) and bef + aft > 0 as ok, least(need2, bef + aft) as tgt from (
+      select *, fin - beg as orig, least(greatest(0, beg - prev_end - 200), 500) as bef, coalesce(greatest(0, nxt - fin - 200) + 250, 0) as aft, greatest(0, need - (fin - beg)) as need2 from (
+       select s.media_id, s.n, s.nxt, s.need, s.actual, f.done as prev_end, coalesce(f.pushed, s.start_ms) as b0, least(coalesce(f.pushed, s.start_ms), s.end_ms) as beg, greatest(coalesce(f.pushed, s.start_ms), s.end_ms) as fin from f join s on s.media_id = f.media_id and s.n = f.n + 1) x1) x2) x3) x4) x5)
+  select f.media_id, s.seg_idx, cur as cur_start_ms, avail as available_ms, bb as before_ms, ba as after_ms from f join s on s.media_id = f.media_id and s.n = f.n where f.n >= 0""", "numbered_q")
+def _(fx, spark):
+    ms = c("end_ms") - c("start_ms")
+    s = segs(fx).select("media_id", "seg_idx", "start_ms", "end_ms", (ms + c("seg_idx") * 97 % 900).alias("needed_ms"), (ms + c("seg_idx") * 97 % 500).alias("actual_ms"))
+    return M.timing_windows(s).select("media_id", "seg_idx", "cur_start_ms", "available_ms", "before_ms", "after_ms")
+
+
+@query("best_retry_take", """select media_id, seg_idx, attempt, score from (select *, row_number() over (partition by media_id, seg_idx order by has_extra_tail, has_suffix desc, score desc, attempt) as n from (select *, min(case when score >= 0.995 and not has_extra_tail and has_suffix then attempt end) over (partition by media_id, seg_idx) as stop from takes_fx) q where stop is null or attempt <= stop) r where n = 1""", "takes_fx")
+def _(fx, spark):
+    return M.best_retry_take(fx("takes_fx")).select("media_id", "seg_idx", "attempt", "score")
+
+
+@query("retry_eligible", "select media_id, cast(seg_idx as bigint) as seg_idx, seg_idx % 3 = 0 and end_ms - start_ms <= 2500 and regexp_matches(regexp_replace(trim(text), '[\\s\"'')\\]}»”]+$', ''), '[.!?…]$') as eligible from segs_q", "segs_q")
+def _(fx, spark):
+    return segs(fx).select("media_id", "seg_idx", M.retry_eligible(c("end_ms") - c("start_ms"), 1 + c("seg_idx") % 3, c("text")).alias("eligible"))
+
+
+@query("retry_reason", "select media_id, seg_idx, attempt, concat_ws(',', case when score < 0.94 then 'low_score' end, case when has_extra_tail then 'extra_tail' end, case when not has_suffix then 'missing_suffix' end) as reasons from takes_fx", "takes_fx")
+def _(fx, spark):
+    return fx("takes_fx").select("media_id", "seg_idx", "attempt", F.array_join(M.retry_reason(c("score"), c("has_extra_tail"), c("has_suffix")), ",").alias("reasons"))
+
+
+@query("babble_trim_gate", """select media_id, seg_idx, coalesce(accepted, false) as accepted from (select a.media_id, a.seg_idx, (a.seg_idx % 3 > 0 or a.has_extra_tail or not a.has_suffix) and a.seg_idx % 3 > 0 and not b.has_extra_tail and b.has_suffix
+   and case when a.has_extra_tail then b.score >= a.score + 0.08 * 0.5 and b.score + 0.02 >= a.score else b.score >= a.score + 0.08 and b.score >= a.score end as accepted from takes_fx a join takes_fx b on a.media_id = b.media_id and a.seg_idx = b.seg_idx and a.attempt = 1 and b.attempt = 2) q""", "takes_fx")
+def _(fx, spark):
+    t = fx("takes_fx")
+    side = lambda n, k: t.filter(f"attempt = {n}").select("media_id", "seg_idx", c("score").alias(f"score_{k}"), c("score").alias(f"similarity_{k}"), c("has_extra_tail").alias(f"extra_{k}"), c("has_suffix").alias(f"suffix_{k}"))
+    return M.babble_trim_gate(side(1, "before").join(side(2, "after"), ["media_id", "seg_idx"]).withColumn("trim_ms", c("seg_idx") % 3)).select("media_id", "seg_idx", "accepted")
+
+
+VIEWS |= {"cand_q": ("", "select media_id, seg_idx, original_text, i as cand_idx, left(text, cast(length(text) * (4 - i) // 4 as bigint)) as candidate, end_ms - start_ms as current_ms, 4000 as target_ms from ascii_q, unnest(range(0, 3)) t(i)", ("ascii_q",))}
+
+
+def candidates(fx) -> DataFrame:
+    p = pairs(fx).withColumn("cand_idx", F.explode(F.sequence(F.lit(0), F.lit(2)).cast("array<bigint>")))
+    cut = F.floor(F.length("text") * (4 - c("cand_idx")) / 4).cast("int")
+    return p.select("media_id", "seg_idx", "original_text", "cand_idx", F.substr(c("text"), F.lit(1), cut).alias("candidate"), (c("end_ms") - c("start_ms")).alias("current_ms"), F.lit(4000).alias("target_ms"), F.lit("shorter").alias("mode"))
+
+
+@query("candidate_rank", """with m as (select *, regexp_extract_all(lower(original_text), '\\w+') as a, regexp_extract_all(lower(candidate), '\\w+') as b, length(candidate) / greatest(1, length(original_text)) as cr, greatest(0.52, least(0.98, target_ms / greatest(1, current_ms))) as tr from cand_q where lower(trim(regexp_replace(candidate, '\\s+', ' ', 'g'))) <> lower(trim(regexp_replace(original_text, '\\s+', ' ', 'g')))),
+  p as (select *, len(list_intersect(list_distinct(a), list_distinct(b))) / greatest(1, len(list_distinct(b))) as tp, len(b) / greatest(1, len(a)) as wr from m),
+  s as (select *, round(abs(cr - tr) + greatest(0.0, 0.62 - cr) * 2.5 + greatest(0.0, cr - 1.0) * 2.0 + greatest(0.0, 0.72 - tp) * 1.6 + greatest(0.0, 0.66 - wr) * 1.6, 4) as score from p)
+  select media_id, seg_idx, cand_idx, score, cast(row_number() over (partition by media_id, seg_idx order by score, cand_idx) as integer) as rank from s""", "cand_q")
+def _(fx, spark):
+    return M.candidate_rank(candidates(fx)).select("media_id", "seg_idx", "cand_idx", "score", "rank")
+
+
+@query("rewrite_gate")
+def _(fx, spark):
+    r = candidates(fx).select("media_id", "seg_idx", "cand_idx", c("original_text").alias("source"), c("candidate").alias("rewritten"), "mode", c("current_ms").alias("baseline_ms"), F.floor(c("current_ms") * 0.8).alias("rewritten_ms"), "target_ms", F.lit(0.95).alias("baseline_score"), (0.85 + c("seg_idx") % 3 * 0.05).alias("rewritten_score"), (c("seg_idx") % 7 == 0).alias("has_extra_tail"), (c("seg_idx") % 5 > 0).alias("has_suffix"))
+    return M.rewrite_gate(r).select("media_id", "seg_idx", "cand_idx", "accepted", "reject_reason", F.round("text_similarity", 4).alias("text_similarity"))
+
+
+@query("synth_summary", """select media_id, count(*) as translated_count, count(*) filter (tts_group_size > 1) as grouped_segment_count, cast(coalesce(sum(tts_group_size) filter (tts_group_size > 1), 0) as bigint) as grouped_source_segment_count, round(avg(corrected_ms / timing_window_ms), 6) as timing_ratio_avg, round(max(corrected_ms / timing_window_ms), 6) as timing_ratio_max,
+  count(*) filter (corrected_ms / timing_window_ms > 1.02) as over_window_count, count(*) filter (cheap_tail_guard_trim_ms > 0) as cheap_tail_trim_count, cast(0 as bigint) as babble_guard_trim_count, count(*) filter (has_smart_sync) as smart_sync_count, cast(0 as bigint) as tts_retry_count from synth_fx group by media_id""", "synth_fx")
+def _(fx, spark):
+    return Q.synth_summary(synth(fx))
+
+
+# Translation quality.
+
+_TERMS = ("the", "der")
+_QA = """select *, length(text) / greatest(1, length(original_text)) as cr, length(text) / greatest(24, round_even((end_ms - start_ms) / 1000.0 * 14.0, 0) + 18) as tr, cast(greatest(24, round_even((end_ms - start_ms) / 1000.0 * 14.0, 0) + 18) as integer) as soft,
+  list_sort(list_filter(list_distinct(list_transform(regexp_extract_all(original_text, '\\b\\d+(?:[.,]\\d+)?%?\\b'), lambda x: replace(x, ',', '.'))), lambda x: not list_contains(list_transform(regexp_extract_all(text, '\\b\\d+(?:[.,]\\d+)?%?\\b'), lambda y: replace(y, ',', '.')), x))) as missing,
+  list_filter(regexp_extract_all(text, '\\b[A-Za-z][A-Za-z0-9_.+-]*\\b'), lambda t: not (lower(t) in ('the', 'der') or (regexp_matches(t, '[A-Z]') and upper(t) = t and length(t) <= 8) or regexp_matches(t, '\\d'))) as latin
+  from (select media_id, seg_idx, start_ms, end_ms, trim(regexp_replace(text, '\\s+', ' ', 'g')) as text, trim(regexp_replace(original_text, '\\s+', ' ', 'g')) as original_text from ascii_q) q"""
+VIEWS |= {"qa_q": ("", f"select *, list_filter([case when text = '' then 'empty_translation' end, case when length(original_text) >= 12 and cr > 1.65 then 'high_char_ratio' end, case when tr > 1.25 then 'over_timing_soft_limit' end, case when len(missing) > 0 then 'missing_number' end, case when len(latin) > 0 then 'latin_word_in_translation' end], lambda x: x is not null) as issues from ({_QA}) z", ("ascii_q",))}
+
+
+def terms() -> Column:
+    return F.array(*map(F.lit, _TERMS))
+
+
+@query("translation_qa_issues", "select media_id, seg_idx, array_to_string(issues, ',') as issues, round(cr, 3) as char_ratio, round(tr, 3) as target_ratio, soft as soft_target, array_to_string(missing, ',') as missing_numbers, array_to_string(latin, ',') as latin_words from qa_q where len(issues) > 0", "qa_q")
+def _(fx, spark):
+    flat = lambda n: F.array_join(n, ",").alias(n)
+    return Q.translation_qa_issues(pairs(fx), terms()).select("media_id", "seg_idx", flat("issues"), "char_ratio", "target_ratio", "soft_target", flat("missing_numbers"), flat("latin_words"))
+
+
+@query("translation_qa_summary", """select media_id, count(*) as translated_count, count(*) filter (len(issues) > 0) as issue_count, count(*) filter (list_contains(issues, 'empty_translation')) as empty_count, count(*) filter (list_contains(issues, 'high_char_ratio')) as high_char_ratio_count, count(*) filter (list_contains(issues, 'over_timing_soft_limit')) as over_timing_soft_limit_count,
+  count(*) filter (list_contains(issues, 'missing_number')) as missing_number_count, count(*) filter (list_contains(issues, 'latin_word_in_translation')) as latin_word_count, round(avg(cr), 4) as mean_char_ratio, round(avg(tr), 4) as mean_target_ratio from qa_q group by media_id""", "qa_q")
+def _(fx, spark):
+    return Q.translation_qa_summary(pairs(fx), terms())
+
+
+@query("latin_leaks", "select media_id, seg_idx, array_to_string(latin, ',') as words from qa_q", "qa_q")
+def _(fx, spark):
+    return pairs(fx).select("media_id", "seg_idx", F.array_join(Q.latin_leaks(T.normalize_spaces(c("text")), terms()), ",").alias("words"))
+
+
+@query("positional_pairs", """with own as (select media_id, row_number() over (partition by media_id order by seg_idx) - 1 as n, trim(original_text) as source, trim(text) as target from pairs_fx where media_id % 2 = 0 and trim(original_text) <> '' and trim(text) <> ''),
+  a as (select media_id, row_number() over (partition by media_id order by seg_idx) - 1 as n, trim(original_text) as source from pairs_fx where trim(original_text) <> '' and seg_idx < 15), b as (select media_id, row_number() over (partition by media_id order by seg_idx) - 1 as n, trim(text) as target from pairs_fx where trim(text) <> '')
+  select media_id, n, source, target from own union all select a.media_id, a.n, source, target from a join b on a.media_id = b.media_id and a.n = b.n where a.media_id not in (select media_id from own)""", "pairs_fx")
+def _(fx, spark):
+    p = fx("pairs_fx")
+    t = p.withColumn("original_text", F.when(c("media_id") % 2 == 0, c("original_text")).otherwise(""))
+    return Q.positional_pairs(p.filter("seg_idx < 15").select("media_id", "seg_idx", c("original_text").alias("text")), t).select("media_id", c("n").cast("long").alias("n"), "source", "target")
+
+
+VIEWS |= {"con_q": ("", "select media_id, seg_idx, cast(least(170, greatest(8, floor((end_ms - start_ms) / 1000.0 * 16.0))) as integer) as max_chars, cast(length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as integer) as actual_chars from ascii_q", ("ascii_q",))}
+
+
+@query("constraint_check", "select *, round(actual_chars / max_chars, 3) as ratio, actual_chars <= max_chars as within_limit, actual_chars <= floor(max_chars * 1.05) as within_tolerance from con_q", "con_q")
+def _(fx, spark):
+    return Q.constraint_check(pairs(fx)).select("media_id", "seg_idx", "max_chars", "actual_chars", "ratio", "within_limit", "within_tolerance")
+
+
+@query("constraint_summary", "select media_id, count(*) as segment_count, count(*) filter (actual_chars > max_chars) as over_limit_count, count(*) filter (actual_chars > floor(max_chars * 1.05)) as over_tolerance_count, round(avg(round(actual_chars / max_chars, 3)), 4) as avg_ratio, max(round(actual_chars / max_chars, 3)) as max_ratio from con_q group by media_id", "con_q")
+def _(fx, spark):
+    return Q.constraint_summary(Q.constraint_check(pairs(fx)))
+
+
+# Clips and fine-tuning.
+
+
+def measured(fx) -> DataFrame:
+    """Segments with levels derived from their place, null for some."""
+    i = c("seg_idx") * 7 + c("media_id")
+    total = F.max("end_ms").over(__import__("pyspark").sql.Window.partitionBy("media_id"))
+    return segs(fx).withColumn("total_ms", total).withColumn("active_ratio", F.round(0.4 + i % 50 / 100.0, 4)).withColumn("active_dbfs", F.when(i % 11 > 0, -30.0 + i % 17)).withColumn("peak_dbfs", F.when(i % 13 > 0, -9.0 + i % 9)).withColumn("full_dbfs", F.when(i % 29 > 0, -35.0))
+
+
+VIEWS |= {
+    "meas_q": ("", "select *, max(end_ms) over (partition by media_id) as total_ms, round(0.4 + (seg_idx * 7 + media_id) % 50 / 100.0, 4) as active_ratio, case when (seg_idx * 7 + media_id) % 11 > 0 then -30.0 + (seg_idx * 7 + media_id) % 17 end as active_dbfs, case when (seg_idx * 7 + media_id) % 13 > 0 then -9.0 + (seg_idx * 7 + media_id) % 9 end as peak_dbfs from segs_q", ("segs_q",)),
+    "clip_q": ("", "select *, end_ms - start_ms as duration_ms, trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{M}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) as sig from meas_q where (seg_idx * 7 + media_id) % 29 > 0 and end_ms - start_ms between 2000 and 10000 and length(trim(text)) >= 20", ("meas_q",)),
+    "scored_q": ("", """select *, round(2.0 - abs(duration_ms - 6000.0) / 6000.0 + least(len(string_split(text, ' ')), 18) * 0.06 + 1.2 - abs(active_ratio - 0.72) * 2.0 + coalesce(1.0 - least(abs(active_dbfs - med), 12.0) / 6.0, 0.0) + case when peak_dbfs is null then 0.0 when peak_dbfs > -2.0 then -1.0 when peak_dbfs > -6.0 then 0.15 else 0.35 end
+       + case when ends_with(text, '?') then 0.2 else 0.0 end + case when contains(text, ',') then 0.1 else 0.0 end, 4) as score from (select *, median(active_dbfs) over (partition by media_id, speaker_id) as med from clip_q) q""", ("clip_q",)),
+}
+
+
+def scored_clips(fx) -> DataFrame:
+    return C.clip_score(C.clip_candidates(measured(fx)))
+
+
+@query("clip_candidates", "select media_id, cast(seg_idx as bigint) as source_index, duration_ms, cast(greatest(0, start_ms - 120) as bigint) as clip_start_ms, cast(least(total_ms, end_ms + 120) as bigint) as clip_end_ms, case when duration_ms < 4000 then 'short' when duration_ms < 7000 then 'medium' else 'long' end as duration_bucket, ends_with(text, '?') as question from clip_q", "clip_q")
+def _(fx, spark):
+    return C.clip_candidates(measured(fx)).select("media_id", "source_index", "duration_ms", "clip_start_ms", "clip_end_ms", "duration_bucket", "question")
+
+
+@query("clip_score", "select media_id, cast(seg_idx as bigint) as source_index, round(score, 3) as score from scored_q", "scored_q")
+def _(fx, spark):
+    return scored_clips(fx).select("media_id", "source_index", F.round("score", 3).alias("score"))
+
+
+@query("median_active_level", "select media_id, speaker_id, median(active_dbfs) as median_dbfs from clip_q group by all", "clip_q")
+def _(fx, spark):
+    return C.median_active_level(C.clip_candidates(measured(fx)))
+
+
+@query("dedupe_signature", "select media_id, count(distinct sig) as n from clip_q group by media_id", "clip_q")
+def _(fx, spark):
+    return C.dedupe_signature(scored_clips(fx)).groupBy("media_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("duration_bucket", "select media_id, cast(seg_idx as bigint) as seg_idx, case when end_ms - start_ms < 4000 then 'short' when end_ms - start_ms < 7000 then 'medium' else 'long' end as bucket from segs_q", "segs_q")
+def _(fx, spark):
+    return segs(fx).select("media_id", "seg_idx", C.duration_bucket(c("end_ms") - c("start_ms")).alias("bucket"))
+
+
+@query("timeline_bucket", "select media_id, cast(seg_idx as bigint) as seg_idx, case when p < 0.33 then 'early' when p < 0.66 then 'middle' else 'late' end as bucket from (select *, (start_ms - min(start_ms) over w) / greatest(max(end_ms) over w - min(start_ms) over w, 1000) as p from segs_q window w as (partition by media_id)) q", "segs_q")
+def _(fx, spark):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("media_id")
+    return segs(fx).select("media_id", "seg_idx", C.timeline_bucket(c("start_ms"), F.min("start_ms").over(w), F.max("end_ms").over(w)).alias("bucket"))
+
+
+def chosen(fx) -> DataFrame:
+    return C.select_clips(C.dedupe_signature(scored_clips(fx)))
+
+
+@query("select_reference_clips")
+def _(fx, spark):
+    return chosen(fx).filter("pool = 'stable'")
+
+
+@query("select_routing_clips")
+def _(fx, spark):
+    return chosen(fx).filter("pool = 'routing'")
+
+
+@query("longest_clip_fallback", "select media_id, seg_idx, start_ms, end_ms from (select *, row_number() over (partition by media_id order by end_ms - start_ms desc, seg_idx) as n from segs_q where end_ms - start_ms <= 15000) q where n = 1", "segs_q")
+def _(fx, spark):
+    return C.longest_clip_fallback(segs(fx))
+
+
+def clip_table(fx) -> DataFrame:
+    """Every fifth segment as a clip; the routing pool has all, the stable pool some."""
+    s = segs(fx).filter("seg_idx % 5 = 0 and seg_idx < 50").select("media_id", "speaker_id", "text", (c("end_ms") - c("start_ms")).alias("duration_ms"), F.concat(F.lit("clip_"), c("seg_idx").cast("string")).alias("path"), C.duration_bucket(c("end_ms") - c("start_ms")).alias("duration_bucket"), (c("seg_idx") % 4).cast("double").alias("selection_score"), "seg_idx")
+    return s.withColumn("pool", F.lit("routing")).unionByName(s.filter("seg_idx % 10 = 0").withColumn("pool", F.lit("stable"))).drop("seg_idx")
+
+
+_WC = "len(regexp_extract_all({}, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'))"
+VIEWS |= {
+    "clips_q": ("", "select media_id, speaker_id, text, end_ms - start_ms as duration_ms, 'clip_' || seg_idx::bigint::varchar as path, seg_idx % 4 as selection_score, pool from segs_q, (values ('routing'), ('stable')) p(pool) where seg_idx % 5 = 0 and seg_idx < 50 and (pool = 'routing' or seg_idx % 10 = 0)", ("segs_q",)),
+    "route_q": ("", f"""select media_id, seg_idx, pool, path, cb, greatest(-1.0, 1.8 - abs(cd - sd) / greatest(sd, 1200)) + case when sb = cb then 0.7 when sb = 'medium' or cb = 'medium' then 0.25 else -0.15 end + case when sq and cq then 0.45 when sq <> cq then -0.2 else 0.0 end
+       + case when sw > 0 and cw > 0 then greatest(-0.4, 0.8 - abs(cw - sw) / greatest(sw, 4)) else 0.0 end + case when contains(st, ',') and contains(ct, ',') then 0.15 else 0.0 end + case when contains(st, '!') and contains(ct, '!') then 0.15 else 0.0 end + least(selection_score, 6.0) * 0.08 as score from
+       (select s.media_id, s.seg_idx, c.pool, c.path, c.selection_score, s.text as st, c.text as ct, greatest(200, s.end_ms - s.start_ms) as sd, greatest(200, c.duration_ms) as cd, case when s.end_ms - s.start_ms < 4000 then 'short' when s.end_ms - s.start_ms < 7000 then 'medium' else 'long' end as sb, case when c.duration_ms < 4000 then 'short' when c.duration_ms < 7000 then 'medium' else 'long' end as cb,
+        ends_with(s.text, '?') as sq, ends_with(c.text, '?') as cq, {_WC.format('s.text')} as sw, {_WC.format('c.text')} as cw from segs_q s join clips_q c on c.media_id = s.media_id and c.speaker_id = s.speaker_id) q""", ("clips_q",)),
+}
+
+
+@query("segment_clip_score", "select media_id, cast(seg_idx as bigint) as seg_idx, pool, path, round(score, 6) as route_score from route_q", "route_q")
+def _(fx, spark):
+    return C.segment_clip_score(segs(fx), clip_table(fx)).select("media_id", "seg_idx", "pool", "path", F.round("route_score", 6).alias("route_score"))
+
+
+@query("route_references")
+def _(fx, spark):
+    return C.route_references(C.segment_clip_score(segs(fx), clip_table(fx))).select("media_id", "seg_idx", "pool", F.array_join("paths", ",").alias("paths"))
+
+
+@query("routing_eligible", f"select media_id, cast(seg_idx as bigint) as seg_idx, greatest(200, end_ms - start_ms) between 900 and 2200 and {_WC.format('text')} >= 3 as eligible from segs_q", "segs_q")
+def _(fx, spark):
+    return segs(fx).select("media_id", "seg_idx", C.routing_eligible(c("end_ms") - c("start_ms"), T.word_count(c("text"))).alias("eligible"))
+
+
+VIEWS |= {"ft_q": ("", """select *, case when end_ms - start_ms < 1500 then 'too_short' when end_ms - start_ms > 11000 then 'too_long' when length(t) < 10 then 'text_too_short' when length(t) > 220 then 'text_too_long' when len(string_split(t, ' ')) < 2 then 'not_enough_words' end as reason
+  from (select *, trim(regexp_replace(replace(text, '|', ' '), '\\s+', ' ', 'g')) as t from segs_q) q""", ("segs_q",)),
+  "fts_q": ("", "select *, case when row_number() over (partition by media_id order by md5('42|' || media_id::varchar || '|' || seg_idx::bigint::varchar), seg_idx) <= least(greatest(1, round_even(k * 0.1, 0)), 20, k - 1) then 'eval' else 'train' end as split from (select *, count(*) over (partition by media_id) as k from ft_q where reason is null) q where k >= 2", ("ft_q",))}
+
+
+def checked(fx) -> DataFrame:
+    return Q.finetune_reject_reason(segs(fx))
+
+
+def kept(fx) -> DataFrame:
+    return checked(fx).filter("reason is null")
+
+
+@query("finetune_reject_reason", "select media_id, cast(seg_idx as bigint) as seg_idx, reason from ft_q", "ft_q")
+def _(fx, spark):
+    return checked(fx).select("media_id", "seg_idx", "reason")
+
+
+@query("finetune_split", "select media_id, cast(seg_idx as bigint) as seg_idx, split from fts_q", "fts_q")
+def _(fx, spark):
+    return Q.finetune_split(kept(fx)).select("media_id", "seg_idx", "split")
+
+
+@query("longest_references", "select media_id, cast(seg_idx as bigint) as seg_idx, n as ref_rank from (select *, cast(row_number() over (partition by media_id order by end_ms - start_ms desc, seg_idx) as integer) as n from ft_q where reason is null) q where n <= 5", "ft_q")
+def _(fx, spark):
+    return Q.longest_references(kept(fx)).select("media_id", "seg_idx", "ref_rank")
+
+
+@query("finetune_summary", """select a.*, coalesce(train, 0) as train_clips, coalesce(evals, 0) as eval_clips, coalesce(skipped, '') as skipped from (select media_id, count(*) as total_segments, count(*) filter (reason is null) as kept_clips, floor((sum(end_ms - start_ms) filter (reason is null) + 5) / 10) / 100.0 as total_duration_sec, floor((sum(end_ms - start_ms) filter (reason is null) + 5 * count(*) filter (reason is null)) / (10 * count(*) filter (reason is null))) / 100.0 as avg_clip_duration_sec from ft_q group by media_id) a
+  left join (select media_id, count(*) filter (split = 'train') as train, count(*) filter (split = 'eval') as evals from fts_q group by media_id) s on s.media_id = a.media_id left join (select media_id, string_agg(reason || '=' || n::varchar, ',' order by reason) as skipped from (select media_id, reason, count(*) as n from ft_q where reason is not null group by all) x group by media_id) r on r.media_id = a.media_id""", "fts_q")
+def _(fx, spark):
+    return Q.finetune_summary(checked(fx), Q.finetune_split(kept(fx)))
+
+
+@query("sink_pipe_manifest", "select split, 'clips/' || media_id::varchar || '_' || seg_idx::bigint::varchar || '.wav|' || t || '|narrator' as value from fts_q", "fts_q")
+def _(fx, spark):
+    s = Q.finetune_split(kept(fx))
+    return s.select("split", F.concat_ws("|", F.concat(F.lit("clips/"), c("media_id").cast("string"), F.lit("_"), c("seg_idx").cast("string"), F.lit(".wav")), T.dataset_text(c("text")), F.lit("narrator")).alias("value"))
+
+
+# Jobs.
+
+
+@query("latest_jobs", "select * from jobs_fx order by created_at desc, job_id limit 50", "jobs_fx")
+def _(fx, spark):
+    return J.latest_jobs(fx("jobs_fx"))
+
+
+@query("job_merge", "select l_orderkey as job_id, arg_max(l_linestatus, l_linenumber * 10000000 + l_partkey) as mode, arg_max(l_returnflag, l_linenumber * 10000000 + l_partkey) filter (l_returnflag <> 'N') as flag from lineitem group by l_orderkey")
+def _(fx, spark):
+    u = fx("lineitem").select(c("l_orderkey").alias("job_id"), (c("l_linenumber") * 10000000 + c("l_partkey")).alias("n"), c("l_linestatus").alias("mode"), F.nullif("l_returnflag", F.lit("N")).alias("flag"))
+    return J.job_merge(u, "n", ["mode", "flag"])
+
+
+def _artifact_rows(fx, spark) -> tuple[DataFrame, DataFrame]:
+    jobs = fx("jobs_fx").select("job_id")
+    k = J.contract(spark).select("artifact").distinct()
+    n = F.length("artifact") * 7 + c("job_id")
+    return jobs, jobs.crossJoin(F.broadcast(k)).select("job_id", "artifact", (n % 11).cast("long").alias("size"), (n % 7).cast("long").alias("items"))
+
+
+_CONTRACT = "(values " + ", ".join(f"('{s}', {i}, '{a}', '{k}')" for i, (s, specs) in enumerate(J.STEP_ARTIFACTS.items(), 1) for a, k in specs) + ") k(step, step_no, artifact, kind)"
+VIEWS |= {"miss_q": ("", f"select job_id, step, step_no, coalesce(string_agg(artifact, ',' order by artifact) filter (not case when kind = 'file' then (length(artifact) * 7 + job_id) % 11 >= 1 else (length(artifact) * 7 + job_id) % 7 >= 1 end), '') as missing from jobs_fx, {_CONTRACT} group by job_id, step, step_no", ("jobs_fx",))}
+
+
+@query("missing_artifacts", "select job_id, step, missing from miss_q", "miss_q")
+def _(fx, spark):
+    jobs, have = _artifact_rows(fx, spark)
+    return J.missing_artifacts(have, jobs, J.contract(spark)).select("job_id", "step", F.array_join("missing", ",").alias("missing"))
+
+
+@query("resume_plan", """select job_id, step, cast(step_no as bigint) as step_no, own or up as run, case when forced then 'forced' when up then 'upstream' when missing <> '' then 'incomplete' else 'complete' end as reason from
+  (select *, coalesce(bool_or(own) over (partition by job_id order by step_no rows between unbounded preceding and 1 preceding), false) as up from (select *, job_id % 5 = 0 and step = 'tts' as forced, missing <> '' or (job_id % 5 = 0 and step = 'tts') as own from miss_q) q) r""", "miss_q")
+def _(fx, spark):
+    jobs, have = _artifact_rows(fx, spark)
+    forced = jobs.filter("job_id % 5 = 0").select("job_id", F.lit("tts").alias("step"))
+    return J.resume_plan(J.missing_artifacts(have, jobs, J.contract(spark)), forced, list(J.STEP_ARTIFACTS))
+
+
+_PATHS = ("final_mix.wav", "subtitles/a.srt", "notes.txt", "subtitles/x/b.srt", "segments.json")
+
+
+@query("artifact_first_match", "select job_id, path, case path when 'final_mix.wav' then 1 when 'subtitles/a.srt' then 10 else 5 end as pattern_no from jobs_fx, (values ('final_mix.wav'), ('subtitles/a.srt'), ('segments.json')) p(path)", "jobs_fx")
+def _(fx, spark):
+    return J.artifact_first_match(fx("jobs_fx").select("job_id", F.explode(F.array(*map(F.lit, _PATHS))).alias("path")))
+
+
+def _configs(fx) -> DataFrame:
+    o = fx("orders")
+    body = F.to_json(F.struct(F.struct(c("o_orderpriority").alias("name"), (c("o_orderkey") % 10).alias("beam")).alias("tts"), F.struct(F.when(c("o_orderkey") % 3 == 0, c("o_orderstatus")).alias("mode")).alias("mt")))
+    return o.select(F.concat(F.lit("job_"), c("o_orderkey").cast("string")).alias("job_name"), body.alias("config"))
+
+
+_FIELDS = {"tts_name": "tts.name", "tts_beam": "tts.beam", "mt_mode": "mt.mode", "absent": "mt.none"}
+
+
+@query("config_flatten", "select 'job_' || o_orderkey::varchar as job_name, o_orderpriority as tts_name, (o_orderkey % 10)::varchar as tts_beam, case when o_orderkey % 3 = 0 then o_orderstatus end as mt_mode, cast(null as varchar) as absent from orders")
+def _(fx, spark):
+    return J.config_flatten(_configs(fx), "config", _FIELDS)
+
+
+_METRICS = lambda k: {"speaker_verification": (k * 17 % 100) / 100.0, "wer": (k * 13 % 60) / 100.0, "cer": (k * 7 % 40) / 100.0, "labse_mean": (50 + k * 11 % 50) / 100.0}
+_MSQL = {"speaker_verification": "(k * 17 % 100) / 100.0", "wer": "(k * 13 % 60) / 100.0", "cer": "(k * 7 % 40) / 100.0", "labse_mean": "(50 + k * 11 % 50) / 100.0"}
+VIEWS |= {"run_q": ("", "select k, " + ", ".join(f"{v} as {n}" for n, v in _MSQL.items()) + " from (select o_orderkey as k from orders) o", ())}
+
+
+def _runs(fx) -> DataFrame:
+    return fx("orders").select(c("o_orderkey").alias("k"), *(v.alias(n) for n, v in _METRICS(c("o_orderkey")).items()))
+
+
+@query("metric_grade", "select k, case when speaker_verification >= 0.75 then 'good' when speaker_verification >= 0.6 then 'fair' else 'poor' end as speaker, case when wer <= 0.2 then 'good' when wer <= 0.4 then 'fair' else 'poor' end as wer from run_q", "run_q")
+def _(fx, spark):
+    return _runs(fx).select("k", Q.metric_grade("speaker_verification", c("speaker_verification")).alias("speaker"), Q.metric_grade("wer", c("wer")).alias("wer"))
+
+
+@query("run_verdict", "select k, case when speaker_verification < 0.6 or wer > 0.4 or cer > 0.3 or labse_mean < 0.65 then 'BAD' when speaker_verification < 0.75 or wer > 0.2 or cer > 0.15 or labse_mean < 0.8 then 'WARNING' else 'OK' end as verdict from run_q", "run_q")
+def _(fx, spark):
+    return _runs(fx).select("k", Q.run_verdict({n: c(n) for n in Q.GRADES}).alias("verdict"))
+
+
+@query("profile_results", "select 'job_' || r.k::varchar as job_name, r.wer, o.o_orderpriority as tts_name, n as translated_count from run_q r join orders o on o.o_orderkey = r.k left join (select user_id, count(*) as n from events group by user_id) e on e.user_id = r.k", "run_q")
+def _(fx, spark):
+    name = lambda k: F.concat(F.lit("job_"), c(k).cast("string")).alias("job_name")
+    m = _runs(fx).select(name("k"), "wer")
+    summary = Q.synth_summary(synth(fx)).select(name("media_id"), "translated_count")
+    return J.profile_results(m, J.config_flatten(_configs(fx), "config", {"tts_name": "tts.name"}), summary)
+
+
+@query("run_report_text")
+def _(fx, spark):
+    r = _runs(fx).withColumn("verdict", Q.run_verdict({n: c(n) for n in Q.GRADES}))
+    return Q.run_report_text(r.select(F.concat(F.lit("job_"), c("k").cast("string")).alias("job_name"), "verdict", *Q.GRADES, c("k").alias("translated_count"), (c("k") % 5).alias("over_window_count"), (c("k") % 1000 / 3.0).alias("duration_sec")))
+
+
+@query("sink_benchmark")
+def _(fx, spark):
+    from .sources.transcripts import benchmark_rows
+
+    m = _runs(fx).withColumn("verdict", Q.run_verdict({n: c(n) for n in Q.GRADES})).withColumn("job_name", F.concat(F.lit("job_"), c("k").cast("string")))
+    return benchmark_rows(m)
+
+
+def _answers(fx) -> tuple[DataFrame, DataFrame]:
+    """Batches of eight sentences with stored answers, some of them faulty."""
+    d = fx("documents").select(F.floor(c("doc_id") / 8).cast("long").alias("batch_id"), (c("doc_id") % 8).alias("item_id"))
+    d = d.withColumn("_id", F.when((c("batch_id") % 7 == 3) & (c("item_id") == 1), 5).otherwise(c("item_id"))).withColumn("_t", F.when((c("batch_id") % 11 == 4) & (c("item_id") == 2), "  ").otherwise(F.concat(F.lit("t"), c("item_id").cast("string"))))
+    a = d.filter("not (batch_id % 5 = 2 and item_id = 7)").groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("item_id", "_id", "_t"))).alias("x"))
+    body = F.to_json(F.transform("x", lambda x: F.struct(x["_id"].alias("id"), x["_t"].alias("translation"))))
+    return a.select("batch_id", F.concat(F.lit("<think>[]</think>\n```json\n"), body, F.lit("\n```")).alias("answer")), d.select("batch_id", "item_id")
+
+
+@query("answer_reconcile", "select doc_id // 8 as batch_id, case when doc_id // 8 % 5 = 2 and count(*) = 8 then 'item_count' when doc_id // 8 % 7 = 3 then 'item_order' when doc_id // 8 % 11 = 4 then 'empty_text' else 'ok' end as reason, case when not ((doc_id // 8 % 5 = 2 and count(*) = 8) or doc_id // 8 % 7 = 3 or doc_id // 8 % 11 = 4) then count(*) else 0 end as items from documents group by doc_id // 8")
+def _(fx, spark):
+    good, bad = J.answer_reconcile(*_answers(fx))
+    return good.groupBy("batch_id").agg(F.lit("ok").alias("reason"), F.count(F.lit(1)).alias("items")).unionByName(bad.select("batch_id", "reason", F.lit(0).cast("long").alias("items")))
+
+
+@query("batched_model_map")
+def _(fx, spark):
+    from .operators.models import batched_model_map
+
+    return batched_model_map(fx("pairs_fx").select("media_id", "seg_idx", "text"), "text", _shout_many, _shout_one)
+
+
+def _shout_many(texts: list[str]) -> list[str]:
+    if any("1" in t for t in texts) and len(texts) > 1:
+        raise ValueError("a batch with figures")
+    return [t.upper() for t in texts]
+
+
+def _shout_one(text: str) -> str:
+    return text.upper()
