@@ -753,9 +753,9 @@ def _(fx, spark):
     return J.latest_jobs(fx("jobs_fx"))
 
 
-@query("job_merge", "select l_orderkey as job_id, arg_max(l_linestatus, l_linenumber * 10000000 + l_partkey) as mode, arg_max(l_returnflag, l_linenumber * 10000000 + l_partkey) filter (l_returnflag <> 'N') as flag from lineitem group by l_orderkey")
+@query("job_merge", "select l_orderkey as job_id, arg_max(l_linestatus, l_linenumber * 1000000000 + l_partkey * 10000 + l_suppkey) as mode, arg_max(l_returnflag, l_linenumber * 1000000000 + l_partkey * 10000 + l_suppkey) filter (l_returnflag <> 'N') as flag from lineitem group by l_orderkey")
 def _(fx, spark):
-    u = fx("lineitem").select(c("l_orderkey").alias("job_id"), (c("l_linenumber") * 10000000 + c("l_partkey")).alias("n"), c("l_linestatus").alias("mode"), F.nullif("l_returnflag", F.lit("N")).alias("flag"))
+    u = fx("lineitem").select(c("l_orderkey").alias("job_id"), (c("l_linenumber") * 1000000000 + c("l_partkey") * 10000 + c("l_suppkey")).alias("n"), c("l_linestatus").alias("mode"), F.nullif("l_returnflag", F.lit("N")).alias("flag"))
     return J.job_merge(u, "n", ["mode", "flag"])
 
 
