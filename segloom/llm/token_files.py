@@ -41,18 +41,24 @@ class PieceEncoder(dict):
 
         super().__init__()
         self.tokenizer, self.limit = Tokenizer.from_file(tokenizer_path), limit
+        #: Texts that spell a special token are left to the tokenizer as a whole: it cuts them at that token first.
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        pieces = [PIECES.findall(t) for t in texts]
+        whole = {i for i, t in enumerate(texts) if any(x in t for x in self.special)}
+        pieces = [() if i in whole else PIECES.findall(t) for i, t in enumerate(texts)]
         new = [p for p in set(chain.from_iterable(pieces)) if p not in self]
         if len(self) + len(new) > self.limit:
             self.clear()
             new = list(set(chain.from_iterable(pieces)))
         encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
         self.update(zip(new, (np.array(e.ids, self.dtype).tobytes() for e in encoded)))
-        return [b"".join(map(self.__getitem__, p)) for p in pieces]
+        return [self.one(texts[i]) if i in whole else b"".join(map(self.__getitem__, p)) for i, p in enumerate(pieces)]
+
+    def one(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
 
 _encoders: dict[str, PieceEncoder] = {}

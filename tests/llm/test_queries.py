@@ -1,0 +1,49 @@
+"""The registered queries against their SQL, and the pipeline's stages against plain versions."""
+
+import duckdb
+import pytest
+
+from segloom.fixtures import TABLES
+from segloom.llm import queries as Q
+
+
+@pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
+def test_against_sql(spark, sf, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    want, got = con.sql(Q.ORACLE_SQL[name]).df(), Q.QUERIES[name](spark, sf).toPandas()
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    assert sorted(map(str, got[columns].itertuples(index=False, name=None))) == sorted(map(str, want[columns].itertuples(index=False, name=None)))
+
+
+def test_pipeline_stages(spark, sf):
+    import corpus_pipeline as P
+
+    from segloom.llm.chosen_path import NearDuplicates
+    from segloom.llm.common import written
+    from segloom.llm.subword_quality import quality
+    from segloom.llm.temperature_mixing import plan
+    from segloom.llm.winnow import contaminated, decontaminate
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns, ids = docs.columns, lambda d: sorted(r.doc_id for r in d.select("doc_id").collect())
+    kept = {}
+    for name, stage in P.STAGES[:-1]:
+        kept[name] = (docs, docs := written(stage(spark, docs, sf), name))
+        assert docs.columns == columns
+    before, after = kept["quality"]
+    assert ids(after) == ids(quality(before, spark.read.parquet(f"{sf}/labels.parquet"), ["doc_id"]).filter("score >= 0.5"))
+    before, after = kept["near_duplicates"]
+    assert ids(after) == ids(NearDuplicates(before, percent=80).grouped().filter("kept"))
+    before, after = kept["decontamination"]
+    assert ids(after) == ids(decontaminate(before, spark.read.parquet(f"{sf}/benchmark.parquet")).filter(~contaminated()))
+    before, after = kept["mixing"]
+    size = lambda d: {s: sum(len((t or "").encode().split()) for t in g.text) for s, g in d.toPandas().groupby("source")}
+    got = size(after)
+    for source, _, _, take, _, _, _ in plan(size(before)):
+        assert got.get(source, 0) <= take
+    tokens = P.STAGES[-1][1](spark, docs, sf).toPandas().sort_values("start")
+    assert len(tokens) == docs.count() and list(tokens.doc_id) == sorted(tokens.doc_id)
+    assert list(tokens.start) == [0, *tokens.n_tokens.cumsum()[:-1]]
