@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 from .common import batch, mix, rows_out, runs, shared_folder, shuffle_partitions, sliding_min, table, text_bytes, written
 
 GRAM = 64
-LIMIT = 2000
+LIMIT = 20_000  # contexts of at most 736 bytes: 15 MB in a task
+#: Lengths of the beginnings by which the reach of contexts is bounded.
+LADDER = (4, 8, 12, 16, 20, 24, 32, 40, 48, 64, 80, 96, 128, 160, 192, 256, 320, 400)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
@@ -233,25 +235,58 @@ class Repeats:
 
         return full.unionByName(self._scanned(emit, "a long, c binary, l int, r int")).unionByName(self._counted())
 
+    def _reach(self, many: DataFrame) -> DataFrame:
+        """a, c, l, r: how far at most a context agrees with another one of its anchor, to the left and to the right.
+
+        Beginnings of some lengths are hashed and counted; between two lengths the longer one, less a byte, bounds it.
+        """
+        steps = {0: [n for n in LADDER if n <= self.span - GRAM], 1: [n for n in LADDER if GRAM < n <= self.span]}
+        out = pa.schema([("a", pa.int64()), ("side", pa.int32()), ("n", pa.int32()), ("h", pa.int64()), ("c", pa.binary())])
+
+        def beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                cols = zip(*(b.column(x).to_pylist() for x in ("a", "c", "left", "right")))
+                rows = ((a, side, n, xxhash.xxh3_64_intdigest(part[:n]) - (1 << 63), c) for a, c, left, right in cols for side, part in ((0, left), (1, right)) for n in steps[side] if n <= len(part))
+                yield from rows_out(out, rows, 1 << 17)
+
+        rows = many.mapInArrow(beginnings, "a long, side int, n int, h long, c binary")
+        keys = ["a", "side", "n", "h"]
+        shared = written(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("t")).filter("t > 1").select(*keys), "beginnings")
+        far = rows.join(shared, keys).groupBy("a", "c").agg(F.max(F.when(F.col("side") == 0, F.col("n"))).alias("l"), F.max(F.when(F.col("side") == 1, F.col("n"))).alias("r"))
+
+        def bound(col: str, ns: list[int], least: int, most: int) -> F.Column:
+            up = F.lit(ns[0] - 1 if ns else most)
+            for n, above in zip(ns, [*(x - 1 for x in ns[1:]), most]):
+                up = F.when(F.col(col) == n, above).otherwise(up)
+            return F.greatest(F.coalesce(up, F.lit(least)), F.lit(least))
+
+        return far.select("a", "c", bound("l", steps[0], 0, self.span - GRAM).alias("l"), bound("r", steps[1], GRAM, self.span).alias("r"))
+
     def _counted(self) -> DataFrame:
-        """The same for anchors of more contexts: windows that occur in two contexts, by counting their hashes."""
+        """The same for anchors of more contexts: windows that occur in two contexts, by counting their hashes.
+
+        Only windows within the reach of a context are hashed; others occur once.
+        """
         many, span = self.contexts.filter(F.col("m") > self.limit).select("a", "c", "left", "right"), self.span
+        reach = self._reach(many)
+        near = reach.filter(F.col("l") + F.col("r") >= span).select("a", "c", F.col("l").alias("far_l"), F.col("r").alias("far_r"))
         out = pa.schema([("w", pa.int64()), ("w2", pa.int64()), ("a", pa.int64()), ("c", pa.binary()), ("l", pa.int32())])
 
         def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for a, c, left, right in zip(*(b.column(x).to_pylist() for x in ("a", "c", "left", "right"))):
-                    data = np.frombuffer(left[::-1] + right, np.uint8)
-                    if len(data) >= span:
+                for a, c, left, right, far_l, far_r in zip(*(b.column(x).to_pylist() for x in ("a", "c", "left", "right", "far_l", "far_r"))):
+                    most, least = min(far_l, len(left)), max(0, span - min(far_r, len(right)))
+                    if most >= least:
+                        data = np.frombuffer(left[:most][::-1] + right[: span - least], np.uint8)
                         w, w2 = (window_hashes(data, span, v).view(np.int64) for v in (_TABLE, _TABLE2))
-                        l = np.arange(len(left), len(left) - len(w), -1, np.int32)
-                        keep = l >= 0
-                        n = int(keep.sum())
-                        yield pa.RecordBatch.from_arrays([pa.array(w[keep]), pa.array(w2[keep]), pa.array(np.full(n, a)), pa.array([c] * n, pa.binary()), pa.array(l[keep])], schema=out)
-
-        rows = many.mapInArrow(windows, "w long, w2 long, a long, c binary, l int")
-        twice = written(rows.groupBy("w", "w2").agg(F.count(F.lit(1)).alias("t")).filter("t > 1").select("w", "w2"), "windows")
-        return rows.join(twice, ["w", "w2"]).groupBy("a", "c").agg(F.max("l").alias("l"), (F.lit(span) - F.min("l")).cast("int").alias("r"))
+                        n = len(w)
+                        yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(w2), pa.array(np.full(n, a)), pa.array([c] * n, pa.binary()), pa.array(np.arange(most, most - n, -1, np.int32))], schema=out)
+
+        rows = many.join(near, ["a", "c"]).mapInArrow(windows, "w long, w2 long, a long, c binary, l int")
+        rows = written(rows, "windows")
+        keys = ["a", "l", "w", "w2"]  # a window is met once for each anchor in it, and place of the anchor
+        twice = written(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("t")).filter("t > 1").select(*keys), "twice")
+        return rows.join(twice, keys).groupBy("a", "c").agg(F.max("l").alias("l"), (F.lit(span) - F.min("l")).cast("int").alias("r"))
 
     def groups(self) -> DataFrame:
         """Maximal repeats with all occurrences: id, length, key, start; of anchors with at most `limit` contexts."""
