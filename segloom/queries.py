@@ -753,9 +753,9 @@ def _(fx, spark):
     return J.latest_jobs(fx("jobs_fx"))
 
 
-@query("job_merge", "select l_orderkey as job_id, arg_max(l_linestatus, l_linenumber * 1000000000 + l_partkey * 10000 + l_suppkey) as mode, arg_max(l_returnflag, l_linenumber * 1000000000 + l_partkey * 10000 + l_suppkey) filter (l_returnflag <> 'N') as flag from lineitem group by l_orderkey")
+@query("job_merge", "select l_orderkey as job_id, arg_max(l_linestatus, l_linenumber::bigint * 1000000000000 + l_partkey * 1000000 + l_suppkey * 100 + l_quantity::bigint) as mode, arg_max(l_returnflag, l_linenumber::bigint * 1000000000000 + l_partkey * 1000000 + l_suppkey * 100 + l_quantity::bigint) filter (l_returnflag <> 'N') as flag from lineitem group by l_orderkey")
 def _(fx, spark):
-    u = fx("lineitem").select(c("l_orderkey").alias("job_id"), (c("l_linenumber") * 1000000000 + c("l_partkey") * 10000 + c("l_suppkey")).alias("n"), c("l_linestatus").alias("mode"), F.nullif("l_returnflag", F.lit("N")).alias("flag"))
+    u = fx("lineitem").select(c("l_orderkey").alias("job_id"), (c("l_linenumber").cast("long") * 1000000000000 + c("l_partkey") * 1000000 + c("l_suppkey") * 100 + c("l_quantity").cast("long")).alias("n"), c("l_linestatus").alias("mode"), F.nullif("l_returnflag", F.lit("N")).alias("flag"))
     return J.job_merge(u, "n", ["mode", "flag"])
 
 
@@ -877,3 +877,101 @@ def _shout_many(texts: list[str]) -> list[str]:
 
 def _shout_one(text: str) -> str:
     return text.upper()
+
+
+# Files: written from derived tables to a shared folder, and read back.
+
+
+def _json_documents(rows: DataFrame, *fields: str, wrap: str = "{}") -> DataFrame:
+    """(media_id, document): each media item's rows as a JSON list, in order of the first field."""
+    body = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("_o", F.struct(*fields).alias("v")))), lambda x: x["v"]))
+    before, after = wrap.split("{}")
+    return rows.groupBy("media_id").agg(F.concat(F.lit(before), body, F.lit(after)).alias("document"))
+
+
+def _segment_files(fx, spark) -> str:
+    from .sources import transcripts as R
+
+    s = segs(fx).select("media_id", c("seg_idx").alias("_o"), "text", (c("start_ms") / 1000.0).alias("start"), (c("end_ms") / 1000.0).alias("end"), "speaker_id")
+    R.write_documents(_json_documents(s, "text", "start", "end", "speaker_id"), folder := R.shared_folder(spark, "segments"))
+    return folder
+
+
+@query("scan_segments", "select 'media_id=' || media_id::varchar as media_id, seg_idx, text, start_ms, end_ms, speaker_id from segs_q", "segs_q")
+def _(fx, spark):
+    from .sources import transcripts as R
+
+    return R.read_segments(spark, f"{_segment_files(fx, spark)}/*/*.txt").select("media_id", c("seg_idx").cast("long").alias("seg_idx"), "text", "start_ms", "end_ms", "speaker_id")
+
+
+@query("sink_segments", "select media_id, seg_idx, text, start_ms, end_ms from segs_q", "segs_q")
+def _(fx, spark):
+    from .sources import transcripts as R
+
+    R.write_segments(segs(fx), folder := R.shared_folder(spark, "segments"))
+    return spark.read.json(folder).select(c("media_id").cast("long").alias("media_id"), "seg_idx", "text", "start_ms", "end_ms")
+
+
+@query("scan_turns", "select 'media_id=' || media_id::varchar as media_id, start_ms, end_ms, speaker_label from turns_fx", "turns_fx")
+def _(fx, spark):
+    from .sources import transcripts as R
+
+    t = fx("turns_fx").select("media_id", c("turn").alias("_o"), (c("start_ms") / 1000.0).alias("start"), (c("end_ms") / 1000.0).alias("end"), "speaker_label")
+    R.write_documents(_json_documents(t, "start", "end", "speaker_label", wrap='{"turns": {}}'), folder := R.shared_folder(spark, "turns"))
+    return R.read_turns(spark, f"{folder}/*/*.txt")[0].select("media_id", "start_ms", "end_ms", "speaker_label")
+
+
+@query("scan_media_listing", "select 'media_id=' || media_id::varchar as folder from segs_q group by media_id", "segs_q")
+def _(fx, spark):
+    from .sources import transcripts as R
+
+    listed = R.list_media(spark, f"{_segment_files(fx, spark)}/*", ["TXT"])
+    return listed.select(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("folder"))
+
+
+@query("scan_profiles", "select lower('S' || s_suppkey::varchar) as profile, '{\"nation\":' || s_nationkey::varchar || '}' as settings from supplier")
+def _(fx, spark):
+    from .sources import transcripts as R
+
+    one = fx("supplier").select(F.concat(F.lit("S"), c("s_suppkey").cast("string")).alias("k"), F.struct(c("s_nationkey").alias("nation")).alias("v"))
+    body = one.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("profiles"))).alias("value"))
+    body.write.text(folder := R.shared_folder(spark, "profiles"))
+    return R.read_profiles(spark, folder)
+
+
+@query("scan_run_metrics", "select 'job_' || s_suppkey::varchar as job_name, '{\"wer\":' || (s_suppkey % 7)::varchar || '}' as metrics, '{}' as tts_config from supplier")
+def _(fx, spark):
+    from .sources import transcripts as R
+
+    m = fx("supplier").select(c("s_suppkey").alias("media_id"), F.to_json(F.struct(F.concat(F.lit("job_"), c("s_suppkey").cast("string")).alias("job_name"), F.struct((c("s_suppkey") % 7).alias("wer")).alias("metrics"), F.lit(3).alias("tts_config"))).alias("document"))
+    R.write_documents(m, folder := R.shared_folder(spark, "metrics"))
+    return R.read_run_metrics(spark, f"{folder}/*/*.txt").select("job_name", "metrics", "tts_config")
+
+
+# Streams, run to the end of what is there.
+
+
+def _streamed(spark, rows: DataFrame, label: str, transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    from .sources import transcripts as R
+
+    source, out, check = (R.shared_folder(spark, f"{label}-{x}") for x in ("in", "out", "check"))
+    rows.write.parquet(source)
+    stream = transform(spark.readStream.schema(rows.schema).parquet(source))
+    save = lambda batch, _: batch.write.mode("overwrite").parquet(out)
+    stream.writeStream.outputMode("complete").option("checkpointLocation", check).trigger(availableNow=True).foreachBatch(save).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+@query("stream_pause_segments", "select media_id, text, start_ms, end_ms from segs_q", "segs_q")
+def _(fx, spark):
+    from . import streaming
+
+    return _streamed(spark, fx("words_fx").filter("text <> ''").select("media_id", "text", "start_ms", "end_ms"), "words", streaming.pause_segments).select("media_id", "text", "start_ms", "end_ms")
+
+
+@query("stream_qa_counts", "select date_trunc('hour', make_timestamp(start_ms * 10000)) as start, issue, count(*) as n from (select start_ms, unnest(issues) as issue from qa_q) q group by all", "qa_q", "ascii_q")
+def _(fx, spark):
+    from . import streaming
+
+    i = Q.translation_qa_issues(pairs(fx), terms()).select("media_id", "seg_idx", "issues").join(pairs(fx).select("media_id", "seg_idx", "start_ms"), ["media_id", "seg_idx"])
+    return _streamed(spark, i.select(F.timestamp_millis(c("start_ms") * 10).alias("at"), "issues"), "issues", streaming.qa_counts)

@@ -90,7 +90,7 @@ def write_manifests(records: DataFrame, path: str) -> None:
 
 def write_documents(documents: DataFrame, path: str) -> None:
     """One text file a media item."""
-    documents.select("media_id", F.col("document").alias("value")).write.partitionBy("media_id").option("lineSep", "").text(path)
+    documents.select("media_id", F.col("document").alias("value")).write.partitionBy("media_id").text(path)
 
 
 def write_benchmark(results: DataFrame, path: str) -> None:
@@ -103,3 +103,12 @@ def benchmark_rows(results: DataFrame) -> DataFrame:
     """A Markdown table row a profile."""
     cells = [F.coalesce(F.format_string("%.4f", c), F.lit("n/a")) for c in ("speaker_verification", "wer", "cer", "labse_mean")]
     return results.select("job_name", F.concat(F.lit("| "), F.concat_ws(" | ", "job_name", *cells, "verdict"), F.lit(" |")).alias("row"))
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder that all executors can read: below spark.checkpoint.dir, or a temporary one where that is unset."""
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="segloom-")
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
