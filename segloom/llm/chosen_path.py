@@ -6,11 +6,13 @@ enough are compared exhaustively; a larger one is first branched further, severa
 16 trees of three levels a pair at the threshold of 0.85 is missed by all trees with a chance of about 3e-7. Candidates pass
 a loose test on signatures (five deviations below the threshold) and then an exact one on full sets.
 
-Scale: equal sets are one class and never compared. A class is first tested against one partner, the least member of the
-node it shares most often, so that a group of thousands of copies is linked by as many tests as it has members. After that
-only nodes that hold different components are looked at, and in them only pairs across components. In a node with more than
-`limit` members all those outside its largest component are tested against the rest in blocks of `limit`; if they are too
-many themselves, the node branches further. No node, class or list of links comes to the driver or as a whole to one task.
+Scale: equal sets are one class and never compared. A class is first tested against one partner: of the nodes it is in, the
+member that is in the largest nodes over all trees, which stands in the middle of its group; so a group of thousands of
+copies is linked by about as many tests as it has members. After that only nodes that hold different components are looked
+at, and in them only pairs across components, those outside the largest component against all, in blocks of `limit`. A pair
+that meets in several nodes is tested in the first of them only. Within a block components that get linked count as one from
+then on, so a block gives fewer links than it has members. If more than `limit` members are outside the largest component,
+the node branches further. No node, class or list of links comes to the driver or as a whole to one task.
 
 Words: A-Z lower-cased, `[^\\x20\\x09-\\x0D]+`. Fewer than five words form one shingle; without words a document is linked with
 nothing. Null texts count as empty. Repeated rows and equal texts are linked. Null doc_ids take part and never name a
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, WordHashes, batch, mix, rows_out, shared_folder, shingle_hashes, shuffle_partitions, table, text_bytes, written
 
-SHINGLE, COORDS, TREES, DEPTH, LIMIT = 5, 128, 16, 3, 200
+SHINGLE, COORDS, TREES, DEPTH, LIMIT = 5, 128, 16, 3, 2000
 #: A node that is still too large branches so many ways, two levels deeper each; a pair at 0.85 walks on together with a chance of 0.979.
 WAYS, DEEPER, ROUNDS = 3, 2, 6
 
@@ -65,6 +67,12 @@ def walk(node: np.ndarray, sigs: np.ndarray, levels: int) -> np.ndarray:
     return node
 
 
+def roots(sigs: np.ndarray) -> np.ndarray:
+    """The nodes at the end of the first levels, a column a tree."""
+    starts = mix(np.arange(1, TREES + 1, dtype=np.uint64))
+    return np.stack([walk(np.full(len(sigs), t, np.uint64), sigs, DEPTH) for t in starts], axis=1)
+
+
 def _sigs(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, COORDS)
 
@@ -91,9 +99,9 @@ class NearDuplicates:
         self.least = int((percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / COORDS) ** 0.5) * COORDS)
         base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         self.docs = written(base.mapInArrow(self._keys, "doc_id long, n_shingles long, key binary"), "sets")
-        full = base.select("text").mapInArrow(self._signed, "key binary, sig binary, body binary")
+        full = base.select("text").mapInArrow(self._signed, "key binary, n int, sig binary, body binary")
         name = f"classes_{uuid.uuid4().hex}"
-        one = full.groupBy("key").agg(F.first(F.struct("sig", "body")).alias("v")).select("key", "v.sig", "v.body")
+        one = full.groupBy("key").agg(F.first(F.struct("n", "sig", "body")).alias("v")).select("key", "v.n", "v.sig", "v.body")
         one.write.bucketBy(shuffle_partitions(self.spark), "key").sortBy("key").option("path", shared_folder(self.spark, "classes")).saveAsTable(name)
         self.classes = self.spark.table(name)
 
@@ -109,7 +117,7 @@ class NearDuplicates:
 
     @staticmethod
     def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, out = WordHashes(), pa.schema([("key", pa.binary()), ("sig", pa.binary()), ("body", pa.binary())])
+        h, out = WordHashes(), pa.schema([("key", pa.binary()), ("n", pa.int32()), ("sig", pa.binary()), ("body", pa.binary())])
         pack = zstandard.ZstdCompressor(1)
 
         def rows():
@@ -117,7 +125,7 @@ class NearDuplicates:
                 for text in text_bytes(b.column("text")):
                     s = shingle_set(text, h)
                     if len(s):
-                        yield xxhash.xxh3_128_digest(s.tobytes()), signature(s).tobytes(), pack.compress(text)
+                        yield xxhash.xxh3_128_digest(s.tobytes()), len(s), signature(s).tobytes(), pack.compress(text)
 
         yield from rows_out(out, rows(), 2000)
 
@@ -127,19 +135,25 @@ class NearDuplicates:
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if b.num_rows:
-                    sigs = _sigs(b.column("sig"))
-                    for t in range(TREES):
-                        node = walk(np.full(len(sigs), mix(np.array([t + 1], np.uint64))[0], np.uint64), sigs, DEPTH)
-                        yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), b.column("key")], names=["node", "x"])
+                    for node in roots(_sigs(b.column("sig"))).T:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(node).view(np.int64)), b.column("key")], names=["node", "x"])
 
         return self.classes.select("key", "sig").mapInArrow(place, "node long, x binary")
 
     @staticmethod
     def _shared(members: DataFrame) -> DataFrame:
-        """Members of nodes with at least two, with the node's size and least member."""
-        nodes = written(members.groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.min("x").alias("y")).filter("m > 1"), "nodes")
+        """Members of nodes with at least two, with the node's size m."""
+        nodes = written(members.groupBy("node").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "nodes")
         return written(members.join(nodes, "node"), "members")
 
+    @staticmethod
+    def _partners(members: DataFrame) -> DataFrame:
+        """(x, y): for each class the middle member of the node that it shares most often with its middle."""
+        place = written(members.groupBy("x").agg(F.sum("m").alias("p")), "places")
+        middle = members.join(place, "x").groupBy("node").agg(F.max(F.struct("p", "x")).alias("t")).select("node", F.col("t.x").alias("y"))
+        pairs = members.join(written(middle, "middles"), "node").filter("x <> y")
+        return pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("k")).groupBy("x").agg(F.max_by("y", F.struct("k", "y")).alias("y"))
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (x, y) whose full sets are alike enough."""
         pairs = written(pairs, "pairs")
@@ -185,83 +199,107 @@ class NearDuplicates:
 
         return rows.select("node", "x").join(self.classes.select(F.col("key").alias("x"), "sig"), "x").mapInArrow(place, "node long, x binary")
 
-    def candidates(self, members: DataFrame, comps: DataFrame, best: bool) -> DataFrame:
-        """Pairs across components of one node with alike signatures; with `best` only the nearest for each member and component."""
+    def across(self, members: DataFrame, comps: DataFrame) -> DataFrame:
+        """Links (x, y) between components, out of nodes that hold several."""
         found: DataFrame | None = None
         for depth in range(ROUNDS + 1):
-            across = self._mixed(members, comps)
-            if across.isEmpty():
+            mixed = self._mixed(members, comps)
+            if mixed.isEmpty():
                 break
             fits = (F.col("rest") <= self.limit) | F.lit(depth == ROUNDS)
-            part = self._compared(across.filter(fits), best)
+            part = self._compared(mixed.filter(fits), depth)
             found = part if found is None else found.unionByName(part)
-            large = across.filter(~fits)
+            large = mixed.filter(~fits)
             if large.isEmpty():
                 break
             members = self._shared(self._deeper(large))
         if found is None:
             return self.spark.createDataFrame([], "x binary, y binary")
-        return found.distinct()
+        return written(found, "links")
 
-    def _compared(self, rows: DataFrame, best: bool) -> DataFrame:
-        """Blocks of a node: some members of its largest component, and some of all others; each pair of blocks meets in one group."""
-        limit, least = self.limit, self.least
+    def _compared(self, rows: DataFrame, depth: int) -> DataFrame:
+        """Blocks of a node: some of all its members, and some of those outside its largest component; each pair of blocks meets in one group."""
+        limit, least, percent = self.limit, self.least, self.percent
         a, b = F.ceil(F.col("total") / limit).cast("int"), F.ceil(F.col("rest") / limit).cast("int")
         side = F.xxhash64("x")
-        rest = rows.filter("comp <> top").withColumn("q", F.pmod(side, b).cast("int"))
-        # a: blocks of all members, b: blocks of those outside the top; a member is placed in its column of blocks, one outside also in its row.
-        every = rows.withColumn("p", F.pmod(side, a).cast("int")).select("node", "x", "comp", F.lit(False).alias("out"), "p", F.explode(F.sequence(F.lit(0), b - 1)).alias("q"))
-        outs = rest.select("node", "x", "comp", F.lit(True).alias("out"), F.explode(F.sequence(F.lit(0), a - 1)).alias("p"), "q")
-        placed = every.unionByName(outs).join(self.classes.select(F.col("key").alias("x"), "sig"), "x")
-        placed = placed.repartition("node", "p", "q").sortWithinPartitions("node", "p", "q")
+        cols = ("node", "x", "comp")
+        every = rows.select(*cols, F.lit(False).alias("out"), F.pmod(side, a).cast("int").alias("p"), F.explode(F.sequence(F.lit(0), b - 1)).alias("q"))
+        outs = rows.filter("comp <> top").select(*cols, F.lit(True).alias("out"), F.explode(F.sequence(F.lit(0), a - 1)).alias("p"), F.pmod(side, b).cast("int").alias("q"))
+        known = written(rows.groupBy("x").agg(F.collect_set("node").alias("nodes")), "known")  # at most TREES a class and round
+        known = known.join(self.classes.select(F.col("key").alias("x"), "n", "sig", "body"), "x")
+        placed = every.unionByName(outs).join(known, "x").repartition("node", "p", "q").sortWithinPartitions("node", "p", "q")
         out = pa.schema([("x", pa.binary()), ("y", pa.binary())])
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: list[dict] = []
-            at = None
+            h, unpack = WordHashes(), zstandard.ZstdDecompressor()
 
-            def pairs() -> Iterator[tuple]:
+            def links(node: int, held: list[dict]) -> Iterator[tuple[bytes, bytes]]:
                 outs, ins = [r for r in held if r["out"]], [r for r in held if not r["out"]]
                 if not outs or not ins:
                     return
+                sets: dict[bytes, np.ndarray] = {}
+                root: dict[bytes, bytes] = {}
+
+                def find(c: bytes) -> bytes:
+                    top = c
+                    while top in root:
+                        top = root[top]
+                    while c != top:
+                        root[c], c = top, root[c]
+                    return top
+
+                def members(r: dict) -> np.ndarray:
+                    if r["x"] not in sets:
+                        sets[r["x"]] = shingle_set(unpack.decompress(r["body"]), h)
+                    return sets[r["x"]]
+
                 sigs = np.stack([np.frombuffer(r["sig"], np.uint32) for r in ins])
+                sizes = np.array([r["n"] for r in ins])
+                earlier = places(node, ins, sigs) if depth == 0 else None
                 for o in outs:
-                    same = (sigs == np.frombuffer(o["sig"], np.uint32)).sum(axis=1)
-                    nearest: dict[bytes, tuple[int, dict]] = {}
-                    for i in np.flatnonzero(same >= least):
+                    sig, n = np.frombuffer(o["sig"], np.uint32), o["n"]
+                    same = (sigs == sig).sum(axis=1)
+                    maybe = (same >= least) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
+                    if earlier is not None:
+                        own = places(node, [o], sig[None, :])[0]
+                        maybe &= ~((earlier == own) & (own != 0)).any(axis=1)
+                    for i in sorted(np.flatnonzero(maybe).tolist(), key=lambda i: -same[i]):
                         r = ins[i]
-                        if r["comp"] == o["comp"]:
+                        if find(r["comp"]) == find(o["comp"]):
                             continue
-                        if best:
-                            nearest[r["comp"]] = max(nearest.get(r["comp"], (-1, r)), (int(same[i]), r), key=lambda v: v[0])
-                        else:
-                            yield min(o["x"], r["x"]), max(o["x"], r["x"])
-                    for _, r in nearest.values():
-                        yield min(o["x"], r["x"]), max(o["x"], r["x"])
+                        s, t = members(o), members(r)
+                        both = len(np.intersect1d(s, t, assume_unique=True))
+                        if 100 * both >= percent * (len(s) + len(t) - both):
+                            root[find(r["comp"])] = find(o["comp"])
+                            yield o["x"], r["x"]
+
+            def places(node: int, rows: list[dict], sigs: np.ndarray) -> np.ndarray:
+                """The nodes of earlier trees that each row is compared in, 0 for others: pairs that share one meet there."""
+                at = roots(sigs).view(np.int64)
+                tree = int(np.flatnonzero((at == node).any(axis=0))[0])
+                there = [set(r["nodes"]) for r in rows]
+                return np.array([[v if v in t else 0 for v in row[:tree]] for row, t in zip(at.tolist(), there)], np.int64).reshape(len(rows), tree)
 
+            held: list[dict] = []
+            group = None
             for b in batches:
                 for r in b.to_pylist():
-                    if (r["node"], r["p"], r["q"]) != at:
-                        yield from rows_out(out, pairs())
-                        held, at = [], (r["node"], r["p"], r["q"])
+                    if (r["node"], r["p"], r["q"]) != group:
+                        if held:
+                            yield from rows_out(out, links(group[0], held))
+                        held, group = [], (r["node"], r["p"], r["q"])
                     held.append(r)
-            yield from rows_out(out, pairs())
+            if held:
+                yield from rows_out(out, links(group[0], held))
 
         return placed.mapInArrow(compare, "x binary, y binary")
 
     def classed(self) -> DataFrame:
         """(x, comp) of the classes that are linked with another."""
         members = self._shared(self._roots())
-        first = members.filter("x <> y").groupBy("x", "y").agg(F.count(F.lit(1)).alias("k")).groupBy("x").agg(F.max_by("y", F.struct("k", "y")).alias("y"))
-        links = self.verified(first)
-        comps = components(links)
-        for best in (True, False):
-            more = self.verified(self.candidates(members, comps, best))
-            if more.isEmpty():
-                continue
-            links = links.unionByName(more)
-            comps = components(links)
-        return comps
+        links = self.verified(self._partners(members))
+        more = self.across(members, components(links))
+        return components(links.unionByName(more))
 
     def grouped(self) -> DataFrame:
         """doc_id, n_shingles, component_id, kept per row."""

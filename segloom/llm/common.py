@@ -81,8 +81,8 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     out = np.zeros(len(words) - k + 1, np.uint64)
     for i in range(k):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + words[i : len(words) - k + 1 + i])
-    return out
+        out += words[i : len(words) - k + 1 + i] * np.uint64(pow(0x9E3779B97F4A7C15, i + 1, 1 << 64))
+    return mix(out)
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
