@@ -79,8 +79,9 @@ def speaker_overlap(spans: DataFrame, turns: DataFrame, key: str, default: str =
 def diarized_segments(words: DataFrame, segments: DataFrame, max_pause_ms: int = 300) -> DataFrame:
     """Segments split where the assigned speaker changes or a pause is long. words: media_id, seg_idx, word_idx, text, start_ms, end_ms, speaker_id; outer pauses come from segments."""
     by = Window.partitionBy("media_id", "seg_idx").orderBy("word_idx")
-    w = words.filter("end_ms > start_ms").withColumn("gap", F.greatest(F.col("start_ms") - F.lag("end_ms").over(by), F.lit(0)))
-    w = w.withColumn("after", F.greatest(F.lead("start_ms").over(by) - F.col("end_ms"), F.lit(0)))
+    least0 = lambda x: F.when(x < 0, 0).otherwise(x)  # noqa: E731  null stays null, which greatest() would make 0
+    w = words.filter("end_ms > start_ms").withColumn("gap", least0(F.col("start_ms") - F.lag("end_ms").over(by)))
+    w = w.withColumn("after", least0(F.lead("start_ms").over(by) - F.col("end_ms")))
     cut = (F.col("speaker_id") != F.lag("speaker_id").over(by)) | (F.col("gap") > max_pause_ms)
     w = w.withColumn("split_idx", F.sum(F.coalesce(cut, F.lit(False)).cast("long")).over(by))
     extra = [F.min_by("gap", "word_idx").alias("_before"), F.max_by("after", "word_idx").alias("_after"), F.first("speaker_id").alias("speaker_id")]

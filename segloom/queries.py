@@ -31,7 +31,7 @@ VIEWS |= {
         from words_fx w join turns_q t on w.media_id = t.media_id and t.start_ms < w.end_ms and w.start_ms < t.end_ms group by w.media_id, w.word_idx, t.speaker_id) x) o on o.media_id = w.media_id and o.word_idx = w.word_idx and o.n = 1""", ("islands_q", "turns_q")),
     "parts_q": ("", """select media_id, seg_idx, split_idx, string_agg(text, ' ' order by word_idx) as text, first(start_ms order by word_idx) as start_ms, last(end_ms order by word_idx) as end_ms, min(speaker_id) as speaker_id, count(*) as source_word_count, count(*) over (partition by media_id, seg_idx) as split_count,
        first(gap order by word_idx) as b, last(after order by word_idx) as a from (select *, sum(case when prev <> speaker_id or gap > 300 then 1 else 0 end) over (partition by media_id, seg_idx order by word_idx) as split_idx
-       from (select *, lag(speaker_id) over s as prev, greatest(start_ms - lag(end_ms) over s, 0) as gap, greatest(lead(start_ms) over s - end_ms, 0) as after from (select media_id, seg_idx, word_idx, text, start_ms, end_ms, speaker_id from spoken_q where text <> '' and end_ms > start_ms) q1 window s as (partition by media_id, seg_idx order by word_idx)) q2) q3 group by media_id, seg_idx, split_idx""", ("spoken_q",)),
+       from (select *, lag(speaker_id) over s as prev, case when start_ms - lag(end_ms) over s < 0 then 0 else start_ms - lag(end_ms) over s end as gap, case when lead(start_ms) over s - end_ms < 0 then 0 else lead(start_ms) over s - end_ms end as after from (select media_id, seg_idx, word_idx, text, start_ms, end_ms, speaker_id from spoken_q where text <> '' and end_ms > start_ms) q1 window s as (partition by media_id, seg_idx order by word_idx)) q2) q3 group by media_id, seg_idx, split_idx""", ("spoken_q",)),
     "sent_q": ("", """select *, cast(row_number() over (partition by media_id, group_idx order by seg_idx) - 1 as bigint) as group_index, count(*) over (partition by media_id, group_idx) as group_size from (select *, cast(sum(case when regexp_matches(prev, '[.!?]\\s*$') or start_ms - prev_end >= 500 then 1 else 0 end) over (partition by media_id order by seg_idx) as bigint) as group_idx
       from (select *, lag(trim(text)) over (partition by media_id order by seg_idx) as prev, lag(end_ms) over (partition by media_id order by seg_idx) as prev_end from segs_q where trim(text) <> '') a) b""", ("segs_q",)),
     "numbered_q": ("", "select *, row_number() over (partition by media_id order by seg_idx) - 1 as n from segs_q", ("segs_q",)),

@@ -63,7 +63,7 @@ def test_chunks(spark):
     text = "One two three. " * 3 + "Four, five; six seven eight nine"
     d = spark.createDataFrame([(text,), ("",), ("short",)], "t string")
     a, b, c = [r[0] for r in d.select(S.text_chunks(F.col("t"), 20)).collect()]
-    assert a == ["One two three.", "One two three.", "One two three.", "Four, five;", "six seven eight nine"]
+    assert a == ["One two three.", "One two three.", "One two three. Four,", "five;", "six seven eight nine"]
     assert (b, c) == ([], ["short"])
 
 
