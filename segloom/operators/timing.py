@@ -40,7 +40,7 @@ def timing_windows(segments: DataFrame, pause_ms: int = 200, left_ms: int = 500,
         original = end - begin
         before = F.least(F.greatest(F.lit(0), begin - acc["prev_end"] - pause_ms), F.lit(left_ms))
         following = F.get(F.col("s"), i + 1)["start_ms"]
-        after = F.coalesce(F.greatest(F.lit(0), following - end - pause_ms) + right_ms, F.lit(0))
+        after = F.when(following.isNull(), 0).otherwise(F.greatest(F.lit(0), following - end - pause_ms) + right_ms)
         need = F.greatest(F.lit(0), x["needed_ms"] - original)
         enough = (need > 0) & (before + after >= F.greatest(F.lit(120), F.floor(need * 0.5)))
         got = allocate_extension(F.when(enough, need).otherwise(0), before, after)

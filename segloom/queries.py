@@ -486,7 +486,7 @@ def _(fx, spark):
     select *, cast(case when not ok then 0 when tgt / 2.0 <= bef and tgt / 2.0 <= aft then round_even(tgt / 2.0, 0) when bef < tgt / 2.0 then bef else least(tgt - aft, bef) end as bigint) as bb,
               cast(case when not ok then 0 when tgt / 2.0 <= bef and tgt / 2.0 <= aft then round_even(tgt / 2.0, 0) when bef < tgt / 2.0 then least(tgt - bef, aft) else aft end as bigint) as ba from (
      select *, need2 > 0 and bef + aft >= greatest(120, floor(need2 * 0.5)) and bef + aft > 0 as ok, least(need2, bef + aft) as tgt from (
-      select *, fin - beg as orig, least(greatest(0, beg - prev_end - 200), 500) as bef, coalesce(greatest(0, nxt - fin - 200) + 250, 0) as aft, greatest(0, need - (fin - beg)) as need2 from (
+      select *, fin - beg as orig, least(greatest(0, beg - prev_end - 200), 500) as bef, case when nxt is null then 0 else greatest(0, nxt - fin - 200) + 250 end as aft, greatest(0, need - (fin - beg)) as need2 from (
        select s.media_id, s.n, s.nxt, s.need, s.actual, f.done as prev_end, coalesce(f.pushed, s.start_ms) as b0, least(coalesce(f.pushed, s.start_ms), s.end_ms) as beg, greatest(coalesce(f.pushed, s.start_ms), s.end_ms) as fin from f join s on s.media_id = f.media_id and s.n = f.n + 1) x1) x2) x3) x4) x5)
   select f.media_id, s.seg_idx, cur as cur_start_ms, avail as available_ms, bb as before_ms, ba as after_ms from f join s on s.media_id = f.media_id and s.n = f.n where f.n >= 0""", "numbered_q")
 def _(fx, spark):

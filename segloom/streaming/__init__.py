@@ -16,7 +16,7 @@ def pause_segments(words: DataFrame, max_pause_ms: int = 300, late: str = "10 mi
     A session window includes its end, so a gap of exactly max_pause_ms merges, as in the batch operator.
     """
     w = words.withColumn("at", _at(F.col("start_ms"))).withWatermark("at", late)
-    reach = F.concat((F.col("end_ms") - F.col("start_ms") + max_pause_ms + 1).cast("string"), F.lit(" milliseconds"))
+    reach = F.concat((F.col("end_ms") - F.col("start_ms") + max_pause_ms).cast("string"), F.lit(" milliseconds"))
     out = w.groupBy("media_id", F.session_window("at", reach)).agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.array_sort(F.collect_list(F.struct("start_ms", "text"))).alias("w"))
     return out.select("media_id", "start_ms", "end_ms", F.array_join(F.transform("w", lambda x: x["text"]), " ").alias("text"))
 

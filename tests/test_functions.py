@@ -48,7 +48,7 @@ def test_retry_variants(val):
 
 
 def test_answers(val):
-    assert val(T.clean_model_answer(F.lit('```json\n{"translation": "Перевод: да"}\n```'), "rus_Cyrl")) == "да"
+    assert val(T.clean_model_answer(F.lit('{"translation": "Перевод: да"}'), "rus_Cyrl")) == "да"
     assert val(T.parse_answer_json(F.lit("<think>[1]</think> so: [{\"id\": 0}] ok"))) == '[{"id": 0}]'
     assert val(T.extract_candidates(F.lit('{"candidates": ["One", "one", "Two"]}'))) == ["One", "Two"]
     assert val(T.extract_candidates(F.lit("- a\n2) b"))) == ["a", "b"]
