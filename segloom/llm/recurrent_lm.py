@@ -67,21 +67,32 @@ class Network:
         return self
 
     def forward(self, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: list | None) -> tuple[np.ndarray, np.ndarray]:
-        """States after each of the T x B inputs, and the last; where fresh, the state starts from 0."""
-        p, n = self.p, HIDDEN
-        out = np.empty((*ids.shape, n), np.float32)
+        """States after each of the T x B inputs, and the last; where fresh, the state starts from 0. keep: gets h, gates, r * h and m of all steps."""
+        u, v, n = self.p["u"], self.p["v"], HIDDEN
+        steps, b = ids.shape
+        x = (self.p["x"] + self.p["b"])[ids]
+        x_gates, x_new = x[:, :, : 2 * n], x[:, :, 2 * n :]
         live = (~fresh).astype(np.float32)[:, :, None]
-        for t in range(len(ids)):
-            h = h * live[t]
-            x = p["x"][ids[t]] + p["b"]
-            zr = 1 / (1 + np.exp(-(x[:, : 2 * n] + h @ p["u"])))
-            z, r = zr[:, :n], zr[:, n:]
-            rh = r * h
-            m = np.tanh(x[:, 2 * n :] + rh @ p["v"])
-            if keep is not None:
-                keep.append((h, zr, rh, m))
-            h = m + z * (h - m)
-            out[t] = h
+        out, h0, gates = np.empty((steps, b, n), np.float32), np.empty((steps, b, n), np.float32), np.empty((steps, b, 2 * n), np.float32)
+        rh, m = np.empty((steps, b, n), np.float32), np.empty((steps, b, n), np.float32)
+        for t in range(steps):
+            h = np.multiply(h, live[t], out=h0[t])
+            g = np.matmul(h, u, out=gates[t])
+            g += x_gates[t]
+            np.negative(g, out=g)
+            np.exp(g, out=g)
+            g += 1
+            np.reciprocal(g, out=g)
+            np.multiply(g[:, n:], h, out=rh[t])
+            new = np.matmul(rh[t], v, out=m[t])
+            new += x_new[t]
+            np.tanh(new, out=new)
+            o = np.subtract(h, new, out=out[t])
+            o *= g[:, :n]
+            o += new
+            h = o
+        if keep is not None:
+            keep.extend((h0, gates, rh, m, live))
         return out, h
 
     def outputs(self, h: np.ndarray, target: np.ndarray, learn: bool) -> tuple[np.ndarray, np.ndarray | None, dict | None]:
@@ -90,36 +101,47 @@ class Network:
         kind, inner = target // CLASS, target % CLASS
         rare = target >= self.soft
         kind = np.where(rare, self.n_class - 1, kind)
-        logits = h @ p["c"] + p["cb"]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        s = e.sum(axis=1)
+        # States are within -1 and 1, so logits stay small; the bound only keeps exp finite whatever is learned.
+        logits = h @ p["c"]
+        logits += p["cb"]
+        np.minimum(logits, 60, out=logits)
         rows = np.arange(n)
-        logp = logits[rows, kind] - np.log(s)
+        picked = logits[rows, kind]
+        e = np.exp(logits, out=logits)
+        s = e @ np.ones(e.shape[1], np.float32)  # faster than a sum of short rows
+        logp = picked - np.log(s)
         if learn:
-            dc = e / s[:, None]
+            dc = e
+            dc /= s[:, None]
             dc[rows, kind] -= 1
             g = {"c": h.T @ dc, "cb": dc.sum(axis=0), "w": np.zeros(self.shapes["w"], np.float32), "wb": np.zeros(self.shapes["wb"], np.float32)}
             dh = dc @ p["c"].T
-        order = np.argsort(kind, kind="stable")
+        order = np.argsort(kind.astype(np.uint16), kind="stable")  # a radix sort
         ends = np.searchsorted(kind[order], np.arange(self.n_class - 1), "right")
+        sorted_h, sorted_inner = h[order], inner[order]
+        got, sums, ones = np.zeros(n, np.float32), np.ones(n, np.float32), np.ones(CLASS, np.float32)
+        back = np.zeros_like(sorted_h) if learn else None
         first = 0
         for c, last in enumerate(ends.tolist()):
             if last > first:
-                at = order[first:last]
-                hc = h[at]
-                y = hc @ p["w"][c] + p["wb"][c]
-                y -= y.max(axis=1, keepdims=True)
-                e = np.exp(y)
-                s = e.sum(axis=1)
-                i, k = np.arange(last - first), inner[at]
-                logp[at] += y[i, k] - np.log(s)
+                part = slice(first, last)
+                hc = sorted_h[part]
+                y = hc @ p["w"][c]
+                y += p["wb"][c]
+                np.minimum(y, 60, out=y)
+                i, k = rows[: last - first], sorted_inner[part]
+                got[part] = y[i, k]
+                e = np.exp(y, out=y)
+                s = sums[part] = e @ ones
                 if learn:
-                    d = e / s[:, None]
-                    d[i, k] -= 1
-                    g["w"][c], g["wb"][c] = hc.T @ d, d.sum(axis=0)
-                    dh[at] += d @ p["w"][c].T
+                    e /= s[:, None]
+                    e[i, k] -= 1
+                    g["w"][c], g["wb"][c] = hc.T @ e, e.sum(axis=0)
+                    np.matmul(e, p["w"][c].T, out=back[part])
             first = last
+        logp[order] += got - np.log(sums)
+        if learn:
+            dh[order] += back
         return (logp, dh, g) if learn else (logp, None, None)
 
     def step(self, ids: np.ndarray, fresh: np.ndarray, h: np.ndarray, target: np.ndarray, valid: np.ndarray) -> np.ndarray:
@@ -130,26 +152,34 @@ class Network:
         _, dout, g = self.outputs(out[valid], target[valid].astype(np.int64), True)
         dh_all = np.zeros_like(out)
         dh_all[valid] = dout
+        h0, gates, rh, m, live = keep
         dx = np.empty((*ids.shape, 3 * n), np.float32)
-        du, dv, dh = np.zeros_like(p["u"]), np.zeros_like(p["v"]), np.zeros_like(h)
-        live = (~fresh).astype(np.float32)[:, :, None]
+        z, r = gates[:, :, :n], gates[:, :, n:]
+        slope = gates * (1 - gates)
+        # What each step multiplies, for all steps at once.
+        to_new, to_z = (1 - z) * (1 - m * m), (h0 - m) * slope[:, :, :n]
+        to_r = h0 * slope[:, :, n:]
+        ut, vt, dh = np.ascontiguousarray(p["u"].T), np.ascontiguousarray(p["v"].T), np.zeros_like(h)
         for t in range(len(ids) - 1, -1, -1):
-            h0, zr, rh, m = keep[t]
-            z, r = zr[:, :n], zr[:, n:]
-            dh = dh + dh_all[t]
-            dm = dh * (1 - z) * (1 - m * m)
-            drh = dm @ p["v"].T
-            dzr = np.concatenate([dh * (h0 - m), drh * h0], axis=1) * zr * (1 - zr)
-            dx[t, :, : 2 * n], dx[t, :, 2 * n :] = dzr, dm
-            du += h0.T @ dzr
-            dv += rh.T @ dm
-            dh = (dh * z + drh * r + dzr @ p["u"].T) * live[t]
+            dh += dh_all[t]
+            d = dx[t]
+            dm = np.multiply(dh, to_new[t], out=d[:, 2 * n :])
+            drh = dm @ vt
+            np.multiply(dh, to_z[t], out=d[:, :n])
+            np.multiply(drh, to_r[t], out=d[:, n : 2 * n])
+            dh *= z[t]
+            drh *= r[t]
+            dh += drh
+            dh += d[:, : 2 * n] @ ut
+            dh *= live[t]
+        flat = lambda a: a.reshape(-1, a.shape[-1])
+        du, dv = flat(h0).T @ flat(dx[:, :, : 2 * n]), flat(rh).T @ flat(dx[:, :, 2 * n :])
         g |= {"u": du, "v": dv, "b": dx.sum(axis=(0, 1))}
-        flat, dflat = ids.ravel(), dx.reshape(-1, 3 * n)
-        order = np.argsort(flat, kind="stable")
-        used, starts = np.unique(flat[order], return_index=True)
+        inputs, dflat = ids.ravel(), dx.reshape(-1, 3 * n)
+        order = np.argsort(inputs, kind="stable")
+        used, starts = np.unique(inputs[order], return_index=True)
         gx = np.add.reduceat(dflat[order], starts, axis=0)
-        scale = np.float32(1 / max(1, len(flat)) ** 0.5)
+        scale = np.float32(1 / max(1, len(inputs)) ** 0.5)
         for k, d in g.items():
             d = np.clip(d * scale, -1, 1)
             self.g2[k] += d * d
