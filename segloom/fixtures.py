@@ -18,6 +18,8 @@ _TURNS = """select media_id, turn, speaker_label,
   cast(greatest(0, min(start_ms) + ((media_id * 7 + turn * 13) % 5 - 2) * 600) as bigint) as start_ms,
   cast(max(end_ms) + ((media_id * 3 + turn * 11) % 5 - 2) * 600 as bigint) as end_ms
   from words_fx group by media_id, turn, speaker_label"""
+#: A document is a medium; its lines, cut at every 20 words, are segments, and a translation is the piece one to three places on, so that both sides have the whole text.
+_PAIR = "doc_id as media_id, i as seg_idx, original_text, text, i * 9000 as start_ms, i * 9000 + 3000 + (doc_id * 37 + i * 1117) % 6000 as end_ms, lang"
 #: name -> (Spark SQL, DuckDB SQL or None for the same, names it reads)
 VIEWS: dict[str, tuple[str, str | None, tuple[str, ...]]] = {
     "toks": (
@@ -28,11 +30,16 @@ VIEWS: dict[str, tuple[str, str | None, tuple[str, ...]]] = {
     "timed": (_TIMED, None, ("toks",)),
     "words_fx": (_WORDS, None, ("timed",)),
     "turns_fx": (_TURNS, None, ("words_fx",)),
-    "pairs_fx": (
-        "select doc_id div 20 as media_id, doc_id % 20 as seg_idx, substr(text, 1, 120) as original_text, substr(text, cast(1 + doc_id % 40 as int), cast(60 + doc_id % 120 as int)) as text, (doc_id % 20) * 9000 as start_ms, (doc_id % 20) * 9000 + 3000 + (doc_id * 37) % 6000 as end_ms, lang from documents",
-        "select doc_id // 20 as media_id, doc_id % 20 as seg_idx, substr(text, 1, 120) as original_text, substr(text, 1 + doc_id % 40, 60 + doc_id % 120) as text, (doc_id % 20) * 9000 as start_ms, (doc_id % 20) * 9000 + 3000 + (doc_id * 37) % 6000 as end_ms, lang from documents",
+    "pieces": (
+        "select doc_id, lang, split(regexp_replace(text, '((?:[^ ]* ){{19}}[^ ]*) ', '$1\\n'), '\\n') as p from documents",
+        "select doc_id, lang, string_split(regexp_replace(text, '((?:[^ ]* ){19}[^ ]*) ', '\\1' || chr(10), 'g'), chr(10)) as p from documents",
         ("documents",),
     ),
+    "pairs_fx": (
+        f"select {_PAIR} from (select doc_id, lang, cast(i as bigint) as i, z.p as original_text, z.q as text from (select *, concat(slice(p, k + 1, size(p)), slice(p, 1, k)) as q from (select *, cast((1 + doc_id % 3) % size(p) as int) as k from pieces) a) b lateral view posexplode(arrays_zip(p, q)) e as i, z) d",
+        f"select {_PAIR} from (select doc_id, lang, unnest(range(0, len(p))) as i, unnest(p) as original_text, unnest(list_concat(p[k + 1 :], p[1 : k])) as text from (select *, (1 + doc_id % 3) % len(p) as k from pieces) a) d",
+        ("pieces",),
+    ),
     "recog_fx": (
         "select item_id as media_id, text as expected, array_join(transform(filter(transform(split(text, ' '), (w, i) -> struct(w, i)), x -> x.i % 7 <> 6), x -> if(x.i % 11 = 5, concat(x.w, 'x'), x.w)), ' ') as recognized from benchmark",
         "select item_id as media_id, text as expected, array_to_string([case when (i - 1) % 11 = 5 then ws[i] || 'x' else ws[i] end for i in range(1, len(ws) + 1) if (i - 1) % 7 <> 6], ' ') as recognized from (select *, string_split(text, ' ') as ws from benchmark) b",

@@ -163,7 +163,7 @@ def candidate_rank(rows: DataFrame, keep: int = 5) -> DataFrame:
     under = F.when(short, over0(0.62 - c, 2.5)).otherwise(over0(1.0 - c, 2.0))
     over = F.when(short, over0(c - 1.0, 2.0)).otherwise(over0(c - 1.3, 2.5))
     score = F.abs(c - F.col("target_char_ratio")) + under + over + over0(0.72 - F.col("token_precision"), 1.6) + over0(0.66 - F.col("word_ratio"), 1.6)
-    r = r.withColumn("score", F.round(score, 4))
+    r = r.withColumn("score", F.round(score * 10000) / 10000)
     rank = F.row_number().over(Window.partitionBy("media_id", "seg_idx").orderBy("score", "cand_idx"))
     return r.withColumn("rank", rank).filter(F.col("rank") <= keep)
 
