@@ -96,7 +96,7 @@ def constraint_check(rows: DataFrame, tolerance: float = 1.05) -> DataFrame:
 
 
 def constraint_summary(checked: DataFrame) -> DataFrame:
-    return checked.groupBy("media_id").agg(F.count(F.lit(1)).alias("segment_count"), F.count_if(~F.col("within_limit")).alias("over_limit_count"), F.count_if(~F.col("within_tolerance")).alias("over_tolerance_count"), F.round(F.avg("ratio"), 4).alias("avg_ratio"), F.max("ratio").alias("max_ratio"))
+    return checked.groupBy("media_id").agg(F.count(F.lit(1)).alias("segment_count"), F.count_if(~F.col("within_limit")).alias("over_limit_count"), F.count_if(~F.col("within_tolerance")).alias("over_tolerance_count"), (F.round(F.avg("ratio") * 10000) / 10000).alias("avg_ratio"), F.max("ratio").alias("max_ratio"))
 
 
 #: Metric -> (good, fair, higher is better).

@@ -212,47 +212,52 @@ def _(fx, spark):
 
 
 def pairs(fx) -> DataFrame:
-    """Pairs of ASCII texts, which both engines' patterns read alike."""
-    return fx("pairs_fx").filter("original_text rlike '^[\\\\x00-\\\\x7F]*$' and text rlike '^[\\\\x00-\\\\x7F]*$'")
+    return fx("pairs_fx")
+
+
+def ascii_pairs(fx) -> DataFrame:
+    """Pairs of ASCII texts, for the queries whose SQL has patterns that read others differently."""
+    return pairs(fx).filter("original_text rlike '^[\\\\x00-\\\\x7F]*$' and text rlike '^[\\\\x00-\\\\x7F]*$'")
 
 
 VIEWS |= {"ascii_q": ("", "select * from pairs_fx where regexp_full_match(original_text, '[\\x00-\\x7F]*') and regexp_full_match(text, '[\\x00-\\x7F]*')", ("pairs_fx",))}
-_P = "select media_id, seg_idx, {} from ascii_q"
+_P = "select media_id, seg_idx, {} from {}"
 _NORM = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
 _CLEAN = _NORM.format("""regexp_replace(text, '[^\\w\\s.,!?;:()"''%\\-]', '', 'g')""")
 
 
-def scalar(name: str, sql: str, fn: Callable, view: str = "ascii_q", source: Callable = pairs) -> None:
+def scalar(name: str, sql: str, fn: Callable, view: str = "pairs_fx") -> None:
     """A query of one expression over the pairs."""
-    query(name, sql if sql.startswith(("select", "with")) else _P.format(sql), view)(lambda fx, spark: source(fx).select("media_id", "seg_idx", *(fn() if isinstance(fn(), list) else [fn()])))
+    query(name, sql if sql.startswith(("select", "with")) else _P.format(sql, view), view)(lambda fx, spark: (ascii_pairs if view == "ascii_q" else pairs)(fx).select("media_id", "seg_idx", *(fn() if isinstance(fn(), list) else [fn()])))
 
 
 c = F.col
 scalar("normalize_spaces", _NORM.format("text") + " as value", lambda: T.normalize_spaces(c("text")).alias("value"))
-scalar("text_signature", _NORM.format("regexp_replace(lower(text), '[^\\w\\s]', ' ', 'g')") + " as value", lambda: T.text_signature(c("text")).alias("value"))
-scalar("clean_spoken_text", _CLEAN + " as value", lambda: T.clean_spoken_text(c("text")).alias("value"))
+scalar("text_signature", _NORM.format("regexp_replace(lower(text), '[^\\w\\s]', ' ', 'g')") + " as value", lambda: T.text_signature(c("text")).alias("value"), "ascii_q")
+scalar("clean_spoken_text", _CLEAN + " as value", lambda: T.clean_spoken_text(c("text")).alias("value"), "ascii_q")
 scalar("dataset_text", _NORM.format("replace(text, '|', ' ')") + " as value", lambda: T.dataset_text(c("text")).alias("value"))
-scalar("word_count", "cast(len(regexp_extract_all(text, '\\w+')) as integer) as n", lambda: T.word_count(c("text")).alias("n"))
+scalar("word_count", "cast(len(regexp_extract_all(text, '\\w+')) as integer) as n", lambda: T.word_count(c("text")).alias("n"), "ascii_q")
 scalar("is_question", "ends_with(trim(text), '?') as value", lambda: T.is_question(c("text")).alias("value"))
 scalar("ends_terminal", "regexp_matches(regexp_replace(trim(text), '[\\s\"'')\\]}]+$', ''), '[.!?]$') as value", lambda: T.ends_terminal(c("text")).alias("value"))
 scalar("ends_continuation", "regexp_matches(regexp_replace(trim(text), '[\\s\"'')\\]}]+$', ''), '[,;:-]$') as value", lambda: T.ends_continuation(c("text")).alias("value"))
-scalar("starts_lower", "regexp_matches(regexp_extract(text, '[A-Za-z]'), '^[a-z]') as value", lambda: T.starts_lower(c("text")).alias("value"))
+scalar("starts_lower", "regexp_matches(regexp_extract(text, '[A-Za-z]'), '^[a-z]') as value", lambda: T.starts_lower(c("text")).alias("value"), "ascii_q")
 _STRIP = "regexp_replace(trim({}), '[\\s\"'')\\]}}]+$', '')"
 _MARK = "case when ends_with({0}, '?') then '?' when ends_with({0}, '!') then '!' else '.' end"
 scalar("preferred_terminal", _MARK.format(_STRIP.format("text")) + " as value", lambda: T.preferred_terminal(c("text")).alias("value"))
 _BASE = f"regexp_replace({_CLEAN}, '[ .,!?:;_-]+$', '')"
-scalar("replace_terminal", f"case when {_BASE} = '' then {_CLEAN} else {_BASE} || '!' end as value", lambda: T.replace_terminal(c("text"), "!").alias("value"))
+scalar("replace_terminal", f"case when {_BASE} = '' then {_CLEAN} else {_BASE} || '!' end as value", lambda: T.replace_terminal(c("text"), "!").alias("value"), "ascii_q")
 scalar(
     "stabilize_text",
     f"""select media_id, seg_idx, case when clean = '' or regexp_matches({_STRIP.format('clean')}, '[.!?]$') or not (regexp_matches({_STRIP.format('original_text')}, '[.!?]$') or seg_idx % 3 = 0) or base = '' then clean else base || {_MARK.format(_STRIP.format('original_text'))} end as value
     from (select *, {_CLEAN} as clean, regexp_replace({_CLEAN}, '[ ,;:-]+$', '') as base from ascii_q) q""",
     lambda: T.stabilize_text(c("text"), c("original_text"), F.lit(""), F.lit(None).cast("long"), F.when(c("seg_idx") % 3 == 0, 300).otherwise(0), F.lit(1)).alias("value"),
+    "ascii_q",
 )
 scalar("retry_variants", "", lambda: F.array_join(T.retry_variants(c("text"), c("original_text"), F.lit(""), F.lit(None).cast("long"), F.lit(0), F.lit(1), F.lit("xtts")), "|").alias("variants"))
 del ORACLE_SQL["retry_variants"]
 scalar("join_segment_text", "case when trim(original_text) = '' then trim(text) when trim(text) = '' then trim(original_text) else trim(original_text) || case when regexp_matches(trim(original_text), '[-/]$') then '' else ' ' end || trim(text) end as value", lambda: T.join_segment_text(c("original_text"), c("text")).alias("value"))
 scalar("extract_numbers", "array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '\\b\\d+(?:[.,]\\d+)?%?\\b'), lambda x: replace(x, ',', '.')))), ',') as value", lambda: F.array_join(F.array_sort(T.extract_numbers(c("text"))), ",").alias("value"))
-scalar("latin_tokens", "array_to_string(regexp_extract_all(text, '\\b[A-Za-z][A-Za-z0-9_.+-]*\\b'), ' ') as value", lambda: F.array_join(T.latin_tokens(c("text")), " ").alias("value"))
+scalar("latin_tokens", "array_to_string(regexp_extract_all(text, '\\b[A-Za-z][A-Za-z0-9_.+-]*\\b'), ' ') as value", lambda: F.array_join(T.latin_tokens(c("text")), " ").alias("value"), "ascii_q")
 scalar("split_config_list", "array_to_string(list_filter(list_transform(regexp_split_to_array(replace(text, ',', ';'), '[|\\n;]'), lambda x: trim(x)), lambda x: x <> ''), '/') as value", lambda: F.array_join(T.split_config_list(F.translate(c("text"), ",", ";")), "/").alias("value"))
 scalar("parse_pairs", "case when trim(left(text, 10)) <> '' and trim(substr(text, 11)) <> '' then trim(left(text, 10)) || '=' || trim(substr(text, 11)) else '' end as value", lambda: F.array_join(F.transform(T.parse_pairs(F.array(F.concat(F.substr(c("text"), F.lit(1), F.lit(10)), F.lit("->"), F.substr(c("text"), F.lit(11))))), lambda p: F.concat_ws("=", p["source"], p["target"])), ",").alias("value"))
 scalar("language_name", "case lang when 'eng' then 'English' else lang end as value", lambda: T.language_name(c("lang")).alias("value"))
@@ -263,12 +268,12 @@ _ASS = "({0} // 360000)::varchar || ':' || lpad(({0} // 6000 % 60)::varchar, 2,
 scalar("ass_time", _ASS.format("cast(round_even(end_ms * 37 / 10.0, 0) as bigint)") + " as value", lambda: T.ass_time(c("end_ms") * 37).alias("value"))
 scalar("soft_target_chars", "cast(greatest(24, round_even((end_ms - start_ms) / 1000.0 * 14.0, 0) + 18) as integer) as n", lambda: T.soft_target_chars(c("end_ms") - c("start_ms")).alias("n"))
 scalar("hard_char_limit", "cast(least(170, greatest(8, floor((end_ms - start_ms) / 1000.0 * 16.0))) as integer) as n", lambda: T.hard_char_limit(c("end_ms") - c("start_ms")).alias("n"))
-scalar("tempo_chain", "cast(case when f > 2 then ceil(log2(f)) when f < 0.5 then ceil(-log2(f)) else 1 end as integer) as n, f as product from (select *, (end_ms - start_ms) / 1500.0 as f from ascii_q) q where true --", lambda: [F.size(T.tempo_chain((c("end_ms") - c("start_ms")) / 1500.0)).alias("n"), F.aggregate(T.tempo_chain((c("end_ms") - c("start_ms")) / 1500.0), F.lit(1.0), lambda a, x: a * x).alias("product")])
-ORACLE_SQL["tempo_chain"] = ORACLE_SQL["tempo_chain"].replace(" -- from ascii_q", "")
-scalar("job_name", "regexp_replace(regexp_replace('My ' || left(text, 20), '[^\\w.-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g') as value", lambda: T.job_name(F.concat(F.lit("/in/video_My "), F.regexp_replace(F.substr(c("text"), F.lit(1), F.lit(20)), "[/.]", ","), F.lit(".mp4"))).alias("value"))
+scalar("tempo_chain", "cast(case when f > 2 then ceil(log2(f)) when f < 0.5 then ceil(-log2(f)) else 1 end as integer) as n, f as product from (select *, (end_ms - start_ms) / 1500.0 as f from pairs_fx) q where true --", lambda: [F.size(T.tempo_chain((c("end_ms") - c("start_ms")) / 1500.0)).alias("n"), F.aggregate(T.tempo_chain((c("end_ms") - c("start_ms")) / 1500.0), F.lit(1.0), lambda a, x: a * x).alias("product")])
+ORACLE_SQL["tempo_chain"] = ORACLE_SQL["tempo_chain"].replace(" -- from pairs_fx", "")
+scalar("job_name", "regexp_replace(regexp_replace('My ' || left(text, 20), '[^\\w.-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g') as value", lambda: T.job_name(F.concat(F.lit("/in/video_My "), F.regexp_replace(F.substr(c("text"), F.lit(1), F.lit(20)), "[/.]", ","), F.lit(".mp4"))).alias("value"), "ascii_q")
 ORACLE_SQL["job_name"] = ORACLE_SQL["job_name"].replace("left(text, 20)", "regexp_replace(left(text, 20), '[/.]', ',', 'g')")
-scalar("format_duration", "case when s >= 60 then floor(s / 60)::int::varchar || 'm ' || lpad(printf('%.1f', s - floor(s / 60) * 60), 4, '0') || 's' else printf('%.1f', s) || 's' end as value from (select *, (end_ms // 7) / 10.0 as s from ascii_q) q --", lambda: T.format_duration(F.floor(c("end_ms") / 7) / 10.0).alias("value"))
-ORACLE_SQL["format_duration"] = ORACLE_SQL["format_duration"].replace(" -- from ascii_q", "")
+scalar("format_duration", "case when s >= 60 then floor(s / 60)::int::varchar || 'm ' || lpad(printf('%.1f', s - floor(s / 60) * 60), 4, '0') || 's' else printf('%.1f', s) || 's' end as value from (select *, (end_ms // 7) / 10.0 as s from pairs_fx) q --", lambda: T.format_duration(F.floor(c("end_ms") / 7) / 10.0).alias("value"))
+ORACLE_SQL["format_duration"] = ORACLE_SQL["format_duration"].replace(" -- from pairs_fx", "")
 _PAIRS = lambda: F.array(F.struct(F.lit("the").alias("source"), F.lit("DER").alias("target")), F.struct(F.lit("of").alias("source"), F.lit("von").alias("target")))
 _REPL = "regexp_replace(regexp_replace({}, '\\bthe\\b', 'DER', 'gi'), '\\bof\\b', 'von', 'gi')"
 scalar("apply_replacements", _REPL.format("text") + " as value", lambda: T.apply_replacements(c("text"), _PAIRS()).alias("value"))
@@ -293,6 +298,7 @@ query("sink_subtitles")(lambda fx, spark: J.subtitle_documents(J.subtitle_cues(s
 VIEWS |= {
     "vec_q": ("", "select a.vec_id as id, list_transform(a.embedding, lambda x: x::double) as a, list_transform(b.embedding, lambda x: x::double) as b from embeddings a join embeddings b on b.vec_id = a.vec_id + 1 where a.vec_id % 2 = 0", ()),
     "rec_q": ("", "select *, regexp_extract_all(lower(expected), '\\w+') as e, regexp_extract_all(lower(recognized), '\\w+') as r from recog_fx where regexp_full_match(expected, '[\\x00-\\x7F]*')", ("recog_fx",)),
+    "every_q": ("", "select *, regexp_extract_all(lower(expected), '\\w+') as e, regexp_extract_all(lower(recognized), '\\w+') as r from recog_fx", ("recog_fx",)),
 }
 
 
@@ -303,7 +309,11 @@ def vec_pairs(fx) -> DataFrame:
 
 
 def recog(fx) -> DataFrame:
-    return fx("recog_fx").filter(r"expected rlike '^[\\x00-\\x7F]*$'")
+    return fx("recog_fx")
+
+
+def ascii_recog(fx) -> DataFrame:
+    return recog(fx).filter(r"expected rlike '^[\\x00-\\x7F]*$'")
 
 
 @query("vector_cosine", "select id, round(list_cosine_similarity(a, b), 4) as cosine from vec_q", "vec_q")
@@ -325,12 +335,12 @@ def _(fx, spark):
 _ANCHOR = "list_filter(range(1, len(r) - 2 + 2), lambda i: r[i : i + 1] = e[len(e) - 1 : len(e)])"
 
 
-@query("suffix_anchor", f"select media_id, len({_ANCHOR}) > 0 as value from rec_q", "rec_q")
+@query("suffix_anchor", f"select media_id, len({_ANCHOR}) > 0 as value from every_q", "every_q")
 def _(fx, spark):
     return recog(fx).select("media_id", V.suffix_anchor(T.word_tokens(c("expected")), T.word_tokens(c("recognized"))).alias("value"))
 
 
-@query("extra_trailing", f"select media_id, len(e) > len(r) and coalesce(len(e) - (list_max({_ANCHOR.replace('len(r)', 'len(e)').replace('r[', 'e[').replace('e[len(e) - 1 : len(e)]', 'r[len(r) - 1 : len(r)]')}) + 1) > 0, false) as value from rec_q", "rec_q")
+@query("extra_trailing", f"select media_id, len(e) > len(r) and coalesce(len(e) - (list_max({_ANCHOR.replace('len(r)', 'len(e)').replace('r[', 'e[').replace('e[len(e) - 1 : len(e)]', 'r[len(r) - 1 : len(r)]')}) + 1) > 0, false) as value from every_q", "every_q")
 def _(fx, spark):
     return recog(fx).select("media_id", V.extra_trailing(T.word_tokens(c("recognized")), T.word_tokens(c("expected"))).alias("value"))
 
@@ -339,7 +349,7 @@ def _(fx, spark):
   (select a.media_id, sum(least(a.k, b.k)) as n from (select media_id, w, count(*) as k from (select media_id, unnest(e) as w from rec_q) x group by all) a join (select media_id, w, count(*) as k from (select media_id, unnest(r) as w from rec_q) x group by all) b on a.media_id = b.media_id and a.w = b.w group by a.media_id) o on q.media_id = o.media_id""", "rec_q")
 def _(fx, spark):
     o = V.token_overlap(T.word_tokens(c("expected")), T.word_tokens(c("recognized")))
-    return recog(fx).select("media_id", o["overlap"].alias("overlap"), F.round(o["recall"], 6).alias("recall"), F.round(o["precision"], 6).alias("precision"))
+    return ascii_recog(fx).select("media_id", o["overlap"].alias("overlap"), F.round(o["recall"], 6).alias("recall"), F.round(o["precision"], 6).alias("precision"))
 
 
 @query("sequence_ratio")
@@ -354,7 +364,7 @@ def _(fx, spark):
 
 @query("wer_cer", """select media_id, round(cer, 6) as cer from (select media_id, levenshtein(trim(expected), trim(recognized)) / greatest(1, length(trim(expected))) as cer from rec_q) q""", "rec_q")
 def _(fx, spark):
-    return Q.wer_cer(recog(fx).withColumnRenamed("expected", "reference")).select("media_id", F.round("cer", 6).alias("cer"))
+    return Q.wer_cer(ascii_recog(fx).withColumnRenamed("expected", "reference")).select("media_id", F.round("cer", 6).alias("cer"))
 
 
 @query("wer")
@@ -521,8 +531,8 @@ def _(fx, spark):
 VIEWS |= {"cand_q": ("", "select media_id, seg_idx, original_text, i as cand_idx, left(text, cast(length(text) * (4 - i) // 4 as bigint)) as candidate, end_ms - start_ms as current_ms, 4000 as target_ms from ascii_q, unnest(range(0, 3)) t(i)", ("ascii_q",))}
 
 
-def candidates(fx) -> DataFrame:
-    p = pairs(fx).withColumn("cand_idx", F.explode(F.sequence(F.lit(0), F.lit(2)).cast("array<bigint>")))
+def candidates(p: DataFrame) -> DataFrame:
+    p = p.withColumn("cand_idx", F.explode(F.sequence(F.lit(0), F.lit(2)).cast("array<bigint>")))
     cut = F.floor(F.length("text") * (4 - c("cand_idx")) / 4).cast("int")
     return p.select("media_id", "seg_idx", "original_text", "cand_idx", F.substr(c("text"), F.lit(1), cut).alias("candidate"), (c("end_ms") - c("start_ms")).alias("current_ms"), F.lit(4000).alias("target_ms"), F.lit("shorter").alias("mode"))
 
@@ -532,12 +542,12 @@ def candidates(fx) -> DataFrame:
   s as (select *, round(abs(cr - tr) + greatest(0.0, 0.62 - cr) * 2.5 + greatest(0.0, cr - 1.0) * 2.0 + greatest(0.0, 0.72 - tp) * 1.6 + greatest(0.0, 0.66 - wr) * 1.6, 4) as score from p)
   select media_id, seg_idx, cand_idx, score, cast(row_number() over (partition by media_id, seg_idx order by score, cand_idx) as integer) as rank from s""", "cand_q")
 def _(fx, spark):
-    return M.candidate_rank(candidates(fx)).select("media_id", "seg_idx", "cand_idx", "score", "rank")
+    return M.candidate_rank(candidates(ascii_pairs(fx))).select("media_id", "seg_idx", "cand_idx", "score", "rank")
 
 
 @query("rewrite_gate")
 def _(fx, spark):
-    r = candidates(fx).select("media_id", "seg_idx", "cand_idx", c("original_text").alias("source"), c("candidate").alias("rewritten"), "mode", c("current_ms").alias("baseline_ms"), F.floor(c("current_ms") * 0.8).alias("rewritten_ms"), "target_ms", F.lit(0.95).alias("baseline_score"), (0.85 + c("seg_idx") % 3 * 0.05).alias("rewritten_score"), (c("seg_idx") % 7 == 0).alias("has_extra_tail"), (c("seg_idx") % 5 > 0).alias("has_suffix"))
+    r = candidates(pairs(fx)).select("media_id", "seg_idx", "cand_idx", c("original_text").alias("source"), c("candidate").alias("rewritten"), "mode", c("current_ms").alias("baseline_ms"), F.floor(c("current_ms") * 0.8).alias("rewritten_ms"), "target_ms", F.lit(0.95).alias("baseline_score"), (0.85 + c("seg_idx") % 3 * 0.05).alias("rewritten_score"), (c("seg_idx") % 7 == 0).alias("has_extra_tail"), (c("seg_idx") % 5 > 0).alias("has_suffix"))
     return M.rewrite_gate(r).select("media_id", "seg_idx", "cand_idx", "accepted", "reject_reason", F.round("text_similarity", 4).alias("text_similarity"))
 
 
@@ -564,18 +574,18 @@ def terms() -> Column:
 @query("translation_qa_issues", "select media_id, seg_idx, array_to_string(issues, ',') as issues, round(cr, 3) as char_ratio, round(tr, 3) as target_ratio, soft as soft_target, array_to_string(missing, ',') as missing_numbers, array_to_string(latin, ',') as latin_words from qa_q where len(issues) > 0", "qa_q")
 def _(fx, spark):
     flat = lambda n: F.array_join(n, ",").alias(n)
-    return Q.translation_qa_issues(pairs(fx), terms()).select("media_id", "seg_idx", flat("issues"), "char_ratio", "target_ratio", "soft_target", flat("missing_numbers"), flat("latin_words"))
+    return Q.translation_qa_issues(ascii_pairs(fx), terms()).select("media_id", "seg_idx", flat("issues"), "char_ratio", "target_ratio", "soft_target", flat("missing_numbers"), flat("latin_words"))
 
 
 @query("translation_qa_summary", """select media_id, count(*) as translated_count, count(*) filter (len(issues) > 0) as issue_count, count(*) filter (list_contains(issues, 'empty_translation')) as empty_count, count(*) filter (list_contains(issues, 'high_char_ratio')) as high_char_ratio_count, count(*) filter (list_contains(issues, 'over_timing_soft_limit')) as over_timing_soft_limit_count,
   count(*) filter (list_contains(issues, 'missing_number')) as missing_number_count, count(*) filter (list_contains(issues, 'latin_word_in_translation')) as latin_word_count, round(avg(cr), 4) as mean_char_ratio, round(avg(tr), 4) as mean_target_ratio from qa_q group by media_id""", "qa_q")
 def _(fx, spark):
-    return Q.translation_qa_summary(pairs(fx), terms())
+    return Q.translation_qa_summary(ascii_pairs(fx), terms())
 
 
 @query("latin_leaks", "select media_id, seg_idx, array_to_string(latin, ',') as words from qa_q", "qa_q")
 def _(fx, spark):
-    return pairs(fx).select("media_id", "seg_idx", F.array_join(Q.latin_leaks(T.normalize_spaces(c("text")), terms()), ",").alias("words"))
+    return ascii_pairs(fx).select("media_id", "seg_idx", F.array_join(Q.latin_leaks(T.normalize_spaces(c("text")), terms()), ",").alias("words"))
 
 
 @query("positional_pairs", """with own as (select media_id, row_number() over (partition by media_id order by seg_idx) - 1 as n, trim(original_text) as source, trim(text) as target from pairs_fx where media_id % 2 = 0 and trim(original_text) <> '' and trim(text) <> ''),
@@ -587,7 +597,7 @@ def _(fx, spark):
     return Q.positional_pairs(p.filter("seg_idx < 15").select("media_id", "seg_idx", c("original_text").alias("text")), t).select("media_id", c("n").cast("long").alias("n"), "source", "target")
 
 
-VIEWS |= {"con_q": ("", "select media_id, seg_idx, cast(least(170, greatest(8, floor((end_ms - start_ms) / 1000.0 * 16.0))) as integer) as max_chars, cast(length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as integer) as actual_chars from ascii_q", ("ascii_q",))}
+VIEWS |= {"con_q": ("", "select media_id, seg_idx, cast(least(170, greatest(8, floor((end_ms - start_ms) / 1000.0 * 16.0))) as integer) as max_chars, cast(length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as integer) as actual_chars from pairs_fx", ("pairs_fx",))}
 
 
 @query("constraint_check", "select *, round(actual_chars / max_chars, 3) as ratio, actual_chars <= max_chars as within_limit, actual_chars <= floor(max_chars * 1.05) as within_tolerance from con_q", "con_q")
@@ -973,5 +983,5 @@ def _(fx, spark):
 def _(fx, spark):
     from . import streaming
 
-    i = Q.translation_qa_issues(pairs(fx), terms()).select("media_id", "seg_idx", "issues").join(pairs(fx).select("media_id", "seg_idx", "start_ms"), ["media_id", "seg_idx"])
+    i = Q.translation_qa_issues(ascii_pairs(fx), terms()).select("media_id", "seg_idx", "issues").join(ascii_pairs(fx).select("media_id", "seg_idx", "start_ms"), ["media_id", "seg_idx"])
     return _streamed(spark, i.select(F.timestamp_millis(c("start_ms") * 10).alias("at"), "issues"), "issues", streaming.qa_counts)

@@ -13,3 +13,26 @@ def test_pairs_hold_whole_texts(spark, sf):
     assert max(map(len, texts.values())) > 10_000
     assert {k: flat(" ".join(a for a, _ in v)) for k, v in pieces.items()} == {k: flat(x) for k, x in texts.items()}
     assert all(sorted(a for a, _ in v) == sorted(b for _, b in v) for v in pieces.values())
+
+
+def test_rows_of_all_languages(spark, sf):
+    """Rows with other than ASCII characters are there, with the values of a plain version."""
+    import re
+    from difflib import SequenceMatcher
+
+    from segloom.queries import QUERIES
+
+    pairs = {(r.media_id, r.seg_idx): r.text for r in fixture(spark, sf, "pairs_fx").collect()}
+    assert not all(x.isascii() for x in pairs.values())
+    got = {(r.media_id, r.seg_idx): r.value for r in QUERIES["normalize_spaces"](spark, sf).collect()}
+    assert got == {k: " ".join(x.split()) for k, x in pairs.items()}
+    for name in ("retry_variants", "segment_payload_json", "clean_model_answer", "extract_candidates", "constraint_check", "normalize_translation"):
+        assert QUERIES[name](spark, sf).count() == len(pairs), name
+    assert QUERIES["rewrite_gate"](spark, sf).count() == 3 * len(pairs)
+    recog = {r.media_id: r for r in fixture(spark, sf, "recog_fx").collect()}
+    assert not all(r.expected.isascii() for r in recog.values())
+    words = lambda x: " ".join(re.findall(r"\w+", x.lower()))
+    got = {r.media_id: r.ratio for r in QUERIES["sequence_ratio"](spark, sf).collect()}
+    assert got == {k: round(SequenceMatcher(None, words(r.expected), words(r.recognized)).ratio(), 6) for k, r in recog.items()}
+    for name in ("wer", "recognition_score", "suffix_anchor", "extra_trailing"):
+        assert QUERIES[name](spark, sf).count() == len(recog), name
