@@ -280,7 +280,7 @@ scalar("apply_replacements", _REPL.format("text") + " as value", lambda: T.apply
 _TIDY = "regexp_replace(regexp_replace(regexp_replace(" + _NORM.format("text") + ", '\\s+([,.;:!?])', '\\1', 'g'), '([(\\[{{])\\s+', '\\1', 'g'), '\\s+([)\\]}}])', '\\1', 'g')"
 scalar("normalize_translation", "trim(" + _REPL.format(_TIDY.replace("{{", "{").replace("}}", "}")) + ") as value", lambda: T.normalize_translation(c("text"), c("original_text"), _PAIRS()).alias("value"))
 scalar("clean_model_answer", "", lambda: T.clean_model_answer(F.concat(F.lit("```json\n{\"translation\": \"Translation: "), F.regexp_replace(c("text"), '["\\\\\\x00-\\x1f]', " "), F.lit("\"}\n```"))).alias("value"))
-scalar("parse_answer_json", "", lambda: T.parse_answer_json(F.concat(F.lit("<think>hm</think>```json [{\"id\": 0}] ```"), F.lit(""))).alias("value"))
+scalar("parse_answer_json", "", lambda: T.parse_answer_json(F.concat(F.lit("<think>"), c("original_text"), F.lit("</think>```json "), F.to_json(F.array(F.struct(c("seg_idx").alias("id"), c("text")))), F.lit(" ```"))).alias("value"))
 scalar("extract_candidates", "", lambda: F.array_join(T.extract_candidates(F.concat(F.lit("- "), F.trim(c("text")), F.lit("\n- "), F.upper(F.trim(c("text"))), F.lit("\n- other"))), "|").alias("value"))
 for _n in ("clean_model_answer", "parse_answer_json", "extract_candidates"):
     del ORACLE_SQL[_n]
@@ -423,7 +423,7 @@ _frame_scalar("segment_target_level", "round(case when frame_idx % 10 / 10.0 < 0
 
 
 @query("timeline_overlay", """with e as (select user_id as media_id, row_number() over (partition by user_id order by ts, event_id) - 1 as n, cast(floor(value * 200) as bigint) as v from events),
-  a as (select media_id, n * 7 + i as frame, greatest(-32768, least(32767, sum(v))) as a from e, unnest(range(0, 10)) t(i) group by all), o as (select media_id, n * 7 + i as frame from e, unnest(range(0, 10)) t(i) where n % 10 = 0 and n < 100),
+  a as (select media_id, n * 7 + i as frame, greatest(-32768, least(32767, sum(v))) as a from e, unnest(range(0, 10)) t(i) group by all), o as (select media_id, n * 7 + i as frame from e, unnest(range(0, 3)) t(i)),
   k as (select media_id, max(frame) as m from a group by media_id) select k.media_id, t.frame, cast(case when o.frame is not null then 5 else coalesce(a.a, 0) end as bigint) as value
   from k, unnest(range(0, m + 1)) t(frame) left join a on a.media_id = k.media_id and a.frame = t.frame left join o on o.media_id = k.media_id and o.frame = t.frame""")
 def _(fx, spark):
@@ -431,7 +431,7 @@ def _(fx, spark):
 
     e = fx("events").select(c("user_id").alias("media_id"), (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("long").alias("n"), F.floor(c("value") * 200).cast("int").alias("v"))
     put = e.select("media_id", (c("n") * 7).alias("start_frame"), F.array_repeat("v", 10).alias("values"))
-    over = e.filter("n % 10 = 0 and n < 100").select("media_id", (c("n") * 7).alias("start_frame"), F.array_repeat(F.lit(5), 10).alias("values"))
+    over = e.select("media_id", (c("n") * 7).alias("start_frame"), F.array_repeat(F.lit(5), 3).alias("values"))
     return A.timeline_overlay(put, over)
 
 
@@ -589,12 +589,12 @@ def _(fx, spark):
 
 
 @query("positional_pairs", """with own as (select media_id, row_number() over (partition by media_id order by seg_idx) - 1 as n, trim(original_text) as source, trim(text) as target from pairs_fx where media_id % 2 = 0 and trim(original_text) <> '' and trim(text) <> ''),
-  a as (select media_id, row_number() over (partition by media_id order by seg_idx) - 1 as n, trim(original_text) as source from pairs_fx where trim(original_text) <> '' and seg_idx < 15), b as (select media_id, row_number() over (partition by media_id order by seg_idx) - 1 as n, trim(text) as target from pairs_fx where trim(text) <> '')
+  a as (select media_id, row_number() over (partition by media_id order by seg_idx) - 1 as n, trim(original_text) as source from pairs_fx where trim(original_text) <> ''), b as (select media_id, row_number() over (partition by media_id order by seg_idx) - 1 as n, trim(text) as target from pairs_fx where trim(text) <> '')
   select media_id, n, source, target from own union all select a.media_id, a.n, source, target from a join b on a.media_id = b.media_id and a.n = b.n where a.media_id not in (select media_id from own)""", "pairs_fx")
 def _(fx, spark):
     p = fx("pairs_fx")
     t = p.withColumn("original_text", F.when(c("media_id") % 2 == 0, c("original_text")).otherwise(""))
-    return Q.positional_pairs(p.filter("seg_idx < 15").select("media_id", "seg_idx", c("original_text").alias("text")), t).select("media_id", c("n").cast("long").alias("n"), "source", "target")
+    return Q.positional_pairs(p.select("media_id", "seg_idx", c("original_text").alias("text")), t).select("media_id", c("n").cast("long").alias("n"), "source", "target")
 
 
 VIEWS |= {"con_q": ("", "select media_id, seg_idx, cast(least(170, greatest(8, floor((end_ms - start_ms) / 1000.0 * 16.0))) as integer) as max_chars, cast(length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as integer) as actual_chars from pairs_fx", ("pairs_fx",))}
@@ -707,7 +707,7 @@ def _(fx, spark):
 
 @query("route_references")
 def _(fx, spark):
-    return C.route_references(C.segment_clip_score(segs(fx), clip_table(fx))).select("media_id", "seg_idx", "pool", F.array_join("paths", ",").alias("paths"))
+    return C.route_references(C.segment_clip_score(segs(fx), chosen(fx).withColumn("path", F.concat(F.lit("clip_"), c("source_index").cast("string"))))).select("media_id", "seg_idx", "pool", F.array_join("paths", ",").alias("paths"))
 
 
 @query("routing_eligible", f"select media_id, cast(seg_idx as bigint) as seg_idx, greatest(200, end_ms - start_ms) between 900 and 2200 and {_WC.format('text')} >= 3 as eligible from segs_q", "segs_q")

@@ -36,3 +36,35 @@ def test_rows_of_all_languages(spark, sf):
     assert got == {k: round(SequenceMatcher(None, words(r.expected), words(r.recognized)).ratio(), 6) for k, r in recog.items()}
     for name in ("wer", "recognition_score", "suffix_anchor", "extra_trailing"):
         assert QUERIES[name](spark, sf).count() == len(recog), name
+
+
+def test_references_are_of_chosen_clips(spark, sf):
+    from segloom.queries import QUERIES
+
+    clips = {(r.media_id, r.pool, f"clip_{r.source_index}") for n in ("select_reference_clips", "select_routing_clips") for r in QUERIES[n](spark, sf).collect()}
+    segments = {(r.media_id, r.seg_idx) for r in QUERIES["pause_segments"](spark, sf).collect()}
+    got = QUERIES["route_references"](spark, sf).collect()
+    assert {(r.media_id, r.pool, p) for r in got for p in r.paths.split(",")} <= clips
+    media = {m for m, _, _ in clips}
+    assert sorted((r.media_id, r.seg_idx) for r in got) == sorted(s for s in segments if s[0] in media)
+
+
+def test_answers_are_of_each_row(spark, sf):
+    import json
+
+    from segloom.queries import QUERIES
+
+    pairs = {(r.media_id, r.seg_idx): r.text for r in fixture(spark, sf, "pairs_fx").collect()}
+    got = {(r.media_id, r.seg_idx): r.value for r in QUERIES["parse_answer_json"](spark, sf).collect()}
+    assert got.keys() == pairs.keys()
+    plain = {k for k, x in pairs.items() if "```" not in x and "<think>" not in x}
+    assert plain and all(json.loads(got[k]) == [{"id": k[1], "text": pairs[k]}] for k in plain)
+
+
+def test_overlays_of_all_events(spark, sf):
+    """Each event lays three frames over the mix, the first at every seventh."""
+    from segloom.queries import QUERIES
+
+    n = spark.read.parquet(f"{sf}/events.parquet").count()
+    got = QUERIES["timeline_overlay"](spark, sf).filter("value = 5 and frame % 7 = 0").count()
+    assert got >= n
