@@ -13,6 +13,7 @@ MOST_WORDS words. Repeated rows and null doc_ids are rows of their own. Empty ta
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -113,7 +114,7 @@ class Scanner:
                     if w in places:
                         places[w].append(i)
             # A match may lack some of the words: the rarest that can't all be missing together are looked at.
-            missing = int(len(t) * (1 - self.min_coverage)) + 1
+            missing = len(t) - math.ceil(self.min_coverage * len(t) - 1e-9) + 1
             by_rarity = sorted(dict.fromkeys(w for w in t if w in there), key=lambda w: (len(places[w]), w))
             starts = sorted({i for w in by_rarity[:missing] for i in places[w]})
             reach, end = int(len(t) / self.min_density) + 1, -1
@@ -122,6 +123,10 @@ class Scanner:
                     continue
                 low = max(end, i - reach, 0)
                 hit = self._best(name, t, text, low, min(len(text), i + reach))
+                if not hit:  # two copies in the window leave no unique words: one template's reach, where the word's places put it
+                    for q in (q for q, w in enumerate(t) if w == text[i]):
+                        if hit := self._best(name, t, text, max(end, i - q, 0), min(len(text), i - q + len(t))):
+                            break
                 if hit:
                     found.append(hit)
                     end = hit[2]
