@@ -153,7 +153,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = 13, block_words
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    merged = every.groupBy("_row").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.sum("n_items").alias("n_items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = every.groupBy("_row").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = merged.withColumn("n_items", F.size("items").cast("long"))
     # Overlapping spans of different blocks: count each word once.
     merged = merged.withColumn("n_hit", F.expr("aggregate(array_sort(spans), named_struct('n', 0L, 'e', 0L), (a, s) -> named_struct('n', a.n + greatest(0L, s.last - greatest(a.e, s.first)), 'e', greatest(a.e, s.last)), a -> a.n)"))
     return rows.join(merged, "_row").select("doc_id", "n_words", "n_hit", "n_items", "items", "spans", *keep)

@@ -10,3 +10,13 @@ def test_licenses_without_a_word_and_close_together():
     assert [(f[1], f[2], f[3]) for f in scan(lacks)] == [(40, 44, 0.8)]
     twice = words(f"{filler} {TEMPLATES['mit-line']} {TEMPLATES['mit-line']} {filler}".encode())
     assert [(f[1], f[2], f[3]) for f in scan(twice)] == [(40, 45, 1.0), (45, 50, 1.0)]
+
+
+def test_items_of_two_blocks_count_once(spark):
+    from segloom.llm.winnow import decontaminate
+
+    one, two = (" ".join(f"{k}{i}" for i in range(20)) for k in "ab")
+    docs = spark.createDataFrame([(1, f"{one} and {two}")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, one), (7, two)], "item_id long, text string")
+    got = {n: [(r.n_items, r.items, r.n_hit) for r in decontaminate(docs, items, block_words=n).collect()] for n in (1, 1000)}
+    assert got[1] == got[1000] == [(1, ["7"], 40)]
