@@ -939,14 +939,18 @@ def _(fx, spark):
     return listed.select(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("folder"))
 
 
+def profile_documents(supplier: DataFrame, most: int = 1000) -> DataFrame:
+    """Files of at most `most` profiles each, by ranges of the key."""
+    one = supplier.select(F.floor(c("s_suppkey") / most).alias("media_id"), F.concat(F.lit("S"), c("s_suppkey").cast("string")).alias("k"), F.struct(c("s_nationkey").alias("nation")).alias("v"))
+    return one.groupBy("media_id").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("profiles"))).alias("document"))
+
+
 @query("scan_profiles", "select lower('S' || s_suppkey::varchar) as profile, '{\"nation\":' || s_nationkey::varchar || '}' as settings from supplier")
 def _(fx, spark):
     from .sources import transcripts as R
 
-    one = fx("supplier").select(F.concat(F.lit("S"), c("s_suppkey").cast("string")).alias("k"), F.struct(c("s_nationkey").alias("nation")).alias("v"))
-    body = one.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("profiles"))).alias("value"))
-    body.write.text(folder := R.shared_folder(spark, "profiles"))
-    return R.read_profiles(spark, folder)
+    R.write_documents(profile_documents(fx("supplier")), folder := R.shared_folder(spark, "profiles"))
+    return R.read_profiles(spark, f"{folder}/*/*.txt")
 
 
 @query("scan_run_metrics", "select 'job_' || s_suppkey::varchar as job_name, '{\"wer\":' || (s_suppkey % 7)::varchar || '}' as metrics, '{}' as tts_config from supplier")

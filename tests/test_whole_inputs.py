@@ -68,3 +68,13 @@ def test_overlays_of_all_events(spark, sf):
     n = spark.read.parquet(f"{sf}/events.parquet").count()
     got = QUERIES["timeline_overlay"](spark, sf).filter("value = 5 and frame % 7 = 0").count()
     assert got >= n
+
+
+def test_profiles_are_in_files_of_bounded_size(spark):
+    import json
+
+    from segloom.queries import profile_documents
+
+    got = [json.loads(r.document)["profiles"] for r in profile_documents(spark.range(2500).selectExpr("id as s_suppkey", "id % 25 as s_nationkey")).collect()]
+    assert sorted(map(len, got)) == [500, 1000, 1000]
+    assert {k: v["nation"] for p in got for k, v in p.items()} == {f"S{i}": i % 25 for i in range(2500)}
