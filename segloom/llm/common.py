@@ -51,6 +51,17 @@ def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+_kept: dict = {}
+
+
+def kept(name: object, make):
+    """What `make` gives, kept in this Python worker for its next tasks; whatever was kept under another name is let go, so that operators don't pile up their tables in one worker."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
 class WordHashes(dict):
     """word bytes -> 64-bit hash; forgets everything at `limit` words, so its memory is bounded."""
 

@@ -1,8 +1,9 @@
 """Token-ID output: Arrow files whose batches hold fixed-size lists, so that any sequence is found by arithmetic and read without a copy.
 
 Each shard file has two columns, `ids` (fixed-size list of uint16, or of uint32 for vocabularies above 65,536) and `mask`
-(fixed-size list of bool; false pads the last sequence). A shard's documents are one stream of ids, cut into rows of
-`seq_len`; every batch but the last has the same number of rows. The documents' places are in an index table.
+(fixed-size list of uint8 that holds one bit a place, the first in the lowest bit; 0 pads the last sequence). Both are read as
+views of the mapped file. A shard's documents are one stream of ids, cut into rows of `seq_len`, a multiple of 8; every batch
+but the last has the same number of rows. The documents' places are in an index table.
 
 Null texts count as empty; an empty text gives the end id alone. Null doc_ids sort first. Repeated rows are kept, each with
 ids of its own; ties in doc_id follow the text's hash. An empty table gives no shard and no rows. Other columns are ignored.
@@ -10,65 +11,109 @@ ids of its own; ties in doc_id follow the text's hash. An empty table gives no s
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import file_system, rows_out, shared_folder, table
+from .common import file_system, kept, rows_out, shared_folder, table
 
 #: Unicode's white space, as the pre-tokenizer's pattern has it.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿА-яЁё"
 #: Cuts only where the byte-level pre-tokenizer also cuts: a piece is a union of whole pre-tokens, so equal pieces have equal ids.
-PIECES = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+#: Letters before white space, the end or a mark that isn't an apostrophe are one pre-token.
+WORD = f" ?[{LETTERS}]++(?![^{SPACE}.,;:!?)])"
+PIECES = re.compile(f"{WORD}| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+IS_WORD = re.compile(f" ?[{LETTERS}]+").fullmatch
 BATCH_ROWS = 1024
 #: So many texts are encoded at a time.
 TEXTS = 256
 
 
+def byte_alphabet() -> dict[int, str]:
+    """Byte -> the character that stands for it in byte-level vocabularies: itself if printable, else the next one from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class PieceEncoder(dict):
-    """Piece of text -> its ids as bytes; the tokenizer sees new pieces once, many at a time. Forgets everything at `limit` pieces."""
+    """Piece of text -> its ids as bytes; the tokenizer sees new pieces once, many at a time. Forgets everything when pieces of `most` bytes, with what holding them costs, are there.
+
+    Pieces of letters alone are one pre-token, so they go to the tokenizer's model in its byte alphabet and without its
+    pre-tokenizer, all in one call; where a piece's ids end follows from the lengths of their tokens. `word` is None for
+    tokenizers that are not byte-level ones as this takes for granted: they get every piece as it is.
+    """
 
-    def __init__(self, tokenizer_path: str, limit: int = 1_200_000):
-        from tokenizers import Tokenizer
+    def __init__(self, tokenizer_path: str, most: int = 96_000_000):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__()
-        self.tokenizer, self.limit = Tokenizer.from_file(tokenizer_path), limit
+        self.tokenizer, self.most, self.held = Tokenizer.from_file(tokenizer_path), most, 0
         #: Texts that spell a special token are left to the tokenizer as a whole: it cuts them at that token first.
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        kind = json.loads(self.tokenizer.to_str())
+        pre, self.word = kind["pre_tokenizer"] or {}, None
+        if (pre.get("type"), pre.get("add_prefix_space"), pre.get("use_regex"), kind["normalizer"], kind["model"].get("type")) == ("ByteLevel", False, True, None, "BPE"):
+            self.alphabet = byte_alphabet()
+            self.word = Tokenizer.from_file(tokenizer_path)
+            self.word.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(self.alphabet[10])  # no piece of letters holds a line feed
+            self.size = np.zeros(self.word.get_vocab_size(), np.int64)
+            for token, i in self.word.get_vocab().items():
+                self.size[i] = len(token)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
+        if self.held > self.most:
+            self.clear()
+            self.held = 0
         whole = {i for i, t in enumerate(texts) if any(x in t for x in self.special)}
         pieces = [() if i in whole else PIECES.findall(t) for i, t in enumerate(texts)]
-        new = [p for p in set(chain.from_iterable(pieces)) if p not in self]
-        if len(self) + len(new) > self.limit:
-            self.clear()
-            new = list(set(chain.from_iterable(pieces)))
-        encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        self.update(zip(new, (np.array(e.ids, self.dtype).tobytes() for e in encoded)))
-        return [self.one(texts[i]) if i in whole else b"".join(map(self.__getitem__, p)) for i, p in enumerate(pieces)]
+        flat = list(chain.from_iterable(pieces))
+        ids = list(map(self.get, flat))
+        new = [i for i, x in enumerate(ids) if x is None]
+        self.learn(list({flat[i] for i in new}))
+        for i in new:
+            ids[i] = self[flat[i]]
+        ends = list(accumulate(map(len, pieces)))
+        return [self.one(texts[i]) if i in whole else b"".join(ids[a:b]) for i, (a, b) in enumerate(zip([0, *ends], ends))]
+
+    def learn(self, new: list[str]) -> None:
+        plain = list(map(IS_WORD, new)) if self.word else [None] * len(new)
+        words, others = [p for p, yes in zip(new, plain) if yes], [p for p, yes in zip(new, plain) if not yes]
+        if words:
+            joined = "\n".join(words).encode().decode("latin-1").translate(self.alphabet)
+            ids = np.array(self.word.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.dtype)
+            lengths = np.fromiter(map(len, joined.split(self.alphabet[10])), np.int64, len(words))
+            ends = (np.searchsorted(np.cumsum(self.size[ids]), np.cumsum(lengths)) + 1) * self.dtype.itemsize
+            raw, ends = ids.tobytes(), ends.tolist()
+            self.update(zip(words, [raw[a:b] for a, b in zip([0, *ends], ends)]))
+            self.held += len(joined) + len(raw)
+        if others:
+            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+            raw = np.array(list(chain.from_iterable(encoded)), self.dtype).tobytes()
+            ends = [n * self.dtype.itemsize for n in accumulate(map(len, encoded))]
+            self.update(zip(others, [raw[a:b] for a, b in zip([0, *ends], ends)]))
+            self.held += sum(map(len, others)) + len(raw)
+        self.held += 190 * len(new)
 
     def one(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
 
-_encoders: dict[str, PieceEncoder] = {}
-
-
 def encoder(path: str) -> PieceEncoder:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    return kept(("pieces", path), lambda: PieceEncoder(path))
 
 
 class ShardWriter:
@@ -77,9 +122,11 @@ class ShardWriter:
     def __init__(self, uri: str, dtype: np.dtype, seq_len: int):
         self.fs, self.path = file_system(uri)
         self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
+        if seq_len % 8:
+            raise ValueError("seq_len is no multiple of 8")
         self.tmp, self.seq_len, self.dtype = f"{self.path}.{uuid.uuid4().hex}.tmp", seq_len, dtype
         kind = pa.from_numpy_dtype(dtype)
-        self.schema = pa.schema([("ids", pa.list_(kind, seq_len)), ("mask", pa.list_(pa.bool_(), seq_len))])
+        self.schema = pa.schema([("ids", pa.list_(kind, seq_len)), ("mask", pa.list_(pa.uint8(), seq_len // 8))])
         self.sink = self.fs.open_output_stream(self.tmp)
         self.out = pa.ipc.new_file(self.sink, self.schema)
         self.held, self.n = bytearray(), 0
@@ -96,7 +143,8 @@ class ShardWriter:
         mask = np.ones(len(ids) + pad, bool)
         mask[len(ids) :] = False
         ids = np.concatenate([ids, np.zeros(pad, self.dtype)]) if pad else ids
-        columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.seq_len) for x in (ids, mask)]
+        bits = np.packbits(mask, bitorder="little")
+        columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), n) for x, n in ((ids, self.seq_len), (bits, self.seq_len // 8))]
         self.out.write_batch(pa.record_batch(columns, schema=self.schema))
         self.n += len(ids) - pad
 
@@ -124,10 +172,14 @@ class TokenFile:
         return self.last[1]
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """ids (a view of the file) and mask of row i."""
-        b, at = self._batch(i // BATCH_ROWS), i % BATCH_ROWS * self.seq_len
-        mask = b.column("mask").flatten().slice(at, self.seq_len).to_numpy(zero_copy_only=False)
-        return b.column("ids").flatten().to_numpy()[at : at + self.seq_len], mask
+        """ids and mask bits of row i, both views of the file; np.unpackbits(mask, bitorder="little") gives a number a place."""
+        b, at = self._batch(i // BATCH_ROWS), i % BATCH_ROWS
+        views = []
+        for name in ("ids", "mask"):
+            column = b.column(name)
+            n = column.type.list_size
+            views.append(column.flatten().to_numpy()[at * n : (at + 1) * n])
+        return views[0], views[1]
 
     def stream(self, start: int, n: int) -> np.ndarray:
         """n ids from place `start` of the shard's stream; a view unless the run crosses batches."""
