@@ -3,7 +3,7 @@
 A text is a set of weighted terms: its words (A-Z lower-cased, split at ASCII white space), each weighing its count times its
 length in bytes, so that long, telling words weigh more than short ones. For each of SAMPLES samples and each term, two
 gamma(2, 1) variables and a uniform one, drawn from the term's hash, pick a level of the weight; the term with the least value
-gives the sample (term, level). Two texts agree in a sample with the probability of their generalised Jaccard similarity,
+gives the sample (term, level). Minima run over blocks of terms, so a text's vocabulary may be of any size. Two texts agree in a sample with the probability of their generalised Jaccard similarity,
 sum of least weights over sum of largest. Each sample keeps 16 bits of its hash.
 
 Equal texts have equal fingerprints. Texts without words (null, empty, white space) have one term of their own: they are alike
@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,39 +25,60 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, in_parts, mix, rows_out, shuffle_partitions, table
+from .common import LOWER, in_parts, kept, mix, rows_out, shuffle_partitions, table
 
 SAMPLES = 64
+#: Terms of a text are looked at in blocks of so many, so that memory doesn't grow with a text's vocabulary.
+BLOCK = 512
 _LEAST = -(1 << 63)
+_STEPS = (np.arange(1, 5 * SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B1)).astype(np.uint32)
+
+
+def uniforms(hashes: np.ndarray) -> np.ndarray:
+    """5 x SAMPLES numbers between 0 and 1 a hash, of 23 bits: both halves of the hash and the number's place go through a 32-bit mixer."""
+    low, high = hashes.astype(np.uint32), (hashes >> np.uint64(32)).astype(np.uint32)
+    x = low[:, None] + _STEPS
+    x ^= x >> np.uint32(16)
+    x *= np.uint32(0x7FEB352D)
+    x ^= high[:, None]
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(0x846CA68B)
+    x ^= x >> np.uint32(16)
+    x >>= np.uint32(9)
+    u = x.astype(np.float32)
+    u += np.float32(0.5)
+    u *= np.float32(2**-23)
+    return u.reshape(-1, 5, SAMPLES)
 
 
 class Draws:
-    """Each term's draws, a row of 3 * SAMPLES numbers; starts over when `limit` terms are held."""
+    """What is drawn for each term, SAMPLES numbers each: r, its inverse, the shift u, and log(c) - r + r * u; starts over when `limit` terms are held."""
 
     def __init__(self, limit: int = 60_000):
-        self.limit, self.rows, self.values, self.hashes = limit, {}, np.empty((limit, 3, SAMPLES), np.float32), np.empty(limit, np.uint64)
-
-    def of(self, terms: set[bytes]) -> None:
-        """Makes sure that all of terms are held."""
-        new = [t for t in terms if t not in self.rows]
+        self.limit, self.rows = max(limit, BLOCK), {}
+        self.tables = [np.empty((self.limit, SAMPLES), np.float32) for _ in range(4)]
+        self.hashes, self.block = np.empty(self.limit, np.uint64), [np.empty((BLOCK, SAMPLES), np.float32) for _ in range(4)]
+
+    def of(self, terms: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Of at most BLOCK different terms the hashes, and the four kinds of numbers, to be used before the next call."""
+        rows = np.fromiter(map(self.rows.get, terms, repeat(-1)), np.int64, len(terms))
+        new = np.flatnonzero(rows < 0)
         if len(self.rows) + len(new) > self.limit:
             self.rows.clear()
-            new = list(terms)
-            if len(new) > self.limit:
-                self.limit = len(new)
-                self.values, self.hashes = np.empty((self.limit, 3, SAMPLES), np.float32), np.empty(self.limit, np.uint64)
-        for at in range(0, len(new), 512):
-            part = new[at : at + 512]
-            h = np.fromiter((xxhash.xxh3_64_intdigest(t) for t in part), np.uint64, len(part))
-            k = np.arange(1, 5 * SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            u = ((mix(h[:, None] + k[None, :]) >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) * np.float32(2**-24)
-            u = u.reshape(-1, 5, SAMPLES)
-            r = -np.log(u[:, 0] * u[:, 1])  # gamma(2, 1): a sum of two exponential variables
-            c = -np.log(u[:, 2] * u[:, 3])
+            new = np.arange(len(terms))
+        if len(new):
+            names = [terms[i] for i in new.tolist()]
+            h = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
             first = len(self.rows)
-            rows = slice(first, first + len(part))
-            self.values[rows, 0], self.values[rows, 1], self.values[rows, 2], self.hashes[rows] = r, np.log(c), u[:, 4], h
-            self.rows.update(zip(part, range(first, first + len(part))))
+            at = slice(first, first + len(names))
+            u = uniforms(h)
+            r = -np.log(u[:, 0] * u[:, 1])  # gamma(2, 1): a sum of two exponential variables
+            self.tables[0][at], self.tables[1][at], self.tables[2][at] = r, 1 / r, u[:, 4]
+            self.tables[3][at] = np.log(-np.log(u[:, 2] * u[:, 3])) - r + r * u[:, 4]
+            self.hashes[at] = h
+            rows[new] = np.arange(at.start, at.stop)
+            self.rows.update(zip(names, range(at.start, at.stop)))
+        return self.hashes[rows], [np.take(t, rows, axis=0, out=b[: len(rows)], mode="clip") for t, b in zip(self.tables, self.block)]
 
 
 def weights(text: str) -> dict[bytes, int]:
@@ -67,18 +89,27 @@ def weights(text: str) -> dict[bytes, int]:
 
 def sample(terms: dict[bytes, int], draws: Draws) -> np.ndarray:
     """The text's SAMPLES values of 16 bits."""
-    rows = np.fromiter((draws.rows[t] for t in terms), np.int64, len(terms))
-    log_w = np.log(np.fromiter(terms.values(), np.float32, len(terms)))[:, None]
-    v = draws.values[rows]
-    r = v[:, 0]
-    level = np.floor(log_w / r + v[:, 2])
-    value = v[:, 1] - r * (level - v[:, 2]) - r  # log of c / (y * exp(r)), y the level's weight
-    low = value.min(axis=0)
-    # Ties, if ever, go to the smaller hash and not to the order of terms.
-    h = np.where(value == low, draws.hashes[rows][:, None], np.uint64(0xFFFFFFFFFFFFFFFF))
-    best = h.argmin(axis=0)
-    at = np.arange(SAMPLES)
-    return (mix(h[best, at] + mix(level[best, at].astype(np.int64).astype(np.uint64) + np.uint64(1))) >> np.uint64(48)).astype(np.uint16)
+    names, log_w = list(terms), np.log(np.fromiter(terms.values(), np.float32, len(terms)))
+    least, winner, chosen = np.full(SAMPLES, np.inf, np.float32), np.zeros(SAMPLES, np.uint64), np.zeros(SAMPLES, np.float32)
+    for at in range(0, len(names), BLOCK):
+        hashes, (r, level, u, value) = draws.of(names[at : at + BLOCK])
+        level *= log_w[at : at + BLOCK, None]
+        level += u
+        np.floor(level, out=level)
+        r *= level
+        value -= r  # log of c / (y * exp(r)), y the level's weight
+        low = value.min(axis=0)
+        # Ties, if ever, go to the smaller hash and not to the order of terms.
+        i, k = np.divmod(np.flatnonzero(value == low), SAMPLES)
+        h = hashes[i]
+        if len(k) > SAMPLES:
+            order = np.lexsort((h, k))
+            order = order[np.concatenate([[True], np.diff(k[order]) > 0])]
+            i, k, h = i[order], k[order], h[order]
+        better = (low[k] < least[k]) | ((low[k] == least[k]) & (h < winner[k]))
+        k, i, h = k[better], i[better], h[better]
+        least[k], winner[k], chosen[k] = low[k], h, level[i, k]
+    return (mix(winner + mix(chosen.astype(np.int64).astype(np.uint64) + np.uint64(1))) >> np.uint64(48)).astype(np.uint16)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -128,16 +159,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 last, done = (doc_id, text), guest
 
     def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        draws = Draws()
+        draws = kept("draws", Draws)
 
         def rows() -> Iterator[tuple]:
             held = None  # the following text's fingerprint is the next row's own
             for doc_id, text, following in pairs(batches):
                 new = edited(text, following)
-                w, e, f = weights(text), weights(new), weights(following)
-                draws.of(w.keys() | e.keys() | f.keys())
-                a = held if held is not None else sample(w, draws)
-                b, held = sample(e, draws), sample(f, draws)
+                a = held if held is not None else sample(weights(text), draws)
+                b, held = sample(weights(new), draws), sample(weights(following), draws)
                 yield doc_id, len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), a.tobytes().hex(), b.tobytes().hex(), likeness(a, b), likeness(a, held)
 
         yield from rows_out(out, rows())
