@@ -23,11 +23,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import rows_out, table, text_bytes
 
 BUCKETS, DIM, GRAMS = 1 << 15, 10, (3, 4)
 SAMPLE_ROWS, EPOCHS, BATCH, RATE = 4000, 12, 32, 0.5
+#: Fewer sample rows than this are gone through more often, as if they were so many.
+LEAST_ROWS = 3000
 _AGAIN, _SEEN = BUCKETS, BUCKETS + 1
 
 
@@ -47,15 +50,16 @@ class Counter:
         words = text.split()
         if not words:
             return np.zeros(0, np.int64), np.zeros(0, np.float32)
-        for w in set(words) - self.cache.keys():
-            self.cache[w] = np.array(features(w))
-        counts = np.bincount(np.concatenate([self.cache[w] for w in words]), minlength=BUCKETS + 2).astype(np.float32)
+        for w in set(words):
+            if w not in self.cache:
+                self.cache[w] = np.array(features(w), np.uint16)
+        counts = np.bincount(np.concatenate(list(map(self.cache.__getitem__, words))), minlength=BUCKETS + 2).astype(np.float32)
         total = counts.sum()
         # The two signs of repetition count against words, not n-grams, so that they weigh as much as a word's share.
         counts /= total
         counts[_AGAIN] = sum(map(eq, words, words[1:])) / len(words)
         counts[_SEEN] = (len(words) - len(set(words))) / len(words)
-        if len(self.cache) > 300_000:
+        if len(self.cache) > 200_000:
             self.cache.clear()
         at = np.flatnonzero(counts)
         return at, counts[at]
@@ -69,29 +73,28 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs:
     if len(labels):
         p = (labels.mean() * len(labels) + 1) / (len(labels) + 2)
         bias[1] = math.log(p / (1 - p))
-    steps = max(1, epochs * max(len(rows), 3000) // BATCH) if len(rows) else 0
-    order = np.zeros(0, np.int64)
+    steps = max(1, epochs * max(len(rows), LEAST_ROWS) // BATCH) if len(rows) else 0
+    order, dense = np.zeros(0, np.int64), np.zeros((BATCH, BUCKETS + 2), np.float32)
     for step in range(steps):
         if len(order) < BATCH:
             order = np.concatenate([order, rng.permutation(len(rows))])
         pick, order = order[:BATCH], order[BATCH:]
         at = np.concatenate([rows[i][0] for i in pick])
-        share = np.concatenate([rows[i][1] for i in pick])
         doc = np.repeat(np.arange(len(pick)), [len(rows[i][0]) for i in pick])
-        used, at = np.unique(at, return_inverse=True)
-        dense = np.zeros((len(pick), len(used)), np.float32)
-        dense[doc, at] = share
-        part = vectors[used]
-        mean = dense @ part
+        dense[doc, at] = np.concatenate([rows[i][1] for i in pick])
+        shares = dense[: len(pick)]
+        mean = shares @ vectors
         logits = mean @ layer + bias
         prob = np.exp(logits - logits.max(axis=1, keepdims=True))
         prob /= prob.sum(axis=1, keepdims=True)
         prob[np.arange(len(pick)), labels[pick]] -= 1
         rate = RATE * (1 - step / steps) + 0.01
-        back = prob @ layer.T
-        layer -= rate * (mean.T @ prob) / len(pick)
-        bias -= rate * prob.mean(axis=0)
-        vectors[used] = part - rate * 40 * (dense.T @ back) / len(pick)
+        back = (prob @ layer.T).astype(np.float32)
+        layer -= (rate * (mean.T @ prob) / len(pick)).astype(np.float32)
+        bias -= (rate * prob.mean(axis=0)).astype(np.float32)
+        back *= np.float32(rate * 40 / len(pick))
+        vectors -= shares.T @ back
+        dense[doc, at] = 0
     return vectors @ (layer[:, 1] - layer[:, 0]), float(bias[1] - bias[0])
 
 
@@ -142,7 +145,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str]) ->
     """docs' columns `keep` and score, one pass."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS + 2 numbers
     rows = docs.select(*keep, *([] if "text" in keep else ["text"]))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema.fields] + ["score double"])
+    schema = StructType([*rows.select(*keep).schema.fields, StructField("score", DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, bias = shared.value
