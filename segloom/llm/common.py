@@ -25,21 +25,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new folder below spark.checkpoint.dir, which every executor can read; a temporary one only where that is unset."""
+    """A new folder below spark.checkpoint.dir, which every executor can read; a temporary one only where that is unset and all runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="segloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to a shared folder and reads it back: lineage ends there and lost executors cost nothing behind it."""
-    path = shared_folder(df.sparkSession, label)
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a shared folder that nothing reads any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def written(df: DataFrame, label: str, under: str | None = None) -> DataFrame:
+    """Writes df to a shared folder, or to one in the folder `under`, and reads it back: lineage ends there and lost executors cost nothing behind it."""
+    path = f"{under}/{label}-{uuid.uuid4().hex}" if under else shared_folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame, *names: str) -> DataFrame:
+    """docs with `names` as they are and all other columns in one struct, `_others`, so that no name of theirs can clash with an operator's."""
+    rest = [c for c in docs.columns if c not in names]
+    return docs.select(*names, *([F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_others")] if rest else []))
+
+
+def unpacked(rows: DataFrame, columns: list[str], *names: str) -> DataFrame:
+    """The columns that `packed` had with these names, in the given order; columns that an operator added are left out."""
+    return rows.select(*(F.col(c) if c in names else F.col("_others")[c].alias(c) for c in columns))
+
+
 def text_bytes(column: pa.Array) -> Iterator[bytes]:
     """The UTF-8 bytes of each text; null counts as empty."""
     for x in column.cast(pa.binary()):
@@ -65,7 +84,7 @@ def kept(name: object, make):
 class WordHashes(dict):
     """word bytes -> 64-bit hash; forgets everything at `limit` words, so its memory is bounded."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 
