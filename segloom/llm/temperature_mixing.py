@@ -5,11 +5,12 @@ they are), is bisected: either to the flattest mixture in which no source is rep
 one with a target entropy. A source's weight times the budget is its number of tokens: whole passes over its documents and a
 part of one more. Each pass deals the documents anew into blocks by hash and orders them within a block by hash, so that no
 source has to be sorted in one task; the last pass takes blocks in order, and documents in the block where the budget ends as
-long as they fit.
+long as they fit. A source has a block for each BLOCK_TOKENS tokens or BLOCK_ROWS rows, whichever are more.
 
 Tokens are words, `[^\\x20\\x09-\\x0D]+`. Null sources are one source of their own. Null and empty texts have no tokens: they come
 once per whole pass, and in the last one if their place is before the end; a source of such texts alone comes once. Repeated rows
-are dealt like others, next to each other. Null doc_ids are kept. Empty tables give no rows. Extra columns are carried on request.
+are numbered when the rows are first written, and dealt like others. Null doc_ids are kept. Empty tables give no rows. Extra
+columns are carried on request.
 """
 
 from __future__ import annotations
@@ -19,12 +20,12 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, written
 
 #: A block has about so many tokens, and a source at most so many blocks.
-BLOCK_TOKENS, MOST_BLOCKS = 100_000, 1 << 17
-#: Sources are planned on the driver, a row each.
-MOST_SOURCES = 1_000_000
+BLOCK_TOKENS, BLOCK_ROWS, MOST_BLOCKS = 100_000, 20_000, 1 << 17
+#: Sources are planned on the driver, a row each, up to so many; their plan is broadcast only below BROADCAST of them.
+MOST_SOURCES, BROADCAST = 1_000_000, 100_000
 
 
 def tempered(totals: list[int], exponent: float) -> list[float]:
@@ -77,21 +78,24 @@ def mixed(docs: DataFrame, seed: int = 42, budget: int | None = None, max_repeat
     mix_at is the part of the source's tokens that come before; ordered by it, every stretch has the target weights.
     """
     keep = [c for c in keep or [] if c not in ("doc_id", "source")]
-    rows = docs.select("doc_id", "source", n_tokens(F.col("text")).alias("n_tokens"), F.xxhash64("doc_id", "text").alias("_row"), *keep)
-    sums = rows.groupBy("source").agg(F.sum("n_tokens").alias("t")).limit(MOST_SOURCES + 1).collect()
+    rows = docs.select("doc_id", "source", n_tokens(F.col("text")).alias("n_tokens"), F.monotonically_increasing_id().alias("_uid"), *keep)
+    rows = written(rows, "rows")  # so that tokens are counted once and a row keeps its number
+    sums = rows.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()
     if len(sums) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
-    sources = docs.sparkSession.createDataFrame(plan({r.source: int(r.t or 0) for r in sums}, budget, max_repeats, target_entropy), "source string, _t long, _w double, _take long, _full long, _rest long, _blocks long")
+    counts = {r.source: r.n for r in sums}
+    plans = [(*p, min(MOST_BLOCKS, max(p[-1], -(-counts[p[0]] // BLOCK_ROWS)))) for p in plan({r.source: int(r.t or 0) for r in sums}, budget, max_repeats, target_entropy)]
+    sources = docs.sparkSession.createDataFrame(plans, "source string, _t long, _w double, _take long, _full long, _rest long, _least long, _blocks long")
     names = [F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")).alias("_s")]
     sources = sources.select(*names, "_take", "_full", "_rest", "_blocks")
-    rows = rows.withColumn("_s", names[0]).join(F.broadcast(sources), "_s")  # a row a source, at most MOST_SOURCES
+    rows = rows.withColumn("_s", names[0]).join(F.broadcast(sources) if len(sums) < BROADCAST else sources, "_s")
     last = F.col("_full") + F.when(F.col("_rest") > 0, 0).otherwise(-1)
     rows = rows.filter(last >= 0).withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    rows = rows.withColumn("_h", F.xxhash64(F.lit(seed), "epoch", "_row")).withColumn("block", F.pmod(F.xxhash64("_h"), F.col("_blocks")))
+    rows = rows.withColumn("_h", F.xxhash64(F.lit(seed), "epoch", "_uid")).withColumn("block", F.pmod(F.xxhash64("_h"), F.col("_blocks")))
     blocks = rows.groupBy("_s", "epoch", "block").agg(F.sum("n_tokens").alias("_in"))
     before = Window.partitionBy("_s", "epoch").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select("_s", "epoch", "block", F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_before"))
-    own = Window.partitionBy("_s", "epoch", "block").orderBy("_h", "doc_id")
+    own = Window.partitionBy("_s", "epoch", "block").orderBy("_h", "_uid")
     rows = rows.withColumn("pos", F.row_number().over(own)).withColumn("_sum", F.sum("n_tokens").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     rows = rows.join(blocks, ["_s", "epoch", "block"])
     end = F.col("_before") + F.col("_sum")
