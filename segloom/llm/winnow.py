@@ -13,19 +13,22 @@ their windows count. Empty tables are fine. Other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
+import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import ALNUM, WordHashes, mix, rows_out, runs, shingle_hashes, sliding_min, table, text_bytes, written
+from .common import ALNUM, WordHashes, kept, mix, rows_out, runs, shingle_hashes, sliding_min, table, text_bytes, written
 
 K = 7
-#: An index of more benchmark words than this is cut into blocks, which are broadcast and applied one after another.
-BLOCK_WORDS = 4_000_000
+#: An index of more benchmark words than this is cut into blocks, which are broadcast and applied one after another; one takes about 12 MB.
+BLOCK_WORDS = 1_000_000
+FOUND = "doc_id long, n_words long, n_hit long, n_items long, items array<string>, spans array<struct<first: long, last: long>>"
 
 
 def winnowed(hashes: np.ndarray, w: int) -> np.ndarray:
@@ -117,42 +120,42 @@ def wholes(ws: np.ndarray, n: int) -> np.ndarray:
     return mix(shingle_hashes(ws, n) + np.uint64(n))
 
 
-def _blocks(spark: SparkSession, items: DataFrame, block_words: int) -> Iterator[list[tuple[int | None, bytes]]]:
-    """The benchmark in pieces of about block_words words, one in the driver at a time."""
-    held, n = [], 0
-    rows = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    for r in rows.toLocalIterator():
-        held.append((r.item_id, (r.text or "").encode()))
-        n += len(held[-1][1]) // 5 + 1
-        if n >= block_words:
-            yield held
-            held, n = [], 0
-    yield held
+def _indexes(items: DataFrame, span: int, block_words: int) -> Iterator[bytes]:
+    """The pickled index of each block of about block_words words. Spark deals the items to blocks and a task builds each; only indexes reach the driver, one at a time."""
+    rows = items.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = max(1, -(-(chars // 5) // block_words))
+    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [x for b in batches for x in zip(b.column("item_id").to_pylist(), text_bytes(b.column("text")), b.column("block").to_pylist())]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([found[0][2]], pa.int32()), pa.array([pickle.dumps(Index([x[:2] for x in found], span))], pa.binary())], names=["block", "index"])
+
+    built = written(rows.withColumn("block", block).repartitionById(n, F.col("block")).mapInArrow(build, "block int, index binary"), "index")
+    for k in range(n):
+        got = built.filter(F.col("block") == k).select("index").first()
+        if got:
+            yield bytes(got[0])
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, span: int = 13, block_words: int = BLOCK_WORDS, keep: list[str] | None = None) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items (item_ids as sorted strings), spans (array of [first, last) words), and `keep`.
 
     One pass over the documents and no shuffle while the benchmark fits one block; beyond, a pass a block, whose results are
-    merged by row. The index broadcast is bounded by block_words.
+    merged by row. Each index broadcast is bounded by block_words. Columns of `keep` must have names other than the result's.
     """
-    spark = docs.sparkSession
     keep = keep or []
-    base = docs.select("doc_id", "text", *[c for c in keep if c not in ("doc_id", "text")])
-    blocks = _blocks(spark, items, block_words)
-    first = next(blocks)
-    second = next(blocks, None)
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[c for c in keep if c not in ("doc_id", "text")])
+    indexes = _indexes(items, span, block_words)
+    first = next(indexes, pickle.dumps(Index([], span)))
+    second = next(indexes, None)
     if second is None:
-        return _pass(base, first, span, keep)
+        return _pass(base, first, keep)
     rows = written(base.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    parts = []
-    for block in [first, second]:
-        parts.append(_pass(rows, block, span, ["_row"]))
-    for block in blocks:
-        parts.append(_pass(rows, block, span, ["_row"]))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    every = _pass(rows, first, ["_row"]).unionByName(_pass(rows, second, ["_row"]))
+    for index in indexes:
+        every = every.unionByName(_pass(rows, index, ["_row"]))
     merged = every.groupBy("_row").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     merged = merged.withColumn("n_items", F.size("items").cast("long"))
     # Overlapping spans of different blocks: count each word once.
@@ -160,17 +163,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = 13, block_words
     return rows.join(merged, "_row").select("doc_id", "n_words", "n_hit", "n_items", "items", "spans", *keep)
 
 
-def _pass(docs: DataFrame, block: list, span: int, keep: list[str]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(block)
-    fields = [f for f in docs.schema.fields if f.name in keep]
-    schema = "doc_id long, n_words long, n_hit long, n_items long, items array<string>, spans array<struct<first: long, last: long>>"
-    for f in fields:
-        if f.name != "doc_id":
-            schema += f", `{f.name}` {f.dataType.simpleString()}"
-    extra = [f.name for f in fields if f.name != "doc_id"]
+def _pass(docs: DataFrame, index: bytes, keep: list[str]) -> DataFrame:
+    shared, name = docs.sparkSession.sparkContext.broadcast(index), uuid.uuid4().hex
+    extra = [c for c in keep if c != "doc_id"]
+    schema = StructType([*StructType.fromDDL(FOUND).fields, *docs.select(*extra).schema.fields])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, h = Index(shared.value, span), WordHashes()
+        index, h = kept(("winnow", name), lambda: (pickle.loads(shared.value), WordHashes()))
         out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))])
         for b in batches:
             rows = []
