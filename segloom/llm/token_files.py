@@ -194,11 +194,11 @@ class TokenFile:
         return parts[0] if len(parts) == 1 else np.concatenate(parts or [np.zeros(0, np.uint16)])
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, seq_len: int = 2048) -> DataFrame:
-    """Writes the texts' ids to `folder`/shard-*.arrow in ascending doc_id order and returns the index that was written beside them.
+def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0, seq_len: int = 2048, order: list[str] | None = None) -> DataFrame:
+    """Writes the texts' ids to `folder`/shard-*.arrow, by the columns `order` or else in ascending doc_id order, and returns the index that was written beside them.
 
-    Index: doc_id, shard (its number follows doc_id), path, offset in the shard's stream, n_tokens with the end id.
-    One shuffle, by ranges of (doc_id, hash of the text).
+    Index: doc_id, shard (its number follows the order), path, offset in the shard's stream, n_tokens with the end id.
+    One shuffle, by ranges of the columns of the order; a hash of the text decides ties of doc_id.
     """
     spark = docs.sparkSession
     index = pa.schema([("doc_id", pa.int64()), ("shard", pa.int32()), ("path", pa.string()), ("offset", pa.int64()), ("n_tokens", pa.int64())])
@@ -223,11 +223,12 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         if out:
             out.close()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tie = F.xxhash64("text")
-    ordered = ordered.repartitionByRange(F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
+    by = [F.col(f"_by{i}").asc_nulls_first() for i in range(len(order or "12"))]
+    places = [F.col(f"`{c}`") for c in order] if order else [F.col("doc_id").cast("long"), F.xxhash64("text")]
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c.alias(f"_by{i}") for i, c in enumerate(places)))
+    ordered = ordered.repartitionByRange(*by).sortWithinPartitions(*by)
     schema = "doc_id long, shard int, path string, offset long, n_tokens long"
-    ordered.mapInArrow(write, schema).write.parquet(f"{folder}/index")
+    ordered.select("doc_id", "text").mapInArrow(write, schema).write.parquet(f"{folder}/index")
     return spark.read.schema(schema).parquet(f"{folder}/index")
 
 
@@ -255,12 +256,12 @@ def read_digests(index: DataFrame) -> DataFrame:
     return placed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int")
 
 
-def tokens_of(spark: SparkSession, docs: DataFrame, name: str = "byte_bpe_50k.json", seq_len: int = 2048) -> DataFrame:
+def tokens_of(spark: SparkSession, docs: DataFrame, name: str = "byte_bpe_50k.json", seq_len: int = 2048, order: list[str] | None = None) -> DataFrame:
     """Encodes docs with a public vocabulary, writes the files to a shared folder and returns the digests read back."""
     import public_tokenizers
 
     folder = shared_folder(spark, "tokens")
-    return read_digests(write_tokens(docs, folder, public_tokenizers.path(name), seq_len=seq_len))
+    return read_digests(write_tokens(docs, folder, public_tokenizers.path(name), seq_len=seq_len, order=order))
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
