@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, mix, rows_out, runs, shared_folder, shuffle_partitions, sliding_min, table, text_bytes, written
+from .common import batch, discard, mix, rows_out, runs, shared_folder, shuffle_partitions, sliding_min, table, text_bytes, written
 
 GRAM = 64
 LIMIT = 20_000  # contexts of at most 736 bytes: 15 MB in a task
@@ -145,10 +145,10 @@ def repeat_scan(group: np.ndarray, left: list[bytes], right: list[bytes], span:
             yield l, r, member[ranks[a : b + 1]]
 
 
-def _bucketed(texts: DataFrame, label: str) -> DataFrame:
+def _bucketed(texts: DataFrame, name: str, place: str) -> DataFrame:
     """Writes texts into buckets by key, so that later joins on key leave them where they are."""
-    spark, name = texts.sparkSession, f"{label}_{uuid.uuid4().hex}"
-    texts.write.bucketBy(shuffle_partitions(spark), "key").sortBy("key").option("path", shared_folder(spark, label)).saveAsTable(name)
+    spark = texts.sparkSession
+    texts.write.bucketBy(shuffle_partitions(spark), "key").sortBy("key").option("path", f"{place}/texts").saveAsTable(name)
     return spark.table(name)
 
 
@@ -157,14 +157,15 @@ class Repeats:
 
     def __init__(self, docs: DataFrame, span: int = 400, limit: int = LIMIT):
         self.span, self.limit, self.spark = span, limit, docs.sparkSession
+        self.place, self.name = shared_folder(self.spark, "repeats"), f"texts_{uuid.uuid4().hex}"
         self.keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5("text")))
-        self.texts = _bucketed(self.keyed.groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n")), "texts")
-        self.found = written(self._occurrences(), "anchors")
-        often = written(self.found.groupBy("a").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("a"), "often")
-        self.found = written(self.found.join(often, "a", "left_semi"), "repeated")
-        each = written(self.found.groupBy("a", "c").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("key", "pos")).alias("at")), "contexts")
-        self.several = written(each.groupBy("a").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "several")
-        self.contexts = written(self._fetched(each.join(self.several, "a").select("a", "c", "k", "m", "at.key", "at.pos")), "bytes")
+        self.texts = _bucketed(self.keyed.groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n")), self.name, self.place)
+        self.found = written(self._occurrences(), "anchors", self.place)
+        often = written(self.found.groupBy("a").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("a"), "often", self.place)
+        self.found = written(self.found.join(often, "a", "left_semi"), "repeated", self.place)
+        each = written(self.found.groupBy("a", "c").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("key", "pos")).alias("at")), "contexts", self.place)
+        self.several = written(each.groupBy("a").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "several", self.place)
+        self.contexts = written(self._fetched(each.join(self.several, "a").select("a", "c", "k", "m", "at.key", "at.pos")), "bytes", self.place)
         self.each = each
 
     def _occurrences(self) -> DataFrame:
@@ -251,7 +252,7 @@ class Repeats:
 
         rows = many.mapInArrow(beginnings, "a long, side int, n int, h long, c binary")
         keys = ["a", "side", "n", "h"]
-        shared = written(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("t")).filter("t > 1").select(*keys), "beginnings")
+        shared = written(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("t")).filter("t > 1").select(*keys), "beginnings", self.place)
         far = rows.join(shared, keys).groupBy("a", "c").agg(F.max(F.when(F.col("side") == 0, F.col("n"))).alias("l"), F.max(F.when(F.col("side") == 1, F.col("n"))).alias("r"))
 
         def bound(col: str, ns: list[int], least: int, most: int) -> F.Column:
@@ -283,9 +284,9 @@ class Repeats:
                         yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(w2), pa.array(np.full(n, a)), pa.array([c] * n, pa.binary()), pa.array(np.arange(most, most - n, -1, np.int32))], schema=out)
 
         rows = many.join(near, ["a", "c"]).mapInArrow(windows, "w long, w2 long, a long, c binary, l int")
-        rows = written(rows, "windows")
+        rows = written(rows, "windows", self.place)
         keys = ["a", "l", "w", "w2"]  # a window is met once for each anchor in it, and place of the anchor
-        twice = written(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("t")).filter("t > 1").select(*keys), "twice")
+        twice = written(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("t")).filter("t > 1").select(*keys), "twice", self.place)
         return rows.join(twice, keys).groupBy("a", "c").agg(F.max("l").alias("l"), (F.lit(span) - F.min("l")).cast("int").alias("r"))
 
     def groups(self) -> DataFrame:
@@ -309,7 +310,7 @@ class Repeats:
 
     def digests(self) -> DataFrame:
         """Per distinct text: key, n_bytes, n_removed, n_spans, kept_sha256, spans."""
-        covers = written(self.covers(), "covers")
+        covers = written(self.covers(), "covers", self.place)
         spans = self.found.join(covers, ["a", "c"]).groupBy("key").agg(F.collect_list(F.struct((F.col("pos") - F.col("l")).alias("s"), (F.col("pos") + F.col("r")).alias("e"))).alias("each"))
         span = self.span
         out = pa.schema([("key", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
@@ -344,5 +345,14 @@ class Repeats:
         return self.keyed.select("doc_id", "key").join(written(self.digests(), "digests"), "key").drop("key")
 
 
+    def close(self) -> None:
+        """Deletes what the stages have written; removed() stays readable, groups() doesn't."""
+        self.spark.sql(f"drop table {self.name}")
+        discard(self.spark, self.place)
+
+
 def op2_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Repeats(table(spark, sf_dir, "documents")).removed()
+    repeats = Repeats(table(spark, sf_dir, "documents"))
+    out = repeats.removed()
+    repeats.close()
+    return out
