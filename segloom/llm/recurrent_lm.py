@@ -6,6 +6,9 @@ among those it falls back on smoothed counts, so that every text has a probabili
 a token, then the token within its class. Documents of a task are laid end to end into lanes; windows of WINDOW steps are
 trained by back-propagation that ends at the window, while the state is carried on, and so a document is scored as a whole.
 
+In training, documents of more than SEGMENT tokens are laid out as several segments, each with the token before it as first
+input and a state of its own, so that no lane outlasts the others by far; scores always carry the state through.
+
 Training covers all training documents once, in ROUNDS slices. In each slice every task trains from the same weights on its
 own documents, and the weights are averaged, in a tree, weighted by tokens (local stochastic gradient descent). The averages
 are of a fixed size. The PLAIN most frequent words at most are broadcast with their counts; rarer ones are counted by a join.
@@ -31,7 +34,7 @@ from .common import LOWER, rows_out, table, text_bytes, written
 
 SOFT, CLASS, HIDDEN = 2048, 32, 16
 PLAIN = 200_000
-WINDOW, LANES, CHUNK, ROUNDS, RATE = 32, 256, 4_000_000, 6, 0.12
+WINDOW, LANES, SEGMENT, CHUNK, ROUNDS, RATE = 32, 256, 1024, 4_000_000, 6, 0.12
 LOG10 = math.log(10)
 
 
@@ -190,8 +193,8 @@ class Network:
         return last
 
 
-def lanes(docs: list[np.ndarray], most: int = LANES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lays documents end to end into lanes of about equal lengths, longest first: ids, document number (-1: none), starts; all T x B."""
+def lanes(docs: list[np.ndarray], firsts: list[int] | None = None, most: int = LANES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lays documents end to end into lanes of about equal lengths, longest first: ids, the inputs before them (a document's first: that of firsts, or the end), document number (-1: none), starts; all T x B."""
     b = max(1, min(most, len(docs)))
     order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
     load, put = [(0, k) for k in range(b)], [[] for _ in range(b)]
@@ -202,37 +205,41 @@ def lanes(docs: list[np.ndarray], most: int = LANES) -> tuple[np.ndarray, np.nda
     put.sort(key=lambda x: -sum(len(docs[i]) for i in x))
     length = sum(len(docs[i]) for i in put[0]) if docs else 0
     ids, doc, fresh = np.zeros((length, b), np.uint16), np.full((length, b), -1, np.int32), np.zeros((length, b), bool)
+    before = np.zeros((length, b), np.uint16)
     for k, own in enumerate(put):
         at = 0
         for i in own:
-            ids[at : at + len(docs[i]), k], doc[at : at + len(docs[i]), k], fresh[at, k] = docs[i], i, True
-            at += len(docs[i])
-    return ids, doc, fresh
+            n = len(docs[i])
+            ids[at : at + n, k], doc[at : at + n, k], fresh[at, k] = docs[i], i, True
+            before[at, k], before[at + 1 : at + n, k] = firsts[i] if firsts else 0, docs[i][:-1]
+            at += n
+    return ids, before, doc, fresh
 
 
-def windows(ids: np.ndarray, doc: np.ndarray, fresh: np.ndarray) -> Iterator[tuple]:
-    """Windows of inputs (the token before, or the end), starts, targets and documents, over the lanes that go on."""
-    before = np.vstack([np.zeros((1, ids.shape[1]), ids.dtype), ids[:-1]])
-    before[fresh] = 0
-    lengths = (doc >= 0).sum(axis=0)
-    for at in range(0, len(ids), WINDOW):
+def windows(ids: np.ndarray, before: np.ndarray, doc: np.ndarray, fresh: np.ndarray, rows: int = 0) -> Iterator[tuple]:
+    """Windows of inputs, starts, targets and documents, over the lanes that go on: WINDOW steps each, or more where that makes at most `rows` rows."""
+    lengths, at = (doc >= 0).sum(axis=0), 0
+    while at < len(ids):
         live = int((lengths > at).sum())
-        part = (slice(at, at + WINDOW), slice(0, live))
+        steps = max(WINDOW, rows // live)
+        part = (slice(at, at + steps), slice(0, live))
         yield before[part], fresh[part], ids[part], doc[part]
+        at += steps
 
 
 def learn_docs(net: Network, docs: list[np.ndarray]) -> None:
-    ids, doc, fresh = lanes(docs)
+    cut = [(d[a : a + SEGMENT], int(d[a - 1]) if a else 0) for d in docs for a in range(0, len(d), SEGMENT)]
+    ids, before, doc, fresh = lanes([d for d, _ in cut], [f for _, f in cut])
     h = np.zeros((ids.shape[1], HIDDEN), np.float32)
-    for x, f, y, d in windows(ids, doc, fresh):
+    for x, f, y, d in windows(ids, before, doc, fresh):
         h = net.step(x, f, h[: x.shape[1]], y, d >= 0)
 
 
 def score_docs(net: Network, docs: list[np.ndarray]) -> np.ndarray:
     """The natural log-probability of each document's ids."""
-    ids, doc, fresh = lanes(docs)
+    ids, before, doc, fresh = lanes(docs)
     h, out = np.zeros((ids.shape[1], HIDDEN), np.float32), np.zeros(len(docs))
-    for x, f, y, d in windows(ids, doc, fresh):
+    for x, f, y, d in windows(ids, before, doc, fresh, WINDOW * LANES):
         states, h = net.forward(x, f, h[: x.shape[1]], None)
         valid = d >= 0
         logp, _, _ = net.outputs(states[valid], y[valid].astype(np.int64), False)
