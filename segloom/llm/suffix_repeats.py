@@ -116,26 +116,30 @@ class RangeMin:
 
 
 def repeat_scan(group: np.ndarray, left: list[bytes], right: list[bytes], span: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Maximal repeats among contexts: (l, r, members) with l + r >= span. left is reversed; contexts of different groups share nothing."""
+    """Maximal repeats among contexts: (l, r, members) with l + r >= span. left is reversed; contexts of a group stand together, and those of different groups share nothing."""
     n = len(group)
     if n < 2:
         return
-    keys = group.tolist()
-    by_right = sorted(range(n), key=lambda i: (keys[i], right[i]))
-    by_left = sorted(range(n), key=lambda i: (keys[i], left[i]))
-    lcp = common(right, by_right, np.array([len(x) for x in right]), group, span)
-    least_left = RangeMin(common(left, by_left, np.array([len(x) for x in left]), group, span))
+    edges = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), n]  # equal groups stand together
+    by_right = [i for a, b in zip(edges, edges[1:]) for i in sorted(range(a, b), key=right.__getitem__)]
+    by_left = [i for a, b in zip(edges, edges[1:]) for i in sorted(range(a, b), key=left.__getitem__)]
+    lcp = common(right, by_right, np.fromiter(map(len, right), np.int64, n), group, span)
+    lefts = common(left, by_left, np.fromiter(map(len, left), np.int64, n), group, span)
+    least_left, next_left = None, lefts.tolist()
     suffix, rank = np.array(by_right), np.empty(n, np.int64)
     rank[by_left] = np.arange(n)
-    member = np.array(by_left)
+    member, ranked = np.array(by_left), rank.tolist()
     for r, first, last in intervals(lcp, GRAM):
-        ranks = np.sort(rank[suffix[first : last + 1]])
-        between = least_left(ranks[:-1], ranks[1:])
         need = span - r
-        if len(ranks) == 2:
-            if between[0] >= need:
-                yield int(between[0]), r, member[ranks]
+        if last - first == 1:  # two contexts, as most have
+            a, b = sorted((ranked[by_right[first]], ranked[by_right[last]]))
+            low = min(next_left[a:b])
+            if low >= need:
+                yield low, r, member[[a, b]]
             continue
+        least_left = least_left or RangeMin(lefts)
+        ranks = np.sort(rank[suffix[first : last + 1]])
+        between = least_left(ranks[:-1], ranks[1:])
         if need <= 0 and not (between > 0).any():
             yield 0, r, member[ranks]
             continue
@@ -205,11 +209,13 @@ class Repeats:
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[pa.RecordBatch] = []
             for b in batches:
+                if not b.num_rows:
+                    continue
                 cut = b.num_rows
                 a = b.column("a").to_numpy()
                 held_n = sum(x.num_rows for x in held)
                 if held_n + cut >= 8000:  # whole anchors only: cut where the last one begins
-                    last = int(np.searchsorted(a, a[-1])) if cut else 0
+                    last = int(np.searchsorted(a, a[-1]))
                     if last or (held and held[-1].column("a")[-1].as_py() != a[-1]):
                         yield from emit(pa.Table.from_batches([*held, b.slice(0, last)]), span)
                         held = [b.slice(last)]
