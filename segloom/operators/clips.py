@@ -128,13 +128,38 @@ def routing_eligible(duration_ms: Column, words: Column, short_ms: int = 2200, m
     return (d <= short_ms) & (d >= min_ms) & (words >= min_words)
 
 
-def route_references(scored: DataFrame, max_refs: int = 2, margin: float = 0.45) -> DataFrame:
-    """Per segment up to two clips: of the routing pool if its best is better by the margin, else of the stable pool. A second clip of a new duration is preferred by 0.18."""
-    by = Window.partitionBy("media_id", "seg_idx", "pool").orderBy(F.col("route_score").desc(), "path")
-    s = scored.withColumn("_n", F.row_number().over(by)).withColumn("_b", F.first("duration_bucket").over(by))
-    again = F.when(F.col("_n") == 1, F.lit(1e9)).otherwise(F.col("route_score") + F.when(F.col("duration_bucket") != F.col("_b"), 0.18).otherwise(0.0))
-    picks = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("_again")).alias("k"), "path"))), F.lit(1), F.lit(max_refs))
-    pools = s.withColumn("_again", again).groupBy("media_id", "seg_idx", "pool").agg(F.max("route_score").alias("best"), F.transform(picks, lambda p: p["path"]).alias("paths"))
-    one = pools.groupBy("media_id", "seg_idx").agg(*(F.max(F.when(F.col("pool") == p, F.struct("best", "paths"))).alias(p) for p in ("stable", "routing")))
-    use = F.col("routing").isNotNull() & (F.col("stable").isNull() | (F.col("routing.best") >= F.col("stable.best") + margin))
-    return one.select("media_id", "seg_idx", F.when(use, "routing").otherwise("stable").alias("pool"), F.when(use, F.col("routing.paths")).otherwise(F.col("stable.paths")).alias("paths"))
+def _picked(clips: Column, max_refs: int) -> Column:
+    """Of clips (route_score, path, duration_bucket), best first, up to max_refs: each time the best, durations not yet picked being preferred by 0.18."""
+
+    def pick(got: Column, _: Column) -> Column:
+        has = lambda name, x: F.exists(got, lambda g: g[name] == x[name])
+        left = F.filter(clips, lambda x: ~has("path", x))
+        bonus = lambda x: F.when((F.size(got) > 0) & ~has("duration_bucket", x), 0.18).otherwise(0.0)
+        ranked = F.transform(left, lambda x, i: F.struct((x["route_score"] + bonus(x)).alias("again"), (-i).alias("place"), x.alias("clip")))
+        return F.when(F.size(left) > 0, F.concat(got, F.array(F.array_max(ranked)["clip"]))).otherwise(got)
+
+    none = F.slice(clips, F.lit(1), F.lit(0))
+    return F.transform(F.aggregate(F.sequence(F.lit(1), F.lit(max(1, max_refs))), none, pick), lambda x: x["path"])
+
+
+def route_references(scored: DataFrame, segments: DataFrame | None = None, fallback: DataFrame | None = None, max_refs: int = 2, margin: float = 0.45, short_ms: int = 2200, min_ms: int = 900, min_words: int = 3) -> DataFrame:
+    """Per segment up to max_refs clips: of the routing pool if its best is better by the margin, else of the stable pool.
+
+    With segments, every one of them gets a row, and those that aren't eligible for routing (too long, too short, too few
+    words) or have no clips get the paths of fallback (media_id, paths), null without any.
+    """
+    clip = F.struct((-F.col("route_score")).alias("k"), "path", "duration_bucket", "route_score")
+    pools = scored.groupBy("media_id", "seg_idx").agg(*(F.array_sort(F.collect_list(F.when(F.col("pool") == p, clip))).alias(p) for p in ("stable", "routing")))
+    best = lambda p: F.get(F.col(p), F.lit(0))["route_score"]
+    use = (F.size("routing") > 0) & ((F.size("stable") == 0) | F.coalesce(best("routing") >= best("stable") + margin, F.lit(False)))
+    paths = F.when(use, _picked(F.col("routing"), max_refs)).otherwise(_picked(F.col("stable"), max_refs))
+    routed = pools.select("media_id", "seg_idx", F.when(use, "routing").otherwise("stable").alias("pool"), paths.alias("paths"))
+    if segments is None:
+        return routed
+    text = F.trim(F.coalesce(F.nullif("original_text", F.lit("")), "text")) if "original_text" in segments.columns else F.trim("text")
+    fits = routing_eligible(F.col("end_ms") - F.col("start_ms"), T.word_count(text), short_ms, min_ms, min_words)
+    every = segments.select("media_id", "seg_idx", F.coalesce(fits, F.lit(False)).alias("_fits")).join(routed, ["media_id", "seg_idx"], "left")
+    other = fallback.select("media_id", F.col("paths").alias("_other")) if fallback is not None else None
+    every = every.join(other, "media_id", "left") if other is not None else every.withColumn("_other", F.lit(None).cast("array<string>"))
+    own = F.col("_fits") & (F.size("paths") > 0)
+    return every.select("media_id", "seg_idx", F.when(own, F.col("pool")).otherwise("fallback").alias("pool"), F.when(own, F.col("paths")).otherwise(F.col("_other")).alias("paths"))

@@ -23,6 +23,29 @@ def allocate_extension(needed: Column, before: Column, after: Column) -> Column:
     return F.when((needed <= 0) | (a + b <= 0), pair(zero, zero)).when((half <= b) & (half <= a), pair(_half(half), _half(half))).when(b < half, pair(b, F.least(total - b, a))).otherwise(pair(F.least(total - a, b), a))
 
 
+def fold(items: Column, start: Column, step, emitted: str, last=None, part: int = 64) -> Column:
+    """Folds an array left to right and gives what the steps emit, in time that grows with its length.
+
+    step: (state, item) -> (state, array of type array<emitted>); last: state -> array for the end. What is emitted is gathered
+    a part of the items at a time, so that no step copies all that came before.
+    """
+    none = F.array().cast(f"array<{emitted}>")
+    begin = F.struct(start.alias("state"), none.alias("out"), F.array().cast(f"array<array<{emitted}>>").alias("done"))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / part).cast("int")), lambda i: F.slice(items, i * part + 1, F.lit(part)))
+
+    def one(acc: Column, x: Column) -> Column:
+        state, out = step(acc["state"], x)
+        return F.struct(state.alias("state"), F.concat(acc["out"], out).alias("out"), acc["done"].alias("done"))
+
+    def whole(acc: Column, xs: Column) -> Column:
+        return F.aggregate(xs, acc, one, lambda a: F.struct(a["state"].alias("state"), none.alias("out"), F.concat(a["done"], F.array(a["out"])).alias("done")))
+
+    def end(acc: Column) -> Column:
+        return F.flatten(acc["done"]) if last is None else F.concat(F.flatten(acc["done"]), last(acc["state"]))
+
+    return F.when(F.size(items) > 0, F.aggregate(parts, begin, whole, end)).otherwise(none)
+
+
 def timing_windows(segments: DataFrame, pause_ms: int = 200, left_ms: int = 500, right_ms: int = 250) -> DataFrame:
     """Windows left to right, one media item a fold: each borrows from the gaps around it and may push the next start.
 
@@ -30,16 +53,16 @@ def timing_windows(segments: DataFrame, pause_ms: int = 200, left_ms: int = 500,
     """
     item = F.struct("seg_idx", "start_ms", "end_ms", "needed_ms", "actual_ms")
     rows = segments.groupBy("media_id").agg(F.array_sort(F.collect_list(item)).alias("s"))
+    rows = rows.select("media_id", F.transform("s", lambda x, i: F.struct(x.alias("x"), F.get(F.col("s"), i + 1)["start_ms"].alias("following"))).alias("s"))
     window = "struct<seg_idx:bigint,cur_start_ms:bigint,window_end_ms:bigint,original_ms:bigint,available_ms:bigint,before_ms:bigint,after_ms:bigint>"
-    start = F.struct(F.lit(0).cast("long").alias("prev_end"), F.lit(None).cast("long").alias("pushed"), F.array().cast(f"array<{window}>").alias("out"))
+    start = F.struct(F.lit(0).cast("long").alias("prev_end"), F.lit(None).cast("long").alias("pushed"))
 
-    def step(acc: Column, x: Column) -> Column:
-        i = F.size(acc["out"])
+    def step(acc: Column, item: Column) -> tuple[Column, Column]:
+        x, following = item["x"], item["following"]
         begin0 = F.coalesce(acc["pushed"], x["start_ms"])
         begin, end = F.least(begin0, x["end_ms"]), F.greatest(begin0, x["end_ms"])
         original = end - begin
         before = F.least(F.greatest(F.lit(0), begin - acc["prev_end"] - pause_ms), F.lit(left_ms))
-        following = F.get(F.col("s"), i + 1)["start_ms"]
         after = F.when(following.isNull(), 0).otherwise(F.greatest(F.lit(0), following - end - pause_ms) + right_ms)
         need = F.greatest(F.lit(0), x["needed_ms"] - original)
         enough = (need > 0) & (before + after >= F.greatest(F.lit(120), F.floor(need * 0.5)))
@@ -50,9 +73,9 @@ def timing_windows(segments: DataFrame, pause_ms: int = 200, left_ms: int = 500,
         done = cur + x["actual_ms"]
         pushed = F.greatest(following, F.least(done, following + right_ms))
         own = F.struct(x["seg_idx"].cast("long").alias("seg_idx"), cur.cast("long").alias("cur_start_ms"), end.cast("long").alias("window_end_ms"), original.cast("long").alias("original_ms"), available.cast("long").alias("available_ms"), got["before_ms"].alias("before_ms"), got["after_ms"].alias("after_ms"))
-        return F.struct(done.cast("long").alias("prev_end"), pushed.cast("long").alias("pushed"), F.concat(acc["out"], F.array(own)).alias("out"))
+        return F.struct(done.cast("long").alias("prev_end"), pushed.cast("long").alias("pushed")), F.array(own)
 
-    return rows.select("media_id", F.explode(F.aggregate("s", start, step, lambda a: a["out"])).alias("w")).select("media_id", "w.*", (F.col("w.window_end_ms") + F.col("w.after_ms")).alias("timing_window_end_ms"))
+    return rows.select("media_id", F.explode(fold(F.col("s"), start, step, window)).alias("w")).select("media_id", "w.*", (F.col("w.window_end_ms") + F.col("w.after_ms")).alias("timing_window_end_ms"))
 
 
 def edge_trim_plan(length: Column, leading: Column, trailing: Column, keep: int = 90, least: int = 180) -> Column:

@@ -270,8 +270,11 @@ scalar("soft_target_chars", "cast(greatest(24, round_even((end_ms - start_ms) /
 scalar("hard_char_limit", "cast(least(170, greatest(8, floor((end_ms - start_ms) / 1000.0 * 16.0))) as integer) as n", lambda: T.hard_char_limit(c("end_ms") - c("start_ms")).alias("n"))
 scalar("tempo_chain", "cast(case when f > 2 then ceil(log2(f)) when f < 0.5 then ceil(-log2(f)) else 1 end as integer) as n, f as product from (select *, (end_ms - start_ms) / 1500.0 as f from pairs_fx) q where true --", lambda: [F.size(T.tempo_chain((c("end_ms") - c("start_ms")) / 1500.0)).alias("n"), F.aggregate(T.tempo_chain((c("end_ms") - c("start_ms")) / 1500.0), F.lit(1.0), lambda a, x: a * x).alias("product")])
 ORACLE_SQL["tempo_chain"] = ORACLE_SQL["tempo_chain"].replace(" -- from pairs_fx", "")
-scalar("job_name", "regexp_replace(regexp_replace('My ' || left(text, 20), '[^\\w.-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g') as value", lambda: T.job_name(F.concat(F.lit("/in/video_My "), F.regexp_replace(F.substr(c("text"), F.lit(1), F.lit(20)), "[/.]", ","), F.lit(".mp4"))).alias("value"), "ascii_q")
-ORACLE_SQL["job_name"] = ORACLE_SQL["job_name"].replace("left(text, 20)", "regexp_replace(left(text, 20), '[/.]', ',', 'g')")
+scalar(
+    "job_name",
+    "regexp_replace(regexp_replace('My ' || regexp_replace(text, '[/.]', ',', 'g'), '[^\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}.-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g') as value",
+    lambda: T.job_name(F.concat(F.lit("/in/video_My "), F.regexp_replace(c("text"), "[/.]", ","), F.lit(".mp4"))).alias("value"),
+)
 scalar("format_duration", "case when s >= 60 then floor(s / 60)::int::varchar || 'm ' || lpad(printf('%.1f', s - floor(s / 60) * 60), 4, '0') || 's' else printf('%.1f', s) || 's' end as value from (select *, (end_ms // 7) / 10.0 as s from pairs_fx) q --", lambda: T.format_duration(F.floor(c("end_ms") / 7) / 10.0).alias("value"))
 ORACLE_SQL["format_duration"] = ORACLE_SQL["format_duration"].replace(" -- from pairs_fx", "")
 _PAIRS = lambda: F.array(F.struct(F.lit("the").alias("source"), F.lit("DER").alias("target")), F.struct(F.lit("of").alias("source"), F.lit("von").alias("target")))
@@ -408,9 +411,9 @@ def frame_segments(fx) -> DataFrame:
     return fx("frames_fx").groupBy("media_id", F.floor(c("frame_idx") / 10).alias("seg_idx")).agg((F.min("frame_idx") * 5).alias("start_ms"), ((F.max("frame_idx") + 1) * 5).alias("end_ms"))
 
 
-@query("frames_in_segment", "select s.media_id, s.seg_idx, count(*) as n, round(sum(f.sq_sum), 0) as sq_sum, max(f.peak) as peak from clipseg_q s join frames_fx f on f.media_id = s.media_id and f.frame_idx * 5 >= greatest(0, s.start_ms - 20) and f.frame_idx * 5 < s.end_ms + 20 group by s.media_id, s.seg_idx", "clipseg_q")
+@query("frames_in_segment", "select s.media_id, s.seg_idx, count(*) as n, cast(sum(cast(f.sq_sum as decimal(18, 4))) as double) as sq_sum, max(f.peak) as peak from clipseg_q s join frames_fx f on f.media_id = s.media_id and f.frame_idx * 5 >= greatest(0, s.start_ms - 20) and f.frame_idx * 5 < s.end_ms + 20 group by s.media_id, s.seg_idx", "clipseg_q")
 def _(fx, spark):
-    return A.frames_in_segment(frames(fx), frame_segments(fx), pad_ms=20).groupBy("media_id", "seg_idx").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("sq_sum"), 0).alias("sq_sum"), F.max("peak").alias("peak"))
+    return A.frames_in_segment(frames(fx), frame_segments(fx), pad_ms=20).groupBy("media_id", "seg_idx").agg(F.count(F.lit(1)).alias("n"), F.sum(c("sq_sum").cast("decimal(18, 4)")).cast("double").alias("sq_sum"), F.max("peak").alias("peak"))
 
 
 def _frame_scalar(name: str, sql: str, fn: Callable) -> None:
@@ -637,9 +640,9 @@ def _(fx, spark):
     return C.clip_candidates(measured(fx)).select("media_id", "source_index", "duration_ms", "clip_start_ms", "clip_end_ms", "duration_bucket", "question")
 
 
-@query("clip_score", "select media_id, cast(seg_idx as bigint) as source_index, round(score, 3) as score from scored_q", "scored_q")
+@query("clip_score", "select media_id, cast(seg_idx as bigint) as source_index, score from scored_q", "scored_q")
 def _(fx, spark):
-    return scored_clips(fx).select("media_id", "source_index", F.round("score", 3).alias("score"))
+    return scored_clips(fx).select("media_id", "source_index", "score")
 
 
 @query("median_active_level", "select media_id, speaker_id, median(active_dbfs) as median_dbfs from clip_q group by all", "clip_q")
@@ -707,7 +710,9 @@ def _(fx, spark):
 
 @query("route_references")
 def _(fx, spark):
-    return C.route_references(C.segment_clip_score(segs(fx), chosen(fx).withColumn("path", F.concat(F.lit("clip_"), c("source_index").cast("string"))))).select("media_id", "seg_idx", "pool", F.array_join("paths", ",").alias("paths"))
+    clips = chosen(fx).withColumn("path", F.concat(F.lit("clip_"), c("source_index").cast("string")))
+    fallback = C.longest_clip_fallback(segs(fx)).select("media_id", F.array(F.concat(F.lit("clip_"), c("seg_idx").cast("string"))).alias("paths"))
+    return C.route_references(C.segment_clip_score(segs(fx), clips), segs(fx), fallback).select("media_id", "seg_idx", "pool", F.array_join("paths", ",").alias("paths"))
 
 
 @query("routing_eligible", f"select media_id, cast(seg_idx as bigint) as seg_idx, greatest(200, end_ms - start_ms) between 900 and 2200 and {_WC.format('text')} >= 3 as eligible from segs_q", "segs_q")
