@@ -215,49 +215,53 @@ def pairs(fx) -> DataFrame:
     return fx("pairs_fx")
 
 
-def ascii_pairs(fx) -> DataFrame:
-    """Pairs of ASCII texts, for the queries whose SQL has patterns that read others differently."""
-    return pairs(fx).filter("original_text rlike '^[\\\\x00-\\\\x7F]*$' and text rlike '^[\\\\x00-\\\\x7F]*$'")
+#: DuckDB's \\w and \\b know ASCII letters only; these are the word characters that Spark's patterns mean.
+_W = "\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}"
+#: Latin tokens: a word with other than ASCII characters is first turned into a mark at which a token ends.
+_MARK_ = "0_0_0_0"
+
+
+def _latin(x: str) -> str:
+    marked = f"regexp_replace({x}, '[{_W}]*[^\\x00-\\x7F\\P{{L}}][{_W}]*', '{_MARK_} ', 'g')"
+    return f"list_transform(regexp_extract_all({marked}, '\\b[A-Za-z][A-Za-z0-9_.+-]*\\b'), lambda x: regexp_replace(x, '{_MARK_}$', ''))"
 
 
-VIEWS |= {"ascii_q": ("", "select * from pairs_fx where regexp_full_match(original_text, '[\\x00-\\x7F]*') and regexp_full_match(text, '[\\x00-\\x7F]*')", ("pairs_fx",))}
 _P = "select media_id, seg_idx, {} from {}"
 _NORM = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
-_CLEAN = _NORM.format("""regexp_replace(text, '[^\\w\\s.,!?;:()"''%\\-]', '', 'g')""")
+_CLEAN = _NORM.format(f"""regexp_replace(text, '[^{_W}\\s.,!?;:()"''%\\-]', '', 'g')""")
 
 
 def scalar(name: str, sql: str, fn: Callable, view: str = "pairs_fx") -> None:
     """A query of one expression over the pairs."""
-    query(name, sql if sql.startswith(("select", "with")) else _P.format(sql, view), view)(lambda fx, spark: (ascii_pairs if view == "ascii_q" else pairs)(fx).select("media_id", "seg_idx", *(fn() if isinstance(fn(), list) else [fn()])))
+    query(name, sql if sql.startswith(("select", "with")) else _P.format(sql, view), view)(lambda fx, spark: pairs(fx).select("media_id", "seg_idx", *(fn() if isinstance(fn(), list) else [fn()])))
 
 
 c = F.col
 scalar("normalize_spaces", _NORM.format("text") + " as value", lambda: T.normalize_spaces(c("text")).alias("value"))
-scalar("text_signature", _NORM.format("regexp_replace(lower(text), '[^\\w\\s]', ' ', 'g')") + " as value", lambda: T.text_signature(c("text")).alias("value"), "ascii_q")
-scalar("clean_spoken_text", _CLEAN + " as value", lambda: T.clean_spoken_text(c("text")).alias("value"), "ascii_q")
+scalar("text_signature", _NORM.format(f"regexp_replace(lower(text), '[^{_W}\\s]', ' ', 'g')") + " as value", lambda: T.text_signature(c("text")).alias("value"))
+scalar("clean_spoken_text", _CLEAN + " as value", lambda: T.clean_spoken_text(c("text")).alias("value"))
 scalar("dataset_text", _NORM.format("replace(text, '|', ' ')") + " as value", lambda: T.dataset_text(c("text")).alias("value"))
-scalar("word_count", "cast(len(regexp_extract_all(text, '\\w+')) as integer) as n", lambda: T.word_count(c("text")).alias("n"), "ascii_q")
+scalar("word_count", f"cast(len(regexp_extract_all(text, '[{_W}]+')) as integer) as n", lambda: T.word_count(c("text")).alias("n"))
 scalar("is_question", "ends_with(trim(text), '?') as value", lambda: T.is_question(c("text")).alias("value"))
 scalar("ends_terminal", "regexp_matches(regexp_replace(trim(text), '[\\s\"'')\\]}]+$', ''), '[.!?]$') as value", lambda: T.ends_terminal(c("text")).alias("value"))
 scalar("ends_continuation", "regexp_matches(regexp_replace(trim(text), '[\\s\"'')\\]}]+$', ''), '[,;:-]$') as value", lambda: T.ends_continuation(c("text")).alias("value"))
-scalar("starts_lower", "regexp_matches(regexp_extract(text, '[A-Za-z]'), '^[a-z]') as value", lambda: T.starts_lower(c("text")).alias("value"), "ascii_q")
-_STRIP = "regexp_replace(trim({}), '[\\s\"'')\\]}}]+$', '')"
+scalar("starts_lower", "regexp_matches(regexp_extract(text, '\\p{L}'), '^\\p{Ll}') as value", lambda: T.starts_lower(c("text")).alias("value"))
+_STRIP = "regexp_replace(trim({}), '[\\s\"'')\\]}}»”]+$', '')"
 _MARK = "case when ends_with({0}, '?') then '?' when ends_with({0}, '!') then '!' else '.' end"
 scalar("preferred_terminal", _MARK.format(_STRIP.format("text")) + " as value", lambda: T.preferred_terminal(c("text")).alias("value"))
 _BASE = f"regexp_replace({_CLEAN}, '[ .,!?:;_-]+$', '')"
-scalar("replace_terminal", f"case when {_BASE} = '' then {_CLEAN} else {_BASE} || '!' end as value", lambda: T.replace_terminal(c("text"), "!").alias("value"), "ascii_q")
+scalar("replace_terminal", f"case when {_BASE} = '' then {_CLEAN} else {_BASE} || '!' end as value", lambda: T.replace_terminal(c("text"), "!").alias("value"))
 scalar(
     "stabilize_text",
-    f"""select media_id, seg_idx, case when clean = '' or regexp_matches({_STRIP.format('clean')}, '[.!?]$') or not (regexp_matches({_STRIP.format('original_text')}, '[.!?]$') or seg_idx % 3 = 0) or base = '' then clean else base || {_MARK.format(_STRIP.format('original_text'))} end as value
-    from (select *, {_CLEAN} as clean, regexp_replace({_CLEAN}, '[ ,;:-]+$', '') as base from ascii_q) q""",
+    f"""select media_id, seg_idx, case when clean = '' or regexp_matches({_STRIP.format('clean')}, '[.!?…]$') or not (regexp_matches({_STRIP.format('original_text')}, '[.!?…]$') or seg_idx % 3 = 0) or base = '' then clean else base || {_MARK.format(_STRIP.format('original_text'))} end as value
+    from (select *, {_CLEAN} as clean, regexp_replace({_CLEAN}, '[ ,;:-]+$', '') as base from pairs_fx) q""",
     lambda: T.stabilize_text(c("text"), c("original_text"), F.lit(""), F.lit(None).cast("long"), F.when(c("seg_idx") % 3 == 0, 300).otherwise(0), F.lit(1)).alias("value"),
-    "ascii_q",
 )
 scalar("retry_variants", "", lambda: F.array_join(T.retry_variants(c("text"), c("original_text"), F.lit(""), F.lit(None).cast("long"), F.lit(0), F.lit(1), F.lit("xtts")), "|").alias("variants"))
 del ORACLE_SQL["retry_variants"]
 scalar("join_segment_text", "case when trim(original_text) = '' then trim(text) when trim(text) = '' then trim(original_text) else trim(original_text) || case when regexp_matches(trim(original_text), '[-/]$') then '' else ' ' end || trim(text) end as value", lambda: T.join_segment_text(c("original_text"), c("text")).alias("value"))
 scalar("extract_numbers", "array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '\\b\\d+(?:[.,]\\d+)?%?\\b'), lambda x: replace(x, ',', '.')))), ',') as value", lambda: F.array_join(F.array_sort(T.extract_numbers(c("text"))), ",").alias("value"))
-scalar("latin_tokens", "array_to_string(regexp_extract_all(text, '\\b[A-Za-z][A-Za-z0-9_.+-]*\\b'), ' ') as value", lambda: F.array_join(T.latin_tokens(c("text")), " ").alias("value"), "ascii_q")
+scalar("latin_tokens", f"array_to_string({_latin('text')}, ' ') as value", lambda: F.array_join(T.latin_tokens(c("text")), " ").alias("value"))
 scalar("split_config_list", "array_to_string(list_filter(list_transform(regexp_split_to_array(replace(text, ',', ';'), '[|\\n;]'), lambda x: trim(x)), lambda x: x <> ''), '/') as value", lambda: F.array_join(T.split_config_list(F.translate(c("text"), ",", ";")), "/").alias("value"))
 scalar("parse_pairs", "case when trim(left(text, 10)) <> '' and trim(substr(text, 11)) <> '' then trim(left(text, 10)) || '=' || trim(substr(text, 11)) else '' end as value", lambda: F.array_join(F.transform(T.parse_pairs(F.array(F.concat(F.substr(c("text"), F.lit(1), F.lit(10)), F.lit("->"), F.substr(c("text"), F.lit(11))))), lambda p: F.concat_ws("=", p["source"], p["target"])), ",").alias("value"))
 scalar("language_name", "case lang when 'eng' then 'English' else lang end as value", lambda: T.language_name(c("lang")).alias("value"))
@@ -300,8 +304,7 @@ query("sink_subtitles")(lambda fx, spark: J.subtitle_documents(J.subtitle_cues(s
 
 VIEWS |= {
     "vec_q": ("", "select a.vec_id as id, list_transform(a.embedding, lambda x: x::double) as a, list_transform(b.embedding, lambda x: x::double) as b from embeddings a join embeddings b on b.vec_id = a.vec_id + 1 where a.vec_id % 2 = 0", ()),
-    "rec_q": ("", "select *, regexp_extract_all(lower(expected), '\\w+') as e, regexp_extract_all(lower(recognized), '\\w+') as r from recog_fx where regexp_full_match(expected, '[\\x00-\\x7F]*')", ("recog_fx",)),
-    "every_q": ("", "select *, regexp_extract_all(lower(expected), '\\w+') as e, regexp_extract_all(lower(recognized), '\\w+') as r from recog_fx", ("recog_fx",)),
+    "every_q": ("", f"select *, regexp_extract_all(lower(expected), '[{_W}]+') as e, regexp_extract_all(lower(recognized), '[{_W}]+') as r from recog_fx", ("recog_fx",)),
 }
 
 
@@ -315,10 +318,6 @@ def recog(fx) -> DataFrame:
     return fx("recog_fx")
 
 
-def ascii_recog(fx) -> DataFrame:
-    return recog(fx).filter(r"expected rlike '^[\\x00-\\x7F]*$'")
-
-
 @query("vector_cosine", "select id, round(list_cosine_similarity(a, b), 4) as cosine from vec_q", "vec_q")
 def _(fx, spark):
     return vec_pairs(fx).select("id", F.round(V.vector_cosine(c("a"), c("b")), 4).alias("cosine"))
@@ -348,11 +347,11 @@ def _(fx, spark):
     return recog(fx).select("media_id", V.extra_trailing(T.word_tokens(c("recognized")), T.word_tokens(c("expected"))).alias("value"))
 
 
-@query("token_overlap", """select q.media_id, cast(coalesce(n, 0) as integer) as overlap, round(coalesce(n, 0) / len(e), 6) as recall, round(coalesce(n, 0) / len(r), 6) as precision from rec_q q left join
-  (select a.media_id, sum(least(a.k, b.k)) as n from (select media_id, w, count(*) as k from (select media_id, unnest(e) as w from rec_q) x group by all) a join (select media_id, w, count(*) as k from (select media_id, unnest(r) as w from rec_q) x group by all) b on a.media_id = b.media_id and a.w = b.w group by a.media_id) o on q.media_id = o.media_id""", "rec_q")
+@query("token_overlap", """select q.media_id, cast(coalesce(n, 0) as integer) as overlap, round(coalesce(n, 0) / len(e), 6) as recall, round(coalesce(n, 0) / len(r), 6) as precision from every_q q left join
+  (select a.media_id, sum(least(a.k, b.k)) as n from (select media_id, w, count(*) as k from (select media_id, unnest(e) as w from every_q) x group by all) a join (select media_id, w, count(*) as k from (select media_id, unnest(r) as w from every_q) x group by all) b on a.media_id = b.media_id and a.w = b.w group by a.media_id) o on q.media_id = o.media_id""", "every_q")
 def _(fx, spark):
     o = V.token_overlap(T.word_tokens(c("expected")), T.word_tokens(c("recognized")))
-    return ascii_recog(fx).select("media_id", o["overlap"].alias("overlap"), F.round(o["recall"], 6).alias("recall"), F.round(o["precision"], 6).alias("precision"))
+    return recog(fx).select("media_id", o["overlap"].alias("overlap"), F.round(o["recall"], 6).alias("recall"), F.round(o["precision"], 6).alias("precision"))
 
 
 @query("sequence_ratio")
@@ -365,9 +364,13 @@ def _(fx, spark):
     return recog(fx).select("media_id", V.recognition_score("expected", "recognized").alias("s")).select("media_id", "s.*")
 
 
-@query("wer_cer", """select media_id, round(cer, 6) as cer from (select media_id, levenshtein(trim(expected), trim(recognized)) / greatest(1, length(trim(expected))) as cer from rec_q) q""", "rec_q")
+#: DuckDB's edit distance counts bytes: each of the two texts' characters is given one byte, by its place among them.
+_CHARS, _BYTES = "list_transform(range(1, length({0}) + 1), lambda i: substr({0}, i, 1))", "array_to_string(list_transform({}, lambda x: chr(cast(list_position(d, x) as integer))), '')"
+
+
+@query("wer_cer", f"""select media_id, round(levenshtein({_BYTES.format('a')}, {_BYTES.format('b')}) / greatest(1, len(a)), 6) as cer from (select *, list_distinct(list_concat(a, b)) as d from (select media_id, {_CHARS.format('trim(expected)')} as a, {_CHARS.format('trim(recognized)')} as b from recog_fx) x) y""", "recog_fx")
 def _(fx, spark):
-    return Q.wer_cer(ascii_recog(fx).withColumnRenamed("expected", "reference")).select("media_id", F.round("cer", 6).alias("cer"))
+    return Q.wer_cer(recog(fx).withColumnRenamed("expected", "reference")).select("media_id", F.round("cer", 6).alias("cer"))
 
 
 @query("wer")
@@ -531,7 +534,7 @@ def _(fx, spark):
     return M.babble_trim_gate(side(1, "before").join(side(2, "after"), ["media_id", "seg_idx"]).withColumn("trim_ms", c("seg_idx") % 3)).select("media_id", "seg_idx", "accepted")
 
 
-VIEWS |= {"cand_q": ("", "select media_id, seg_idx, original_text, i as cand_idx, left(text, cast(length(text) * (4 - i) // 4 as bigint)) as candidate, end_ms - start_ms as current_ms, 4000 as target_ms from ascii_q, unnest(range(0, 3)) t(i)", ("ascii_q",))}
+VIEWS |= {"cand_q": ("", "select media_id, seg_idx, original_text, i as cand_idx, left(text, cast(length(text) * (4 - i) // 4 as bigint)) as candidate, end_ms - start_ms as current_ms, 4000 as target_ms from pairs_fx, unnest(range(0, 3)) t(i)", ("pairs_fx",))}
 
 
 def candidates(p: DataFrame) -> DataFrame:
@@ -540,12 +543,12 @@ def candidates(p: DataFrame) -> DataFrame:
     return p.select("media_id", "seg_idx", "original_text", "cand_idx", F.substr(c("text"), F.lit(1), cut).alias("candidate"), (c("end_ms") - c("start_ms")).alias("current_ms"), F.lit(4000).alias("target_ms"), F.lit("shorter").alias("mode"))
 
 
-@query("candidate_rank", """with m as (select *, regexp_extract_all(lower(original_text), '\\w+') as a, regexp_extract_all(lower(candidate), '\\w+') as b, length(candidate) / greatest(1, length(original_text)) as cr, greatest(0.52, least(0.98, target_ms / greatest(1, current_ms))) as tr from cand_q where lower(trim(regexp_replace(candidate, '\\s+', ' ', 'g'))) <> lower(trim(regexp_replace(original_text, '\\s+', ' ', 'g')))),
+@query("candidate_rank", f"""with m as (select *, regexp_extract_all(lower(original_text), '[{_W}]+') as a, regexp_extract_all(lower(candidate), '[{_W}]+') as b, length(candidate) / greatest(1, length(original_text)) as cr, greatest(0.52, least(0.98, target_ms / greatest(1, current_ms))) as tr from cand_q where lower(trim(regexp_replace(candidate, '\\s+', ' ', 'g'))) <> lower(trim(regexp_replace(original_text, '\\s+', ' ', 'g')))),
   p as (select *, len(list_intersect(list_distinct(a), list_distinct(b))) / greatest(1, len(list_distinct(b))) as tp, len(b) / greatest(1, len(a)) as wr from m),
   s as (select *, round(abs(cr - tr) + greatest(0.0, 0.62 - cr) * 2.5 + greatest(0.0, cr - 1.0) * 2.0 + greatest(0.0, 0.72 - tp) * 1.6 + greatest(0.0, 0.66 - wr) * 1.6, 4) as score from p)
   select media_id, seg_idx, cand_idx, score, cast(row_number() over (partition by media_id, seg_idx order by score, cand_idx) as integer) as rank from s""", "cand_q")
 def _(fx, spark):
-    return M.candidate_rank(candidates(ascii_pairs(fx))).select("media_id", "seg_idx", "cand_idx", "score", "rank")
+    return M.candidate_rank(candidates(pairs(fx))).select("media_id", "seg_idx", "cand_idx", "score", "rank")
 
 
 @query("rewrite_gate")
@@ -563,11 +566,11 @@ def _(fx, spark):
 # Translation quality.
 
 _TERMS = ("the", "der")
-_QA = """select *, length(text) / greatest(1, length(original_text)) as cr, length(text) / greatest(24, round_even((end_ms - start_ms) / 1000.0 * 14.0, 0) + 18) as tr, cast(greatest(24, round_even((end_ms - start_ms) / 1000.0 * 14.0, 0) + 18) as integer) as soft,
+_QA = f"""select *, length(text) / greatest(1, length(original_text)) as cr, length(text) / greatest(24, round_even((end_ms - start_ms) / 1000.0 * 14.0, 0) + 18) as tr, cast(greatest(24, round_even((end_ms - start_ms) / 1000.0 * 14.0, 0) + 18) as integer) as soft,
   list_sort(list_filter(list_distinct(list_transform(regexp_extract_all(original_text, '\\b\\d+(?:[.,]\\d+)?%?\\b'), lambda x: replace(x, ',', '.'))), lambda x: not list_contains(list_transform(regexp_extract_all(text, '\\b\\d+(?:[.,]\\d+)?%?\\b'), lambda y: replace(y, ',', '.')), x))) as missing,
-  list_filter(regexp_extract_all(text, '\\b[A-Za-z][A-Za-z0-9_.+-]*\\b'), lambda t: not (lower(t) in ('the', 'der') or (regexp_matches(t, '[A-Z]') and upper(t) = t and length(t) <= 8) or regexp_matches(t, '\\d'))) as latin
-  from (select media_id, seg_idx, start_ms, end_ms, trim(regexp_replace(text, '\\s+', ' ', 'g')) as text, trim(regexp_replace(original_text, '\\s+', ' ', 'g')) as original_text from ascii_q) q"""
-VIEWS |= {"qa_q": ("", f"select *, list_filter([case when text = '' then 'empty_translation' end, case when length(original_text) >= 12 and cr > 1.65 then 'high_char_ratio' end, case when tr > 1.25 then 'over_timing_soft_limit' end, case when len(missing) > 0 then 'missing_number' end, case when len(latin) > 0 then 'latin_word_in_translation' end], lambda x: x is not null) as issues from ({_QA}) z", ("ascii_q",))}
+  list_filter({_latin('text')}, lambda t: not (lower(t) in ('the', 'der') or (regexp_matches(t, '[A-Z]') and upper(t) = t and length(t) <= 8) or regexp_matches(t, '\\d'))) as latin
+  from (select media_id, seg_idx, start_ms, end_ms, trim(regexp_replace(text, '\\s+', ' ', 'g')) as text, trim(regexp_replace(original_text, '\\s+', ' ', 'g')) as original_text from pairs_fx) q"""
+VIEWS |= {"qa_q": ("", f"select *, list_filter([case when text = '' then 'empty_translation' end, case when length(original_text) >= 12 and cr > 1.65 then 'high_char_ratio' end, case when tr > 1.25 then 'over_timing_soft_limit' end, case when len(missing) > 0 then 'missing_number' end, case when len(latin) > 0 then 'latin_word_in_translation' end], lambda x: x is not null) as issues from ({_QA}) z", ("pairs_fx",))}
 
 
 def terms() -> Column:
@@ -577,18 +580,18 @@ def terms() -> Column:
 @query("translation_qa_issues", "select media_id, seg_idx, array_to_string(issues, ',') as issues, round(cr, 3) as char_ratio, round(tr, 3) as target_ratio, soft as soft_target, array_to_string(missing, ',') as missing_numbers, array_to_string(latin, ',') as latin_words from qa_q where len(issues) > 0", "qa_q")
 def _(fx, spark):
     flat = lambda n: F.array_join(n, ",").alias(n)
-    return Q.translation_qa_issues(ascii_pairs(fx), terms()).select("media_id", "seg_idx", flat("issues"), "char_ratio", "target_ratio", "soft_target", flat("missing_numbers"), flat("latin_words"))
+    return Q.translation_qa_issues(pairs(fx), terms()).select("media_id", "seg_idx", flat("issues"), "char_ratio", "target_ratio", "soft_target", flat("missing_numbers"), flat("latin_words"))
 
 
 @query("translation_qa_summary", """select media_id, count(*) as translated_count, count(*) filter (len(issues) > 0) as issue_count, count(*) filter (list_contains(issues, 'empty_translation')) as empty_count, count(*) filter (list_contains(issues, 'high_char_ratio')) as high_char_ratio_count, count(*) filter (list_contains(issues, 'over_timing_soft_limit')) as over_timing_soft_limit_count,
   count(*) filter (list_contains(issues, 'missing_number')) as missing_number_count, count(*) filter (list_contains(issues, 'latin_word_in_translation')) as latin_word_count, round(avg(cr), 4) as mean_char_ratio, round(avg(tr), 4) as mean_target_ratio from qa_q group by media_id""", "qa_q")
 def _(fx, spark):
-    return Q.translation_qa_summary(ascii_pairs(fx), terms())
+    return Q.translation_qa_summary(pairs(fx), terms())
 
 
 @query("latin_leaks", "select media_id, seg_idx, array_to_string(latin, ',') as words from qa_q", "qa_q")
 def _(fx, spark):
-    return ascii_pairs(fx).select("media_id", "seg_idx", F.array_join(Q.latin_leaks(T.normalize_spaces(c("text")), terms()), ",").alias("words"))
+    return pairs(fx).select("media_id", "seg_idx", F.array_join(Q.latin_leaks(T.normalize_spaces(c("text")), terms()), ",").alias("words"))
 
 
 @query("positional_pairs", """with own as (select media_id, row_number() over (partition by media_id order by seg_idx) - 1 as n, trim(original_text) as source, trim(text) as target from pairs_fx where media_id % 2 = 0 and trim(original_text) <> '' and trim(text) <> ''),
@@ -988,9 +991,9 @@ def _(fx, spark):
     return _streamed(spark, fx("words_fx").filter("text <> ''").select("media_id", "text", "start_ms", "end_ms"), "words", streaming.pause_segments).select("media_id", "text", "start_ms", "end_ms")
 
 
-@query("stream_qa_counts", "select date_trunc('hour', make_timestamp(start_ms * 10000)) as start, issue, count(*) as n from (select start_ms, unnest(issues) as issue from qa_q) q group by all", "qa_q", "ascii_q")
+@query("stream_qa_counts", "select date_trunc('hour', make_timestamp(start_ms * 10000)) as start, issue, count(*) as n from (select start_ms, unnest(issues) as issue from qa_q) q group by all", "qa_q")
 def _(fx, spark):
     from . import streaming
 
-    i = Q.translation_qa_issues(ascii_pairs(fx), terms()).select("media_id", "seg_idx", "issues").join(ascii_pairs(fx).select("media_id", "seg_idx", "start_ms"), ["media_id", "seg_idx"])
+    i = Q.translation_qa_issues(pairs(fx), terms()).select("media_id", "seg_idx", "issues").join(pairs(fx).select("media_id", "seg_idx", "start_ms"), ["media_id", "seg_idx"])
     return _streamed(spark, i.select(F.timestamp_millis(c("start_ms") * 10).alias("at"), "issues"), "issues", streaming.qa_counts)

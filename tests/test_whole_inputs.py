@@ -26,7 +26,7 @@ def test_rows_of_all_languages(spark, sf):
     assert not all(x.isascii() for x in pairs.values())
     got = {(r.media_id, r.seg_idx): r.value for r in QUERIES["normalize_spaces"](spark, sf).collect()}
     assert got == {k: " ".join(x.split()) for k, x in pairs.items()}
-    for name in ("retry_variants", "segment_payload_json", "clean_model_answer", "extract_candidates", "constraint_check", "normalize_translation"):
+    for name in ("retry_variants", "segment_payload_json", "clean_model_answer", "extract_candidates", "constraint_check", "normalize_translation", "text_signature", "clean_spoken_text", "word_count", "starts_lower", "replace_terminal", "stabilize_text", "latin_tokens", "latin_leaks"):
         assert QUERIES[name](spark, sf).count() == len(pairs), name
     assert QUERIES["rewrite_gate"](spark, sf).count() == 3 * len(pairs)
     recog = {r.media_id: r for r in fixture(spark, sf, "recog_fx").collect()}
@@ -34,10 +34,24 @@ def test_rows_of_all_languages(spark, sf):
     words = lambda x: " ".join(re.findall(r"\w+", x.lower()))
     got = {r.media_id: r.ratio for r in QUERIES["sequence_ratio"](spark, sf).collect()}
     assert got == {k: round(SequenceMatcher(None, words(r.expected), words(r.recognized)).ratio(), 6) for k, r in recog.items()}
-    for name in ("wer", "recognition_score", "suffix_anchor", "extra_trailing"):
+    for name in ("wer", "wer_cer", "token_overlap", "recognition_score", "suffix_anchor", "extra_trailing"):
         assert QUERIES[name](spark, sf).count() == len(recog), name
 
 
+def test_latin_tokens_end_at_other_letters(spark):
+    """Words with other letters hold no token; DuckDB's form marks them."""
+    import duckdb
+    from pyspark.sql import functions as F
+
+    from segloom.functions.text import latin_tokens
+    from segloom.queries import _latin
+
+    texts = ["", "naïve plan", "foo.naïve.bar x1", "self-évident-self", "да no-да v2.0 é", "a_b c+ d. 9z"]
+    got = [r.t for r in spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").orderBy("i").select(latin_tokens(F.col("x")).alias("t")).collect()]
+    assert got == [duckdb.execute(f"select {_latin('x')} from (select ? as x) t", [x]).fetchone()[0] for x in texts]
+    assert got[1:4] == [["plan"], ["foo.", "bar", "x1"], ["self-", "self"]]
+
+
 def test_references_are_of_chosen_clips(spark, sf):
     from segloom.queries import QUERIES
 
