@@ -19,6 +19,7 @@ byte. Null doc_ids are kept as rows. Empty tables give no rows. Other columns ar
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import batch, discard, mix, rows_out, runs, shared_folder, shuffle_partitions, sliding_min, table, text_bytes, written
 
-GRAM = 64
+GRAM, LEAST_SPAN = 64, 400
 LIMIT = 20_000  # contexts of at most 736 bytes: 15 MB in a task
 #: Lengths of the beginnings by which the reach of contexts is bounded.
 LADDER = (4, 8, 12, 16, 20, 24, 32, 40, 48, 64, 80, 96, 128, 160, 192, 256, 320, 400)
@@ -123,8 +124,8 @@ def repeat_scan(group: np.ndarray, left: list[bytes], right: list[bytes], span:
     edges = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), n]  # equal groups stand together
     by_right = [i for a, b in zip(edges, edges[1:]) for i in sorted(range(a, b), key=right.__getitem__)]
     by_left = [i for a, b in zip(edges, edges[1:]) for i in sorted(range(a, b), key=left.__getitem__)]
-    lcp = common(right, by_right, np.fromiter(map(len, right), np.int64, n), group, span)
-    lefts = common(left, by_left, np.fromiter(map(len, left), np.int64, n), group, span)
+    lcp = common(right, by_right, np.fromiter(map(len, right), np.int64, n), group, max(map(len, right)))
+    lefts = common(left, by_left, np.fromiter(map(len, left), np.int64, n), group, max(1, *map(len, left)))
     least_left, next_left = None, lefts.tolist()
     suffix, rank = np.array(by_right), np.empty(n, np.int64)
     rank[by_left] = np.arange(n)
@@ -164,6 +165,11 @@ class Repeats:
         self.place, self.name = shared_folder(self.spark, "repeats"), f"texts_{uuid.uuid4().hex}"
         self.keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5("text")))
         self.texts = _bucketed(self.keyed.groupBy("key").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n")), self.name, self.place)
+        self._search(span, span - GRAM, span)
+
+    def _search(self, span: int, before: int, reach: int) -> None:
+        """Anchors of windows of `span`, and the contexts of those that occur more than once: `before` bytes before an anchor, `reach` from it on."""
+        self.span, self.before, self.reach = span, before, reach
         self.found = written(self._occurrences(), "anchors", self.place)
         often = written(self.found.groupBy("a").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("a"), "often", self.place)
         self.found = written(self.found.join(often, "a", "left_semi"), "repeated", self.place)
@@ -173,7 +179,7 @@ class Repeats:
         self.each = each
 
     def _occurrences(self) -> DataFrame:
-        span, before = self.span, self.span - GRAM
+        span, before, reach = self.span, self.before, self.reach
         out = pa.schema([("a", pa.int64()), ("c", pa.binary()), ("key", pa.binary()), ("pos", pa.int32())])
 
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,28 +189,32 @@ class Repeats:
                     at, h = anchors(np.frombuffer(text, np.uint8), span)
                     for p, a in zip(at.tolist(), h.view(np.int64).tolist()):
                         start = max(0, p - before)
-                        rows.append((a, xxhash.xxh3_128_digest(text[start : p + span], seed=p - start), key, p))
+                        rows.append((a, xxhash.xxh3_128_digest(text[start : p + reach], seed=p - start), key, p))
                 yield from rows_out(out, rows, 1 << 17)
 
         return self.texts.select("key", "text").mapInArrow(find, "a long, c binary, key binary, pos int")
 
     def _fetched(self, needed: DataFrame) -> DataFrame:
         """The bytes of one occurrence of each context in `needed`."""
-        span, before = self.span, self.span - GRAM
+        before, reach, some = self.before, self.reach, self._some()
         lists = needed.groupBy("key").agg(F.collect_list(F.struct("a", "c", "k", "m", "pos")).alias("each"))
         out = pa.schema([("a", pa.int64()), ("c", pa.binary()), ("k", pa.int64()), ("m", pa.int64()), ("left", pa.binary()), ("right", pa.binary())])
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                rows = ((x["a"], x["c"], x["k"], x["m"], text[max(0, x["pos"] - before) : x["pos"]][::-1], text[x["pos"] : x["pos"] + span]) for text, each in zip(text_bytes(b.column("text")), b.column("each").to_pylist()) for x in each)
-                yield from rows_out(out, rows, 8000)
+                rows = ((x["a"], x["c"], x["k"], x["m"], text[max(0, x["pos"] - before) : x["pos"]][::-1], text[x["pos"] : x["pos"] + reach]) for text, each in zip(text_bytes(b.column("text")), b.column("each").to_pylist()) for x in each)
+                yield from rows_out(out, rows, some)
 
         return self.texts.select("key", "text").join(lists, "key").select("text", "each").mapInArrow(cut, "a long, c binary, k long, m long, left binary, right binary")
 
+    def _some(self) -> int:
+        """Contexts that are handled at a time: about 6 MB."""
+        return max(1, 8000 * (2 * LEAST_SPAN) // (self.before + self.reach + GRAM))
+
     def _scanned(self, emit, schema: str) -> DataFrame:
         """emit over the contexts of whole anchors, those of at most `limit` contexts, some thousand contexts at a time."""
         few = self.contexts.filter(F.col("m") <= self.limit).select("a", "c", "left", "right").repartition("a").sortWithinPartitions("a")
-        span = self.span
+        span, some = self.span, self._some()
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[pa.RecordBatch] = []
@@ -214,7 +224,7 @@ class Repeats:
                 cut = b.num_rows
                 a = b.column("a").to_numpy()
                 held_n = sum(x.num_rows for x in held)
-                if held_n + cut >= 8000:  # whole anchors only: cut where the last one begins
+                if held_n + cut >= some:  # whole anchors only: cut where the last one begins
                     last = int(np.searchsorted(a, a[-1]))
                     if last or (held and held[-1].column("a")[-1].as_py() != a[-1]):
                         yield from emit(pa.Table.from_batches([*held, b.slice(0, last)]), span)
@@ -296,7 +306,30 @@ class Repeats:
         return rows.join(twice, keys).groupBy("a", "c").agg(F.max("l").alias("l"), (F.lit(span) - F.min("l")).cast("int").alias("r"))
 
     def groups(self) -> DataFrame:
-        """Maximal repeats with all occurrences: id, length, key, start; of anchors with at most `limit` contexts."""
+        """Maximal repeats of `span` bytes or more, of any length, with all occurrences: id (the MD5 of the bytes), length, key, start and n, the number of documents of that text.
+
+        A repeat is maximal if the bytes before its occurrences aren't all the same, nor those behind it; ends of texts differ from
+        all. Each level takes the repeats of span to twice span bytes, with anchors and contexts of that size, so that a level
+        moves about as many bytes as the first; the next one doubles span, until no anchor occurs twice. A text that several
+        documents have is a repeat itself, of one row. Left out are anchors with more than `limit` contexts of the first level's
+        size, and accordingly fewer of longer ones.
+        """
+        top, span = self.texts.agg(F.max(F.octet_length("text"))).first()[0] or 0, self.span
+        several = self.texts.filter((F.col("n") > 1) & (F.octet_length("text") >= span))
+        every = several.select(F.col("key").alias("id"), F.octet_length("text").cast("int").alias("length"), "key", F.lit(0).alias("start"))
+        while span <= top:
+            level = copy.copy(self)
+            level.limit = max(1, self.limit * self.span // span)
+            level._search(span, span - GRAM + 1, 2 * span)
+            if level.found.isEmpty():
+                break
+            every = every.unionByName(level._level())
+            span *= 2
+        return every.distinct().join(self.texts.select("key", "n"), "key").select("id", "length", "key", "start", "n")
+
+    def _level(self) -> DataFrame:
+        """id, length, key, start of the maximal repeats of span to twice span bytes: one that starts at most `before` - 1 bytes before its first anchor is seen whole from there, with a byte on either side."""
+        before = self.before
         out = pa.schema([("id", pa.binary()), ("a", pa.int64()), ("c", pa.binary()), ("l", pa.int32()), ("length", pa.int32())])
 
         def emit(t: pa.Table, span: int) -> Iterator[pa.RecordBatch]:
@@ -304,15 +337,19 @@ class Repeats:
 
             def rows():
                 for l, r, members in repeat_scan(np.array(a), left, right, span):
-                    i = int(members[0])
+                    members = members.tolist()
+                    behind = {right[j][r : r + 1] for j in members}
+                    if l >= before or l + r >= 2 * span or (len(behind) == 1 and behind != {b""}):  # cut off by the contexts, or all go on alike
+                        continue
+                    i = members[0]
                     name = hashlib.md5(left[i][:l][::-1] + right[i][:r]).digest()
-                    for j in members.tolist():
+                    for j in members:
                         yield name, a[j], c[j], l, l + r
 
             yield from rows_out(out, rows())
 
-        found = self._scanned(emit, "id binary, a long, c binary, l int, length int")
-        return found.join(self.found, ["a", "c"]).select("id", "length", "key", (F.col("pos") - F.col("l")).alias("start")).distinct()
+        found = written(self._scanned(emit, "id binary, a long, c binary, l int, length int"), "groups", self.place)
+        return found.join(self.found, ["a", "c"]).select("id", "length", "key", (F.col("pos") - F.col("l")).alias("start"))
 
     def digests(self) -> DataFrame:
         """Per distinct text: key, n_bytes, n_removed, n_spans, kept_sha256, spans."""

@@ -108,15 +108,50 @@ def test_repeats(spark, texts, limit):
     assert {r.doc_id: tuple(r)[1:] for r in got} == dict(enumerate(want))
 
 
-def test_repeat_groups(spark, texts):
+def maximal_repeats(texts, span):
+    """bytes -> (distinct text, start) of each maximal repeat, by trying all lengths."""
+    data = collections.Counter((t or "").encode() for t in texts)
+    out = {b: {(b, 0)} for b, n in data.items() if n > 1 and len(b) >= span}
+    live, n = [(b, i) for b in data for i in range(len(b))], span
+    while live:
+        seen = collections.defaultdict(list)
+        for b, i in live:
+            if i + n <= len(b):
+                seen[b[i : i + n]].append((b, i))
+        seen = {w: at for w, at in seen.items() if len(at) > 1}
+        for w, at in seen.items():
+            before, behind = {b[i - 1 : i] if i else None for b, i in at}, {b[i + n : i + n + 1] for b, i in at}
+            if (len(before) > 1 or before == {None}) and (len(behind) > 1 or behind == {b""}):
+                out.setdefault(w, set()).update(at)
+        live, n = [x for at in seen.values() for x in at], n + 1
+    return out
+
+
+def nested(seed):
+    """Texts that share passages of many lengths, inside one another, overlapping, at edges and as a whole."""
+    r = random.Random(seed)
+    own = lambda n: "".join(r.choices("abcdefghij \u00e9", k=n))
+    a, b, c = own(1300), own(90), own(230)
+    return [a, own(50) + a[:700] + own(60), own(20) + a[300:1100] + b + c, c + own(10) + a[400:520], own(30) + b + c + a[:150], a[250:650], c, c, own(80) + c + c[:150], own(200), "", None, "x" * 260, own(40) + a, a[900:] + "y", a[100:230] + b]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_repeat_groups(spark, seed):
+    """All maximal repeats of 100 bytes or more with all their occurrences, and no other."""
     from segloom.llm.suffix_repeats import Repeats
 
-    r = Repeats(docs_of(spark, texts), span=100)
+    made = nested(seed)
+    r = Repeats(docs_of(spark, made), span=100)
     by_key = {bytes(x.key): x.text.encode() for x in r.texts.collect()}
-    groups = collections.defaultdict(list)
+    groups = collections.defaultdict(set)
     for g in r.groups().collect():
-        groups[bytes(g.id)].append(by_key[bytes(g.key)][g.start : g.start + g.length])
-    assert groups and all(len(set(v)) == 1 and len(v) > 1 and len(v[0]) >= 100 for v in groups.values())
+        text = by_key[bytes(g.key)]
+        assert g.n == sum((t or "").encode() == text for t in made)
+        assert hashlib.md5(w := text[g.start : g.start + g.length]).digest() == bytes(g.id)
+        groups[w].add((text, g.start))
+    want = maximal_repeats(made, 100)
+    assert max(map(len, want)) > 1200 and len(want) > 15
+    assert groups == want
 
 
 def test_no_repeats_of_no_rows(spark):
