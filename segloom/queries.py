@@ -691,31 +691,22 @@ def _(fx, spark):
 
 
 def clip_table(fx) -> DataFrame:
-    """Every fifth segment as a clip; the routing pool has all, the stable pool some."""
-    s = segs(fx).filter("seg_idx % 5 = 0 and seg_idx < 50").select("media_id", "speaker_id", "text", (c("end_ms") - c("start_ms")).alias("duration_ms"), F.concat(F.lit("clip_"), c("seg_idx").cast("string")).alias("path"), C.duration_bucket(c("end_ms") - c("start_ms")).alias("duration_bucket"), (c("seg_idx") % 4).cast("double").alias("selection_score"), "seg_idx")
-    return s.withColumn("pool", F.lit("routing")).unionByName(s.filter("seg_idx % 10 = 0").withColumn("pool", F.lit("stable"))).drop("seg_idx")
+    """The clips chosen for each speaker."""
+    return chosen(fx).withColumn("path", F.concat(F.lit("clip_"), c("source_index").cast("string")))
 
 
 _WC = "len(regexp_extract_all({}, '[\\p{{L}}\\p{{M}}\\p{{N}}_]+'))"
-VIEWS |= {
-    "clips_q": ("", "select media_id, speaker_id, text, end_ms - start_ms as duration_ms, 'clip_' || seg_idx::bigint::varchar as path, seg_idx % 4 as selection_score, pool from segs_q, (values ('routing'), ('stable')) p(pool) where seg_idx % 5 = 0 and seg_idx < 50 and (pool = 'routing' or seg_idx % 10 = 0)", ("segs_q",)),
-    "route_q": ("", f"""select media_id, seg_idx, pool, path, cb, greatest(-1.0, 1.8 - abs(cd - sd) / greatest(sd, 1200)) + case when sb = cb then 0.7 when sb = 'medium' or cb = 'medium' then 0.25 else -0.15 end + case when sq and cq then 0.45 when sq <> cq then -0.2 else 0.0 end
-       + case when sw > 0 and cw > 0 then greatest(-0.4, 0.8 - abs(cw - sw) / greatest(sw, 4)) else 0.0 end + case when contains(st, ',') and contains(ct, ',') then 0.15 else 0.0 end + case when contains(st, '!') and contains(ct, '!') then 0.15 else 0.0 end + least(selection_score, 6.0) * 0.08 as score from
-       (select s.media_id, s.seg_idx, c.pool, c.path, c.selection_score, s.text as st, c.text as ct, greatest(200, s.end_ms - s.start_ms) as sd, greatest(200, c.duration_ms) as cd, case when s.end_ms - s.start_ms < 4000 then 'short' when s.end_ms - s.start_ms < 7000 then 'medium' else 'long' end as sb, case when c.duration_ms < 4000 then 'short' when c.duration_ms < 7000 then 'medium' else 'long' end as cb,
-        ends_with(s.text, '?') as sq, ends_with(c.text, '?') as cq, {_WC.format('s.text')} as sw, {_WC.format('c.text')} as cw from segs_q s join clips_q c on c.media_id = s.media_id and c.speaker_id = s.speaker_id) q""", ("clips_q",)),
-}
 
 
-@query("segment_clip_score", "select media_id, cast(seg_idx as bigint) as seg_idx, pool, path, round(score, 6) as route_score from route_q", "route_q")
+@query("segment_clip_score")
 def _(fx, spark):
     return C.segment_clip_score(segs(fx), clip_table(fx)).select("media_id", "seg_idx", "pool", "path", F.round("route_score", 6).alias("route_score"))
 
 
 @query("route_references")
 def _(fx, spark):
-    clips = chosen(fx).withColumn("path", F.concat(F.lit("clip_"), c("source_index").cast("string")))
     fallback = C.longest_clip_fallback(segs(fx)).select("media_id", F.array(F.concat(F.lit("clip_"), c("seg_idx").cast("string"))).alias("paths"))
-    return C.route_references(C.segment_clip_score(segs(fx), clips), segs(fx), fallback).select("media_id", "seg_idx", "pool", F.array_join("paths", ",").alias("paths"))
+    return C.route_references(C.segment_clip_score(segs(fx), clip_table(fx)), segs(fx), fallback).select("media_id", "seg_idx", "pool", F.array_join("paths", ",").alias("paths"))
 
 
 @query("routing_eligible", f"select media_id, cast(seg_idx as bigint) as seg_idx, greatest(200, end_ms - start_ms) between 900 and 2200 and {_WC.format('text')} >= 3 as eligible from segs_q", "segs_q")
