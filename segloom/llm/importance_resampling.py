@@ -9,7 +9,7 @@ CRC state behind "word ", and the buckets of frequent pairs; all tasks get it by
 by number. Any other feature is hashed directly, from the state of its first word on. Both feed the same exact totals, so what
 is in the head decides about time alone. It is found in one pass over all texts: words and pairs that make up FREQUENT of
 some block of BLOCK words are candidates, so none that makes up FREQUENT of all words is missed; their counts in those blocks
-are summed, and the first HEAD_WORDS and HEAD_PAIRS are kept. Words of over LONGEST bytes are always hashed directly, which
+are summed, and the most frequent are kept, at most HEAD_WORDS and HEAD_PAIRS. Words of over LONGEST bytes are always hashed directly, which
 bounds the head at about 2 MB in a task and 10 MB on the driver, whatever the corpus.
 
 Scale: texts aren't shuffled; a document's buckets are written once (2 bytes a feature) and read for the totals and for the
@@ -149,7 +149,7 @@ class Head:
         return out
 
 
-def head_of(texts: DataFrame, buckets: int = 10_000) -> Head:
+def head_of(texts: DataFrame, place: str, buckets: int = 10_000) -> Head:
     """The head of a column `text`."""
     out = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("n", pa.int64())])
 
@@ -172,8 +172,20 @@ def head_of(texts: DataFrame, buckets: int = 10_000) -> Head:
         yield from emit()
 
     counts = map_arrow(texts.select("text"), find, "a binary, b binary, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    top = lambda part, most: [(bytes(r.a), r.b and bytes(r.b)) for r in part.orderBy(F.desc("n"), "a", "b").limit(most).collect()]
-    return Head([a for a, _ in top(counts.filter("b is null"), HEAD_WORDS)], top(counts.filter("b is not null"), HEAD_PAIRS), buckets)
+    counts = written(counts.withColumn("level", F.floor(F.log2("n") * 16)), "frequent", place)
+
+    def top(part: DataFrame, most: int) -> list:
+        """The most frequent rows, whole levels of counts, at most `most`: the driver sees one row a level and then those."""
+        least, held = None, 0
+        for r in part.groupBy("level").count().orderBy(F.desc("level")).collect():
+            held += r["count"]
+            if held > most:
+                break
+            least = r.level
+        return [] if least is None else part.filter(F.col("level") >= least).select("a", "b").collect()
+
+    words = [bytes(r.a) for r in top(counts.filter("b is null"), HEAD_WORDS)]
+    return Head(words, [(bytes(r.a), bytes(r.b)) for r in top(counts.filter("b is not null"), HEAD_PAIRS)], buckets)
 
 
 def noise(doc_id: int | None, seed: int) -> int:
@@ -264,7 +276,7 @@ def importance_resample(docs: DataFrame, target: DataFrame, percent: int = 25, l
     spark, place = docs.sparkSession, shared_folder(docs.sparkSession, "resampling")
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     docs, target = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text), target.select(F.lit(0).cast("long").alias("doc_id"), text)
-    head = spark.sparkContext.broadcast(head_of(docs.unionByName(target), buckets))
+    head = spark.sparkContext.broadcast(head_of(docs.unionByName(target), place, buckets))
     own = written(features(docs, head, seed, buckets), "rows", f"{place}/features")
     gain = gains(bucket_totals(own, buckets), bucket_totals(features(target, head, seed, buckets), buckets))
     rows = written(weighed(own, gain), "weights", place)

@@ -102,7 +102,7 @@ def test_resampling_of_odd_rows(spark, monkeypatch, words, pairs, piece):
     df = spark.createDataFrame([(i, t, 1, 2) for i, t in docs], "doc_id long, text string, rank long, bucket int").repartition(3)
     goal = spark.createDataFrame([(t,) for t in target], "text string")
     # The monkeypatched sizes are read on the driver only, so tasks get them through functions.
-    head = I.head_of(df.unionByName(goal, allowMissingColumns=True).select("text"))
+    head = I.head_of(df.unionByName(goal, allowMissingColumns=True).select("text"), shared_folder(spark, "head"))
     assert len(head.index) <= words and len(head.keys) <= pairs
     assert sorted(str(tuple(r)) for r in I.importance_resample(df, goal).collect()) == plain_resampling(docs, target)
     assert I.importance_resample(df.limit(0), goal).collect() == []
