@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _CLOSERS = "\"')\\]}»”"
 
 
+def bound(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x), with x computed once however often `use` names it: else an expression that names its input twice at each step doubles with every step."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def normalize_spaces(x: Column) -> Column:
     """White space collapsed and trimmed."""
     return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
@@ -206,28 +213,40 @@ def normalize_translation(x: Column, original: Column, pairs: Column) -> Column:
     t = normalize_spaces(x)
     for pattern, to in ((r"(?U)\s+([,.;:!?])", "$1"), (r"(?U)([(\[{])\s+", "$1"), (r"(?U)\s+([)\]}])", "$1")):
         t = F.regexp_replace(t, pattern, to)
-    welcome = F.lower(normalize_spaces(F.coalesce(original, F.lit("")))).isin("you're welcome.", "you are welcome.") & F.lower(t).isin("ни за что.", "не за что.")
-    return F.when(welcome, "Пожалуйста.").otherwise(F.trim(apply_replacements(t, pairs)))
+    thanked = F.lower(normalize_spaces(F.coalesce(original, F.lit("")))).isin("you're welcome.", "you are welcome.")
+    return bound(t, lambda v: F.when(thanked & F.lower(v).isin("ни за что.", "не за что."), "Пожалуйста.").otherwise(F.trim(apply_replacements(v, pairs))))
 
 
 #: Labels that model answers put before a translation.
 ANSWER_LABELS = ("translation:", "translated text:", "russian translation:", "russian:", "перевод:", "ответ:")
 
 
+def _any_case(label: str) -> str:
+    return "".join(f"[{x}{x.upper()}]" if x.isalpha() else x for x in label)
+
+
+#: Labels in their order, each at most once, with the marks and spaces behind it.
+_LABELS = "^" + "".join(rf"(?:{_any_case(x)}[ :\-\n\t]*)?" for x in ANSWER_LABELS)
+
+
 def clean_model_answer(x: Column, tgt_lang: str = "") -> Column:
     """A model's answer without quotes, fences, wrapping JSON, labels and, for Russian, what stands before the first Cyrillic letter."""
     t = F.regexp_replace(x, r"(?U)^[\s]+|[\s]+$", "")
     t = F.regexp_replace(t, "^[\"'`]+|[\"'`]+$", "")
     t = normalize_spaces(F.regexp_replace(t, r"<\|im_end\|>|<\|endoftext\|>", " "))
     t = F.regexp_replace(F.regexp_replace(t, r"(?i)^```(?:json)?\s*", ""), r"\s*```$", "")
-    keys = [F.get_json_object(t, f"$.{k}") for k in ("translation", "text", "result")]
-    wrapped = F.when(t.startswith("{"), F.coalesce(*keys, F.get_json_object(t, "$.translations[0]"))).when(t.startswith("["), F.get_json_object(t, "$[0]"))
-    t = F.coalesce(wrapped, t)
-    for label in ANSWER_LABELS:
-        t = F.when(F.lower(t).startswith(label), F.regexp_replace(F.substr(t, F.lit(len(label) + 1)), r"^[ :\-\n\t]+|[ :\-\n\t]+$", "")).otherwise(t)
-    t = normalize_spaces(t)
+
+    def unwrapped(v: Column) -> Column:
+        keys = [F.get_json_object(v, f"$.{k}") for k in ("translation", "text", "result")]
+        return F.coalesce(F.when(v.startswith("{"), F.coalesce(*keys, F.get_json_object(v, "$.translations[0]"))).when(v.startswith("["), F.get_json_object(v, "$[0]")), v)
+
+    def unlabelled(v: Column) -> Column:
+        rest = F.regexp_replace(v, _LABELS, "")
+        return bound(rest, lambda r: F.when(F.length(r) < F.length(v), F.regexp_replace(r, r"[ :\-\n\t]+$", "")).otherwise(v))
+
+    t = normalize_spaces(bound(bound(t, unwrapped), unlabelled))
     if tgt_lang.startswith("rus"):
-        t = F.when(t.rlike("[А-Яа-яЁё]"), F.regexp_extract(t, "([А-Яа-яЁё].*)$", 1)).otherwise(t)
+        t = bound(t, lambda v: F.when(v.rlike("[А-Яа-яЁё]"), F.regexp_extract(v, "([А-Яа-яЁё].*)$", 1)).otherwise(v))
     return normalize_spaces(F.regexp_replace(t, r"(?iu)^(assistant|ассистент)\s*[:,-]?\s*", ""))
 
 
@@ -239,17 +258,22 @@ def parse_answer_json(x: Column) -> Column:
 
 def extract_candidates(x: Column, tgt_lang: str = "") -> Column:
     """The distinct candidates of an answer: of JSON lists or keys, else of bullets, else the answer."""
-    t = F.regexp_replace(F.regexp_replace(F.trim(x), r"(?i)^```(?:json)?\s*", ""), r"\s*```$", "")
-    lists = F.coalesce(*(F.from_json(F.get_json_object(t, f"$.{k}"), "array<string>") for k in ("candidates", "alternatives", "translations")))
-    single = F.coalesce(*(F.get_json_object(t, f"$.{k}") for k in ("translation", "text", "result")))
-    filled = F.filter(lists, lambda v: F.trim(v) != "")
-    from_object = F.when(F.size(filled) > 0, filled).otherwise(F.when(F.trim(single) != "", F.array(single)))
-    parsed = F.when(t.startswith("{"), from_object).when(t.startswith("["), F.from_json(t, "array<string>"))
-    lines = F.filter(F.transform(F.split(t, r"\r?\n"), lambda v: F.trim(F.regexp_replace(v, r"^\s*(?:[-*•]|\d+[.)])\s*", ""))), lambda v: v != "")
-    raw = F.coalesce(parsed, F.when(F.size(lines) > 1, lines).otherwise(F.array(t)))
     none = F.array().cast("array<struct<source:string,target:string>>")
-    clean = F.filter(F.transform(raw, lambda v: normalize_translation(clean_model_answer(v, tgt_lang), F.lit(""), none)), lambda v: v != "")
-    # The first of those that differ in case only.
-    start = F.struct(F.array().cast("array<string>").alias("keys"), F.array().cast("array<string>").alias("out"))
-    add = lambda s, v: F.when(F.array_contains(s["keys"], F.lower(v)), s).otherwise(F.struct(F.concat(s["keys"], F.array(F.lower(v))).alias("keys"), F.concat(s["out"], F.array(v)).alias("out")))
-    return F.aggregate(clean, start, add, lambda s: s["out"])
+
+    def raw(t: Column) -> Column:
+        lists = F.coalesce(*(F.from_json(F.get_json_object(t, f"$.{k}"), "array<string>") for k in ("candidates", "alternatives", "translations")))
+        single = F.coalesce(*(F.get_json_object(t, f"$.{k}") for k in ("translation", "text", "result")))
+        one = bound(single, lambda v: F.when(F.trim(v) != "", F.array(v)))
+        from_object = bound(F.filter(lists, lambda v: F.trim(v) != ""), lambda v: F.when(F.size(v) > 0, v).otherwise(one))
+        parsed = F.when(t.startswith("{"), from_object).when(t.startswith("["), F.from_json(t, "array<string>"))
+        lines = F.filter(F.transform(F.split(t, r"\r?\n"), lambda v: F.trim(F.regexp_replace(v, r"^\s*(?:[-*•]|\d+[.)])\s*", ""))), lambda v: v != "")
+        return F.coalesce(parsed, bound(lines, lambda v: F.when(F.size(v) > 1, v).otherwise(F.array(t))))
+
+    def first_of_case(v: Column) -> Column:
+        """The first of those that differ in case only."""
+        keys = F.transform(v, lambda y: F.lower(y))
+        return bound(keys, lambda k: F.filter(v, lambda y, i: F.array_position(k, F.lower(y)) == i + 1))
+
+    t = F.regexp_replace(F.regexp_replace(F.trim(x), r"(?i)^```(?:json)?\s*", ""), r"\s*```$", "")
+    clean = F.filter(F.transform(bound(t, raw), lambda v: normalize_translation(clean_model_answer(v, tgt_lang), F.lit(""), none)), lambda v: v != "")
+    return bound(clean, first_of_case)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from . import text as T
+from .matching import matching_ratio
 
 
 def vector_dot(a: Column, b: Column) -> Column:
@@ -52,11 +51,11 @@ def token_overlap(a: Column, b: Column) -> Column:
 
 @F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b)], dtype="float64")
+    return pd.Series([matching_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
 def sequence_ratio(a: str | Column, b: str | Column) -> Column:
-    """Matching-block similarity of the texts' word tokens; there is no Spark function for it, and edit distance differs."""
+    """Matching-block similarity of the texts' word tokens; matching.py says what counts. Spark has no function for it, and edit distance differs."""
     norm = lambda x: F.array_join(T.word_tokens(F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit(""))), " ")
     return _ratio(norm(a), norm(b))
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .selection import Candidates, chosen_clips
 
 
 def duration_bucket(ms: Column) -> Column:
@@ -53,51 +52,23 @@ def dedupe_signature(scored: DataFrame) -> DataFrame:
     return d.withColumn("timeline_bucket", timeline_bucket(F.col("start_ms"), F.min("start_ms").over(by), F.max("end_ms").over(by)))
 
 
+CHOSEN = "media_id long, speaker_id string, source_index long, text string, start_ms long, end_ms long, duration_ms long, duration_bucket string, score double, selection_score double, pool string"
+
+
 def select_clips(candidates: DataFrame, k: int = 5, gap_ms: int = 1500, routing_k: int = 12) -> DataFrame:
-    """Greedy diverse choices per media and speaker: `stable` clips, and with them the larger `routing` pool.
+    """Greedy diverse choices per media and speaker: `stable` clips, and with them the larger `routing` pool (see selection.py).
 
-    Each choice changes the scores of the rest, so a group is one task's small table: the candidates of one speaker in one media item.
+    A group is the candidates of one speaker in one media item, bounded by the longest item.
     """
+    names = [x.split()[0] for x in CHOSEN.split(", ")]
 
     def choose(p: pd.DataFrame) -> pd.DataFrame:
-        rows = p.sort_values(["score", "duration_ms", "source_index"], ascending=[False, False, True]).to_dict("records")
-        near = lambda a, b, g: a["start_ms"] < b["end_ms"] + g and b["start_ms"] < a["end_ms"] + g
-
-        def alike(a: dict, b: dict) -> float:
-            x, y = a["text_signature"], b["text_signature"]
-            return 0.0 if not x or not y else 1.0 if x == y else SequenceMatcher(None, x, y).ratio()
-
-        def grow(chosen: list[dict], most: int, gap: float, skip: float, base: float, slope: float, bonus) -> None:
-            while len(chosen) < most:
-                best, best_score = None, float("-inf")
-                for r in rows:
-                    if any(r is c for c in chosen) or any(near(r, c, gap) for c in chosen):
-                        continue
-                    sim = max((alike(r, c) for c in chosen), default=0.0)
-                    if chosen and sim >= skip:
-                        continue
-                    score = r["score"] + bonus(r, chosen) - (max(0.0, sim - base) * slope if chosen else 0.0)
-                    if score > best_score:
-                        best, best_score = r, score
-                if best is None:
-                    return
-                best["selection_score"] = round(best_score, 4)
-                chosen.append(best)
-
-        new = lambda key, r, chosen: r[key] not in {c[key] for c in chosen}
-        question = lambda r, chosen: r["question"] and not any(c["question"] for c in chosen)
-        stable: list[dict] = []
-        grow(stable, k, gap_ms, 0.93, 0.55, 2.2, lambda r, c: 0.35 * new("duration_bucket", r, c) + 0.35 * question(r, c))
-        for r in rows:
-            if len(stable) < k and not any(r is c for c in stable) and not any(near(r, c, gap_ms) for c in stable):
-                stable.append(r)
-        routing = list(stable)
-        grow(routing, max(k, routing_k), max(600, gap_ms * 0.5), 0.96, 0.7, 1.8, lambda r, c: 0.2 * new("duration_bucket", r, c) + 0.25 * new("timeline_bucket", r, c) + 0.2 * question(r, c))
-        out = [(*(r[x] for x in ("media_id", "speaker_id", "source_index", "text", "start_ms", "end_ms", "duration_ms", "duration_bucket", "score")), r.get("selection_score", r["score"]), pool) for pool, part in (("stable", stable), ("routing", routing)) for r in part]
-        return pd.DataFrame(out, columns=["media_id", "speaker_id", "source_index", "text", "start_ms", "end_ms", "duration_ms", "duration_bucket", "score", "selection_score", "pool"])
-
-    schema = "media_id long, speaker_id string, source_index long, text string, start_ms long, end_ms long, duration_ms long, duration_bucket string, score double, selection_score double, pool string"
-    return candidates.groupBy("media_id", "speaker_id").applyInPandas(choose, schema)
+        c = Candidates(p)
+        picks = chosen_clips(c, k, gap_ms, routing_k)
+        rows = c.rows.loc[[i for _, i, _ in picks]]
+        return rows.assign(selection_score=[round(w, 4) for _, _, w in picks], pool=[x for x, _, _ in picks])[names]
+
+    return candidates.groupBy("media_id", "speaker_id").applyInPandas(choose, CHOSEN)
 
 
 def longest_clip_fallback(segments: DataFrame, max_ms: int = 15_000) -> DataFrame:

@@ -53,14 +53,20 @@ def test_latin_tokens_end_at_other_letters(spark):
 
 
 def test_references_are_of_chosen_clips(spark, sf):
+    """Every segment has a row; routed ones name chosen clips of their pool, the others the longest segment of their medium."""
     from segloom.queries import QUERIES
 
     clips = {(r.media_id, r.pool, f"clip_{r.source_index}") for n in ("select_reference_clips", "select_routing_clips") for r in QUERIES[n](spark, sf).collect()}
-    segments = {(r.media_id, r.seg_idx) for r in QUERIES["pause_segments"](spark, sf).collect()}
+    longest = {r.media_id: f"clip_{r.seg_idx}" for r in QUERIES["longest_clip_fallback"](spark, sf).collect()}
+    segments = sorted((r.media_id, r.seg_idx) for r in QUERIES["pause_segments"](spark, sf).collect())
     got = QUERIES["route_references"](spark, sf).collect()
-    assert {(r.media_id, r.pool, p) for r in got for p in r.paths.split(",")} <= clips
-    media = {m for m, _, _ in clips}
-    assert sorted((r.media_id, r.seg_idx) for r in got) == sorted(s for s in segments if s[0] in media)
+    assert sorted((r.media_id, r.seg_idx) for r in got) == segments
+    assert {r.pool for r in got} > {"fallback"}
+    for r in got:
+        if r.pool == "fallback":
+            assert r.paths == longest.get(r.media_id)
+        else:
+            assert {(r.media_id, r.pool, p) for p in r.paths.split(",")} <= clips
 
 
 def test_answers_are_of_each_row(spark, sf):
