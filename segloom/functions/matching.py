@@ -9,6 +9,7 @@ only lengthen one, so that blanks don't decide. The ratio is twice the matched c
 from __future__ import annotations
 
 from collections import Counter
+from heapq import heappop, heappush
 
 
 def popular(b: str) -> frozenset[str]:
@@ -68,23 +69,28 @@ def longest_run(a: str, alo: int, ahi: int, b: str, blo: int, bhi: int, dull: fr
     return i, j, n
 
 
-def matched(a: str, b: str) -> int:
-    """How many characters stand in matching blocks."""
-    dull, total, todo = popular(b), 0, [(0, len(a), 0, len(b))]
-    while todo:
-        alo, ahi, blo, bhi = todo.pop()
+def matched(a: str, b: str, least: int = 0) -> int:
+    """How many characters stand in matching blocks; if they can't be more than `least`, some number up to it."""
+    dull, total, open_ = popular(b), 0, min(len(a), len(b))
+    todo = [(-open_, 0, len(a), 0, len(b))]
+    while todo and total + open_ > least:  # the windows that could hold most come first
+        most, alo, ahi, blo, bhi = heappop(todo)
+        open_ += most
+        if set(a[alo:ahi]).isdisjoint(b[blo:bhi]):
+            continue
         i, j, n = longest_run(a, alo, ahi, b, blo, bhi, dull)
         if n:
             total += n
-            if alo < i and blo < j:
-                todo.append((alo, i, blo, j))
-            if i + n < ahi and j + n < bhi:
-                todo.append((i + n, ahi, j + n, bhi))
-    return total
+            for x in ((alo, i, blo, j), (i + n, ahi, j + n, bhi)):
+                most = min(x[1] - x[0], x[3] - x[2])
+                if most:
+                    open_ += most
+                    heappush(todo, (-most, *x))
+    return total if not todo else total + open_
 
 
-def matching_ratio(a: str, b: str) -> float:
-    """From 0 to 1; 1 for equal texts, 0 if either is empty."""
+def matching_ratio(a: str, b: str, least: float = 0.0) -> float:
+    """From 0 to 1; 1 for equal texts, 0 if either is empty. If it can't be more than `least`, some number up to that, which takes less time."""
     if not a or not b:
         return 0.0
-    return 1.0 if a == b else 2.0 * matched(a, b) / (len(a) + len(b))
+    return 1.0 if a == b else 2.0 * matched(a, b, int(least * (len(a) + len(b)) / 2)) / (len(a) + len(b))

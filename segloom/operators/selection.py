@@ -43,9 +43,10 @@ class Candidates:
         both = np.minimum(self.often, self.often[j]).sum(axis=1)
         return np.where((self.size > 0) & (self.size[j] > 0), 2.0 * both / np.maximum(1, self.size + self.size[j]), 0.0)
 
-    def likeness(self, i: int, j: int) -> float:
+    def likeness(self, i: int, j: int, least: float) -> float:
+        """Exact where it is above `least`; callers ask for the choices in their order and count only what is above all before, so a bound below does as well."""
         if (i, j) not in self.known:
-            self.known[i, j] = matching_ratio(self.text[i], self.text[j])
+            self.known[i, j] = matching_ratio(self.text[i], self.text[j], least)
         return self.known[i, j]
 
     def grow(self, chosen: list[int], most: int, gap: float, skip: float, base: float, slope: float, bonus: Callable[[int, list[int]], float]) -> dict[int, float]:
@@ -69,7 +70,7 @@ class Candidates:
                 continue
             for k in range(seen[i], len(chosen)):  # only what could raise the likeness above the base
                 if bounds[k][i] > max(like[i], base):
-                    like[i] = max(like[i], self.likeness(i, chosen[k]))
+                    like[i] = max(like[i], self.likeness(i, chosen[k], max(float(like[i]), base)))
             seen[i] = len(chosen)
             if chosen and like[i] >= skip:
                 continue
@@ -99,12 +100,13 @@ def chosen_clips(c: Candidates, k: int, gap_ms: int, routing_k: int) -> list[tup
     diverse = list(stable)
     for i in range(c.n) if len(stable) < k else ():
         if len(stable) < k and i not in stable and not any(c.near(j, gap_ms)[i] for j in stable):
-            before = []
+            before, like = [], 0.0
             for j in diverse:
-                if c.likeness(i, j) >= 0.93:
+                now = c.likeness(i, j, max(like, 0.55))
+                if now >= 0.93:
                     break
                 before.append(j)
-            like = max((c.likeness(i, j) for j in before), default=0.0)
+                like = max(like, now)
             worth[i] = c.score[i] + first(i, before) - (max(0.0, like - 0.55) * 2.2 if before else 0.0)
             stable.append(i)
     routing = list(stable)

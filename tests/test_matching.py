@@ -36,6 +36,9 @@ def test_ratio_of_random_pairs():
         a, b = texts(rng)
         want = SequenceMatcher(None, a, b).ratio() if a and b else 0.0
         assert matching_ratio(a, b) == want, (a, b)
+        least = rng.random()
+        got = matching_ratio(a, b, least)
+        assert got == want if want > least else want <= got <= max(want, least), (a, b)
 
 
 def test_ratio_of_long_texts_takes_near_linear_time():
