@@ -9,7 +9,8 @@ over the common suffixes of what stands before, which is where the left extensio
 maximal repeats of l + r bytes with all their occurrences.
 
 Scale: equal texts are one text with a count; equal contexts are one context with a count, summed before any shuffle by
-anchor. Anchors that occur once are dropped before any text moves. An anchor with more than `limit` different contexts
+anchor. Anchors that occur once are dropped before any text moves. Anchors that follow one another at equal distances with
+equal contexts, as in texts of a short period, are one row. Long texts are searched in pieces of a megabyte. An anchor with more than `limit` different contexts
 isn't scanned in one task: all windows of its contexts are hashed (128 bits) and counted as rows, which is exact too and
 spreads over the cluster. Only hashes, places and needed contexts are shuffled; texts are dealt out once, into a bucketed table.
 
@@ -71,6 +72,17 @@ def anchors(data: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
+def _placed(text: bytes, span: int, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """(place, hash) of a text's anchors, from pieces that overlap by what decides about an anchor."""
+    over = 2 * span  # a gram is an anchor if it is smallest in a window of span bytes around it
+    for first in range(0, max(1, len(text)), size):
+        low, high = max(0, first - over), min(len(text), first + size + over)
+        at, h = anchors(np.frombuffer(text, np.uint8)[low:high], span)
+        at = at + low
+        own = slice(*np.searchsorted(at, (first, first + size)))
+        yield from zip(at[own].tolist(), h[own].view(np.int64).tolist())
+
+
 def intervals(lcp: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
     """The interval tree of a common-prefix array, bottom-up: (value, first, last) with value >= least. lcp[i] is of suffixes i and i + 1."""
     stack: list[tuple[int, int]] = []  # (value, first suffix), values rising
@@ -171,28 +183,38 @@ class Repeats:
         """Anchors of windows of `span`, and the contexts of those that occur more than once: `before` bytes before an anchor, `reach` from it on."""
         self.span, self.before, self.reach = span, before, reach
         self.found = written(self._occurrences(), "anchors", self.place)
-        often = written(self.found.groupBy("a").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("a"), "often", self.place)
+        often = written(self.found.groupBy("a").agg(F.sum("times").alias("m")).filter("m > 1").select("a"), "often", self.place)
         self.found = written(self.found.join(often, "a", "left_semi"), "repeated", self.place)
-        each = written(self.found.groupBy("a", "c").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("key", "pos")).alias("at")), "contexts", self.place)
+        each = written(self.found.groupBy("a", "c").agg(F.sum("times").alias("k"), F.min(F.struct("key", "pos")).alias("at")), "contexts", self.place)
         self.several = written(each.groupBy("a").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "several", self.place)
         self.contexts = written(self._fetched(each.join(self.several, "a").select("a", "c", "k", "m", "at.key", "at.pos")), "bytes", self.place)
         self.each = each
 
     def _occurrences(self) -> DataFrame:
         span, before, reach = self.span, self.before, self.reach
-        out = pa.schema([("a", pa.int64()), ("c", pa.binary()), ("key", pa.binary()), ("pos", pa.int32())])
+        out = pa.schema([("a", pa.int64()), ("c", pa.binary()), ("key", pa.binary()), ("pos", pa.int32()), ("step", pa.int32()), ("times", pa.int32())])
+
+        def occurrences(key: bytes, text: bytes) -> Iterator[tuple]:
+            """One row for each anchor; for anchors that follow one another at equal distances with equal contexts, as in runs of a short period, one for all."""
+            run, last = None, 0
+            for p, a in _placed(text, span):
+                start = max(0, p - before)
+                c = xxhash.xxh3_128_digest(text[start : p + reach], seed=p - start)
+                if run and run[0] == a and run[1] == c and (run[5] == 1 or p - last == run[4]):
+                    run[4], run[5] = p - last, run[5] + 1
+                else:
+                    if run:
+                        yield tuple(run)
+                    run = [a, c, key, p, 1, 1]
+                last = p
+            if run:
+                yield tuple(run)
 
         def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                rows = []
-                for key, text in zip(b.column("key").to_pylist(), text_bytes(b.column("text"))):
-                    at, h = anchors(np.frombuffer(text, np.uint8), span)
-                    for p, a in zip(at.tolist(), h.view(np.int64).tolist()):
-                        start = max(0, p - before)
-                        rows.append((a, xxhash.xxh3_128_digest(text[start : p + reach], seed=p - start), key, p))
-                yield from rows_out(out, rows, 1 << 17)
+                yield from rows_out(out, (r for key, text in zip(b.column("key").to_pylist(), text_bytes(b.column("text"))) for r in occurrences(key, text)), 10_000)
 
-        return self.texts.select("key", "text").mapInArrow(find, "a long, c binary, key binary, pos int")
+        return self.texts.select("key", "text").mapInArrow(find, "a long, c binary, key binary, pos int, step int, times int")
 
     def _fetched(self, needed: DataFrame) -> DataFrame:
         """The bytes of one occurrence of each context in `needed`."""
@@ -202,7 +224,7 @@ class Repeats:
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                rows = ((x["a"], x["c"], x["k"], x["m"], text[max(0, x["pos"] - before) : x["pos"]][::-1], text[x["pos"] : x["pos"] + reach]) for text, each in zip(text_bytes(b.column("text")), b.column("each").to_pylist()) for x in each)
+                rows = ((x["a"], x["c"], x["k"], x["m"], text[max(0, x["pos"] - before) : x["pos"]][::-1], text[x["pos"] : x["pos"] + reach]) for text, each in zip(text_bytes(b.column("text")), b.column("each")) for x in map(pa.StructScalar.as_py, each))
                 yield from rows_out(out, rows, some)
 
         return self.texts.select("key", "text").join(lists, "key").select("text", "each").mapInArrow(cut, "a long, c binary, k long, m long, left binary, right binary")
@@ -349,12 +371,13 @@ class Repeats:
             yield from rows_out(out, rows())
 
         found = written(self._scanned(emit, "id binary, a long, c binary, l int, length int"), "groups", self.place)
-        return found.join(self.found, ["a", "c"]).select("id", "length", "key", (F.col("pos") - F.col("l")).alias("start"))
+        places = F.explode(F.transform(F.sequence(F.lit(0), F.col("times") - 1), lambda i: F.col("pos") - F.col("l") + i * F.col("step")))
+        return found.join(self.found, ["a", "c"]).select("id", "length", "key", places.alias("start"))
 
     def digests(self) -> DataFrame:
         """Per distinct text: key, n_bytes, n_removed, n_spans, kept_sha256, spans."""
         covers = written(self.covers(), "covers", self.place)
-        spans = self.found.join(covers, ["a", "c"]).groupBy("key").agg(F.collect_list(F.struct((F.col("pos") - F.col("l")).alias("s"), (F.col("pos") + F.col("r")).alias("e"))).alias("each"))
+        spans = self.found.join(covers, ["a", "c"]).groupBy("key").agg(F.collect_list(F.struct((F.col("pos") - F.col("l")).alias("s"), (F.col("pos") + (F.col("times") - 1) * F.col("step") + F.col("r")).alias("e"))).alias("each"))
         span = self.span
         out = pa.schema([("key", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 

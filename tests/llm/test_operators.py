@@ -135,6 +135,32 @@ def nested(seed):
     return [a, own(50) + a[:700] + own(60), own(20) + a[300:1100] + b + c, c + own(10) + a[400:520], own(30) + b + c + a[:150], a[250:650], c, c, own(80) + c + c[:150], own(200), "", None, "x" * 260, own(40) + a, a[900:] + "y", a[100:230] + b]
 
 
+def test_repeats_of_short_periods(spark):
+    """Texts of one byte or a short period, alone and inside others; 5 MB of a period are few rows."""
+    from segloom.llm.suffix_repeats import Repeats
+
+    made = ["a" * 1000, "b" * 99 + "a" * 300 + "c", "xy" * 400 + "z", "q" + "xy" * 130, "abc" * 90, "abd" * 33]
+    got = Repeats(docs_of(spark, made), span=100, limit=3).removed().collect()
+    assert {r.doc_id: tuple(r)[1:] for r in got} == dict(enumerate(removed_by_brute_force(made, 100)))
+    long = "0123456789" * 500_000
+    r = Repeats(docs_of(spark, [long, "own text"]), span=400)
+    assert r.found.count() < 10_000
+    assert {x.doc_id: tuple(x)[1:4] for x in r.removed().collect()} == {0: (5_000_000, 5_000_000, 1), 1: (8, 0, 0)}
+
+
+@pytest.mark.parametrize("limit", [2, 20_000])
+def test_repeats_of_hot_passages(spark, limit):
+    """A passage that many texts share between different words, longer and shorter than the span."""
+    from segloom.llm.suffix_repeats import Repeats
+
+    rng = random.Random(7)
+    own = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    hot, short = own(260), own(70)
+    made = [own(rng.randrange(60)) + x + own(rng.randrange(60)) for x in [hot] * 12 + [hot[:150], hot[90:], short + hot[:130], short + hot[:140]] + [short] * 8]
+    got = Repeats(docs_of(spark, made), span=100, limit=limit).removed().collect()
+    assert {r.doc_id: tuple(r)[1:] for r in got} == dict(enumerate(removed_by_brute_force(made, 100)))
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_repeat_groups(spark, seed):
     """All maximal repeats of 100 bytes or more with all their occurrences, and no other."""
