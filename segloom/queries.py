@@ -494,6 +494,12 @@ def _(fx, spark):
     return M.crossfade_pairs(segs(fx).withColumn("end_ms", c("end_ms") + 100), most=1000)
 
 
+def to_place(fx) -> DataFrame:
+    """Segments with the length of the speech that needs a place."""
+    ms = c("end_ms") - c("start_ms")
+    return segs(fx).select("media_id", "seg_idx", "start_ms", "end_ms", (ms + c("seg_idx") * 97 % 900).alias("needed_ms"), (ms + c("seg_idx") * 97 % 500).alias("actual_ms"))
+
+
 @query("timing_windows", """with recursive s as (select media_id, n, seg_idx, start_ms, end_ms, end_ms - start_ms + (seg_idx * 97 % 900) as need, end_ms - start_ms + (seg_idx * 97 % 500) as actual, lead(start_ms) over (partition by media_id order by n) as nxt from numbered_q),
   a as (select s.*, 0::bigint as prev_end, s.start_ms as b0 from s where n = 0), f(media_id, n, cur, avail, bb, ba, done, pushed) as (
   select media_id, -1::bigint, 0::bigint, 0::bigint, 0::bigint, 0::bigint, 0::bigint, null::bigint from s where n = 0 union all
@@ -506,9 +512,7 @@ def _(fx, spark):
        select s.media_id, s.n, s.nxt, s.need, s.actual, f.done as prev_end, coalesce(f.pushed, s.start_ms) as b0, least(coalesce(f.pushed, s.start_ms), s.end_ms) as beg, greatest(coalesce(f.pushed, s.start_ms), s.end_ms) as fin from f join s on s.media_id = f.media_id and s.n = f.n + 1) x1) x2) x3) x4) x5)
   select f.media_id, s.seg_idx, cur as cur_start_ms, avail as available_ms, bb as before_ms, ba as after_ms from f join s on s.media_id = f.media_id and s.n = f.n where f.n >= 0""", "numbered_q")
 def _(fx, spark):
-    ms = c("end_ms") - c("start_ms")
-    s = segs(fx).select("media_id", "seg_idx", "start_ms", "end_ms", (ms + c("seg_idx") * 97 % 900).alias("needed_ms"), (ms + c("seg_idx") * 97 % 500).alias("actual_ms"))
-    return M.timing_windows(s).select("media_id", "seg_idx", "cur_start_ms", "available_ms", "before_ms", "after_ms")
+    return M.timing_windows(to_place(fx)).select("media_id", "seg_idx", "cur_start_ms", "available_ms", "before_ms", "after_ms")
 
 
 @query("best_retry_take", """select media_id, seg_idx, attempt, score from (select *, row_number() over (partition by media_id, seg_idx order by has_extra_tail, has_suffix desc, score desc, attempt) as n from (select *, min(case when score >= 0.995 and not has_extra_tail and has_suffix then attempt end) over (partition by media_id, seg_idx) as stop from takes_fx) q where stop is null or attempt <= stop) r where n = 1""", "takes_fx")
@@ -964,22 +968,42 @@ def _(fx, spark):
 # Streams, run to the end of what is there.
 
 
-def _streamed(spark, rows: DataFrame, label: str, transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _streamed(spark, rows: DataFrame, label: str, transform: Callable[[DataFrame], DataFrame], time: str, slices: int = 3) -> DataFrame:
+    """What a stream of the rows has given in append mode, when they come in order of `time` in some slices.
+
+    After each slice the query is stopped and goes on from its checkpoint; at last comes a row of no item that only moves the
+    watermark. A batch is written under its number, so that one that runs again is there once.
+    """
     from .sources import transcripts as R
+    from .streaming import windows
 
     source, out, check = (R.shared_folder(spark, f"{label}-{x}") for x in ("in", "out", "check"))
-    rows.write.parquet(source)
-    stream = transform(spark.readStream.schema(rows.schema).parquet(source))
-    save = lambda batch, _: batch.write.mode("overwrite").parquet(out)
-    stream.writeStream.outputMode("complete").option("checkpointLocation", check).trigger(availableNow=True).foreachBatch(save).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    at = F.col(time) if dict(rows.dtypes)[time] == "bigint" else F.unix_millis(time)
+    bounds = rows.select(at.alias("t")).approxQuantile("t", [k / slices for k in range(1, slices)], 0.01)
+    ends = [None, *sorted(set(bounds)), None]
+    parts = [rows.filter((F.lit(True) if low is None else at >= low) & (F.lit(True) if high is None else at < high)) for low, high in zip(ends, ends[1:])]
+    far = F.lit(1 << 41)  # in 2039
+    values = {"start_ms": far, "end_ms": far, "at": F.timestamp_millis(far), "issues": F.array().cast("array<string>")}
+    clock = spark.range(1).select(*(values.get(n, F.lit(None)).cast(t).alias(n) for n, t in rows.dtypes))
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, windows.ROCKS)
+    try:
+        for part in [*parts, clock]:
+            part.write.mode("append").parquet(source)
+            stream = transform(spark.readStream.schema(rows.schema).parquet(source))
+            save = lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
+            stream.writeStream.outputMode("append").option("checkpointLocation", check).trigger(availableNow=True).foreachBatch(save).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.schema(stream.schema).parquet(out).drop("batch")
 
 
 @query("stream_pause_segments", "select media_id, text, start_ms, end_ms from segs_q", "segs_q")
 def _(fx, spark):
     from . import streaming
 
-    return _streamed(spark, fx("words_fx").filter("text <> ''").select("media_id", "text", "start_ms", "end_ms"), "words", streaming.pause_segments).select("media_id", "text", "start_ms", "end_ms")
+    return _streamed(spark, fx("words_fx").filter("text <> ''").select("media_id", "text", "start_ms", "end_ms"), "words", lambda s: streaming.pause_segments(s, late="1 minute"), "start_ms").select("media_id", "text", "start_ms", "end_ms")
 
 
 @query("stream_qa_counts", "select date_trunc('hour', make_timestamp(start_ms * 10000)) as start, issue, count(*) as n from (select start_ms, unnest(issues) as issue from qa_q) q group by all", "qa_q")
@@ -987,4 +1011,14 @@ def _(fx, spark):
     from . import streaming
 
     i = Q.translation_qa_issues(pairs(fx), terms()).select("media_id", "seg_idx", "issues").join(pairs(fx).select("media_id", "seg_idx", "start_ms"), ["media_id", "seg_idx"])
-    return _streamed(spark, i.select(F.timestamp_millis(c("start_ms") * 10).alias("at"), "issues"), "issues", streaming.qa_counts)
+    return _streamed(spark, i.select(F.timestamp_millis(c("start_ms") * 10).alias("at"), "issues"), "issues", lambda s: streaming.qa_counts(s, late="1 minute"), "at")
+
+
+@query("stream_timing_windows")
+def _(fx, spark):
+    from . import streaming
+
+    return _streamed(spark, to_place(fx), "windows", lambda s: streaming.timing_windows(s, late="1 minute"), "start_ms").select("media_id", "seg_idx", "cur_start_ms", "available_ms", "before_ms", "after_ms")
+
+
+ORACLE_SQL["stream_timing_windows"] = ORACLE_SQL["timing_windows"]

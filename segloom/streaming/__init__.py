@@ -1,10 +1,15 @@
-"""Streaming twins of batch operators."""
+"""Streaming twins of batch operators, for append mode: a result is given once the watermark has passed what could change it, and its state goes.
+
+Rows behind the watermark (`late` behind the latest event) are dropped; what is kept is bounded by the delay and the open sessions.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .windows import timing_windows as timing_windows
+
 
 def _at(ms: Column) -> Column:
     return F.timestamp_millis(ms)
@@ -23,5 +28,5 @@ def pause_segments(words: DataFrame, max_pause_ms: int = 300, late: str = "10 mi
 
 def qa_counts(issues: DataFrame, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Counts of flagged segments (at timestamp, issues array) by issue and window."""
-    one = issues.withWatermark("at", late).select("at", F.explode("issues").alias("issue"))
-    return one.groupBy(F.window("at", window), "issue").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "issue", "n")
+    one = issues.withWatermark("at", late).select("at", F.explode_outer("issues").alias("issue"))  # segments without issues move the watermark too
+    return one.groupBy(F.window("at", window), "issue").agg(F.count(F.lit(1)).alias("n")).filter("issue is not null").select(F.col("window.start").alias("start"), "issue", "n")
