@@ -43,10 +43,19 @@ def extra_trailing(expected: Column, recognized: Column, k: int = 2) -> Column:
 
 
 def token_overlap(a: Column, b: Column) -> Column:
-    """Shared tokens, each as often as both have it, and their shares of a (recall) and of b (precision)."""
-    times = lambda arr, w: F.size(F.filter(arr, lambda x: x == w))
-    n = F.aggregate(F.array_distinct(a), F.lit(0), lambda s, w: s + F.least(times(a, w), times(b, w)))
-    return F.struct(n.alias("overlap"), F.when(F.size(a) > 0, n / F.size(a)).otherwise(0.0).alias("recall"), F.when(F.size(b) > 0, n / F.size(b)).otherwise(0.0).alias("precision"))
+    """Shared tokens, each as often as both have it, and their shares of a (recall) and of b (precision).
+
+    One pass over the sorted tokens of both: a run of equal ones counts as often as the side with fewer has it.
+    """
+    tagged = F.array_sort(F.concat(F.transform(a, lambda w: F.struct(w.alias("w"), F.lit(0).alias("of_b"))), F.transform(b, lambda w: F.struct(w.alias("w"), F.lit(1).alias("of_b")))))
+    run = lambda w, n, m, total: F.struct(w.alias("w"), n.alias("n"), m.alias("m"), total.alias("total"))
+
+    def step(s: Column, x: Column) -> Column:
+        more = run(s["w"], s["n"] + 1 - x["of_b"], s["m"] + x["of_b"], s["total"])
+        return F.when(s["w"] == x["w"], more).otherwise(run(x["w"], 1 - x["of_b"], x["of_b"], s["total"] + F.least(s["n"], s["m"])))
+
+    n = F.aggregate(tagged, run(F.lit("").cast("string"), F.lit(0), F.lit(0), F.lit(0)), step, lambda s: s["total"] + F.least(s["n"], s["m"]))
+    return T.bound(n, lambda k: F.struct(k.alias("overlap"), F.when(F.size(a) > 0, k / F.size(a)).otherwise(0.0).alias("recall"), F.when(F.size(b) > 0, k / F.size(b)).otherwise(0.0).alias("precision")))
 
 
 @F.pandas_udf(DoubleType())

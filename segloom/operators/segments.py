@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .timing import fold
 
 
 def _gap_mark(ms: Column) -> Column:
@@ -164,7 +165,10 @@ def request_batches(segments: DataFrame, size: int = 8, context: int = 2) -> Dat
 
 
 def continuation_groups(segments: DataFrame, max_gap_ms: int = 600, max_segments: int = 2, max_chars: int = 180, max_ms: int = 8500) -> DataFrame:
-    """Neighbouring segments merged where the next goes on with the sentence; a fold, since each merge changes what the next sees."""
+    """Neighbouring segments merged where the next goes on with the sentence; a fold, since each merge changes what the next sees.
+
+    The state is the open group, of at most max_segments segments; closed groups leave it, so time grows with the segments.
+    """
     item = F.struct("seg_idx", "start_ms", "end_ms", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("original_text", F.lit("")).alias("original_text"), F.nullif("speaker_id", F.lit("")).alias("speaker_id"))
     rows = segments.groupBy("media_id").agg(F.array_sort(F.collect_list(item)).alias("s"))
 
@@ -183,12 +187,14 @@ def continuation_groups(segments: DataFrame, max_gap_ms: int = 600, max_segments
     def merged(g: Column, x: Column) -> Column:
         return F.struct(g["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"), T.join_segment_text(g["text"], x["text"]).alias("text"), T.join_segment_text(g["original_text"], x["original_text"]).alias("original_text"), F.coalesce(g["speaker_id"], x["speaker_id"]).alias("speaker_id"), F.concat(g["indices"], F.array(x["seg_idx"])).alias("indices"), (g["gap_ms"] + F.greatest(x["start_ms"] - g["end_ms"], F.lit(0))).alias("gap_ms"))
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        return F.when(joins(last, x), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(merged(last, x)))).otherwise(F.concat(acc, F.array(one(x))))
+    group = "struct<start_ms:bigint,end_ms:bigint,text:string,original_text:string,speaker_id:string,indices:array<bigint>,gap_ms:bigint>"
+    none = F.array().cast(f"array<{group}>")
 
-    rest = F.slice(F.col("s"), F.lit(2), F.greatest(F.size("s") - 1, F.lit(0)))
-    folded = F.aggregate(rest, F.array(one(F.element_at("s", 1))), step)
+    def step(g: Column, x: Column) -> tuple[Column, Column]:
+        goes_on = g.isNotNull() & joins(g, x)
+        return F.when(goes_on, merged(g, x)).otherwise(one(x)).cast(group), F.when(g.isNull() | goes_on, none).otherwise(F.array(g))
+
+    folded = fold(F.col("s"), F.lit(None).cast(group), step, group, lambda g: F.array(g))
     out = rows.select("media_id", F.posexplode(folded).alias("group_idx", "g")).select("media_id", "group_idx", "g.*")
     return out.withColumn("group_size", F.size("indices"))
 
@@ -197,7 +203,16 @@ def text_chunks(x: Column, max_chars: int = 150) -> Column:
     """A text in chunks of at most max_chars: at ends of sentences, else of clauses, else between words."""
     text = T.normalize_spaces(x)
     parts = lambda v, marks: F.filter(F.transform(F.split(v, rf"(?<=[{marks}])\s+"), lambda p: F.trim(p)), lambda p: p != "")
-    pack = lambda units: F.aggregate(units, F.array().cast("array<string>"), lambda a, u: F.when((F.size(a) > 0) & (F.length(F.concat_ws(" ", F.element_at(a, -1), u)) <= max_chars), F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.concat_ws(" ", F.element_at(a, -1), u)))).otherwise(F.concat(a, F.array(u))))
+
+    def pack(units: Column) -> Column:
+        """Units joined by spaces as long as they fit; the state is the open chunk."""
+
+        def step(open_: Column, u: Column) -> tuple[Column, Column]:
+            fits = open_.isNotNull() & (F.length(open_) + F.length(u) < max_chars)
+            return F.when(fits, F.concat_ws(" ", open_, u)).otherwise(u), F.when(fits | open_.isNull(), F.array().cast("array<string>")).otherwise(F.array(open_))
+
+        return T.bound(units, lambda v: fold(v, F.lit(None).cast("string"), step, "string", lambda last: F.array(last)))
+
     by_words = lambda v: pack(F.split(v, " "))
     clause = lambda v: F.when(F.length(v) <= max_chars, F.array(v)).otherwise(by_words(v))
     sentence = lambda v: F.when(F.length(v) <= max_chars, F.array(v)).otherwise(F.flatten(F.transform(parts(v, ",;:"), clause)))

@@ -169,14 +169,47 @@ def _(fx, spark):
     return b.select("media_id", F.col("batch_idx").cast("long").alias("batch_idx"), F.size("items").cast("long").alias("items"), F.col("items")[0]["seg_idx"].alias("first_seg"), F.array_join(F.transform("items", lambda x: x["text"]), "|").alias("texts"), F.array_join("context_before", "|").alias("before"), F.array_join("context_after", "|").alias("after"))
 
 
-@query("continuation_groups")
+_NORM = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
+_SHUT = "regexp_replace(trim({}), '[\\s\"'')\\]}}»”]+$', '')"
+
+
+def _ends(x: str, marks: str) -> str:
+    return f"regexp_matches({_SHUT.format(x)}, '[{marks}]$')"
+
+
+_LOWER = "coalesce(regexp_matches(regexp_extract(text, '\\p{L}'), '^\\p{Ll}'), false)"
+_JOINED = "case when trim(gt) = '' then trim(text) when trim(text) = '' then trim(gt) else trim(gt) || case when regexp_matches(trim(gt), '[-—–/]$') then '' else ' ' end || trim(text) end"
+
+
+@query("continuation_groups", f"""with recursive f as (
+  select media_id, n, 0::bigint as gi, start_ms::bigint as gs, end_ms::bigint as ge, text as gt, 1 as k, 0::bigint as gap, seg_idx::bigint::varchar as idx from numbered_q where n = 0
+  union all select media_id, n, gi + (not j)::int, case when j then gs else start_ms end, end_ms, case when j then joined else text end, case when j then k + 1 else 1 end,
+    case when j then gap + greatest(start_ms - ge, 0) else 0 end, case when j then idx || ',' || i else i end
+  from (select *, k < 2 and start_ms - ge between 0 and 600 and greatest(end_ms - gs, 0) <= 8500 and length(joined) <= 180 and ({_ends('gt', ',;:-')} or low) and not ({_ends('gt', '.!?…')} and not low) as j
+    from (select s.media_id, s.n, s.start_ms, s.end_ms, s.text, s.seg_idx::bigint::varchar as i, gi, gs, ge, gt, k, gap, idx, {_LOWER} as low, {_JOINED} as joined from f join numbered_q s on s.media_id = f.media_id and s.n = f.n + 1) x) y)
+  select media_id, cast(gi as integer) as group_idx, min(gs) as start_ms, max(ge) as end_ms, arg_max(gt, n) as text, cast(max(k) as integer) as group_size, max(gap) as gap_ms, arg_max(idx, n) as indices from f group by media_id, gi""", "numbered_q")
 def _(fx, spark):
     s = segs(fx).withColumn("original_text", F.col("text"))
     g = S.continuation_groups(s)
     return g.select("media_id", "group_idx", "start_ms", "end_ms", "text", "group_size", "gap_ms", F.array_join(F.transform("indices", lambda i: i.cast("string")), ",").alias("indices"))
 
 
-@query("text_chunks")
+def _parts(x: str, marks: str) -> str:
+    """Between white space that follows a mark."""
+    return f"list_filter(list_transform(string_split(regexp_replace({x}, '([{marks}])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda p: trim(p)), lambda p: p <> '')"
+
+
+def _pack(units: str) -> str:
+    return f"string_split(list_reduce({units}, lambda a, u: case when length(split_part(a, chr(2), -1)) + length(u) < 150 then a || ' ' || u else a || chr(2) || u end), chr(2))"
+
+
+_CLAUSE = "case when length(v) <= 150 then [v] else " + _pack("string_split(v, ' ')") + " end"
+_SENTENCE = f"case when length(y) <= 150 then [y] else flatten(list_transform({_parts('y', ',;:')}, lambda v: {_CLAUSE})) end"
+_UNITS = f"flatten(list_transform({_parts('t', '.!?')}, lambda y: {_SENTENCE}))"
+VIEWS |= {"chunks_q": ("", f"select *, case when t = '' then [] when length(t) <= 150 then [t] else {_pack(_UNITS)} end as chunks from (select *, {_NORM.format('text')} as t from segs_q) q", ("segs_q",))}
+
+
+@query("text_chunks", "select media_id, seg_idx, cast(i - 1 as integer) as chunk_idx, chunks[i] as chunk from chunks_q, unnest(range(1, len(chunks) + 1)) u(i)", "chunks_q")
 def _(fx, spark):
     return segs(fx).select("media_id", "seg_idx", F.posexplode(S.text_chunks(F.col("text"))).alias("chunk_idx", "chunk"))
 
@@ -186,7 +219,10 @@ def _(fx, spark):
     return S.chunk_word_split(segs(fx)).drop("words")
 
 
-@query("interpolated_chunk_times")
+_UPTO = "cast(start_ms + round_even(greatest(end_ms - start_ms, 0) * coalesce(list_sum(sizes[1 : {}]), 0) / list_sum(sizes), 0) as bigint)"
+
+
+@query("interpolated_chunk_times", f"select media_id, seg_idx, cast(i - 1 as integer) as chunk_idx, {_UPTO.format('i - 1')} as start_ms, case when i = len(chunks) then end_ms else {_UPTO.format('i')} end as end_ms from (select *, list_transform(chunks, lambda x: greatest(1, length(x))) as sizes from chunks_q) q, unnest(range(1, len(chunks) + 1)) u(i)", "chunks_q")
 def _(fx, spark):
     c = S.text_chunks(F.col("text"))
     return segs(fx).select("media_id", "seg_idx", F.posexplode(S.interpolated_chunk_times(c, F.col("start_ms"), F.col("end_ms"))).alias("chunk_idx", "t")).select("media_id", "seg_idx", "chunk_idx", "t.*")
@@ -227,7 +263,6 @@ def _latin(x: str) -> str:
 
 
 _P = "select media_id, seg_idx, {} from {}"
-_NORM = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
 _CLEAN = _NORM.format(f"""regexp_replace(text, '[^{_W}\\s.,!?;:()"''%\\-]', '', 'g')""")
 
 
