@@ -292,8 +292,16 @@ scalar(
     from (select *, {_CLEAN} as clean, regexp_replace({_CLEAN}, '[ ,;:-]+$', '') as base from pairs_fx) q""",
     lambda: T.stabilize_text(c("text"), c("original_text"), F.lit(""), F.lit(None).cast("long"), F.when(c("seg_idx") % 3 == 0, 300).otherwise(0), F.lit(1)).alias("value"),
 )
-scalar("retry_variants", "", lambda: F.array_join(T.retry_variants(c("text"), c("original_text"), F.lit(""), F.lit(None).cast("long"), F.lit(0), F.lit(1), F.lit("xtts")), "|").alias("variants"))
-del ORACLE_SQL["retry_variants"]
+scalar(
+    "retry_variants",
+    f"""select media_id, seg_idx, array_to_string(case when edge then list_filter(every, lambda x, i: x <> '' and list_position(every, x) = i) else list_filter([clean], lambda x: x <> '') end, '|') as variants
+    from (select *, [clean] || list_transform(case when mark = '?' then ['?', '!', '_'] else ['!', '?', '_'] end, lambda m: case when base = '' then clean else base || m end) as every,
+      (clean <> '' and not done and asked and open_ <> '' and open_ || mark <> clean) or done or asked as edge
+      from (select *, {_BASE} as base, regexp_replace(clean, '[ ,;:-]+$', '') as open_, regexp_matches({_STRIP.format('clean')}, '[.!?…]$') as done, original_text <> '' and regexp_matches({_STRIP.format('original_text')}, '[.!?…]$') as asked,
+        case when original_text <> '' then {_MARK.format(_STRIP.format('original_text'))} else {_MARK.format(_STRIP.format('clean'))} end as mark
+        from (select *, {_CLEAN} as clean from pairs_fx) q0) q) r""",
+    lambda: F.array_join(T.retry_variants(c("text"), c("original_text"), F.lit(""), F.lit(None).cast("long"), F.lit(0), F.lit(1), F.lit("xtts")), "|").alias("variants"),
+)
 scalar("join_segment_text", "case when trim(original_text) = '' then trim(text) when trim(text) = '' then trim(original_text) else trim(original_text) || case when regexp_matches(trim(original_text), '[-/]$') then '' else ' ' end || trim(text) end as value", lambda: T.join_segment_text(c("original_text"), c("text")).alias("value"))
 scalar("extract_numbers", "array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '\\b\\d+(?:[.,]\\d+)?%?\\b'), lambda x: replace(x, ',', '.')))), ',') as value", lambda: F.array_join(F.array_sort(T.extract_numbers(c("text"))), ",").alias("value"))
 scalar("latin_tokens", f"array_to_string({_latin('text')}, ' ') as value", lambda: F.array_join(T.latin_tokens(c("text")), " ").alias("value"))
