@@ -115,10 +115,14 @@ def _cue(kind: str) -> Column:
     return F.concat(F.lit("Dialogue: 0,"), T.ass_time(a), F.lit(","), T.ass_time(z), F.lit(",Default,,0,0,0,,"), safe)
 
 
+#: Fixed values of the format: what stands before the events of an ASS file.
+ASS_HEAD = "[Script Info]\nScriptType: v4.00+\nPlayResX: 1920\nPlayResY: 1080\nScaledBorderAndShadow: yes\n\n[V4+ Styles]\nFormat: Name, Fontname, Fontsize, PrimaryColour, SecondaryColour, OutlineColour, BackColour, Bold, Italic, Underline, StrikeOut, ScaleX, ScaleY, Spacing, Angle, BorderStyle, Outline, Shadow, Alignment, MarginL, MarginR, MarginV, Encoding\nStyle: Default,{font},{size},&H00FFFFFF,&H000000FF,&H00000000,&H00000000,0,0,0,0,100,100,0,0,1,2,1,2,10,10,30,1\n\n[Events]\nFormat: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text\n"
+
+
 def subtitle_documents(cues: DataFrame, kind: str, font: str = "Arial", size: int = 24) -> DataFrame:
     """One document per media."""
     head = {"srt": "", "vtt": "WEBVTT\n\n"}.get(kind)
     if head is None:
-        head = f"[Script Info]\nScriptType: v4.00+\nPlayResX: 1920\nPlayResY: 1080\nScaledBorderAndShadow: yes\n\n[V4+ Styles]\nFormat: Name, Fontname, Fontsize, PrimaryColour, SecondaryColour, OutlineColour, BackColour, Bold, Italic, Underline, StrikeOut, ScaleX, ScaleY, Spacing, Angle, BorderStyle, Outline, Shadow, Alignment, MarginL, MarginR, MarginV, Encoding\nStyle: Default,{font},{size},&H00FFFFFF,&H000000FF,&H00000000,&H00000000,0,0,0,0,100,100,0,0,1,2,1,2,10,10,30,1\n\n[Events]\nFormat: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text\n"
+        head = ASS_HEAD.format(font=font, size=size)
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cue_no", "cue"))), lambda x: x["cue"]), "\n")
     return cues.groupBy("media_id").agg(F.concat(F.lit(head), body, F.lit("\n" if kind == "ass" else "")).alias("document"))

@@ -78,9 +78,10 @@ def read_run_metrics(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return text.select(F.get_json_object("value", "$.job_name").alias("job_name"), F.get_json_object("value", "$.created_at").alias("created_at"), part("metrics"), part("tts_config"))
 
 
-def write_segments(segments: DataFrame, path: str) -> None:
-    """Segments as JSON, a folder a media item; binary columns are left out."""
-    segments.drop(*[n for n, t in segments.dtypes if t == "binary"]).write.partitionBy("media_id").json(path)
+def write_segments(segments: DataFrame, path: str, files: int = 64) -> None:
+    """Segments as JSON lines in at most `files` files, each media item whole and in order in one of them, by its hash; binary columns are left out."""
+    s = segments.drop(*[n for n, t in segments.dtypes if t == "binary"])
+    s.repartition(files, "media_id").sortWithinPartitions("media_id", "seg_idx").write.json(path)
 
 
 def write_manifests(records: DataFrame, path: str) -> None:
@@ -106,9 +107,13 @@ def benchmark_rows(results: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new folder that all executors can read: below spark.checkpoint.dir, or a temporary one where that is unset."""
+    """A new folder that all executors can read: below spark.checkpoint.dir, or a temporary one where that is unset and all runs on one machine."""
     import tempfile
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="segloom-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="segloom-")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -72,3 +72,13 @@ def test_chunk_words_and_times(spark):
     got = S.chunk_word_split(seg, 8).orderBy("chunk_idx").collect()
     assert [r.text for r in got] == ["w0 w1.", "w2 w3 w4"]
     assert [(r.start_ms, r.end_ms, len(r.words)) for r in got] == [(0, 190, 2), (200, 490, 3)]
+
+
+def test_groups_of_a_long_item(spark):
+    """One media item of 20,000 segments: time grows with the segments, and pairs are merged all the way."""
+    from segloom.operators.segments import continuation_groups
+
+    rows = spark.range(20_000).selectExpr("1L as media_id", "id as seg_idx", "id * 1000 as start_ms", "id * 1000 + 900 as end_ms", "if(id % 2 = 0, 'one goes on,', 'and ends.') as text", "'' as original_text", "'s' as speaker_id")
+    got = continuation_groups(rows)
+    assert got.count() == 10_000
+    assert {(r.text, r.group_size) for r in got.select("text", "group_size").distinct().collect()} == {("one goes on, and ends.", 2)}

@@ -41,6 +41,11 @@ def test_files(spark, tmp_path):
     assert [r.media_id for r in R.missing_media(s, want).collect()] == ["m2"]
     R.write_segments(s.drop("words"), f"{tmp_path}/out")
     assert spark.read.json(f"{tmp_path}/out").count() == 2
+    many = spark.range(300).selectExpr("id % 100 as media_id", "id as seg_idx", "'x' as text")
+    R.write_segments(many, f"{tmp_path}/many", files=5)
+    assert 1 < len(list((tmp_path / "many").glob("*.json"))) <= 5
+    homes = spark.read.json(f"{tmp_path}/many").select("media_id", F.input_file_name().alias("f")).distinct()
+    assert homes.count() == 100
     (tmp_path / "t" / "m1").mkdir(parents=True)
     (tmp_path / "t" / "m1" / "turns.json").write_text('{"turns": [{"start": 0, "end": 1.5, "speaker": "A"}]}')
     (tmp_path / "t" / "m2").mkdir()
