@@ -2,8 +2,9 @@
 
 Of every item and document the k-gram hashes of words are taken and, per window of `span` - k + 1 of them, the smallest is
 kept (the rightmost of equal ones). Two equal runs of `span` words have the same hashes and so keep the same one, at the
-same place: fingerprint matches therefore find every shared run of `span` words. Each match is extended in both directions
-word by word; runs of at least `span` equal words count, shorter ones don't.
+same place: fingerprint matches therefore find every shared run of `span` words. Each match is extended to the runs of `span` words
+around it, which are compared word by word with the one place that stands for all equal runs of the items; shorter runs don't
+count. A passage that many items share thus costs a document no more than one that a single item has, but for naming the items.
 
 Words: A-Z lower-cased, then `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`. An item of fewer words, but not none, is one window;
 such items are looked up by the hash of all their words. Null and empty texts have no words and hit nothing. Repeated
@@ -26,7 +27,7 @@ from pyspark.sql.types import StructType
 from .common import ALNUM, WordHashes, kept, mix, rows_out, runs, shingle_hashes, sliding_min, table, text_bytes, written
 
 K = 7
-#: An index of more benchmark words than this is cut into blocks, which are broadcast and applied one after another; one takes about 12 MB.
+#: An index of more benchmark words than this is cut into blocks, which are broadcast and applied one after another; one takes about 40 MB. An item is never cut: one that is longer makes a larger block.
 BLOCK_WORDS = 1_000_000
 FOUND = "doc_id long, n_words long, n_hit long, n_items long, items array<string>, spans array<struct<first: long, last: long>>"
 
@@ -44,72 +45,86 @@ def winnowed(hashes: np.ndarray, w: int) -> np.ndarray:
 
 
 class Index:
-    """A block of items: all their words in one array, and fingerprints sorted by hash."""
+    """A block of items: all their words in one array, fingerprints, and the distinct windows of `span` words, each with a place where it stands and the items that have it.
+
+    Items that share a passage share its windows, so that a document is compared with each of them once, however many items have it.
+    """
 
     def __init__(self, items: list[tuple[int | None, bytes]], span: int, k: int = K):
         self.span, self.k, self.w = span, k, span - k + 1
-        h, words, starts, ends, prints, places, self.short = WordHashes(), [], [], [], [], [], {}
+        h, words, prints, starts, self.short = WordHashes(), [], [], [], {}
         at, self.ids = 0, []
+        owners: list[np.ndarray] = []
         for item_id, text in items:
             ws = h.of(text.translate(ALNUM).split())
             if not len(ws):
                 continue
             number = len(self.ids)
             self.ids.append(item_id)
-            starts.append(at)
-            ends.append(at + len(ws))
-            words.append(ws)
             if len(ws) < span:
                 self.short.setdefault(len(ws), {}).setdefault(int(whole(ws)), []).append(number)
-            else:
-                grams = shingle_hashes(ws, k)
-                keep = winnowed(grams, self.w)
-                prints.append(grams[keep])
-                places.append(keep + at)
+                continue
+            grams = shingle_hashes(ws, k)
+            prints.append(grams[winnowed(grams, self.w)])
+            starts.append(np.arange(at, at + len(ws) - span + 1))
+            owners.append(np.full(len(ws) - span + 1, number, np.int32))
+            words.append(ws)
             at += len(ws)
         self.words = np.concatenate([*words, np.zeros(0, np.uint64)])
-        self.starts, self.ends = np.array(starts, np.int64), np.array(ends, np.int64)
-        prints, places = np.concatenate([*prints, np.zeros(0, np.uint64)]), np.concatenate([*places, np.zeros(0, np.int64)])
-        order = np.argsort(prints, kind="stable")
-        self.prints, self.places = prints[order], places[order]
+        self.prints = np.unique(np.concatenate([*prints, np.zeros(0, np.uint64)]))
+        place, owner = np.concatenate([*starts, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*owners, np.zeros(0, np.int32)])
+        windows = wholes(self.words, span)[place] if len(place) else np.zeros(0, np.uint64)
+        order = np.lexsort((owner, windows))
+        windows, owner, place = windows[order], owner[order], place[order]
+        fresh = np.concatenate([[True], windows[1:] != windows[:-1]]) if len(windows) else np.zeros(0, bool)
+        new = fresh | np.concatenate([[True], owner[1:] != owner[:-1]]) if len(windows) else fresh
+        self.windows, self.at = windows[fresh], place[fresh]
+        self.owners = owner[new]
+        self.bounds = np.append(np.flatnonzero(fresh[new]), len(self.owners))
 
     def hits(self, ws: np.ndarray) -> tuple[np.ndarray, set[int]]:
         """A mask of the document words inside occurring windows, and the numbers of the items that have such windows."""
         mask, found = np.zeros(len(ws), bool), set()
         for n, table_ in self.short.items():
             if len(ws) >= n:
-                for i in np.flatnonzero(np.isin(all_wholes := wholes(ws, n), np.fromiter(table_, np.uint64, len(table_)))):
+                all_wholes = wholes(ws, n)
+                places = np.flatnonzero(np.isin(all_wholes, np.fromiter(table_, np.uint64, len(table_))))
+                for i in places:
                     mask[i : i + n] = True
-                    found.update(table_[int(all_wholes[i])])
+                for x in np.unique(all_wholes[places]):
+                    found.update(table_[int(x)])
         if len(ws) < self.span or not len(self.prints):
             return mask, found
         grams = shingle_hashes(ws, self.k)
         keep = winnowed(grams, self.w)
-        lo, hi = np.searchsorted(self.prints, grams[keep]), np.searchsorted(self.prints, grams[keep], "right")
-        done: set[tuple[int, int]] = set()
-        covered: dict[int, int] = {}
-        for p, a, b in zip(keep[hi > lo], lo[hi > lo], hi[hi > lo]):
-            for q in self.places[a:b]:
-                shift = int(q - p)
-                if covered.get(shift, -1) > p:  # this run was already extended past here
-                    continue
-                item = int(np.searchsorted(self.ends, q, "right"))
-                first, last = self.extend(ws, int(p), int(q), item)
-                covered[shift] = last
-                if last - first >= self.span:
-                    mask[first:last] = True
-                    found.add(item)
+        keep = keep[member(self.prints, grams[keep])[0]]
+        if not len(keep):
+            return mask, found
+        # Every shared window has a kept fingerprint of both sides at the same place: extend each match to the windows around it.
+        around = (keep[:, None] - np.arange(self.w)).ravel()
+        around = np.unique(around[(around >= 0) & (around <= len(ws) - self.span)])
+        same, at = member(self.windows, wholes(ws, self.span)[around])
+        around, at = around[same], at[same]
+        equal = np.ones(len(around), bool)
+        for d in range(self.span):
+            equal &= ws[around + d] == self.words[self.at[at] + d]
+        around, at = around[equal], np.unique(at[equal])
+        edge = np.zeros(len(ws) + 1, np.int64)
+        edge[around] += 1
+        edge[around + self.span] -= 1
+        mask |= edge.cumsum()[:-1] > 0
+        if len(at):
+            has = np.zeros(len(self.ids), bool)
+            for a, b in zip(self.bounds[at], self.bounds[at + 1]):
+                has[self.owners[a:b]] = True
+            found.update(np.flatnonzero(has).tolist())
         return mask, found
 
-    def extend(self, ws: np.ndarray, p: int, q: int, item: int) -> tuple[int, int]:
-        """The longest run of equal words around document word p and item word q."""
-        s, e = self.starts[item], self.ends[item]
-        right = min(len(ws) - p, int(e) - q)
-        same = ws[p : p + right] == self.words[q : q + right]
-        last = p + (right if same.all() else int(same.argmin()))
-        left = min(p, q - int(s))
-        same = (ws[p - left : p] == self.words[q - left : q])[::-1]
-        return p - (left if same.all() else int(same.argmin())), last
+
+def member(table_: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which values the sorted, non-empty table holds, and where."""
+    at = np.minimum(np.searchsorted(table_, values), len(table_) - 1)
+    return table_[at] == values, at
 
 
 def whole(ws: np.ndarray) -> np.uint64:
@@ -143,7 +158,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = 13, block_words
     """One row per document: doc_id, n_words, n_hit, n_items, items (item_ids as sorted strings), spans (array of [first, last) words), and `keep`.
 
     One pass over the documents and no shuffle while the benchmark fits one block; beyond, a pass a block, whose results are
-    merged by row. Each index broadcast is bounded by block_words. Columns of `keep` must have names other than the result's.
+    merged by row. Each index broadcast is bounded by block_words, or by the longest item. Columns of `keep` must have names other than the result's.
     """
     keep = keep or []
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[c for c in keep if c not in ("doc_id", "text")])
