@@ -7,7 +7,8 @@ are trained together by stochastic gradient descent in numpy, in one Spark task,
 (`sample_rows`, those with the least hash). Scoring is one pass over all documents without a shuffle: since everything is
 linear up to the softmax, each word adds a fixed number.
 
-Null and empty texts have no features and get the score of the bias. Labels that are null or name no document are ignored; of
+Long words and texts are counted in pieces, so that a text needs little memory beside its own words. Null and empty texts have no
+features and get the score of the bias. Labels that are null or name no document are ignored; of
 several for a document the largest counts. Without usable labels every score is 0.5. Repeated rows and null doc_ids get rows of
 their own (a null doc_id is not held out). Empty tables give no rows. Other columns are never read.
 """
@@ -23,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, StructField, StructType
 
 from .common import rows_out, table, text_bytes
 
@@ -34,33 +35,68 @@ LEAST_ROWS = 3000
 _AGAIN, _SEEN = BUCKETS, BUCKETS + 1
 
 
+#: Words of more bytes than this have their n-grams hashed in pieces and aren't kept.
+LONG_WORD = 64
+_PIECE = 1 << 16
+#: Texts are counted so many words at a time.
+_WORDS = 50_000
+
+
 def features(word: bytes) -> list[int]:
     """The word's own bucket and those of its n-grams."""
     marked = b"<" + word + b">"
     return [zlib.crc32(marked) % BUCKETS, *(zlib.crc32(marked[i : i + n]) % BUCKETS for n in GRAMS for i in range(len(marked) - n + 1))]
 
 
+def feature_pieces(word: bytes) -> Iterator[np.ndarray]:
+    """The same buckets as arrays of bounded length, for words of any length."""
+    marked = b"<" + word + b">"
+    yield np.array([zlib.crc32(marked) % BUCKETS])
+    # The states of a CRC after one byte from state 0; those of longer strings follow from their linearity.
+    step = np.array([zlib.crc32(bytes([i]), 0xFFFFFFFF) ^ 0xFFFFFFFF for i in range(256)], np.uint32)
+    for at in range(0, len(marked), _PIECE):
+        codes = np.frombuffer(marked, np.uint8, min(len(marked) - at, _PIECE + max(GRAMS) - 1), at)
+        for n in GRAMS:
+            many = min(len(codes) - n + 1, _PIECE)
+            if many > 0:
+                crc = np.full(many, 0xFFFFFFFF, np.uint32)
+                for k in range(n):
+                    crc = step[(crc ^ codes[k : k + many]) & 0xFF] ^ (crc >> 8)
+                yield ((crc ^ np.uint32(0xFFFFFFFF)) % BUCKETS).astype(np.int64)
+
+
 class Counter:
     """Texts to (buckets, shares of all features)."""
 
     def __init__(self):
         self.cache: dict[bytes, np.ndarray] = {}
 
+    def buckets(self, word: bytes) -> np.ndarray:
+        got = self.cache.get(word)
+        if got is None:
+            if len(self.cache) >= 200_000:
+                self.cache.clear()
+            got = self.cache[word] = np.array(features(word), np.uint16)
+        return got
+
     def __call__(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         words = text.split()
         if not words:
             return np.zeros(0, np.int64), np.zeros(0, np.float32)
-        for w in set(words):
-            if w not in self.cache:
-                self.cache[w] = np.array(features(w), np.uint16)
-        counts = np.bincount(np.concatenate(list(map(self.cache.__getitem__, words))), minlength=BUCKETS + 2).astype(np.float32)
-        total = counts.sum()
+        sums = np.zeros(BUCKETS + 2, np.int64)
+        for a in range(0, len(words), _WORDS):
+            short = [self.buckets(w) for w in words[a : a + _WORDS] if len(w) <= LONG_WORD]
+            if short:
+                sums += np.bincount(np.concatenate(short), minlength=BUCKETS + 2)
+        for w in words:
+            if len(w) > LONG_WORD:
+                for piece in feature_pieces(w):
+                    sums += np.bincount(piece, minlength=BUCKETS + 2)
+        counts = sums.astype(np.float32)
         # The two signs of repetition count against words, not n-grams, so that they weigh as much as a word's share.
-        counts /= total
+        counts /= counts.sum()
         counts[_AGAIN] = sum(map(eq, words, words[1:])) / len(words)
         counts[_SEEN] = (len(words) - len(set(words))) / len(words)
-        if len(self.cache) > 200_000:
-            self.cache.clear()
         at = np.flatnonzero(counts)
         return at, counts[at]
 
@@ -108,15 +144,16 @@ class WordScores(dict):
 
     def __init__(self, parts: np.ndarray, limit: int = 400_000):
         super().__init__()
-        self.parts, self.limit = parts.tolist(), limit
+        self.table, self.parts, self.limit = parts.astype(np.float64), parts.tolist(), limit
 
     def __missing__(self, word: bytes) -> complex:
+        if len(word) > LONG_WORD:
+            return sum((complex(self.table[p].sum(), len(p)) for p in feature_pieces(word)), 0j)
         f = features(word)
         value = complex(sum(map(self.parts.__getitem__, f)), len(f))
         if len(self) >= self.limit:
             self.clear()
-        if len(word) <= 64:
-            self[word] = value
+        self[word] = value
         return value
 
 
@@ -125,17 +162,31 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> t
     ids = labels.filter("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     ids = ids.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     # At most sample_rows pairs of numbers: a bounded broadcast.
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
+    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).select(F.xxhash64("doc_id").alias("place"), "doc_id", "label", "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = Counter()
+        for b in batches:
+            for i, (at, share) in enumerate(map(counter, text_bytes(b.column("text")))):
+                row = b.slice(i, 1)
+                yield pa.RecordBatch.from_arrays(
+                    [row.column("place"), row.column("doc_id"), row.column("label"), pa.array([at.astype(np.uint16).tobytes()], pa.binary()), pa.array([share.tobytes()], pa.binary())],
+                    names=["place", "doc_id", "label", "at", "share"],
+                )
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, rows, ys = Counter(), [], []
+        rows, ys = [], []
         for b in batches:
-            rows += [(at.astype(np.uint16), share) for at, share in map(count, text_bytes(b.column("text")))]
+            rows += [(np.frombuffer(at, np.uint16), np.frombuffer(share, np.float32)) for at, share in zip(b.column("at").to_pylist(), b.column("share").to_pylist())]
             ys += b.column("label").to_pylist()
+        if not rows:
+            return
         parts, bias = train(rows, np.array(ys, np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([parts.astype(np.float32).tobytes()], pa.binary()), pa.array([bias])], names=["parts", "bias"])
 
-    got = sample.select("text", "label").mapInArrow(learn, "parts binary, bias double").collect()
+    # The training task gets counts, at most six bytes a bucket and row whatever the length of the texts.
+    counted = sample.mapInArrow(count, StructType([*sample.select("place", "doc_id", "label").schema.fields, StructField("at", BinaryType()), StructField("share", BinaryType())]))
+    got = counted.repartition(1).sortWithinPartitions("place", "doc_id").select("label", "at", "share").mapInArrow(learn, "parts binary, bias double").collect()
     if not got:
         return np.zeros(BUCKETS + 2, np.float32), 0.0
     return np.frombuffer(got[0].parts, np.float32), got[0].bias
