@@ -6,8 +6,9 @@ among those it falls back on smoothed counts, so that every text has a probabili
 a token, then the token within its class. Documents of a task are laid end to end into lanes; windows of WINDOW steps are
 trained by back-propagation that ends at the window, while the state is carried on, and so a document is scored as a whole.
 
-In training, documents of more than SEGMENT tokens are laid out as several segments, each with the token before it as first
-input and a state of its own, so that no lane outlasts the others by far; scores always carry the state through.
+Long documents get fewer lanes, so that the table of lanes never exceeds three times the tokens laid out. In training, a document
+is cut only where it is longer than a lane's fair share of its task's tokens (and than SEGMENT); each piece then has the token
+before it as first input and a state of its own, so that no lane outlasts the others by far. Scores always carry the state through.
 
 Training covers all training documents once, in ROUNDS slices. In each slice every task trains from the same weights on its
 own documents, and the weights are averaged, in a tree, weighted by tokens (local stochastic gradient descent). The averages
@@ -194,8 +195,8 @@ class Network:
 
 
 def lanes(docs: list[np.ndarray], firsts: list[int] | None = None, most: int = LANES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lays documents end to end into lanes of about equal lengths, longest first: ids, the inputs before them (a document's first: that of firsts, or the end), document number (-1: none), starts; all T x B."""
-    b = max(1, min(most, len(docs)))
+    """Lays documents end to end into lanes of about equal lengths, longest first, no more lanes than leave the table within three times the tokens: ids, the inputs before them (a document's first: that of firsts, or the end), document number (-1: none), starts; all T x B."""
+    b = max(1, min(most, len(docs), 1 + sum(map(len, docs)) // max(1, max(map(len, docs), default=1))))
     order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
     load, put = [(0, k) for k in range(b)], [[] for _ in range(b)]
     for i in order:
@@ -228,7 +229,8 @@ def windows(ids: np.ndarray, before: np.ndarray, doc: np.ndarray, fresh: np.ndar
 
 
 def learn_docs(net: Network, docs: list[np.ndarray]) -> None:
-    cut = [(d[a : a + SEGMENT], int(d[a - 1]) if a else 0) for d in docs for a in range(0, len(d), SEGMENT)]
+    size = max(SEGMENT, -(-sum(map(len, docs)) // LANES))  # a lane's fair share: no document is cut that needn't outlast the rest
+    cut = [(d[a : a + size], int(d[a - 1]) if a else 0) for d in docs for a in range(0, len(d), size)]
     ids, before, doc, fresh = lanes([d for d, _ in cut], [f for _, f in cut])
     h = np.zeros((ids.shape[1], HIDDEN), np.float32)
     for x, f, y, d in windows(ids, before, doc, fresh):
