@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import text as T
+from ..functions.alignment import edit_counts
 
 
 def latin_leaks(text: Column, preserve: Column) -> Column:
@@ -59,18 +62,37 @@ def labse_stats(similarities: DataFrame) -> DataFrame:
     return similarities.groupBy("media_id").agg(F.avg("similarity").alias("mean"), F.min("similarity").alias("min"), F.max("similarity").alias("max"), F.count("similarity").alias("n"))
 
 
-def wer_cer(rows: DataFrame) -> DataFrame:
-    """Word and character error rates of a text against its reference. rows: media_id, reference, recognized.
+COUNTS = ("hits", "substitutions", "deletions", "insertions")
+
+
+@F.pandas_udf(StructType([StructField(name, LongType()) for name in COUNTS]))
+def _aligned(reference: pd.Series, recognized: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([edit_counts(a, b) for a, b in zip(reference, recognized)], columns=list(COUNTS), dtype="int64")
+
+
+def word_errors(rows: DataFrame) -> DataFrame:
+    """Adds hits, substitutions, deletions, insertions and wer of recognized against reference; alignment.py says which alignment counts.
 
-    Words become one code point each, by their place among the distinct words of both texts, so that edit distance counts words.
+    Words stand between white space; a null text has none. wer is errors over words of the reference, over 1 where it has none,
+    so it may exceed 1.
     """
-    words = lambda c: F.filter(F.split(T.normalize_spaces(F.col(c)), " "), lambda w: w != "")
-    r = rows.withColumn("_a", words("reference")).withColumn("_b", words("recognized")).withColumn("_v", F.array_distinct(F.concat("_a", "_b")))
-    # Code points from U+0400 on, clear of surrogates for up to 50,000 distinct words.
-    code = lambda arr: F.array_join(F.transform(arr, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(F.col("_v"), w) + 0x400), 4, "0")), "UTF-16BE")), "")
-    wer = F.levenshtein(code("_a"), code("_b")) / F.greatest(F.lit(1), F.size("_a"))
+    words = lambda c: F.filter(F.split(T.normalize_spaces(F.coalesce(c, F.lit(""))), " "), lambda w: w != "")
+    r = rows.withColumn("_e", _aligned(words("reference"), words("recognized"))).select(*(F.col(f"`{c}`") for c in rows.columns), "_e.*")
+    wrong = F.col("substitutions") + F.col("deletions") + F.col("insertions")
+    return r.withColumn("wer", wrong / F.greatest(F.lit(1), F.col("hits") + F.col("substitutions") + F.col("deletions")))
+
+
+def word_error_totals(errors: DataFrame, *by: str) -> DataFrame:
+    """Counts of word_errors summed, over all or by columns, with the rate of the sums: long texts weigh by their words."""
+    t = errors.groupBy(*by).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS))
+    wrong = F.col("substitutions") + F.col("deletions") + F.col("insertions")
+    return t.withColumn("wer", wrong / F.greatest(F.lit(1), F.col("hits") + F.col("substitutions") + F.col("deletions")))
+
+
+def wer_cer(rows: DataFrame) -> DataFrame:
+    """Word and character error rates of a text against its reference. rows: media_id, reference, recognized."""
     cer = F.levenshtein(F.trim("reference"), F.trim("recognized")) / F.greatest(F.lit(1), F.length(F.trim("reference")))
-    return r.select("media_id", wer.alias("wer"), cer.alias("cer"))
+    return word_errors(rows).select("media_id", "wer", cer.alias("cer"))
 
 
 def corpus_texts(segments: DataFrame, recognized: DataFrame) -> DataFrame:

@@ -416,9 +416,38 @@ def _(fx, spark):
     return Q.wer_cer(recog(fx).withColumnRenamed("expected", "reference")).select("media_id", F.round("cer", 6).alias("cer"))
 
 
-@query("wer")
+#: The table of costs a row at a time: an edit costs a million and a substitution one more, as in alignment.py but for the size.
+_ALIGN = """
+with recursive coded as (
+  select media_id, list_filter(string_split(EXPECTED, ' '), lambda w: w <> '') as a, list_filter(string_split(RECOGNIZED, ' '), lambda w: w <> '') as b from recog_fx
+), cost as (
+  select media_id, 0 as i, list_transform(range(0, len(b) + 1), lambda j: j * 1000000) as r from coded
+  union all
+  select media_id, i + 1, list_transform(range(1, len(t) + 1), lambda j: list_min(list_transform(range(1, j + 1), lambda k: t[k] + (j - k) * 1000000))) from (
+    select media_id, i, list_transform(range(1, len(r) + 1), lambda j: case when j = 1 then r[1] + 1000000
+      else least(r[j] + 1000000, r[j - 1] + case when a[i + 1] = b[j - 1] then 0 else 1000001 end) end) as t
+    from cost join coded using (media_id) where i < len(a)) x
+), ends as (
+  select media_id, len(a) as n, len(a) - len(b) as more, r[len(r)] // 1000000 as edits, r[len(r)] % 1000000 as substitutions from cost join coded using (media_id) where i = len(a)
+), errors_q as (
+  select media_id, n - substitutions - (edits - substitutions + more) // 2 as hits, substitutions, (edits - substitutions + more) // 2 as deletions,
+    (edits - substitutions - more) // 2 as insertions, edits, n from ends
+)
+""".replace("EXPECTED", _NORM.format("expected")).replace("RECOGNIZED", _NORM.format("recognized"))
+
+
+def word_errors(fx) -> DataFrame:
+    return Q.word_errors(recog(fx).withColumnRenamed("expected", "reference"))
+
+
+@query("wer", _ALIGN + "select media_id, hits, substitutions, deletions, insertions, round(edits / greatest(1, n), 6) as wer from errors_q", "recog_fx")
+def _(fx, spark):
+    return word_errors(fx).select("media_id", "hits", "substitutions", "deletions", "insertions", F.round("wer", 6).alias("wer"))
+
+
+@query("wer_totals", _ALIGN + "select cast(sum(hits) as bigint) as hits, cast(sum(substitutions) as bigint) as substitutions, cast(sum(deletions) as bigint) as deletions, cast(sum(insertions) as bigint) as insertions, round(sum(edits) / greatest(1, sum(n)), 6) as wer from errors_q", "recog_fx")
 def _(fx, spark):
-    return Q.wer_cer(recog(fx).withColumnRenamed("expected", "reference")).select("media_id", F.round("wer", 6).alias("wer"))
+    return Q.word_error_totals(word_errors(fx)).withColumn("wer", F.round("wer", 6))
 
 
 # Sound.
