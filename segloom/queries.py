@@ -1014,6 +1014,39 @@ def _(fx, spark):
     return listed.select(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("folder"))
 
 
+# The same documents packed into a bounded number of files by the sink of `media_files`, and read through it.
+
+
+@query("packed_segments", "select cast(media_id as varchar) as media_id, cast(seg_idx as integer) as idx, text, start_ms, end_ms, speaker_id, cast(null as varchar) as reason from segs_q", "segs_q")
+def _(fx, spark):
+    from .sources import media_files as P
+    from .sources import transcripts as R
+
+    s = segs(fx).select("media_id", c("seg_idx").alias("_o"), "text", (c("start_ms") / 1000.0).alias("start"), (c("end_ms") / 1000.0).alias("end"), "speaker_id")
+    P.write_media(_json_documents(s, "text", "start", "end", "speaker_id"), folder := R.shared_folder(spark, "packed"))
+    return P.read_media(spark, folder).select("media_id", "idx", "text", "start_ms", "end_ms", "speaker_id", "reason")
+
+
+@query("packed_turns", "select cast(media_id as varchar) as media_id, start_ms, end_ms, speaker_label from turns_fx", "turns_fx")
+def _(fx, spark):
+    from .sources import media_files as P
+    from .sources import transcripts as R
+
+    t = fx("turns_fx").select("media_id", c("turn").alias("_o"), (c("start_ms") / 1000.0).alias("start"), (c("end_ms") / 1000.0).alias("end"), "speaker_label")
+    P.write_media(_json_documents(t, "start", "end", "speaker_label", wrap='{"turns": {}}'), folder := R.shared_folder(spark, "packed"))
+    return P.read_media(spark, folder, "turns").select("media_id", "start_ms", "end_ms", "speaker_label")
+
+
+@query("packed_words", "select cast(media_id as varchar) as media_id, cast(word_idx as integer) as idx, text, start_ms, end_ms from words_fx", "words_fx")
+def _(fx, spark):
+    from .sources import media_files as P
+    from .sources import transcripts as R
+
+    w = fx("words_fx").select("media_id", c("word_idx").alias("_o"), c("text").alias("word"), (c("start_ms") / 1000.0).alias("start"), (c("end_ms") / 1000.0).alias("end"))
+    P.write_media(_json_documents(w, "word", "start", "end", wrap='{"words": {}}'), folder := R.shared_folder(spark, "packed"))
+    return P.read_media(spark, folder, "words").select("media_id", "idx", "text", "start_ms", "end_ms")
+
+
 def profile_documents(supplier: DataFrame, most: int = 1000) -> DataFrame:
     """Files of at most `most` profiles each, by ranges of the key."""
     one = supplier.select(F.floor(c("s_suppkey") / most).alias("media_id"), F.concat(F.lit("S"), c("s_suppkey").cast("string")).alias("k"), F.struct(c("s_nationkey").alias("nation")).alias("v"))
