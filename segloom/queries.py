@@ -334,13 +334,19 @@ scalar("parse_answer_json", "", lambda: T.parse_answer_json(F.concat(F.lit("<thi
 scalar("extract_candidates", "", lambda: F.array_join(T.extract_candidates(F.concat(F.lit("- "), F.trim(c("text")), F.lit("\n- "), F.upper(F.trim(c("text"))), F.lit("\n- other"))), "|").alias("value"))
 for _n in ("clean_model_answer", "parse_answer_json", "extract_candidates"):
     del ORACLE_SQL[_n]
-scalar("segment_payload_json", "", lambda: F.to_json(F.struct(c("text"), ((c("end_ms") - c("start_ms")) / 1000.0).alias("source_duration_sec"), T.split_count(c("text")).alias("source_word_count"), F.length("text").alias("source_chars"), T.soft_target_chars(c("end_ms") - c("start_ms")).alias("soft_target_max_chars"))).alias("payload"))
-del ORACLE_SQL["segment_payload_json"]
+_PAYLOAD = (
+    """'{"text":' || to_json(text)::varchar || ',"source_duration_sec":' || ((end_ms - start_ms) / 1000.0)::double::varchar || ',"source_word_count":' || """
+    f"case when {_NORM.format('text')} = '' then 0 else len(string_split({_NORM.format('text')}, ' ')) end"
+    """ || ',"source_chars":' || length(text) || ',"soft_target_max_chars":' || cast(greatest(24, round_even((end_ms - start_ms) / 1000.0 * 14.0, 0) + 18) as integer) || '}' as payload"""
+)
+scalar("segment_payload_json", _PAYLOAD, lambda: F.to_json(F.struct(c("text"), ((c("end_ms") - c("start_ms")) / 1000.0).alias("source_duration_sec"), T.split_count(c("text")).alias("source_word_count"), F.length("text").alias("source_chars"), T.soft_target_chars(c("end_ms") - c("start_ms")).alias("soft_target_max_chars"))).alias("payload"))
 for _k, _t in (("srt", _HMS.format("start_ms", ",") + " || ' --> ' || " + _HMS.format("end_ms", ",")), ("vtt", _HMS.format("start_ms", ".") + " || ' --> ' || " + _HMS.format("end_ms", "."))):
     _cue = f"select media_id, n as cue_no, {'n::varchar || chr(10) || ' if _k == 'srt' else ''}{_t} || chr(10) || t || chr(10) as cue from (select media_id, start_ms, end_ms, trim(text) as t, cast(row_number() over (partition by media_id order by seg_idx) as integer) as n from segs_q where trim(text) <> '') q"
     query(f"{_k}_cues", _cue, "segs_q")(lambda fx, spark, k=_k: J.subtitle_cues(segs(fx), k))
-query("ass_cues", "select media_id, n as cue_no, 'Dialogue: 0,' || " + _ASS.format("cast(round_even(start_ms / 10.0, 0) as bigint)") + " || ',' || " + _ASS.format("cast(round_even(end_ms / 10.0, 0) as bigint)") + " || ',Default,,0,0,0,,' || replace(replace(replace(t, chr(10), '\\N'), '{', '\\{'), '}', '\\}') as cue from (select media_id, start_ms, end_ms, trim(text) as t, cast(row_number() over (partition by media_id order by seg_idx) as integer) as n from segs_q where trim(text) <> '') q", "segs_q")(lambda fx, spark: J.subtitle_cues(segs(fx), "ass"))
-query("sink_subtitles")(lambda fx, spark: J.subtitle_documents(J.subtitle_cues(segs(fx), "ass"), "ass"))
+_ASS_CUES = "select media_id, n as cue_no, 'Dialogue: 0,' || " + _ASS.format("cast(round_even(start_ms / 10.0, 0) as bigint)") + " || ',' || " + _ASS.format("cast(round_even(end_ms / 10.0, 0) as bigint)") + " || ',Default,,0,0,0,,' || replace(replace(replace(t, chr(10), '\\N'), '{', '\\{'), '}', '\\}') as cue from (select media_id, start_ms, end_ms, trim(text) as t, cast(row_number() over (partition by media_id order by seg_idx) as integer) as n from segs_q where trim(text) <> '') q"
+query("ass_cues", _ASS_CUES, "segs_q")(lambda fx, spark: J.subtitle_cues(segs(fx), "ass"))
+_ASS_START = J.ASS_HEAD.format(font="Arial", size=24)
+query("sink_subtitles", f"select media_id, '{_ASS_START}' || string_agg(cue, chr(10) order by cue_no) || chr(10) as document from ({_ASS_CUES}) a group by media_id", "segs_q")(lambda fx, spark: J.subtitle_documents(J.subtitle_cues(segs(fx), "ass"), "ass"))
 
 
 # Vectors, tokens and recognition.
@@ -918,13 +924,22 @@ def _(fx, spark):
     return J.profile_results(m, J.config_flatten(_configs(fx), "config", {"tts_name": "tts.name"}), summary)
 
 
-@query("run_report_text")
+_VERDICT = "case when speaker_verification < 0.6 or wer > 0.4 or cer > 0.3 or labse_mean < 0.65 then 'BAD' when speaker_verification < 0.75 or wer > 0.2 or cer > 0.15 or labse_mean < 0.8 then 'WARNING' else 'OK' end"
+_FOUR = lambda n: f"printf('%.4f', {n}::double)"
+_REPORT = (
+    f"'# Run report: job_' || k || '\n\nVerdict: ' || {_VERDICT} || '\nDuration: ' || case when s >= 60 then floor(s / 60)::int::varchar || 'm ' || lpad(printf('%.1f', s - floor(s / 60) * 60), 4, '0') || 's' else printf('%.1f', s) || 's' end || '\n\n| Metric | Value |\n|---|---|"
+    + "".join(f"\n| {n} | ' || {_FOUR(n)} || ' |" for n in Q.GRADES)
+    + "\n| translated_count | ' || k || ' |\n| over_window_count | ' || k % 5 || ' |'"
+)
+
+
+@query("run_report_text", f"select 'job_' || k as job_name, {_REPORT} as report from (select *, (k % 1000 / 3.0)::double as s from run_q) q", "run_q")
 def _(fx, spark):
     r = _runs(fx).withColumn("verdict", Q.run_verdict({n: c(n) for n in Q.GRADES}))
     return Q.run_report_text(r.select(F.concat(F.lit("job_"), c("k").cast("string")).alias("job_name"), "verdict", *Q.GRADES, c("k").alias("translated_count"), (c("k") % 5).alias("over_window_count"), (c("k") % 1000 / 3.0).alias("duration_sec")))
 
 
-@query("sink_benchmark")
+@query("sink_benchmark", f"select 'job_' || k as job_name, '| job_' || k || ' | ' || {" || ' | ' || ".join(map(_FOUR, Q.GRADES))} || ' | ' || {_VERDICT} || ' |' as row from run_q", "run_q")
 def _(fx, spark):
     from .sources.transcripts import benchmark_rows
 
