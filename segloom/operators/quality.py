@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import text as T
-from ..functions.alignment import edit_counts
+from ..functions.alignment import edit_counts_of_pairs
 
 
 def latin_leaks(text: Column, preserve: Column) -> Column:
@@ -67,7 +67,7 @@ COUNTS = ("hits", "substitutions", "deletions", "insertions")
 
 @F.pandas_udf(StructType([StructField(name, LongType()) for name in COUNTS]))
 def _aligned(reference: pd.Series, recognized: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([edit_counts(a, b) for a, b in zip(reference, recognized)], columns=list(COUNTS), dtype="int64")
+    return pd.DataFrame(edit_counts_of_pairs(list(zip(reference, recognized))), columns=list(COUNTS), dtype="int64")
 
 
 def word_errors(rows: DataFrame) -> DataFrame:

@@ -423,9 +423,9 @@ def _(fx, spark):
 
 
 #: The table of costs a row at a time: an edit costs a million and a substitution one more, as in alignment.py but for the size.
-_ALIGN = """
+_ALIGN = lambda source: """
 with recursive coded as (
-  select media_id, list_filter(string_split(EXPECTED, ' '), lambda w: w <> '') as a, list_filter(string_split(RECOGNIZED, ' '), lambda w: w <> '') as b from recog_fx
+  select media_id, list_filter(string_split(EXPECTED, ' '), lambda w: w <> '') as a, list_filter(string_split(RECOGNIZED, ' '), lambda w: w <> '') as b from SOURCE
 ), cost as (
   select media_id, 0 as i, list_transform(range(0, len(b) + 1), lambda j: j * 1000000) as r from coded
   union all
@@ -439,21 +439,26 @@ with recursive coded as (
   select media_id, n - substitutions - (edits - substitutions + more) // 2 as hits, substitutions, (edits - substitutions + more) // 2 as deletions,
     (edits - substitutions - more) // 2 as insertions, edits, n from ends
 )
-""".replace("EXPECTED", _NORM.format("expected")).replace("RECOGNIZED", _NORM.format("recognized"))
+""".replace("SOURCE", source).replace("EXPECTED", _NORM.format("expected")).replace("RECOGNIZED", _NORM.format("recognized"))
 
 
 def word_errors(fx) -> DataFrame:
     return Q.word_errors(recog(fx).withColumnRenamed("expected", "reference"))
 
 
-@query("wer", _ALIGN + "select media_id, hits, substitutions, deletions, insertions, round(edits / greatest(1, n), 6) as wer from errors_q", "recog_fx")
+@query("wer", _ALIGN("recog_fx") + "select media_id, hits, substitutions, deletions, insertions, round(edits / greatest(1, n), 6) as wer from errors_q", "recog_fx")
 def _(fx, spark):
     return word_errors(fx).select("media_id", "hits", "substitutions", "deletions", "insertions", F.round("wer", 6).alias("wer"))
 
 
-@query("wer_totals", _ALIGN + "select cast(sum(hits) as bigint) as hits, cast(sum(substitutions) as bigint) as substitutions, cast(sum(deletions) as bigint) as deletions, cast(sum(insertions) as bigint) as insertions, round(sum(edits) / greatest(1, sum(n)), 6) as wer from errors_q", "recog_fx")
+#: Each piece of a document against the piece that stands for its translation.
+_PIECES = "(select media_id::varchar || ' ' || seg_idx::varchar as media_id, lang, original_text as expected, text as recognized from pairs_fx)"
+
+
+@query("wer_totals", _ALIGN(_PIECES) + f"select lang, cast(sum(hits) as bigint) as hits, cast(sum(substitutions) as bigint) as substitutions, cast(sum(deletions) as bigint) as deletions, cast(sum(insertions) as bigint) as insertions, round(sum(edits) / greatest(1, sum(n)), 6) as wer from errors_q join {_PIECES} p using (media_id) group by lang", "pairs_fx")
 def _(fx, spark):
-    return Q.word_error_totals(word_errors(fx)).withColumn("wer", F.round("wer", 6))
+    e = Q.word_errors(pairs(fx).select("lang", c("original_text").alias("reference"), c("text").alias("recognized")))
+    return Q.word_error_totals(e, "lang").withColumn("wer", F.round("wer", 6))
 
 
 # Sound.

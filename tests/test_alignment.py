@@ -5,7 +5,7 @@ import time
 
 import pytest
 
-from segloom.functions.alignment import edit_counts
+from segloom.functions.alignment import edit_counts, edit_counts_of_pairs
 from segloom.operators import quality as Q
 
 
@@ -43,6 +43,14 @@ def test_random_lists():
         assert edit_counts(a, b) == plain_counts(a, b), (a, b)
 
 
+def test_many_pairs_at_a_time():
+    rng = random.Random(5)
+    word = lambda: rng.choice("abcdef")
+    pairs = [([word() for _ in range(rng.choice((0, 1, 7, 30, 64, 65, 90)))], [word() for _ in range(rng.choice((0, 1, 7, 30, 64, 65, 90)))]) for _ in range(2500)]
+    assert edit_counts_of_pairs(pairs) == [edit_counts(a, b) for a, b in pairs]
+    assert edit_counts_of_pairs([]) == [] and edit_counts_of_pairs([([], [])]) == [(0, 0, 0, 0)]
+
+
 def test_more_edits_than_the_first_band():
     rng = random.Random(2)
     for n in (60, 90):
