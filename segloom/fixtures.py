@@ -59,7 +59,12 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text, _, reads = VIEWS[name]
     for r in reads:
         text = _braced(text, r)
-    return spark.sql(text, **{r: fixture(spark, sf_dir, r) for r in reads})
+    return spark.sql(text, **{r: _dealt(fixture(spark, sf_dir, r), r) for r in reads})
+
+
+def _dealt(rows: DataFrame, name: str) -> DataFrame:
+    """Whole texts are dealt out before they are cut: a file of few row groups would leave all work on them to as few tasks."""
+    return rows.repartition("doc_id") if name == "documents" else rows
 
 
 def _braced(text: str, name: str) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from . import text as T
-from .matching import matching_ratio
+from .matching import matching_ratios
 
 
 def vector_dot(a: Column, b: Column) -> Column:
@@ -60,7 +60,7 @@ def token_overlap(a: Column, b: Column) -> Column:
 
 @F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([matching_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
+    return pd.Series(matching_ratios(list(zip(a, b))), dtype="float64")
 
 
 def sequence_ratio(a: str | Column, b: str | Column) -> Column:
