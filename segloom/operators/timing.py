@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,10 +123,10 @@ def fade_length(edge: Column, most: int = 50) -> Column:
 
 
 def rewrite_mode(timing: Column, available: Column, original: Column, speedup: float = 1.25, trigger: float = 1.08, fill: float = 0.82, improve: int = 180, lengthen: bool = True) -> Column:
-    """Whether a line should become shorter or longer, and to how many milliseconds."""
+    """Whether a line should become shorter or longer, and to how many milliseconds. The share `fill` counts as the decimal it is written as: in doubles 0.82 of 2350 is less than 1927."""
     target = F.greatest(available, _half(available * speedup))
     shorter = (timing > target) & ((timing - target >= improve) | (timing / F.greatest(F.lit(1), target) >= trigger))
-    longer = F.lit(lengthen) & (timing <= F.floor(original * fill)) & (original - timing >= improve)
+    longer = F.lit(lengthen) & (timing <= F.floor(original * F.lit(Decimal(str(fill))))) & (original - timing >= improve)
     mode = F.when(shorter, "shorter").when(longer, "longer")
     return F.struct(mode.alias("mode"), F.when(shorter, target).when(longer, original).cast("long").alias("target_ms"))
 
