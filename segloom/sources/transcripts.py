@@ -24,6 +24,13 @@ def read_segments(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return rows.select("media_id", n.alias("seg_idx"), "text", ms("start").alias("start_ms"), ms("end").alias("end_ms"), "speaker_id", "words")
 
 
+def segments_of(text: DataFrame) -> DataFrame:
+    """The same of documents (media_id, value)."""
+    rows = text.select("media_id", F.posexplode(F.from_json("value", f"array<{SEGMENT}>")).alias("seg_idx", "s"))
+    ms = lambda c: F.round(F.col(c) * 1000).cast("long")
+    return rows.select("media_id", "seg_idx", "s.text", ms("s.start").alias("start_ms"), ms("s.end").alias("end_ms"), "s.speaker_id", "s.words")
+
+
 def missing_media(segments: DataFrame, expected: DataFrame) -> DataFrame:
     """Media of `expected` without any segment: their lists were empty or no lists."""
     return expected.select("media_id").join(segments.select("media_id").distinct(), "media_id", "left_anti")
@@ -47,8 +54,12 @@ def read_transcript_words(spark: SparkSession, paths: str | list[str]) -> DataFr
 
 def read_turns(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """(turns, rejected files) of files that hold a list of turns or an object with one."""
+    return turns_of(spark.read.option("wholetext", True).text(paths).select(_media().alias("media_id"), "value"))
+
+
+def turns_of(text: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(turns, rejected) of documents (media_id, value)."""
     turn = "struct<start:double,end:double,speaker_label:string,label:string,speaker:string,speaker_id:string>"
-    text = spark.read.option("wholetext", True).text(paths).select(_media().alias("media_id"), "value")
     bare = F.from_json("value", f"array<{turn}>")
     inner = F.from_json(F.get_json_object("value", "$.turns"), f"array<{turn}>")
     rows = text.withColumn("t", F.when(F.ltrim("value").startswith("["), bare).otherwise(inner))
@@ -56,10 +67,10 @@ def read_turns(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame,
     return t, rows.filter("t is null").select("media_id")
 
 
-def list_media(spark: SparkSession, folder: str, extensions: list[str]) -> DataFrame:
-    """Paths of a folder's files with the extensions, whatever their case, sorted; contents aren't read."""
+def list_media(spark: SparkSession, folder: str, extensions: list[str], deep: bool = False) -> DataFrame:
+    """Paths of a folder's files (deep: and of those in its folders, which tasks list) with the extensions, whatever their case, sorted; contents aren't read."""
     want = [e.lower() if e.startswith(".") else f".{e.lower()}" for e in extensions]
-    files = spark.read.format("binaryFile").load(folder).select("path")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", deep).load(folder).select("path")
     return files.filter(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(want)).orderBy("path")
 
 
@@ -73,7 +84,11 @@ def read_profiles(spark: SparkSession, path: str) -> DataFrame:
 
 def read_run_metrics(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """job_name, created_at, metrics (JSON object or `{}`), tts_config (JSON object or `{}`) of metrics files."""
-    text = spark.read.option("wholetext", True).text(paths)
+    return run_metrics_of(spark.read.option("wholetext", True).text(paths))
+
+
+def run_metrics_of(text: DataFrame) -> DataFrame:
+    """The same of documents (value)."""
     part = lambda k: F.when(F.get_json_object("value", f"$.{k}").startswith("{"), F.get_json_object("value", f"$.{k}")).otherwise("{}").alias(k)
     return text.select(F.get_json_object("value", "$.job_name").alias("job_name"), F.get_json_object("value", "$.created_at").alias("created_at"), part("metrics"), part("tts_config"))
 
@@ -89,9 +104,19 @@ def write_manifests(records: DataFrame, path: str) -> None:
     records.select("split", F.concat_ws("|", "audio_file", "text", "speaker_name").alias("value")).write.partitionBy("split").text(path)
 
 
-def write_documents(documents: DataFrame, path: str) -> None:
-    """One text file a media item."""
-    documents.select("media_id", F.col("document").alias("value")).write.partitionBy("media_id").text(path)
+def write_documents(documents: DataFrame, path: str, tasks: int = 64) -> None:
+    """One text file a media item, written by that many tasks."""
+    documents.select("media_id", F.col("document").alias("value")).repartition(tasks, "media_id").write.partitionBy("media_id").text(path)
+
+
+def write_packed(documents: DataFrame, path: str, files: int = 64) -> None:
+    """Documents (media_id, document) as JSON lines in at most `files` files, by hash of the media item: a file an item takes longer to make, list and open than to read."""
+    documents.select(F.col("media_id").cast("string").alias("media_id"), F.col("document").alias("value")).repartition(files, "media_id").write.json(path)
+
+
+def read_packed(spark: SparkSession, path: str) -> DataFrame:
+    """The documents of write_packed: media_id, value."""
+    return spark.read.schema("media_id string, value string").json(path)
 
 
 def write_benchmark(results: DataFrame, path: str) -> None:
