@@ -70,7 +70,13 @@ def turns_of(text: DataFrame) -> tuple[DataFrame, DataFrame]:
 def list_media(spark: SparkSession, folder: str, extensions: list[str], deep: bool = False) -> DataFrame:
     """Paths of a folder's files (deep: and of those in its folders, which tasks list) with the extensions, whatever their case, sorted; contents aren't read."""
     want = [e.lower() if e.startswith(".") else f".{e.lower()}" for e in extensions]
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", deep).load(folder).select("path")
+    listing = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(listing)
+    spark.conf.set(listing, min(int(before), 64))  # else a task for each folder
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", deep).load(folder).select("path")
+    finally:
+        spark.conf.set(listing, before)
     return files.filter(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(want)).orderBy("path")
 
 

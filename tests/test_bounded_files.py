@@ -1,4 +1,4 @@
-"""Documents that are written and read back need no file each, streams read their rows once, and clips are chosen by many tasks."""
+"""Documents that are written and read back need no file each, and texts are cut by many tasks."""
 
 import glob
 
@@ -23,3 +23,26 @@ def test_scans_make_a_bounded_number_of_files(spark, sf, monkeypatch, tmp_path):
         assert Q.QUERIES[name](spark, sf).count() > 0
     assert len(made) == 3
     assert all(0 < len(glob.glob(f"{folder}/**/part-*", recursive=True)) <= 64 for folder in made)
+
+
+def test_folders_are_listed_by_few_tasks(spark, tmp_path):
+    for i in range(200):
+        (tmp_path / f"m{i}").mkdir()
+        (tmp_path / f"m{i}" / "a.txt").write_text("x")
+    listing = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before, group = spark.conf.get(listing), "list_media"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        assert R.list_media(spark, str(tmp_path), ["TXT"], deep=True).count() == 200
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    status = spark.sparkContext.statusTracker()
+    stages = [status.getStageInfo(x) for j in status.getJobIdsForGroup(group) for x in status.getJobInfo(j).stageIds]
+    assert max(x.numTasks for x in stages if x) <= 64 and spark.conf.get(listing) == before
+
+
+def test_texts_are_dealt_out_before_they_are_cut(spark, sf):
+    from segloom.fixtures import fixture
+
+    plan = fixture(spark, sf, "pairs_fx")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [doc_id" in plan
