@@ -28,7 +28,7 @@ def allocate_extension(needed: Column, before: Column, after: Column) -> Column:
 def fold(items: Column, start: Column, step, emitted: str, last=None, part: int = 64) -> Column:
     """Folds an array left to right and gives what the steps emit, in time that grows with its length.
 
-    step: (state, item) -> (state, array of type array<emitted>); last: state -> array for the end. What is emitted is gathered
+    step: (state, item) -> (state, array of type array<emitted>), or one struct of them (state, out), computed once; last: state -> array for the end. What is emitted is gathered
     a part of the items at a time, so that no step copies all that came before.
     """
     none = F.array().cast(f"array<{emitted}>")
@@ -36,7 +36,10 @@ def fold(items: Column, start: Column, step, emitted: str, last=None, part: int
     parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / part).cast("int")), lambda i: F.slice(items, i * part + 1, F.lit(part)))
 
     def one(acc: Column, x: Column) -> Column:
-        state, out = step(acc["state"], x)
+        both = step(acc["state"], x)
+        if isinstance(both, Column):
+            return T.bound(both, lambda v: F.struct(v["state"].alias("state"), F.concat(acc["out"], v["out"]).alias("out"), acc["done"].alias("done")))
+        state, out = both
         return F.struct(state.alias("state"), F.concat(acc["out"], out).alias("out"), acc["done"].alias("done"))
 
     def whole(acc: Column, xs: Column) -> Column:
@@ -59,23 +62,39 @@ def timing_windows(segments: DataFrame, pause_ms: int = 200, left_ms: int = 500,
     window = "struct<seg_idx:bigint,cur_start_ms:bigint,window_end_ms:bigint,original_ms:bigint,available_ms:bigint,before_ms:bigint,after_ms:bigint>"
     start = F.struct(F.lit(0).cast("long").alias("prev_end"), F.lit(None).cast("long").alias("pushed"))
 
-    def step(acc: Column, item: Column) -> tuple[Column, Column]:
+    def step(acc: Column, item: Column) -> Column:
+        """Each value that others need is computed once: as a plain expression it would be, with all below it, wherever its name stands."""
         x, following = item["x"], item["following"]
+        zero = F.lit(0).cast("long")
+
+        def placed(begin0: Column, begin: Column, end: Column, original: Column, got: Column) -> Column:
+            moved = (got["before_ms"] > 0) | (got["after_ms"] > 0)
+            cur = F.when(moved, F.greatest(acc["prev_end"] + pause_ms, begin - got["before_ms"])).otherwise(begin0).cast("long")
+            available = F.greatest(F.lit(100), original + got["before_ms"] + got["after_ms"])
+            return T.bound(cur, lambda cur: step_end(cur, end, original, available, got))
+
+        def step_end(cur: Column, end: Column, original: Column, available: Column, got: Column) -> Column:
+            done = cur + x["actual_ms"]
+            pushed = F.greatest(following, F.least(done, following + right_ms))
+            own = F.struct(x["seg_idx"].cast("long").alias("seg_idx"), cur.alias("cur_start_ms"), end.cast("long").alias("window_end_ms"), original.cast("long").alias("original_ms"), available.cast("long").alias("available_ms"), got["before_ms"].alias("before_ms"), got["after_ms"].alias("after_ms"))
+            return F.struct(F.struct(done.cast("long").alias("prev_end"), pushed.cast("long").alias("pushed")).alias("state"), F.array(own).alias("out"))
+
+        def borrowed(v: Column) -> Column:
+            """v: begin0, begin, end, original, and the milliseconds before and after that may be borrowed."""
+            need = F.greatest(F.lit(0), x["needed_ms"] - v["original"])
+            enough = (need > 0) & (v["before"] + v["after"] >= F.greatest(F.lit(120), F.floor(need * 0.5)))
+            asked = F.when(enough, need).otherwise(0).cast("long")
+            got = T.bound(asked, lambda n: F.when(n > 0, allocate_extension(n, v["before"], v["after"])).otherwise(F.struct(zero.alias("before_ms"), zero.alias("after_ms"))))
+            return T.bound(got, lambda got: placed(v["begin0"], v["begin"], v["end"], v["original"], got))
+
+        def around(v: Column) -> Column:
+            before = F.least(F.greatest(F.lit(0), v["begin"] - acc["prev_end"] - pause_ms), F.lit(left_ms))
+            after = F.when(following.isNull(), 0).otherwise(F.greatest(F.lit(0), following - v["end"] - pause_ms) + right_ms)
+            return F.struct(v["begin0"].alias("begin0"), v["begin"].alias("begin"), v["end"].alias("end"), (v["end"] - v["begin"]).alias("original"), before.alias("before"), after.alias("after"))
+
+        edges = lambda b: F.struct(b.alias("begin0"), F.least(b, x["end_ms"]).alias("begin"), F.greatest(b, x["end_ms"]).alias("end"))
         begin0 = F.coalesce(acc["pushed"], x["start_ms"])
-        begin, end = F.least(begin0, x["end_ms"]), F.greatest(begin0, x["end_ms"])
-        original = end - begin
-        before = F.least(F.greatest(F.lit(0), begin - acc["prev_end"] - pause_ms), F.lit(left_ms))
-        after = F.when(following.isNull(), 0).otherwise(F.greatest(F.lit(0), following - end - pause_ms) + right_ms)
-        need = F.greatest(F.lit(0), x["needed_ms"] - original)
-        enough = (need > 0) & (before + after >= F.greatest(F.lit(120), F.floor(need * 0.5)))
-        got = allocate_extension(F.when(enough, need).otherwise(0), before, after)
-        moved = (got["before_ms"] > 0) | (got["after_ms"] > 0)
-        cur = F.when(moved, F.greatest(acc["prev_end"] + pause_ms, begin - got["before_ms"])).otherwise(begin0)
-        available = F.greatest(F.lit(100), original + got["before_ms"] + got["after_ms"])
-        done = cur + x["actual_ms"]
-        pushed = F.greatest(following, F.least(done, following + right_ms))
-        own = F.struct(x["seg_idx"].cast("long").alias("seg_idx"), cur.cast("long").alias("cur_start_ms"), end.cast("long").alias("window_end_ms"), original.cast("long").alias("original_ms"), available.cast("long").alias("available_ms"), got["before_ms"].alias("before_ms"), got["after_ms"].alias("after_ms"))
-        return F.struct(done.cast("long").alias("prev_end"), pushed.cast("long").alias("pushed")), F.array(own)
+        return T.bound(T.bound(T.bound(begin0, edges), around), borrowed)
 
     return rows.select("media_id", F.explode(fold(F.col("s"), start, step, window)).alias("w")).select("media_id", "w.*", (F.col("w.window_end_ms") + F.col("w.after_ms")).alias("timing_window_end_ms"))
 
