@@ -37,17 +37,29 @@ def _segments(words: DataFrame, keys: list[str], extra: list[Column]) -> DataFra
     return rows.withColumn("source_duration_ms", F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(0))).withColumn("source_word_count", F.size("words").cast("long")).drop("w")
 
 
-def pause_segments(words: DataFrame, max_pause_ms: int = 300, speaker: str = "spk_0") -> DataFrame:
-    """Segments split where the gap to the word before is longer than max_pause_ms."""
+def segment_words(words: DataFrame, max_pause_ms: int = 300) -> DataFrame:
+    """Words that aren't blank with their segment (seg_idx), the gaps before and after them, and the text with single spaces."""
     by = Window.partitionBy("media_id").orderBy("word_idx")
     w = words.withColumn("gap", F.col("start_ms") - F.lag("end_ms").over(by)).withColumn("after", F.lead("start_ms").over(by) - F.col("end_ms"))
     w = w.withColumn("seg_idx", F.sum(F.coalesce(F.col("gap") > max_pause_ms, F.lit(False)).cast("long")).over(by))
-    w = w.withColumn("text", T.normalize_spaces(F.col("text"))).filter("text <> ''")
-    zero = F.lit(0).cast("long")
+    return w.withColumn("text", T.normalize_spaces(F.col("text"))).filter("text <> ''")
+
+
+def pause_segments(words: DataFrame, max_pause_ms: int = 300, speaker: str = "spk_0") -> DataFrame:
+    """Segments split where the gap to the word before is longer than max_pause_ms."""
+    w, zero = segment_words(words, max_pause_ms), F.lit(0).cast("long")
     extra = [F.greatest(zero, F.coalesce(F.min_by("gap", "word_idx"), zero)).alias("pause_before_ms"), F.greatest(zero, F.coalesce(F.max_by("after", "word_idx"), zero)).alias("pause_after_ms")]
     return _segments(w, ["media_id", "seg_idx"], extra).withColumn("speaker_id", F.lit(speaker))
 
 
+def segmented_words(words: DataFrame, max_pause_ms: int = 300) -> DataFrame:
+    """Words as given, those that aren't blank, with seg_idx and the pauses around their segment (pause_before_ms, pause_after_ms), as pause_segments has them."""
+    zero, by = F.lit(0).cast("long"), Window.partitionBy("media_id", "seg_idx").orderBy("word_idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    w = segment_words(words.withColumn("_text", F.col("text")), max_pause_ms)
+    w = w.withColumn("pause_before_ms", F.greatest(zero, F.coalesce(F.first("gap").over(by), zero))).withColumn("pause_after_ms", F.greatest(zero, F.coalesce(F.last("after").over(by), zero)))
+    return w.withColumn("text", F.col("_text")).drop("_text", "gap", "after")
+
+
 def normalize_turns(turns: DataFrame, prefix: str = "spk") -> DataFrame:
     """Turns with speaker ids by first appearance; ids that already have the prefix are kept. turns: media_id, start_ms, end_ms, speaker_label [, label, speaker, speaker_id]."""
     have = [c for c in ("speaker_label", "label", "speaker", "speaker_id") if c in turns.columns]
@@ -63,22 +75,37 @@ def normalize_turns(turns: DataFrame, prefix: str = "spk") -> DataFrame:
 def speaker_overlap(spans: DataFrame, turns: DataFrame, key: str, default: str = "spk_0", bin_ms: int = 10_000) -> DataFrame:
     """spans (media_id, key, start_ms, end_ms, ...) with the speaker that overlaps each for longest, and for how long.
 
-    An interval join by time bins: both sides are dealt to the bins they touch and meet by (media, bin), each pair once, in its first common
-    bin. Ties go to the speaker whose first overlapping turn is earliest. Spans without overlap get the default.
+    Spans and turns are dealt out once, by media item; in a window of each time bin the spans see the turns of that bin, each
+    pair in its first common bin. Ties go to the speaker whose first overlapping turn is earliest. Spans without overlap get the
+    default. What follows by media item finds its rows where they are.
     """
-    bins = lambda d: F.explode(F.sequence(F.floor(F.col("start_ms") / bin_ms), F.floor(F.greatest(F.col("start_ms"), F.col("end_ms") - 1) / bin_ms)))
-    left = spans.select("media_id", key, "start_ms", "end_ms", F.floor(F.col("start_ms") / bin_ms).alias("_b0")).withColumn("_bin", bins(spans))
-    right = turns.select("media_id", F.col("start_ms").alias("_s"), F.col("end_ms").alias("_e"), "speaker_id", F.floor(F.col("start_ms") / bin_ms).alias("_t0"), bins(turns).alias("_bin"))
-    pairs = left.join(right, ["media_id", "_bin"]).filter((F.col("_bin") == F.greatest("_b0", "_t0")) & (F.col("_s") < F.col("end_ms")) & (F.col("start_ms") < F.col("_e")))
-    ms = F.least("end_ms", "_e") - F.greatest("start_ms", "_s")
-    sums = pairs.groupBy("media_id", key, "speaker_id").agg(F.sum(ms).alias("overlap_ms"), F.min("_s").alias("_first"))
-    best = sums.groupBy("media_id", key).agg(F.max_by(F.struct("speaker_id", "overlap_ms"), F.struct("overlap_ms", -F.col("_first"))).alias("_best"))
-    out = spans.drop("speaker_id", "overlap_ms").join(best, ["media_id", key], "left")
-    return out.withColumn("speaker_id", F.coalesce("_best.speaker_id", F.lit(default))).withColumn("overlap_ms", F.coalesce("_best.overlap_ms", F.lit(0).cast("long"))).drop("_best")
-
-
-def diarized_segments(words: DataFrame, segments: DataFrame, max_pause_ms: int = 300) -> DataFrame:
-    """Segments split where the assigned speaker changes or a pause is long. words: media_id, seg_idx, word_idx, text, start_ms, end_ms, speaker_id; outer pauses come from segments."""
+    def bins(start: str, end: str) -> Column:
+        each = F.sequence(F.floor(F.col(start) / bin_ms), F.floor(F.greatest(F.col(start), F.col(end) - 1) / bin_ms))
+        return F.posexplode(F.coalesce(each, F.array(F.lit(None).cast("long")))).alias("_i", "_bin")
+
+    rest = [c for c in spans.columns if c not in ("media_id", key, "speaker_id", "overlap_ms")]
+    turn = F.struct(F.col("start_ms").alias("s"), F.col("end_ms").alias("e"), "speaker_id", F.floor(F.col("start_ms") / bin_ms).alias("b0"))
+    left = spans.select("media_id", key, F.struct(*rest).alias("_span"), bins("start_ms", "end_ms"))
+    right = turns.select("media_id", turn.alias("_turn"), bins("start_ms", "end_ms")).drop("_i")
+    both = left.unionByName(right, allowMissingColumns=True).repartition("media_id")
+    near = both.withColumn("_near", F.collect_list("_turn").over(Window.partitionBy("media_id", "_bin"))).filter("_i is not null")  # the spans
+    start, end = F.col("_span.start_ms"), F.col("_span.end_ms")
+    met = F.filter("_near", lambda t: (F.col("_bin") == F.greatest(F.floor(start / bin_ms), t["b0"])) & (t["s"] < end) & (start < t["e"]))
+    met = F.when(F.col("media_id").isNotNull() & F.col(key).isNotNull(), F.transform(met, lambda t: F.struct((F.least(end, t["e"]) - F.greatest(start, t["s"])).alias("ms"), (-t["s"]).alias("first"), t["speaker_id"].alias("speaker_id"))))
+    each = near.withColumn("_met", met).groupBy("media_id", key).agg(F.collect_list(F.when(F.col("_i") == 0, F.col("_span"))).alias("_spans"), F.flatten(F.collect_list("_met")).alias("_met"))
+
+    def of_speaker(v: Column, name: Column) -> Column:
+        own = F.filter(v, lambda t: t["speaker_id"].eqNullSafe(name))
+        return T.bound(own, lambda o: F.struct(F.aggregate(o, F.lit(0).cast("long"), lambda a, t: a + t["ms"]).alias("ms"), F.array_max(F.transform(o, lambda t: t["first"])).alias("first"), name.alias("speaker_id")))
+
+    several = F.array_max(F.transform(F.array_distinct(F.transform("_met", lambda t: t["speaker_id"])), lambda name: of_speaker(F.col("_met"), name)))
+    each = each.withColumn("_best", F.when(F.size("_met") > 1, several).otherwise(F.get("_met", F.lit(0))))
+    out = each.select("media_id", key, F.explode("_spans").alias("_span"), "_best")
+    return out.select("media_id", key, *(F.col("_span")[c].alias(c) for c in rest), F.coalesce("_best.speaker_id", F.lit(default)).alias("speaker_id"), F.coalesce("_best.ms", F.lit(0).cast("long")).alias("overlap_ms"))
+
+
+def diarized_segments(words: DataFrame, segments: DataFrame | None = None, max_pause_ms: int = 300) -> DataFrame:
+    """Segments split where the assigned speaker changes or a pause is long. words: media_id, seg_idx, word_idx, text, start_ms, end_ms, speaker_id; outer pauses come from segments, or without them from pause_before_ms and pause_after_ms of words."""
     by = Window.partitionBy("media_id", "seg_idx").orderBy("word_idx")
     least0 = lambda x: F.when(x < 0, 0).otherwise(x)  # noqa: E731  null stays null, which greatest() would make 0
     w = words.filter("end_ms > start_ms").withColumn("gap", least0(F.col("start_ms") - F.lag("end_ms").over(by)))
@@ -86,10 +113,13 @@ def diarized_segments(words: DataFrame, segments: DataFrame, max_pause_ms: int =
     cut = (F.col("speaker_id") != F.lag("speaker_id").over(by)) | (F.col("gap") > max_pause_ms)
     w = w.withColumn("split_idx", F.sum(F.coalesce(cut, F.lit(False)).cast("long")).over(by))
     extra = [F.min_by("gap", "word_idx").alias("_before"), F.max_by("after", "word_idx").alias("_after"), F.first("speaker_id").alias("speaker_id")]
+    if segments is None:
+        extra += [F.first("pause_before_ms").alias("_pb"), F.first("pause_after_ms").alias("_pa")]
     parts = _segments(w, ["media_id", "seg_idx", "split_idx"], extra)
     parts = parts.withColumn("split_count", F.count(F.lit(1)).over(Window.partitionBy("media_id", "seg_idx")))
-    outer = segments.select("media_id", "seg_idx", F.col("pause_before_ms").alias("_pb"), F.col("pause_after_ms").alias("_pa"))
-    parts = parts.join(outer, ["media_id", "seg_idx"], "left")
+    if segments is not None:
+        outer = segments.select("media_id", "seg_idx", F.col("pause_before_ms").alias("_pb"), F.col("pause_after_ms").alias("_pa"))
+        parts = parts.join(outer, ["media_id", "seg_idx"], "left")
     return parts.withColumn("pause_before_ms", F.coalesce("_before", "_pb", F.lit(0).cast("long"))).withColumn("pause_after_ms", F.coalesce("_after", "_pa", F.lit(0).cast("long"))).drop("_before", "_after", "_pb", "_pa")
 
 

@@ -82,3 +82,21 @@ def test_groups_of_a_long_item(spark):
     got = continuation_groups(rows)
     assert got.count() == 10_000
     assert {(r.text, r.group_size) for r in got.select("text", "group_size").distinct().collect()} == {("one goes on, and ends.", 2)}
+
+
+def test_words_are_dealt_out_twice_at_most(spark):
+    """By media item for the segments, and once more with the turns; it was once for each join and count before."""
+    w = spark.createDataFrame([(1, 0, "a", 0, 100), (1, 1, "b", 900, 1200)], "media_id long, word_idx long, text string, start_ms long, end_ms long")
+    t = spark.createDataFrame([(1, 0, 1000, "spk_1")], "media_id long, start_ms long, end_ms long, speaker_id string")
+    parts = S.diarized_segments(S.speaker_overlap(S.segmented_words(w), t, "word_idx"))
+    assert parts._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    got = [(r.text, r.speaker_id, r.pause_before_ms, r.pause_after_ms) for r in parts.orderBy("seg_idx").collect()]
+    assert got == [("a", "spk_1", 0, 800), ("b", "spk_1", 800, 0)]
+
+
+def test_overlap_keeps_odd_rows(spark):
+    """Repeated rows, rows without a key, a media item or a time stay, and what has no turn gets the default."""
+    w = spark.createDataFrame([(1, 0, 9_000, 31_000), (1, 0, 9_000, 31_000), (1, None, 0, 500), (None, 1, 0, 500), (1, 2, None, 500), (1, 3, 50_000, 50_010), (1, 4, 700, 700)], "media_id long, word_idx long, start_ms long, end_ms long")
+    t = spark.createDataFrame([(1, 0, 12_000, "x"), (1, 12_000, 40_000, "y"), (1, 8_000, 30_000, "x"), (None, 0, 900, "z")], "media_id long, start_ms long, end_ms long, speaker_id string")
+    got = sorted((str(r.media_id), str(r.word_idx), str(r.start_ms), r.speaker_id, r.overlap_ms) for r in S.speaker_overlap(w, t, "word_idx").collect())
+    assert got == sorted([("1", "0", "9000", "x", 2 * (3_000 + 21_000))] * 2 + [("1", "None", "0", "spk_0", 0), ("None", "1", "0", "spk_0", 0), ("1", "2", "None", "spk_0", 0), ("1", "3", "50000", "spk_0", 0), ("1", "4", "700", "x", 0)])
