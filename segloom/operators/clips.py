@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,14 +61,17 @@ def select_clips(candidates: DataFrame, k: int = 5, gap_ms: int = 1500, routing_
     A group is the candidates of one speaker in one media item, bounded by the longest item.
     """
     names = [x.split()[0] for x in CHOSEN.split(", ")]
+    types = [{"long": pa.int64(), "double": pa.float64(), "string": pa.string()}[x.split()[1]] for x in CHOSEN.split(", ")]
 
-    def choose(p: pd.DataFrame) -> pd.DataFrame:
-        c = Candidates(p)
+    def choose(group: pa.Table) -> pa.Table:
+        c = Candidates(group.to_pydict())
         picks = chosen_clips(c, k, gap_ms, routing_k)
-        rows = c.rows.loc[[i for _, i, _ in picks]]
-        return rows.assign(selection_score=[round(w, 4) for _, _, w in picks], pool=[x for x, _, _ in picks])[names]
+        rows = {x: [v[i] for _, i, _ in picks] for x, v in c.rows.items()}
+        rows |= {"selection_score": [round(w, 4) for _, _, w in picks], "pool": [x for x, _, _ in picks]}
+        return pa.table([pa.array(rows[x], t) for x, t in zip(names, types)], names=names)
 
-    return candidates.groupBy("media_id", "speaker_id").applyInPandas(choose, CHOSEN)
+    needed = [x for x in names if x not in ("selection_score", "pool")] + ["text_signature", "timeline_bucket", "question"]
+    return candidates.select(*needed).groupBy("media_id", "speaker_id").applyInArrow(choose, CHOSEN)
 
 
 def longest_clip_fallback(segments: DataFrame, max_ms: int = 15_000) -> DataFrame:
@@ -79,13 +82,16 @@ def longest_clip_fallback(segments: DataFrame, max_ms: int = 15_000) -> DataFram
 
 def segment_clip_score(segments: DataFrame, clips: DataFrame) -> DataFrame:
     """Every segment with each clip of its media and speaker, and how well they suit each other. clips: media_id, speaker_id, pool, path, text, duration_ms, duration_bucket, selection_score; at most a dozen a speaker."""
-    c = clips.select("media_id", "speaker_id", "pool", "path", F.trim("text").alias("_ct"), F.greatest(F.lit(200), F.col("duration_ms")).alias("_cd"), "duration_bucket", "selection_score")
+    def of(text: Column, side: str) -> list[Column]:
+        """What the score asks of a text, known before the join, so that no text is looked at once for each pair."""
+        return [T.is_question(text).alias(f"_{side}q"), T.word_count(text).alias(f"_{side}w"), text.contains(",").alias(f"_{side},"), text.contains("!").alias(f"_{side}!")]
+
+    c = clips.select("media_id", "speaker_id", "pool", "path", *of(F.trim("text"), "c"), F.greatest(F.lit(200), F.col("duration_ms")).alias("_cd"), "duration_bucket", "selection_score")
     text = F.trim(F.coalesce(F.nullif("original_text", F.lit("")), "text")) if "original_text" in segments.columns else F.trim("text")
-    s = segments.select("media_id", "seg_idx", "speaker_id", text.alias("_st"), F.greatest(F.lit(200), F.col("end_ms") - F.col("start_ms")).alias("_sd"))
+    s = segments.select("media_id", "seg_idx", "speaker_id", *of(text, "s"), F.greatest(F.lit(200), F.col("end_ms") - F.col("start_ms")).alias("_sd"))
     j = s.join(c, ["media_id", "speaker_id"])
-    sb, cb, sq, cq = duration_bucket(F.col("_sd")), F.col("duration_bucket"), T.is_question(F.col("_st")), T.is_question(F.col("_ct"))
-    sw, cw = T.word_count(F.col("_st")), T.word_count(F.col("_ct"))
-    both = lambda m: F.when(F.col("_st").contains(m) & F.col("_ct").contains(m), 0.15).otherwise(0.0)
+    sb, cb, sq, cq, sw, cw = duration_bucket(F.col("_sd")), *map(F.col, ("duration_bucket", "_sq", "_cq", "_sw", "_cw"))
+    both = lambda m: F.when(F.col(f"_s{m}") & F.col(f"_c{m}"), 0.15).otherwise(0.0)
     score = F.greatest(F.lit(-1.0), 1.8 - F.abs(F.col("_cd") - F.col("_sd")) / F.greatest(F.col("_sd"), F.lit(1200)))
     score = score + F.when(sb == cb, 0.7).when((sb == "medium") | (cb == "medium"), 0.25).otherwise(-0.15)
     score = score + F.when(sq & cq, 0.45).when(sq != cq, -0.2).otherwise(0.0)

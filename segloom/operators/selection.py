@@ -9,7 +9,8 @@ at the top whose bound could change its worth, and once per pair.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterable, Mapping
 
 import numpy as np
 import pandas as pd
@@ -22,12 +23,16 @@ CLASSES = 64  # of characters; merging them only loosens the bound
 class Candidates:
     """Candidates in order of preference (score, duration, source_index), with bounds and exact likeness of their signatures."""
 
-    def __init__(self, p: pd.DataFrame):
-        p = p.sort_values(["score", "duration_ms", "source_index"], ascending=[False, False, True]).reset_index(drop=True)
-        self.rows, self.n = p, len(p)
-        self.start, self.end = p["start_ms"].to_numpy(), p["end_ms"].to_numpy()
-        self.score, self.bucket, self.place, self.question = p["score"].tolist(), p["duration_bucket"].tolist(), p["timeline_bucket"].tolist(), p["question"].tolist()
-        self.text = [x or "" for x in p["text_signature"]]
+    def __init__(self, p: Mapping[str, Iterable]):
+        """p: the columns by their names, as of a pandas frame."""
+        own = {c: p[c].tolist() if isinstance(p[c], pd.Series) else list(p[c]) for c in p}
+        last = lambda x: math.inf if x is None or x != x else -x
+        order = sorted(range(len(own["score"])), key=lambda i: (last(own["score"][i]), -own["duration_ms"][i], own["source_index"][i]))
+        self.rows = {c: [v[i] for i in order] for c, v in own.items()}
+        self.n = len(order)
+        self.start, self.end = np.array(self.rows["start_ms"]), np.array(self.rows["end_ms"])
+        self.score, self.bucket, self.place, self.question = (self.rows[c] for c in ("score", "duration_bucket", "timeline_bucket", "question"))
+        self.text = [x or "" for x in self.rows["text_signature"]]
         self.size = np.array([len(x) for x in self.text])
         self.often = np.zeros((self.n, CLASSES), np.int32)
         for i, x in enumerate(self.text):
