@@ -34,9 +34,13 @@ def job_merge(updates: DataFrame, order: str, columns: list[str]) -> DataFrame:
 def missing_artifacts(artifacts: DataFrame, jobs: DataFrame, contract: DataFrame) -> DataFrame:
     """Per job and step the artifacts of the contract (step, artifact, kind) that aren't there (job_id, artifact, size, items)."""
     ready = F.when(F.col("kind") == "file", F.col("size") >= 1).otherwise(F.col("items") >= 1)
-    want = jobs.select("job_id").crossJoin(F.broadcast(contract))  # the contract is a short fixed list
-    ok = want.join(artifacts.select("job_id", "artifact", "size", "items"), ["job_id", "artifact"], "left").withColumn("ok", F.coalesce(ready, F.lit(False)))
-    return ok.groupBy("job_id", "step").agg(F.array_sort(F.collect_list(F.when(~F.col("ok"), F.col("artifact")))).alias("missing"))
+    fixed = F.broadcast(contract)  # a short fixed list
+    have = artifacts.filter("job_id is not null").join(fixed, "artifact").select("job_id", "step", "artifact", F.coalesce(ready, F.lit(False)).alias("_ready"), F.lit(False).alias("_asked"))
+    want = jobs.select("job_id").crossJoin(fixed).select("job_id", "step", "artifact", F.lit(None).cast("boolean").alias("_ready"), F.lit(True).alias("_asked"))
+    # one deal, by job: what follows by job finds its rows where they are
+    each = have.unionByName(want).repartition("job_id").groupBy("job_id", "step", "artifact").agg(F.count_if(F.col("_asked")).alias("_n"), F.count("_ready").alias("_k"), F.count_if(~F.col("_ready")).alias("_bad")).filter("_n > 0")
+    times = (F.col("_n") * F.when(F.col("_k") == 0, 1).otherwise(F.col("_bad"))).cast("int")  # a job or artifact that is given more than once counts as often
+    return each.groupBy("job_id", "step").agg(F.array_sort(F.flatten(F.collect_list(F.array_repeat("artifact", times)))).alias("missing"))
 
 
 def contract(spark, subtitle_mode: str | None = None) -> DataFrame:
@@ -52,7 +56,8 @@ def resume_plan(missing: DataFrame, forced: DataFrame, steps: list[str], skip_me
     """Which steps run: incomplete or forced ones, and all behind one that runs. forced: job_id, step."""
     steps = [s for s in steps if not (skip_metrics and s == "metrics")]
     number = F.array_position(F.array(*map(F.lit, steps)), F.col("step"))
-    m = missing.filter(F.col("step").isin(steps)).withColumn("step_no", number).join(forced.withColumn("_f", F.lit(True)), ["job_id", "step"], "left")
+    m = missing.filter(F.col("step").isin(steps)).withColumn("step_no", number).join(forced.groupBy("job_id").agg(F.collect_set("step").alias("_steps")), "job_id", "left")
+    m = m.withColumn("_f", F.array_contains("_steps", F.col("step")))
     by = Window.partitionBy("job_id").orderBy("step_no")
     own = (F.size("missing") > 0) | F.coalesce("_f", F.lit(False))
     m = m.withColumn("_own", own).withColumn("_up", F.coalesce(F.max(own).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)))

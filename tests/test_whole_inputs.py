@@ -98,3 +98,18 @@ def test_profiles_are_in_files_of_bounded_size(spark):
     got = [json.loads(r.document)["profiles"] for r in profile_documents(spark.range(2500).selectExpr("id as s_suppkey", "id % 25 as s_nationkey")).collect()]
     assert sorted(map(len, got)) == [500, 1000, 1000]
     assert {k: v["nation"] for p in got for k, v in p.items()} == {f"S{i}": i % 25 for i in range(2500)}
+
+
+def test_a_plan_deals_jobs_out_once(spark):
+    """By job, and the forced steps to them; it was once for each join, count and window before. Repeated jobs and artifacts count as often."""
+    from segloom.operators import jobs as J
+
+    have = spark.createDataFrame([(1, "segments", None, 0), (1, "segments", None, 0), (1, "speaker_ref", 5, None), (2, "segments", None, 1), (2, "speaker_ref", 1, None), (None, "segments", None, 1)], "job_id long, artifact string, size long, items long")
+    jobs = spark.createDataFrame([(1,), (2,), (2,), (3,)], "job_id long")
+    missing = J.missing_artifacts(have, jobs, J.contract(spark))
+    got = {r.job_id: r.missing for r in missing.filter("step = 'asr'").collect()}
+    assert got == {1: ["segments", "segments"], 2: [], 3: ["segments", "speaker_ref"]}
+    assert len(next(r.missing for r in missing.filter("job_id = 2 and step = 'translate'").collect())) == 2
+    plan = J.resume_plan(missing, spark.createDataFrame([(2, "asr"), (2, "asr")], "job_id long, step string"), list(J.STEP_ARTIFACTS))
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    assert [(r.run, r.reason) for r in plan.filter("job_id = 2 and step = 'asr'").collect()] == [(True, "forced")]
