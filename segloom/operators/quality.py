@@ -13,25 +13,46 @@ from ..functions.alignment import edit_counts_of_pairs
 
 def latin_leaks(text: Column, preserve: Column) -> Column:
     """Latin words of a Russian text, but not preserved terms (array, lower case), short acronyms or tokens with digits."""
-    ok = lambda t: F.array_contains(preserve, F.lower(t)) | (t.rlike("[A-Z]") & (F.upper(t) == t) & (F.length(t) <= 8)) | t.rlike(r"\d")
+    ok = lambda t: F.array_contains(preserve, F.lower(t)) | ((F.lower(t) != t) & (F.upper(t) == t) & (F.length(t) <= 8)) | t.rlike(r"\d")
     return F.filter(T.latin_tokens(text), lambda t: ~ok(t))
 
 
 def _checked(rows: DataFrame, preserve: Column, russian: bool, char_ratio: float, target_ratio: float) -> DataFrame:
-    r = rows.withColumn("text", T.normalize_spaces(F.coalesce("text", F.lit("")))).withColumn("original_text", T.normalize_spaces(F.coalesce("original_text", F.lit(""))))
+    """Rows with both texts normalized, ratios, missing numbers, Latin words and issues.
+
+    All of that is one value that is exploded: as columns on columns, a filter on issues would be moved below them with all their
+    expressions, and each text normalized again at each mention.
+    """
     ms = F.greatest(F.lit(0), F.col("end_ms") - F.col("start_ms"))
-    r = r.withColumn("char_ratio", F.length("text") / F.greatest(F.lit(1), F.length("original_text"))).withColumn("soft_target", F.when(ms > 0, T.soft_target_chars(ms)))
-    r = r.withColumn("target_ratio", F.length("text") / F.greatest(F.lit(1), F.col("soft_target")))
-    r = r.withColumn("missing_numbers", F.array_sort(F.array_except(T.extract_numbers(F.col("original_text")), T.extract_numbers(F.col("text")))))
-    r = r.withColumn("latin_words", latin_leaks(F.col("text"), preserve) if russian else F.array().cast("array<string>"))
-    flags = (
-        F.when(F.col("text") == "", "empty_translation"),
-        F.when((F.length("original_text") >= 12) & (F.col("char_ratio") > char_ratio), "high_char_ratio"),
-        F.when(F.col("target_ratio") > target_ratio, "over_timing_soft_limit"),
-        F.when(F.size("missing_numbers") > 0, "missing_number"),
-        F.when(F.size("latin_words") > 0, "latin_word_in_translation"),
-    )
-    return r.withColumn("issues", F.filter(F.array(*flags), lambda x: x.isNotNull()))
+
+    def measured(p: Column) -> Column:
+        text, original, soft = p["text"], p["original_text"], F.when(ms > 0, T.soft_target_chars(ms))
+        missing = T.bound(T.extract_numbers(original), lambda n: F.when(F.size(n) == 0, n).otherwise(F.array_sort(F.array_except(n, T.extract_numbers(text)))))
+        latin = latin_leaks(text, preserve) if russian else F.array().cast("array<string>")
+        return F.struct(
+            text.alias("text"),
+            original.alias("original_text"),
+            (F.length(text) / F.greatest(F.lit(1), F.length(original))).alias("char_ratio"),
+            soft.alias("soft_target"),
+            (F.length(text) / F.greatest(F.lit(1), soft)).alias("target_ratio"),
+            missing.alias("missing_numbers"),
+            latin.alias("latin_words"),
+        )
+
+    def flagged(m: Column) -> Column:
+        flags = (
+            F.when(m["text"] == "", "empty_translation"),
+            F.when((F.length(m["original_text"]) >= 12) & (m["char_ratio"] > char_ratio), "high_char_ratio"),
+            F.when(m["target_ratio"] > target_ratio, "over_timing_soft_limit"),
+            F.when(F.size(m["missing_numbers"]) > 0, "missing_number"),
+            F.when(F.size(m["latin_words"]) > 0, "latin_word_in_translation"),
+        )
+        return F.struct(m.alias("m"), F.filter(F.array(*flags), lambda x: x.isNotNull()).alias("issues"))
+
+    texts = F.struct(*(T.normalize_spaces(F.coalesce(n, F.lit(""))).alias(n) for n in ("text", "original_text")))
+    made = ("text", "original_text", "char_ratio", "soft_target", "target_ratio", "missing_numbers", "latin_words", "issues")
+    kept = [F.col(f"`{n}`") for n in rows.columns if n not in made]
+    return rows.select(*kept, F.explode(F.array(T.bound(T.bound(texts, measured), flagged))).alias("_c")).select(*kept, "_c.m.*", "_c.issues")
 
 
 def translation_qa_issues(rows: DataFrame, preserve: Column, russian: bool = True, char_ratio: float = 1.65, target_ratio: float = 1.25) -> DataFrame:
