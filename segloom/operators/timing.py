@@ -192,16 +192,24 @@ def rewrite_gate(rows: DataFrame, fill: float = 0.8, similarity: float = 0.55, w
 
 
 def candidate_rank(rows: DataFrame, keep: int = 5) -> DataFrame:
-    """Rewrites in order of a score from lengths and shared words. rows: media_id, seg_idx, cand_idx, original_text, candidate, current_ms, target_ms, mode."""
+    """Rewrites in order of a score from lengths and shared words. rows: media_id, seg_idx, cand_idx, original_text, candidate, current_ms, target_ms, mode.
+
+    original_words, the word tokens of original_text, may come with the rows: they are then not found again for each candidate.
+    """
     norm = lambda x: F.lower(T.normalize_spaces(x))
-    r = rows.filter(norm(F.col("candidate")) != norm(F.col("original_text")))
+    words = F.col("original_words") if "original_words" in rows.columns else T.word_tokens(F.col("original_text"))
+    # Exploded, so that the filter stays behind the words and they are not found for it again.
+    kept = [F.col(f"`{n}`") for n in rows.columns if n != "original_words"]
+    r = rows.select(*kept, F.explode(F.array(F.struct(words.alias("a"), T.word_tokens(F.col("candidate")).alias("b")))).alias("_w"))
+    a, b = F.col("_w.a"), F.col("_w.b")
+    # Texts that are equal but for case and spaces have equal words, so only those with equal words are compared.
+    r = r.filter(F.when(a != b, True).otherwise(norm(F.col("candidate")) != norm(F.col("original_text"))))
     short = F.col("mode") == "shorter"
     raw = F.col("target_ms") / F.greatest(F.col("current_ms"), F.lit(1))
     want = F.when(short, F.greatest(F.lit(0.52), F.least(F.lit(0.98), raw))).otherwise(F.greatest(F.lit(1.0), F.least(F.lit(1.28), raw)))
-    a, b = T.word_tokens(F.col("original_text")), T.word_tokens(F.col("candidate"))
     shared = F.size(F.array_intersect(a, b))
     r = r.withColumn("char_ratio", F.length("candidate") / F.greatest(F.lit(1), F.length("original_text"))).withColumn("target_char_ratio", want)
-    r = r.withColumn("token_precision", shared / F.greatest(F.lit(1), F.size(F.array_distinct(b)))).withColumn("token_recall", shared / F.greatest(F.lit(1), F.size(F.array_distinct(a)))).withColumn("word_ratio", F.size(b) / F.greatest(F.lit(1), F.size(a)))
+    r = r.withColumn("token_precision", shared / F.greatest(F.lit(1), F.size(F.array_distinct(b)))).withColumn("token_recall", shared / F.greatest(F.lit(1), F.size(F.array_distinct(a)))).withColumn("word_ratio", F.size(b) / F.greatest(F.lit(1), F.size(a))).drop("_w")
     over0 = lambda x, k: F.greatest(F.lit(0.0), x) * k
     c = F.col("char_ratio")
     under = F.when(short, over0(0.62 - c, 2.5)).otherwise(over0(1.0 - c, 2.0))
