@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_CLOSERS = "\"')\\]}»”"
+#: What `(?U)\s` means, for functions that strip sets of characters: they look at the ends only, where a pattern is tried at each place of a text.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+_CLOSERS = "\"')]}»”"
 
 
 def bound(x: Column, use: Callable[[Column], Column]) -> Column:
@@ -27,7 +31,7 @@ def text_signature(x: Column) -> Column:
 
 def clean_spoken_text(x: Column) -> Column:
     """Without characters that disturb speech, but with those that shape it."""
-    return normalize_spaces(F.regexp_replace(F.regexp_replace(x, r"[\x{10000}-\x{10FFFF}]", ""), r"""(?U)[^\w\s.,!?;:()"'%\-]""", ""))
+    return normalize_spaces(F.regexp_replace(x, r"""(?U)[\x{10000}-\x{10FFFF}[^\w\s.,!?;:()"'%\-]]""", ""))
 
 
 def dataset_text(x: Column) -> Column:
@@ -55,15 +59,19 @@ def is_question(x: Column) -> Column:
 
 def strip_closers(x: Column) -> Column:
     """Without closing quotes and brackets, and spaces between them, at the end."""
-    return F.regexp_replace(F.trim(x), rf"(?U)[\s{_CLOSERS}]+$", "")
+    return F.rtrim(F.trim(x), F.lit(WHITE + _CLOSERS))
+
+
+def _ends(x: Column, marks: str) -> Column:
+    return reduce(or_, (x.endswith(m) for m in marks))
 
 
 def ends_terminal(x: Column) -> Column:
-    return strip_closers(x).rlike(r"[.!?…]$")
+    return _ends(strip_closers(x), ".!?…")
 
 
 def ends_continuation(x: Column) -> Column:
-    return strip_closers(x).rlike(r"[,;:\-]$")
+    return _ends(strip_closers(x), ",;:-")
 
 
 def starts_lower(x: Column) -> Column:
@@ -76,34 +84,43 @@ def preferred_terminal(x: Column) -> Column:
     return F.when(s.endswith("?"), "?").when(s.endswith("!"), "!").otherwise(".")
 
 
+def _with_terminal(clean: Column, suffix: Column) -> Column:
+    return bound(F.rtrim(clean, F.lit(" .,!?:;_-")), lambda base: F.when(base == "", clean).otherwise(F.concat(base, suffix)))
+
+
 def replace_terminal(x: Column, suffix: Column | str) -> Column:
     """The text with its end punctuation replaced by the suffix; left alone if nothing else remains."""
-    clean = clean_spoken_text(x)
-    base = F.regexp_replace(clean, r"[ .,!?:;_\-]+$", "")
-    return F.when(base == "", clean).otherwise(F.concat(base, F.lit(suffix) if isinstance(suffix, str) else suffix))
+    return bound(clean_spoken_text(x), lambda clean: _with_terminal(clean, F.lit(suffix) if isinstance(suffix, str) else suffix))
 
 
-def stabilize_text(x: Column, original: Column, following: Column, gap_ms: Column, pause_ms: Column, group_size: Column, force: bool = False) -> Column:
-    """Adds an end mark where the source, a pause or a capital after a long text asks for it."""
-    clean, original, following = clean_spoken_text(x), F.coalesce(original, F.lit("")), F.coalesce(following, F.lit(""))
+def _stabilized(clean: Column, original: Column, following: Column, gap_ms: Column, pause_ms: Column, group_size: Column, force: bool = False) -> Column:
     as_is = (clean == "") | (group_size != 1) | ends_terminal(clean) | ((following != "") & starts_lower(following))
     long = (F.trim(following) != "") & ~starts_lower(following) & (F.length(clean) >= 48) & ~ends_continuation(clean)
     add = F.lit(force) | ((original != "") & ends_terminal(original)) | F.coalesce(pause_ms >= 280, F.lit(False)) | F.coalesce(gap_ms >= 480, F.lit(False)) | long
-    base = F.regexp_replace(clean, r"[ ,;:\-]+$", "")
+    base = F.rtrim(clean, F.lit(" ,;:-"))
     mark = preferred_terminal(F.when(original != "", original).otherwise(clean))
     return F.when(as_is | ~add | (base == ""), clean).otherwise(F.concat(base, mark))
 
 
+def stabilize_text(x: Column, original: Column, following: Column, gap_ms: Column, pause_ms: Column, group_size: Column, force: bool = False) -> Column:
+    """Adds an end mark where the source, a pause or a capital after a long text asks for it."""
+    original, following = F.coalesce(original, F.lit("")), F.coalesce(following, F.lit(""))
+    return bound(clean_spoken_text(x), lambda clean: _stabilized(clean, original, following, gap_ms, pause_ms, group_size, force))
+
+
 def retry_variants(x: Column, original: Column, following: Column, gap_ms: Column, pause_ms: Column, group_size: Column, backend: Column) -> Column:
     """The clean text and, for the one backend that profits, variants with other end marks."""
-    clean, original = clean_spoken_text(x), F.coalesce(original, F.lit(""))
-    stable = stabilize_text(x, original, following, gap_ms, pause_ms, group_size)
-    edge = (stable != clean) | ends_terminal(clean) | ends_terminal(original)
-    preferred = preferred_terminal(F.when(original != "", original).otherwise(clean))
-    marks = F.when(preferred == "?", F.array(F.lit("?"), F.lit("!"), F.lit("_"))).otherwise(F.array(F.lit("!"), F.lit("?"), F.lit("_")))
-    more = F.filter(F.transform(marks, lambda m: replace_terminal(x, m)), lambda v: v != "")
-    base = F.filter(F.array(clean), lambda v: v != "")
-    return F.when((F.lower(F.trim(F.coalesce(backend, F.lit("")))) == "xtts") & edge, F.array_distinct(F.concat(base, more))).otherwise(base)
+    original, following = F.coalesce(original, F.lit("")), F.coalesce(following, F.lit(""))
+
+    def of(clean: Column) -> Column:
+        edge = (_stabilized(clean, original, following, gap_ms, pause_ms, group_size) != clean) | ends_terminal(clean) | ends_terminal(original)
+        preferred = preferred_terminal(F.when(original != "", original).otherwise(clean))
+        marks = F.when(preferred == "?", F.array(F.lit("?"), F.lit("!"), F.lit("_"))).otherwise(F.array(F.lit("!"), F.lit("?"), F.lit("_")))
+        more = F.filter(F.transform(marks, lambda m: _with_terminal(clean, m)), lambda v: v != "")
+        base = F.filter(F.array(clean), lambda v: v != "")
+        return F.when((F.lower(F.trim(F.coalesce(backend, F.lit("")))) == "xtts") & edge, F.array_distinct(F.concat(base, more))).otherwise(base)
+
+    return bound(clean_spoken_text(x), of)
 
 
 def join_segment_text(left: Column, right: Column) -> Column:
@@ -210,11 +227,25 @@ def apply_replacements(x: Column, pairs: Column) -> Column:
 
 def normalize_translation(x: Column, original: Column, pairs: Column) -> Column:
     """Spacing around punctuation, one idiom, and the replacements of the profile."""
-    t = normalize_spaces(x)
-    for pattern, to in ((r"(?U)\s+([,.;:!?])", "$1"), (r"(?U)([(\[{])\s+", "$1"), (r"(?U)\s+([)\]}])", "$1")):
+    return _normalized_translation(normalize_spaces(x), original, pairs)
+
+
+#: Texts without any of these, as most are, need no pattern.
+_LOOSE = (*(f" {m}" for m in ",.;:!?)]}"), *(f"{m} " for m in "([{"))
+
+
+def _tight(t: Column) -> Column:
+    """Without the single spaces before and inside punctuation."""
+    for pattern, to in ((r" ([,.;:!?])", "$1"), (r"([(\[{]) ", "$1"), (r" ([)\]}])", "$1")):
         t = F.regexp_replace(t, pattern, to)
+    return t
+
+
+def _normalized_translation(t: Column, original: Column, pairs: Column) -> Column:
+    """Of a text of which the spaces are normalized."""
     thanked = F.lower(normalize_spaces(F.coalesce(original, F.lit("")))).isin("you're welcome.", "you are welcome.")
-    return bound(t, lambda v: F.when(thanked & F.lower(v).isin("ни за что.", "не за что."), "Пожалуйста.").otherwise(F.trim(apply_replacements(v, pairs))))
+    tight = bound(t, lambda v: F.when(reduce(or_, (v.contains(p) for p in _LOOSE)), _tight(v)).otherwise(v))
+    return bound(tight, lambda v: F.when(thanked & F.lower(v).isin("ни за что.", "не за что."), "Пожалуйста.").otherwise(F.trim(apply_replacements(v, pairs))))
 
 
 #: Labels that model answers put before a translation.
@@ -229,25 +260,32 @@ def _any_case(label: str) -> str:
 _LABELS = "^" + "".join(rf"(?:{_any_case(x)}[ :\-\n\t]*)?" for x in ANSWER_LABELS)
 
 
+def unfenced(x: Column) -> Column:
+    """Without the marks of a code block at the ends."""
+    return bound(x, lambda v: F.when(v.contains("```"), F.regexp_replace(F.regexp_replace(v, r"(?i)^```(?:json)?\s*", ""), r"\s*```$", "")).otherwise(v))
+
+
 def clean_model_answer(x: Column, tgt_lang: str = "") -> Column:
     """A model's answer without quotes, fences, wrapping JSON, labels and, for Russian, what stands before the first Cyrillic letter."""
-    t = F.regexp_replace(x, r"(?U)^[\s]+|[\s]+$", "")
-    t = F.regexp_replace(t, "^[\"'`]+|[\"'`]+$", "")
-    t = normalize_spaces(F.regexp_replace(t, r"<\|im_end\|>|<\|endoftext\|>", " "))
-    t = F.regexp_replace(F.regexp_replace(t, r"(?i)^```(?:json)?\s*", ""), r"\s*```$", "")
-
     def unwrapped(v: Column) -> Column:
         keys = [F.get_json_object(v, f"$.{k}") for k in ("translation", "text", "result")]
         return F.coalesce(F.when(v.startswith("{"), F.coalesce(*keys, F.get_json_object(v, "$.translations[0]"))).when(v.startswith("["), F.get_json_object(v, "$[0]")), v)
 
     def unlabelled(v: Column) -> Column:
         rest = F.regexp_replace(v, _LABELS, "")
-        return bound(rest, lambda r: F.when(F.length(r) < F.length(v), F.regexp_replace(r, r"[ :\-\n\t]+$", "")).otherwise(v))
+        cut = bound(rest, lambda r: F.when(F.length(r) < F.length(v), F.regexp_replace(r, r"[ :\-\n\t]+$", "")).otherwise(v))
+        return F.when(v.contains(":"), cut).otherwise(v)  # every label ends with it
+
+    def plain(v: Column) -> Column:
+        """The spaces of v are normalized, and stay so where no JSON is unwrapped: ends are cut with the spaces beside them."""
+        return F.when(v.startswith("{") | v.startswith("["), normalize_spaces(bound(unwrapped(v), unlabelled))).otherwise(unlabelled(v))
 
-    t = normalize_spaces(bound(bound(t, unwrapped), unlabelled))
+    t = F.trim(F.trim(x, F.lit(WHITE)), F.lit("\"'`"))
+    t = bound(t, lambda v: F.when(v.contains("<|"), F.replace(F.replace(v, F.lit("<|im_end|>"), F.lit(" ")), F.lit("<|endoftext|>"), F.lit(" "))).otherwise(v))
+    t = bound(unfenced(normalize_spaces(t)), plain)
     if tgt_lang.startswith("rus"):
         t = bound(t, lambda v: F.when(v.rlike("[А-Яа-яЁё]"), F.regexp_extract(v, "([А-Яа-яЁё].*)$", 1)).otherwise(v))
-    return normalize_spaces(F.regexp_replace(t, r"(?iu)^(assistant|ассистент)\s*[:,-]?\s*", ""))
+    return F.trim(F.regexp_replace(t, r"(?iu)^(assistant|ассистент)\s*[:,-]?\s*", ""))
 
 
 def parse_answer_json(x: Column) -> Column:
@@ -266,7 +304,7 @@ def extract_candidates(x: Column, tgt_lang: str = "") -> Column:
         one = bound(single, lambda v: F.when(F.trim(v) != "", F.array(v)))
         from_object = bound(F.filter(lists, lambda v: F.trim(v) != ""), lambda v: F.when(F.size(v) > 0, v).otherwise(one))
         parsed = F.when(t.startswith("{"), from_object).when(t.startswith("["), F.from_json(t, "array<string>"))
-        lines = F.filter(F.transform(F.split(t, r"\r?\n"), lambda v: F.trim(F.regexp_replace(v, r"^\s*(?:[-*•]|\d+[.)])\s*", ""))), lambda v: v != "")
+        lines = F.filter(F.transform(F.split(F.replace(t, F.lit("\r\n"), F.lit("\n")), "\n"), lambda v: F.trim(F.regexp_replace(v, r"^\s*(?:[-*•]|\d+[.)])\s*", ""))), lambda v: v != "")
         return F.coalesce(parsed, bound(lines, lambda v: F.when(F.size(v) > 1, v).otherwise(F.array(t))))
 
     def first_of_case(v: Column) -> Column:
@@ -274,6 +312,5 @@ def extract_candidates(x: Column, tgt_lang: str = "") -> Column:
         keys = F.transform(v, lambda y: F.lower(y))
         return bound(keys, lambda k: F.filter(v, lambda y, i: F.array_position(k, F.lower(y)) == i + 1))
 
-    t = F.regexp_replace(F.regexp_replace(F.trim(x), r"(?i)^```(?:json)?\s*", ""), r"\s*```$", "")
-    clean = F.filter(F.transform(bound(t, raw), lambda v: normalize_translation(clean_model_answer(v, tgt_lang), F.lit(""), none)), lambda v: v != "")
+    clean = F.filter(F.transform(bound(unfenced(F.trim(x)), raw), lambda v: _normalized_translation(clean_model_answer(v, tgt_lang), F.lit(""), none)), lambda v: v != "")
     return bound(clean, first_of_case)
