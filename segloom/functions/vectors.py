@@ -58,6 +58,13 @@ def token_overlap(a: Column, b: Column) -> Column:
     return T.bound(n, lambda k: F.struct(k.alias("overlap"), F.when(F.size(a) > 0, k / F.size(a)).otherwise(0.0).alias("recall"), F.when(F.size(b) > 0, k / F.size(b)).otherwise(0.0).alias("precision")))
 
 
+def token_precision(a: Column, b: Column) -> Column:
+    """The precision of token_overlap; where either side has no token twice, its shared tokens are those of the two sets, which takes less time."""
+    once = (F.size(F.array_distinct(b)) == F.size(b)) | (F.size(F.array_distinct(a)) == F.size(a))
+    shared = F.when(once, F.size(F.array_intersect(a, b))).otherwise(token_overlap(a, b)["overlap"])
+    return F.when(F.size(b) > 0, shared / F.size(b)).otherwise(0.0)
+
+
 @F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(matching_ratios(list(zip(a, b))), dtype="float64")
@@ -65,8 +72,12 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def sequence_ratio(a: str | Column, b: str | Column) -> Column:
     """Matching-block similarity of the texts' word tokens; matching.py says what counts. Spark has no function for it, and edit distance differs."""
-    norm = lambda x: F.array_join(T.word_tokens(F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit(""))), " ")
-    return _ratio(norm(a), norm(b))
+    return words_ratio(*(T.word_tokens(F.col(x) if isinstance(x, str) else x) for x in (a, b)))
+
+
+def words_ratio(a: Column, b: Column) -> Column:
+    """sequence_ratio of texts of which the word tokens are known."""
+    return _ratio(*(F.coalesce(F.array_join(x, " "), F.lit("")) for x in (a, b)))
 
 
 def recognition_score(expected: str, recognized: str, k: int = 2) -> Column:

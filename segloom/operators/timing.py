@@ -172,23 +172,31 @@ def rewrite_budget(words_with_silence: Column, current_ms: Column, target_ms: Co
 
 
 def rewrite_gate(rows: DataFrame, fill: float = 0.8, similarity: float = 0.55, word_ratio: float = 0.66, precision: float = 0.72, score: float = 0.9, drop: float = 0.03) -> DataFrame:
-    """Adds metrics, reject_reason and accepted. rows: source, rewritten, mode, baseline_ms, rewritten_ms, target_ms, baseline_score, rewritten_score, has_extra_tail, has_suffix (scores null without an evaluation)."""
-    a, b = T.word_tokens(F.col("source")), T.word_tokens(F.col("rewritten"))
-    r = rows.withColumn("_n", F.size(a)).withColumn("text_similarity", V.sequence_ratio("source", "rewritten")).withColumn("token_precision", V.token_overlap(a, b)["precision"])
+    """Adds metrics, reject_reason and accepted. rows: source, rewritten, mode, baseline_ms, rewritten_ms, target_ms, baseline_score, rewritten_score, has_extra_tail, has_suffix (scores null without an evaluation).
+
+    source_words, the word tokens of source, may come with the rows: they are then not found again for each rewrite.
+    """
+    words = F.col("source_words") if "source_words" in rows.columns else T.word_tokens(F.col("source"))
+    kept = [F.col(f"`{n}`") for n in rows.columns if n != "source_words"]
+    # Exploded, so that the words are found once and not again for each metric.
+    r = rows.select(*kept, F.explode(F.array(F.struct(words.alias("a"), T.word_tokens(F.col("rewritten")).alias("b")))).alias("_w"))
+    a, b = F.col("_w.a"), F.col("_w.b")
+    found = V.token_precision(a, b)  # not read back from its column, which would be filled for rows that are rejected before
+    r = r.withColumn("_n", F.size(a)).withColumn("text_similarity", V.words_ratio(a, b)).withColumn("token_precision", found)
     r = r.withColumn("word_ratio", F.size(b) / F.greatest(F.lit(1), F.col("_n"))).withColumn("fill_ratio", F.col("rewritten_ms") / F.greatest(F.lit(1), F.col("target_ms"))).withColumn("duration_ratio", F.col("rewritten_ms") / F.greatest(F.lit(1), F.col("baseline_ms")))
     c, short, scored, base = F.col, F.col("mode") == "shorter", F.col("rewritten_score").isNotNull(), F.col("baseline_score").isNotNull()
     reason = (
         F.when(short & (c("fill_ratio") < fill), "underfill")
         .when(short & (c("_n") >= 5) & (c("word_ratio") < word_ratio), "word_ratio")
         .when(short & (c("_n") >= 4) & (c("text_similarity") < similarity), "text_similarity")
-        .when(short & (c("_n") >= 4) & (c("token_precision") < precision), "token_precision")
+        .when(short & (c("_n") >= 4) & (found < precision), "token_precision")
         .when(scored & c("has_extra_tail"), "extra_tail")
         .when(scored & ~c("has_suffix"), "missing_suffix")
         .when(scored & (c("rewritten_score") < score), "asr_score")
         .when(scored & base & (c("rewritten_score") < c("baseline_score") - drop), "asr_drop")
         .when(scored & base & (c("mode") == "longer") & (c("rewritten_score") + 0.01 < c("baseline_score")), "asr_not_preserved")
     )
-    return r.withColumn("reject_reason", reason).withColumn("accepted", F.col("reject_reason").isNull()).drop("_n")
+    return r.withColumn("reject_reason", reason).withColumn("accepted", F.col("reject_reason").isNull()).drop("_n", "_w")
 
 
 def candidate_rank(rows: DataFrame, keep: int = 5) -> DataFrame:

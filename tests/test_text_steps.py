@@ -101,6 +101,23 @@ def test_rank_leaves_out_texts_equal_but_for_case_and_spaces(spark):
     assert plain.filter(~F.col("token_precision").eqNullSafe(shared() / F.greatest(F.lit(1), F.size(F.array_distinct(T.word_tokens(F.col("candidate"))))))).isEmpty()
 
 
+def test_gate_finds_words_once(spark, sf):
+    """Words of a source once per segment and of a rewrite once, and each in one place of the plan; the precision is that of token_overlap, with repeated words and nulls too."""
+    from segloom.functions import vectors as V
+
+    texts = awkward(200) + ["a b a", "a a a b", "b a", "c", "a b c a b c a"]
+    r = random.Random(9)
+    rows = [(i, r.choice(texts), r.choice(texts), r.choice(["shorter", "longer"]), 1000, 900, 1000, 0.95, r.choice([None, 0.85, 0.95]), r.random() < 0.2, r.random() < 0.8) for i in range(800)]
+    df = spark.createDataFrame(rows, "media_id long, source string, rewritten string, mode string, baseline_ms long, rewritten_ms long, target_ms long, baseline_score double, rewritten_score double, has_extra_tail boolean, has_suffix boolean")
+    a, b = T.word_tokens(F.col("source")), T.word_tokens(F.col("rewritten"))
+    plain, words = M.rewrite_gate(df), M.rewrite_gate(df.withColumn("source_words", T.word_tokens(F.col("source"))))
+    assert plain.columns == words.columns and plain.exceptAll(words).isEmpty() and words.exceptAll(plain).isEmpty()
+    wrong = plain.filter(~F.col("token_precision").eqNullSafe(V.token_overlap(a, b)["precision"]) | ~F.col("text_similarity").eqNullSafe(V.sequence_ratio("source", "rewritten")))
+    assert wrong.isEmpty() and plain.filter("reject_reason = 'token_precision'").count() > 0
+    plan = queries.QUERIES["rewrite_gate"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"(?U)\w+") == 2
+
+
 def test_issues_equal_plain_columns(spark):
     texts = awkward(300)
     r = random.Random(5)
